@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: The characters that part words; every other character belongs to a word.
 SPACE = r"\x20\x09-\x0D"
@@ -42,6 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flag(*conditions) -> list:
-    """Each condition as 0 or 1, null counting as 0."""
-    return [F.when(c, 1).otherwise(0) for c in conditions]
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The same rows, read from Parquet in the shared folder: Catalyst knows their size then, and broadcasts them only if it is small."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm import decontam, langid, mixing, secret_scan, simhash
-from rastra.llm.common import table
+from rastra.llm import chat, decontam, langid, mixing, quality, secret_scan, simhash, tokens, warc
+from rastra.llm.common import new_path, stored, table
 
 
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +18,40 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_row").alias("row"))
 
 
+def op3_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results, after = chat.from_turns(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.REPLY, after).withColumn("errors", F.array_join("errors", "; "))
+
+
+def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *quality.MEASURES, (~quality.kept("base")).alias("base_failed"), quality.kept("v2").alias("kept"), "fail_bits")
+
+
 def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return pairs.select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
 
 
+def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    signed = pages.select("page_id", F.col("url").alias("uri"), warc.payload(F.col("html")).alias("payload")).withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
+    again = stored(warc.revisits(signed, "page_id", "digest", "size"), "revisits")
+    records = signed.join(again, ["page_id", "digest"], "left")
+    few = pages.select(F.substring(warc.payload(F.col("html")), 1, warc.SAMPLE_BYTES)).limit(warc.SAMPLE_PAGES).collect()
+    path = new_path(spark, "archives")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    records = records.select(text("page_id").alias("record_id"), text("uri").alias("uri"), F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", F.col("refers_to").cast("string").alias("refers_to"))
+    warc.write_archives(records, path, warc.trained_dictionary([bytes(r[0]) for r in few]))
+    read, kind = warc.read_archives(spark, path, with_payload=False), pages.schema["page_id"].dataType
+    name = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    return read.select(name("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", name("refers_to").alias("refers_to"), "error")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", secret_scan.summary(F.col("text")).alias("found")).select("doc_id", "found.*")
 
@@ -34,5 +63,43 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_pfair_mix, op6_benchmark_containment, op9_secret_scan, op10_language_centroids)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_pfair_mix, op3_tool_call_links, op5_rule_ledger, op6_benchmark_containment, op7_section_tokens, op8_warc_zstd, op9_secret_scan, op10_language_centroids)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_tool_call_links": r"""
+WITH c AS (SELECT conv_id, turn, 'reply-' || turn AS call_id, text,
+                  row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
+l AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * n ORDER BY turn) - 1 AS BIGINT) AS level FROM c),
+r AS (SELECT conv_id, turn, 'reply-' || (turn - 1) AS call_id, text AS result FROM conversations WHERE role = 'assistant'),
+a AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS turn, coalesce(l.call_id, r.call_id) AS call_id, level, l.text, result,
+             CASE WHEN l.conv_id IS NULL THEN 'orphan' WHEN r.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+      FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.call_id = r.call_id)
+SELECT conv_id, turn, call_id, level, status, '' AS errors,
+       '{"arguments":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}' END
+       || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
+       || ',"name":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '"reply"' END
+       || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS json FROM a
+""",
+    "op5_rule_ledger": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g),
+p AS (SELECT rid, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2)) AS k(k) WHERE c >= 2 GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN p USING (rid)),
+b AS (SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(10 * n_symbols > word_chars AS INT)
+             + 8 * CAST(2 * n_dup_lines > n_lines AS INT) + 16 * CAST(word_chars < 2 * n_words OR word_chars > 25 * n_words AS INT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS INT) AS fail_bits FROM b
+""",
+    "op8_warc_zstd": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM f
+""",
+}
