@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm import chat, decontam, langid, mixing, quality, secret_scan, simhash, tokens, warc
+from rastra.llm import chat, decontam, langid, mixing, quality, secret_scan, simhash, suffixes, tokens, warc
 from rastra.llm.common import new_path, stored, table
 
 
@@ -23,6 +23,10 @@ def op3_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(calls, results, chat.REPLY, after).withColumn("errors", F.array_join("errors", "; "))
 
 
+def op4_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *quality.MEASURES, (~quality.kept("base")).alias("base_failed"), quality.kept("v2").alias("kept"), "fail_bits")
@@ -63,7 +67,7 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_pfair_mix, op3_tool_call_links, op5_rule_ledger, op6_benchmark_containment, op7_section_tokens, op8_warc_zstd, op9_secret_scan, op10_language_centroids)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_pfair_mix, op3_tool_call_links, op4_suffix_groups, op5_rule_ledger, op6_benchmark_containment, op7_section_tokens, op8_warc_zstd, op9_secret_scan, op10_language_centroids)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_tool_call_links": r"""
