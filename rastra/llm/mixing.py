@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Slots of a period: weights are rounded to multiples of 1 / PERIOD.
-PERIOD = 1000
+PERIOD = 10_000
 BLOCK_ROWS = 16
 #: Sources that the driver plans for at most, a bound on what it gathers.
 MAX_SOURCES = 100_000
@@ -35,11 +35,13 @@ def rounded(weights: Mapping[object, float], period: int) -> dict[object, int]:
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))[: period - sum(out.values())]:
-        out[s] += 1
+    exact = {s: w / total * period for s, w in weights.items()}
+    out = {s: max(1, int(x + 1e-9)) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], str(s))):  # the largest remainders first
+        if sum(out.values()) < period:
+            out[s] += 1
+    while sum(out.values()) > period:  # what very small weights got too much, the largest give
+        out[max(out, key=lambda s: (out[s], str(s)))] -= 1
     return out
 
 
