@@ -37,7 +37,7 @@ def _first(fourcc: str, value: str = "payload") -> Column:
 def images(files: DataFrame) -> DataFrame:
     """(path, width, height, codec, has_alpha, has_metadata, is_animated, error), one row for each file, from headers alone.
 
-    Of repeated chunks the first counts. error is not_webp, truncated (shorter than a file header), invalid_container (frames without an
+    Of repeated chunks the first counts. error is not_webp, truncated (shorter than a file header, or cut off in the image's header), invalid_container (frames without an
     animation header), missing_image, or null.
     """
     found = chunks(files.select("path", "content"), lenient=True)
@@ -49,6 +49,7 @@ def images(files: DataFrame) -> DataFrame:
         F.bool_or(F.col("fourcc") == "ALPH").alias("alph"),
         F.bool_or(F.col("fourcc").isin(*SIDECARS.values())).alias("sidecar"),
         F.bool_or(F.col("fourcc").isin("ANIM", "ANMF")).alias("frames"),
+        F.bool_or(F.col("fourcc").isin("VP8L", "VP8 ") & F.col("truncated")).alias("cut"),
     )
     size = lambda c: F.coalesce(F.col(f"x.{c}"), F.col(f"l.{c}"), F.col(f"v.{c}")).cast("int")
     animated = F.coalesce(F.col("x.is_animated"), F.lit(False))
@@ -56,7 +57,7 @@ def images(files: DataFrame) -> DataFrame:
     codec = F.when(~animated, F.when(F.col("l").isNotNull(), "lossless").when(F.col("v").isNotNull(), "lossy"))
     content = F.col("content")
     magic = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WEBP"))
-    error = F.when(content.isNull() | (F.octet_length(content) < 12), "truncated").when(~magic, "not_webp").when(F.coalesce(F.col("frames"), F.lit(False)) & ~animated, "invalid_container").when(size("width").isNull(), "missing_image")
+    error = F.when(content.isNull() | (F.octet_length(content) < 12), "truncated").when(~magic, "not_webp").when(F.coalesce(F.col("frames"), F.lit(False)) & ~animated, "invalid_container").when(size("width").isNull() & F.col("cut"), "truncated").when(size("width").isNull(), "missing_image")
     joined = files.select("path", "content").join(per_file, "path", "left")
     return joined.select("path", size("width").alias("width"), size("height").alias("height"), codec.alias("codec"), alpha.alias("has_alpha"), F.coalesce("sidecar", F.lit(False)).alias("has_metadata"), animated.alias("is_animated"), error.alias("error"))
 
