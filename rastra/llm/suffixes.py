@@ -6,10 +6,11 @@ cut so that suffix arrays stay small and still see every repeat:
 1. Anchors. Of the ``k``-byte strings inside a window of ``length`` bytes, that with the least hash is the window's
    anchor. Equal windows have equal anchors at equal offsets. The windows that share an anchor are
    neighbours and make up a segment; a text is a sequence of segments (one for about 37 bytes).
-2. Equal segments. Segments with equal bytes and an equal anchor offset repeat as wholes. They are counted, with partial sums.
+2. Equal segments. Segments with equal bytes and an equal anchor offset repeat as wholes. They are counted: in each
+   batch first, then over all by anchor.
 3. Families. Different segments around one anchor may still share windows. A family's segments, each as
    the bytes left of the anchor, one symbol for the anchor and the bytes right of it, are the text of one suffix
-   array; a window is repeated if the common prefix with a neighbour in suffix order covers it.
+   array (less what all or no two of them share); a window is repeated if the common prefix with a neighbour in suffix order covers it.
    Families of more than ``FAMILY`` segments are never gathered: their windows are counted by hash instead.
 
 The suffix array is built in linear time by grouping (`suffix_array`): groups of suffixes with a common Lyndon prefix are
@@ -25,7 +26,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastra.llm.common import stored
@@ -119,27 +120,47 @@ def common_prefixes(text: Sequence[int], sa: Sequence[int]) -> list[int]:
     return shared
 
 
-def family_windows(segments: Sequence[tuple[bytes, bytes]], width: int) -> list[list[int]]:
-    """For each segment (bytes left and right of the anchor), the starts in its left part of windows that another place has too.
+def _longest_shared(parts: Sequence[bytes]) -> tuple[int, int]:
+    """(the prefix that all share, the longest prefix that any two share)."""
+    ordered = sorted(parts)
+    shared = []
+    for a, b in zip(ordered, ordered[1:], strict=False):
+        n = min(len(a), len(b))
+        shared.append(next((i for i in range(n) if a[i] != b[i]), n))
+    return min(shared), max(shared)
 
-    A window is ``width`` symbols with the anchor as one of them. Different segments end in different symbols, so nothing is shared across ends.
+
+def family_windows(members: Sequence[tuple[bytes, bytes]], reach: int) -> list[list[int]]:
+    """For each member (bytes left and right of the anchor), the distances before the anchor at which repeated windows start.
+
+    A window is x bytes on the left, the anchor and ``reach`` - x bytes on the right. What all members have next to the
+    anchor is taken into its symbol, and what no two share beyond is left off; the rest is the text of the suffix array.
     """
-    m = len(segments)
+    if len(members) < 2:
+        return [[] for _ in members]
+    flipped = [left[::-1] for left, _ in members]
+    (all_left, most_left), (all_right, most_right) = _longest_shared(flipped), _longest_shared([right for _, right in members])
+    m = len(members)
     text: list[int] = []
     begins = []
-    for i, (left, right) in enumerate(segments):
+    for i, (left, right) in enumerate(members):
         begins.append(len(text))
-        text += [b + m + 1 for b in left]
+        text += [c + m + 1 for c in left[max(0, len(left) - most_left) : len(left) - all_left]]
         text.append(m)
-        text += [b + m + 1 for b in right]
-        text.append(i)
+        text += [c + m + 1 for c in right[all_right : most_right + 1]]
+        text.append(i)  # every member ends in its own symbol, so nothing is shared across ends
     sa = suffix_array(text)
     shared = common_prefixes(text, sa)
-    repeated = [x >= width for x in shared]
+    best = list(shared)
     for a, b in zip(sa, sa[1:], strict=False):
-        if shared[b] >= width:
-            repeated[a] = True
-    return [[x for x in range(len(left) + 1) if repeated[begin + x]] for begin, (left, _) in zip(begins, segments, strict=True)]
+        best[a] = max(best[a], shared[b])
+    out = []
+    for begin, (left, _) in zip(begins, members, strict=True):
+        own = min(len(left), most_left) - all_left
+        found = [x for x in range(all_left + 1) if best[begin + own] >= 1 + max(0, reach - x - all_right)]
+        found += [all_left + d for d in range(1, own + 1) if best[begin + own - d] >= d + 1 + max(0, reach - all_left - d - all_right)]
+        out.append(found)
+    return out
 
 
 class Hasher:
@@ -209,23 +230,21 @@ def segments(data: bytes, hasher: Hasher, length: int = LENGTH, k: int = ANCHOR)
 
 def remaining(data: bytes, ranges: Sequence[tuple[int, int]], length: int = LENGTH) -> tuple[int, int, bytes]:
     """(removed bytes, removed runs, what is left), given ranges of starts of repeated windows, both ends inclusive."""
-    edge = np.zeros(len(data) + 1, np.int64)
-    for a, b in ranges:
-        edge[a] += 1
-        edge[b + length] -= 1
+    n = len(data)
+    edge = np.zeros(n + 1, np.int64)
+    if ranges:
+        at = np.array(ranges)
+        np.add.at(edge, np.minimum(at[:, 0], n), 1)
+        np.add.at(edge, np.minimum(at[:, 1] + length, n), -1)
     gone = np.cumsum(edge[:-1]) > 0
-    runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(gone) else 0
+    runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if n else 0
     return int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def _arrow(columns: dict[str, object]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(map(pa.array, columns.values())), names=list(columns))
-
-
 def runs_of(starts: Sequence[int]) -> list[tuple[int, int]]:
-    """Ascending numbers as inclusive ranges."""
+    """Numbers as inclusive ranges."""
     out: list[list[int]] = []
-    for x in starts:
+    for x in sorted(starts):
         if out and out[-1][1] == x - 1:
             out[-1][1] = x
         else:
@@ -233,6 +252,63 @@ def runs_of(starts: Sequence[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def _segments_of(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, again, segment, row, at, times) from rows (row, body): within a batch, equal segments meet at once.
+
+    The first of equal segments goes on under its anchor, with times 2 if there are more; the others are known to be repeated (again) and
+    go under keys of their own, so that a hot segment is at most one row from each batch. at packs the anchor's place and the
+    distances from the first and the last window to it.
+    """
+    hasher = Hasher()
+    for batch in batches:
+        found: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for row, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parts = segments(data.as_py(), hasher, length, k)
+            for i, x in enumerate((*parts, np.full(len(parts[0]), row, np.int64))):
+                found[i].append(x)
+        anchor, own, first, last, place, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        if not len(anchor):
+            continue
+        order = np.lexsort((own, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
+        counts = np.diff(np.append(np.flatnonzero(new), len(order)))
+        again = np.ones(len(order), bool)
+        again[order[new]] = False
+        times = np.full(len(order), 2)
+        times[order[new]] = np.minimum(counts, 2)
+        spread = (row.view(np.uint64) + place.astype(np.uint64)) * _MIX
+        key = np.where(again, spread, anchor)
+        yield _batch(key=key.view(np.int64), again=again, segment=own.view(np.int64), row=row, at=place << 16 | (place - first) << 8 | (place - last), times=times.astype(np.int64))
+
+
+def _sorted_families(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """Ranges (row, first, last) of repeated windows from rows (key, row, place, single, left, right) that come sorted by key."""
+    pending: list[tuple] = []
+
+    def ranges(group: list[tuple]) -> list[tuple[int, int, int]]:
+        starts = family_windows([(g[4], g[5]) for g in group], reach)
+        return [(row, place - b, place - a) for (_, row, place, single, _, _), xs in zip(group, starts, strict=True) if single for a, b in runs_of(xs)]
+
+    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return _batch(**{c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("row", "first", "last"))})
+
+    for batch in batches:
+        found = []
+        for g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if pending and pending[0][0] != g[0]:
+                found += ranges(pending)
+                pending = []
+            pending.append(g)
+        yield out(found)
+    if pending:
+        yield out(ranges(pending))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = ANCHOR, family: int = FAMILY) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each row of ``docs``; kept is the remaining text's bytes.
 
@@ -240,60 +316,54 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     another place too, in any text; all are judged on the input. Rows that are repeated entirely lose all their bytes (if they
     have ``length``) and stay as rows. Ids may be null or repeated. Texts shorter than ``length`` stay whole.
     """
-    width, right = length - k + 1, length - k
+    reach = length - k
+    if not 0 < reach < 256:
+        raise ValueError("the anchor must be shorter than the length, by less than 256")
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).select("id", "body", F.xxhash64("id", "body").alias("row"), F.octet_length("body").alias("n"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            found: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for row, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = data.as_py()
-                parts = segments(data, hasher, length, k)
-                for i, x in enumerate((*parts, np.full(len(parts[0]), row, np.int64), np.full(len(parts[0]), len(data), np.int32))):
-                    found[i].append(x)
-            a, s, first, last, place, row, n = map(np.concatenate, found)
-            yield _arrow({"anchor": a.view(np.int64), "segment": s.view(np.int64), "first": first.astype(np.int32), "last": last.astype(np.int32), "place": place.astype(np.int32), "row": row, "n": n})
-
-    occurrences = rows.where(F.col("n") >= length).select("row", "body").mapInArrow(cut, "anchor long, segment long, first int, last int, place int, row long, n int")
-    counted = occurrences.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.min(F.struct("row", "n", "first", "last", "place")).alias("one"))
-    counted = stored(counted.join(counted.groupBy("anchor").agg(F.count("*").alias("members")), "anchor").where("times > 1 or members > 1"), "segments")
-
-    # Segments that repeat as wholes: all their windows.
-    whole = occurrences.join(counted.where("times > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi").select("row", "n", "first", "last")
-
-    # Segments that share an anchor only: their bytes, fetched from one text that has them.
-    wanted = counted.where("members > 1").select("anchor", "times", "members", "one.*").groupBy("row", "n").agg(F.collect_list(F.struct("anchor", "times", "members", "first", "last", "place")).alias("parts"))
-    parts = rows.where(F.col("n") >= length).select("row", "n", "body").join(wanted, ["row", "n"]).withColumn("part", F.explode("parts")).select("row", "n", "body", "part.*")
-    at = lambda a, b: F.substring(F.col("body"), a + 1, b - a)
-    parts = stored(parts.select("row", "n", "anchor", "times", "members", "first", "last", "place", at(F.col("first"), F.col("place")).alias("left"), at(F.col("place") + k, F.col("last") + length).alias("right")).dropDuplicates(["row", "n", "first"]), "parts")
-
-    def sort_family(batch: pa.Table) -> pa.Table:
-        p = batch.to_pydict()
-        found = family_windows(list(zip(p["left"], p["right"], strict=True)), width)
-        out = [(p["row"][i], p["n"][i], p["first"][i] + a, p["first"][i] + b) for i, starts in enumerate(found) if p["times"][i] == 1 for a, b in runs_of(starts)]
-        return pa.table({c: pa.array([o[j] for o in out], t) for j, (c, t) in enumerate((("row", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("last", pa.int32())))})
-
-    shape = "row long, n int, first int, last int"
-    sorted_ones = parts.where(F.col("members") <= family).groupBy("anchor").applyInArrow(sort_family, shape)
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).select("id", "body", F.xxhash64("id", "body").alias("row"))
+    long = F.octet_length("body") >= length
+
+    # Which segments repeat, and which share only their anchor with others: one shuffle by anchor of a few numbers each.
+    cut = rows.where(long).select("row", "body").mapInArrow(lambda batches: _segments_of(batches, length, k), "key long, again boolean, segment long, row long, at long, times long")
+    same, around = Window.partitionBy("key", "again", "segment"), Window.partitionBy("key", "again")
+    ranked = cut.repartition("key").withColumns({"rank": F.row_number().over(same.orderBy("row", "at")), "copies": F.sum("times").over(same)})
+    counted = ranked.withColumn("members", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(around)).where("copies > 1 or members > 1")
+    place = F.shiftright("at", 16)
+    before = lambda shift: F.shiftright("at", shift).bitwiseAND(F.lit(255))
+    counted = counted.select("key", "row", place.alias("place"), (place - before(8)).alias("first"), (place - before(0)).alias("last"), (F.col("copies") > 1).alias("whole"), "members", ((F.col("members") > 1) & (F.col("rank") == 1)).alias("mixed"))
+
+    # Texts with any such segment, once: all that follows reads these.
+    wanted = counted.groupBy("row").agg(
+        F.collect_list(F.when(F.col("whole"), F.struct("first", "last"))).alias("whole"),
+        F.collect_list(F.when(F.col("mixed"), F.struct("key", (~F.col("whole")).alias("single"), "members", "first", "last", "place"))).alias("mixed"),
+    )
+    touched = stored(rows.where(long).join(wanted, "row"), "touched")
+
+    # Segments that share an anchor: their bytes on either side of it.
+    parts = touched.select("row", "body", F.explode("mixed").alias("part")).select("row", "body", "part.*")
+    at = lambda a, b: F.substring(F.col("body"), (a + 1).cast("int"), (b - a).cast("int"))
+    parts = parts.select("key", "row", "place", "single", "members", "first", "last", at(F.col("first"), F.col("place")).alias("left"), at(F.col("place") + k, F.col("last") + length).alias("right"))
+    small = parts.where(F.col("members") <= family).select("key", "row", "place", "single", "left", "right").repartition("key").sortWithinPartitions("key")
+    by_order = small.mapInArrow(lambda batches: _sorted_families(batches, reach), "row long, first long, last long")
 
     # Larger families: each window is a row of its left and right bytes around the anchor, counted by hash.
-    start = F.explode(F.sequence(F.col("first"), F.col("last"))).alias("start")
-    windows = parts.where(F.col("members") > family).select("*", start)
-    before = F.col("place") - F.col("start")
-    windows = windows.select("row", "n", "start", "anchor", before.alias("before"), *[F.xxhash64(F.lit(seed), F.substring(F.col("left"), F.col("start") - F.col("first") + 1, before), F.substring(F.col("right"), F.lit(1), F.lit(right) - before)).alias(f"h{seed}") for seed in (1, 2)])
-    key = ["anchor", "before", "h1", "h2"]
-    often = windows.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").select(*key)
-    counted_ones = windows.join(often, key, "left_semi").select("row", "n", F.col("start").alias("first"), F.col("start").alias("last"))
+    windows = parts.where(F.col("members") > family).select("*", F.explode(F.sequence("first", "last")).alias("start")).withColumn("x", (F.col("place") - F.col("start")).cast("int"))
+    sides = F.substring(F.col("left"), (F.col("start") - F.col("first") + 1).cast("int"), F.col("x")), F.substring(F.col("right"), F.lit(1), F.lit(reach) - F.col("x"))
+    windows = windows.select("row", "single", "start", "key", "x", *[F.xxhash64(F.lit(seed), *sides).alias(f"h{seed}") for seed in (1, 2)])
+    names = ["key", "x", "h1", "h2"]
+    often = windows.groupBy(*names).agg(F.count("*").alias("c")).where("c > 1").select(*names)
+    by_count = windows.where("single").join(often, names, "left_semi").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
 
-    ranges = whole.union(sorted_ones).union(counted_ones).distinct().groupBy("row", "n").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = by_order.union(by_count).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("partial"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [remaining(data.as_py(), [(r["first"], r["last"]) for r in found.as_py() or ()], length) for data, found in zip(batch.column("body"), batch.column("ranges"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n").cast(pa.int64()), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string()), pa.array([d[2] for d in done], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            done = [remaining(data.as_py(), [(r["first"], r["last"]) for part in parts for r in part.as_py() or ()], length) for data, *parts in zip(batch.column("body"), batch.column("whole"), batch.column("partial"), strict=True)]
+            yield _batch(id=batch.column("id"), n_removed=pa.array([d[0] for d in done], pa.int64()), n_spans=pa.array([d[1] for d in done], pa.int64()), kept_sha256=pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string()), n_bytes=pa.array([len(x) for x in batch.column("body").to_pylist()], pa.int64()), kept=pa.array([d[2] for d in done], pa.binary()))
 
     kind = rows.schema["id"].dataType.simpleString()
-    stripped = rows.join(ranges, ["row", "n"], "left").select("id", "n", "body", "ranges").mapInArrow(strip, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return stripped.withColumnRenamed("id", id_col)
+    stripped = touched.select("id", "row", "body", "whole").join(ranges, "row", "left").select("id", "body", "whole", "partial").mapInArrow(strip, f"id {kind}, n_removed long, n_spans long, kept_sha256 string, n_bytes long, kept binary")
+    columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    zero = F.lit(0).cast("long")
+    untouched = rows.join(touched.select("row").distinct(), "row", "left_anti").select("id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), F.col("body").alias("kept"))
+    return stripped.select(columns).union(untouched.select(columns)).withColumnRenamed("id", id_col)
