@@ -31,6 +31,15 @@ def animations(files: DataFrame) -> DataFrame:
     return per_file.where("x.is_animated and a is not null").select("path", F.col("x.width").alias("canvas_w"), F.col("x.height").alias("canvas_h"), "a.background", "a.loop_count", "frame_count", F.least("total", F.lit(MAX_DURATION)).alias("total_duration_ms"))
 
 
+def codecs(files: DataFrame) -> DataFrame:
+    """(path, codec): lossless, lossy or mixed over all frames; unknown if a frame starts with neither kind of image (after its alpha)."""
+    inner = frames(files).select("path", F.explode_outer(riff.places(F.col("payload"), start=0, lenient=True)).alias("c"), "frame_idx")
+    per_frame = inner.groupBy("path", "frame_idx").agg(F.min_by(F.when(F.col("c.fourcc").isin("VP8L", "VP8 "), F.col("c.fourcc")), F.when(F.col("c.fourcc").isin("VP8L", "VP8 "), F.col("c.idx"))).alias("f"))
+    has = lambda x: F.bool_or(F.col("f").eqNullSafe(F.lit(x)))
+    kind = F.when(has(None), "unknown").when(has("VP8L") & has("VP8 "), "mixed").when(has("VP8L"), "lossless").otherwise("lossy")
+    return per_frame.groupBy("path").agg(kind.alias("codec"))
+
+
 def reindexed(rows: DataFrame) -> DataFrame:
     """Frames with their indexes closed up, in the order of frame_idx; ``rank`` breaks ties if there is such a column."""
     order = ["frame_idx", *(["rank"] if "rank" in rows.columns else [])]

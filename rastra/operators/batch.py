@@ -17,8 +17,32 @@ MAGIC = {
 }
 #: Formats by file name.
 EXTENSIONS = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "tif": "tiff", "tiff": "tiff", "bmp": "bmp", "ppm": "ppm", "pam": "pam", "raw": "raw", "rgba": "raw", "webp": "webp"}
-#: Exit codes of a command by kind of error; fixed values.
-EXIT_CODES = {"io": 3, "not_webp": 4, "truncated": 4, "unsupported": 5, "invalid": 6, "limit": 7}
+#: A command's exit codes by kind of outcome; fixed values.
+EXIT_CODES = {"success": 0, "predicate": 1, "usage": 2, "read": 3, "write": 4, "codec": 5, "unsupported": 6, "limit": 7, "dimensions": 8, "format": 9}
+#: The kind of each error code that the operators here report.
+KINDS = {"not_webp": "codec", "truncated": "codec", "missing_image": "codec", "invalid_container": "codec", "size_mismatch": "usage", "unsupported_feature": "unsupported", "limit_exceeded": "limit", "invalid_dimensions": "dimensions", "pixel_buffer_mismatch": "dimensions", "crop_out_of_bounds": "usage"}
+#: Search levels of 0 to 9 for the scale of methods 0 to 6; fixed values.
+METHOD_LEVELS = (0, 1, 3, 4, 6, 7, 9)
+
+
+def exit_code(error: Column) -> Column:
+    """The exit code for an error code; 0 for none, 5 for an unknown one."""
+    codes = F.create_map(*[F.lit(x) for e, kind in KINDS.items() for x in (e, EXIT_CODES[kind])])
+    return F.when(error.isNull(), 0).otherwise(F.coalesce(F.try_element_at(codes, error), F.lit(EXIT_CODES["codec"])))
+
+
+def effort(method: Column, level: Column, quality: Column) -> Column:
+    """The search level that options ask for: a method of 0 to 6, else a level of 0 to 9, else a quality of 0 to 100; null (choose by content) if none is given."""
+    clip = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most), c))
+    by_method = F.element_at(F.array(*map(F.lit, METHOD_LEVELS)), clip(method, 6).cast("int") + 1)
+    return F.when(method.isNotNull(), by_method).when(level.isNotNull(), clip(level, 9).cast("int")).when(quality.isNotNull(), clip(F.floor(quality / 10), 9).cast("int"))
+
+
+def effective(*layers: tuple[str, Column]) -> Column:
+    """struct(value, origin) of a setting: the first layer (origin, value) that is not null."""
+    value = F.coalesce(*[v for _, v in layers])
+    origin = F.coalesce(*[F.when(v.isNotNull(), F.lit(name)) for name, v in layers])
+    return F.struct(value.alias("value"), origin.alias("origin"))
 
 
 def extension(path: Column) -> Column:

@@ -132,3 +132,29 @@ def chroma_planes(pixels: DataFrame) -> DataFrame:
     sums = pixels.select("img", *half, *rgb).groupBy("img", "x", "y").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "rgb"])
     u, v = argb.chroma(*[F.call_function("div", F.col(c) * 4, F.col("n")) for c in "rgb"])
     return sums.select("img", "x", "y", u.alias("u"), v.alias("v"))
+
+
+def effort_levels(pixels: DataFrame) -> DataFrame:
+    """(img, level): how deep a search an image deserves: by the bits a pixel that its green row differences need, and no deeper than its size allows."""
+    row = Window.partitionBy("img", "y").orderBy("x")
+    green = argb.channel(F.col("argb"), "g")
+    values = pixels.select("img", F.pmod(green - F.coalesce(F.lag(green).over(row), F.lit(0)), F.lit(256)).alias("value"))
+    counts = values.groupBy("img", "value").agg(F.count("*").alias("n"))
+    bits = entropies(counts, "img").join(counts.groupBy("img").agg(F.sum("n").alias("pixels")), "img")
+    cost = F.floor(F.round("bits", 6)) / F.col("pixels")
+    content = F.when(cost <= 1, 9).when(cost <= 2, 8).when(cost <= 3, 7).when(cost <= 4, 5).when(cost <= 5, 4).otherwise(3)
+    size = F.when(F.col("pixels") <= 1 << 14, 9).when(F.col("pixels") <= 1 << 18, 6).when(F.col("pixels") <= 1 << 20, 4).when(F.col("pixels") <= 1 << 22, 3).otherwise(2)
+    return bits.select("img", F.least(content, size).alias("level"))
+
+
+#: Signs of the Walsh-Hadamard basis in the order that coded blocks use.
+HADAMARD = ((1, 1, 1, 1), (1, 1, -1, -1), (1, -1, -1, 1), (1, -1, 1, -1))
+
+
+def block_hadamard(planes: DataFrame) -> DataFrame:
+    """(img, bx, by, u, v, c): the Walsh-Hadamard transform of every 4 x 4 block of a plane (img, x, y, v), halved and rounded down: sums of samples by sign."""
+    block = planes.select("img", F.shiftright("x", 2).alias("bx"), F.shiftright("y", 2).alias("by"), F.pmod("x", F.lit(4)).alias("i"), F.pmod("y", F.lit(4)).alias("j"), F.col("v").alias("s"))
+    sign = lambda k, at: F.element_at(F.array(*map(F.lit, HADAMARD[k])), at + 1)
+    sums = block.groupBy("img", "bx", "by").agg(*[F.sum(F.col("s") * sign(u, F.col("i")) * sign(v, F.col("j"))).alias(f"c{u}{v}") for u in range(4) for v in range(4)])
+    cells = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v"), F.shiftright(f"c{u}{v}", 1).alias("c")) for u in range(4) for v in range(4)])
+    return sums.select("img", "bx", "by", F.inline(cells))

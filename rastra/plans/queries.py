@@ -154,6 +154,15 @@ def composited_frames(spark, sf_dir):
     return folded.select("path", "frame_idx", total.alias("checksum"))
 
 
+@query(f"WITH {FRAMES_SQL}, k AS (SELECT path, CASE WHEN payload IN ('click', 'view') AND path % 3 < 2 THEN 'l' WHEN path % 3 > 0 THEN 'v' END AS c FROM fr) SELECT path, CASE WHEN bool_or(c IS NULL) THEN 'unknown' WHEN count(DISTINCT c) = 2 THEN 'mixed' WHEN max(c) = 'l' THEN 'lossless' ELSE 'lossy' END AS codec FROM k GROUP BY path")
+def animation_codecs(spark, sf_dir):
+    rows = event_frames(spark, sf_dir)
+    image = F.lit(b"abc")
+    third = F.pmod("path", F.lit(3))
+    still = F.when(F.decode("payload", "UTF-8").isin("click", "view") & (third < 2), riff.chunk("VP8L", image)).when(third > 0, F.concat(riff.chunk("ALPH", image), riff.chunk("VP8 ", image))).otherwise(riff.chunk("junk", image))
+    return animation.codecs(animation.write(rows.withColumn("payload", still)))
+
+
 # --- pixels -----------------------------------------------------------------------------------------------------
 
 
@@ -384,6 +393,22 @@ def canonical_codes(spark, sf_dir):
     return transforms.canonical_codes(lengths)
 
 
+_LEVEL = "CASE WHEN c <= n THEN 9 WHEN c <= 2 * n THEN 8 WHEN c <= 3 * n THEN 7 WHEN c <= 4 * n THEN 5 WHEN c <= 5 * n THEN 4 ELSE 3 END"
+
+
+@query(f"WITH {PX_SQL}, d AS (SELECT img, (g - coalesce(lag(g) OVER (PARTITION BY img, y ORDER BY x), 0)) & 255 AS v FROM px), h AS (SELECT img, v, count(*) AS n FROM d GROUP BY ALL), es AS (SELECT img, sum(n) AS n, floor(round(sum(n) * log2(sum(n)) - sum(n * log2(n)), 6)) AS c FROM h GROUP BY img) SELECT img, {_LEVEL} AS level FROM es")
+def effort_levels(spark, sf_dir):
+    return pixels.effort_levels(embedding_pixels(spark, sf_dir))
+
+
+_SIGNS = "sg AS (SELECT * FROM (VALUES (0, [1, 1, 1, 1]), (1, [1, 1, -1, -1]), (2, [1, -1, -1, 1]), (3, [1, -1, 1, -1])) AS t(k, s))"
+
+
+@query(f"WITH {PX_SQL}, {_SIGNS}, b AS (SELECT img, x // 4 AS bx, y // 4 AS b_y, p.k AS u, q.k AS v, sum(r * p.s[x % 4 + 1] * q.s[y % 4 + 1]) AS c FROM px, sg p, sg q GROUP BY ALL) SELECT img, CAST(bx AS INT) AS bx, CAST(b_y AS INT) AS by, u, v, CAST(c AS BIGINT) >> 1 AS c FROM b")
+def block_hadamard(spark, sf_dir):
+    return pixels.block_hadamard(embedding_pixels(spark, sf_dir).select("img", "x", "y", argb.channel(F.col("argb"), "r").alias("v")))
+
+
 # --- batches, ledgers, rate ---------------------------------------------------------------------------------------
 
 
@@ -445,3 +470,18 @@ def category_rollup(spark, sf_dir):
     low = lambda c: F.col(c).cast("long").bitwiseAND(F.lit(255))
     light = low("l_partkey") + low("l_suppkey") + low("l_quantity")
     return lines.select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), light.alias("light")).rollup("flag", "status").agg(F.count("*").alias("n"), F.sum("light").alias("light"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN [0, 1, 3, 4, 6, 7, 9][CAST(least(p_size % 9, 6) AS INT) + 1] WHEN 1 THEN least(p_size, 9) WHEN 2 THEN least(p_size * 3 // 10, 9) END AS level FROM part")
+def effort_options(spark, sf_dir):
+    of = lambda k, c: F.when(F.pmod("p_partkey", F.lit(4)) == k, c)
+    level = batch.effort(of(0, F.pmod("p_size", F.lit(9))), of(1, F.col("p_size")), of(2, F.col("p_size") * 3))
+    return table(spark, sf_dir, "part").select("p_partkey", level.alias("level"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 8 ELSE 7 END AS code, CASE WHEN c_custkey % 5 = 0 THEN 'argument' WHEN c_custkey % 3 = 0 THEN 'environment' ELSE 'default' END AS origin FROM customer")
+def exit_codes_and_settings(spark, sf_dir):
+    n = lambda k: F.pmod("c_custkey", F.lit(k))
+    error = F.when(n(4) == 1, "not_webp").when(n(4) == 2, "invalid_dimensions").when(n(4) == 3, "limit_exceeded")
+    setting = batch.effective(("argument", F.when(n(5) == 0, 1)), ("environment", F.when(n(3) == 0, 2)), ("default", F.lit(3)))
+    return table(spark, sf_dir, "customer").select("c_custkey", batch.exit_code(error).alias("code"), setting["origin"].alias("origin"))
