@@ -46,3 +46,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix, longer if need be, so that no column starts with it in any case: for columns of one's own beside the caller's."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rastra.llm.common import free_prefix
+
 WIDTH = 5
 THRESHOLD = 0.8
 #: Bytes of benchmark text that one pass over the documents carries.
@@ -164,6 +166,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     A row goes if any row with its id is contaminated; rows with a null id are judged by their text's hash instead.
     """
+    own = free_prefix(docs, "_item")
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.sha2(F.col(text_col).cast("string"), 256)))
-    pairs = contained_items(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), benchmark, "_key", "_text", **options)
-    return docs.join(pairs.select("_key").distinct(), key == F.col("_key"), "left_anti")
+    pairs = contained_items(docs.select(key.alias(own), F.col(text_col).alias(f"{own}text")), benchmark, own, f"{own}text", **options)
+    return docs.withColumn(own, key).join(pairs.select(own).distinct(), own, "left_anti").select(*docs.columns)

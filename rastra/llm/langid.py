@@ -160,4 +160,5 @@ def language(model: Model, text: Column) -> Column:
         found = [model.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], names=["lang", "score", "rejected"])
 
-    return predict(text.cast("string"))
+    # Else a filter on the result would run it a second time.
+    return predict.asNondeterministic()(text.cast("string"))

@@ -19,14 +19,17 @@ import heapq
 import math
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastra.llm.common import free_prefix
+
 #: Slots of a period: weights are rounded to multiples of 1 / PERIOD.
 PERIOD = 10_000
 BLOCK_ROWS = 16
-#: Sources that the driver plans for at most, a bound on what it gathers.
-MAX_SOURCES = 100_000
+#: Sources that the driver plans for at most, a bound on what it gathers; each may end in a phase of its own.
+MAX_SOURCES = 1_000
 
 
 def rounded(weights: Mapping[object, float], period: int) -> dict[object, int]:
@@ -100,8 +103,9 @@ def mix(docs: DataFrame, weights: Mapping[object, float] | None = None, id_col:
     Input columns that are named like the new ones are replaced.
     """
     block, slot, row = (f"{prefix}{x}" for x in ("block", "slot", "row"))
-    work = {x: f"_{prefix}{x}" for x in ("salt", "rank", "source", "offset", "phase")}
     docs = docs.drop(block, slot, row)
+    own = free_prefix(docs, "_mix")
+    work = {x: own + x for x in ("salt", "rank", "source", "offset", "phase", "phases", "number", "m", "slot", "n")}
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))  # null-safe, and never equal to a name
     counts = {r[0]: (r[1], r[2]) for r in docs.groupBy(source.alias("s")).agg(F.count("*"), F.first(source_col)).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -115,24 +119,28 @@ def mix(docs: DataFrame, weights: Mapping[object, float] | None = None, id_col:
     hashed = F.xxhash64(F.col(id_col))
     salts = F.create_map(*[x for s, (n, _) in counts.items() for x in (F.lit(s), F.lit(math.isqrt(n)))])
     salted = docs.withColumn(work["source"], source).withColumn(work["salt"], F.pmod(hashed, salts[F.col(work["source"])]))
-    sizes = salted.groupBy(work["source"], work["salt"]).agg(F.count("*").alias("_n"))
+    sizes = salted.groupBy(work["source"], work["salt"]).agg(F.count("*").alias(work["n"]))
     before = Window.partitionBy(work["source"]).orderBy(work["salt"]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(work["source"], work["salt"], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(work["offset"]))
+    offsets = sizes.select(work["source"], work["salt"], F.coalesce(F.sum(work["n"]).over(before), F.lit(0)).alias(work["offset"]))
     rank = F.row_number().over(Window.partitionBy(work["source"], work["salt"]).orderBy(hashed, F.col(id_col)))
     placed = salted.withColumn(work["rank"], rank - 1).join(offsets, [work["source"], work["salt"]])
     placed = placed.withColumn(work["rank"], F.col(work["rank"]) + F.col(work["offset"]))
-    placed = placed.withColumns({block: F.floor(F.col(work["rank"]) / block_rows), row: F.pmod(F.col(work["rank"]), F.lit(block_rows)).cast("int")})
+    placed = placed.withColumns({block: F.call_function("div", F.col(work["rank"]), F.lit(block_rows)).cast("long"), row: F.pmod(F.col(work["rank"]), F.lit(block_rows)).cast("int")})
 
-    # A block's slot: the last phase that starts at or before it, then its place in that phase's period.
+    # A block's slot: the last phase of its source that starts at or before it, then its place in that phase's period.
     plan = phases({s: -(-n // block_rows) for s, (n, _) in counts.items()}, wanted, period)
-    by_source: dict[str, list] = {}
-    for s, *rest in plan:
-        by_source.setdefault(s, []).append(tuple(rest))
-    table = spark.createDataFrame(list(by_source.items()), f"{work['source']} string, {work['phase']} array<struct<first: long, start: long, share: long, size: long, slots: array<int>>>")
-    inside = F.col(work["phase"])
-    placed = placed.join(F.broadcast(table), work["source"])  # at most a row for each source, bounded by MAX_SOURCES
-    last = F.element_at(F.filter(inside, lambda p: p["first"] <= F.col(block)), -1)
-    placed = placed.withColumn(work["phase"], last)
-    j = F.col(block) - inside["first"]
-    at = inside["start"] + F.floor(j / inside["share"]) * inside["size"] + F.element_at(inside["slots"], (F.pmod(j, inside["share"]) + 1).cast("int"))
-    return placed.withColumn(slot, at).drop(*work.values())
+    starts: dict[str, list[tuple]] = {}
+    places: list[tuple] = []
+    for number, (s, first, start, share, size, slots) in enumerate(plan):
+        starts.setdefault(s, []).append((number, first, start, share, size))
+        places += [(number, m, slot_) for m, slot_ in enumerate(slots)]
+    phase, inside = F.col(work["phase"]), F.col(work["phases"])
+    by_source = spark.createDataFrame(list(starts.items()), f"{work['source']} string, {work['phases']} array<struct<number: long, first: long, start: long, share: long, size: long>>")
+    placed = placed.join(F.broadcast(by_source), work["source"])  # a row for each source, bounded by MAX_SOURCES
+    placed = placed.withColumn(work["phase"], F.element_at(F.filter(inside, lambda p: p["first"] <= F.col(block)), -1)).drop(work["phases"])
+    j = F.col(block) - phase["first"]
+    whole = phase["start"] + F.call_function("div", j, phase["share"]) * phase["size"]
+    keyed = placed.withColumns({slot: whole, work["number"]: phase["number"], work["m"]: F.pmod(j, phase["share"])})
+    columns = [pa.array([p[i] for p in places], pa.int64()) for i in range(3)]
+    period_table = spark.createDataFrame(pa.table(columns, [work["number"], work["m"], work["slot"]]))  # Catalyst knows its size
+    return keyed.join(period_table, [work["number"], work["m"]]).withColumn(slot, F.col(slot) + F.col(work["slot"])).drop(*work.values())

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastra.llm.common import SPACE
+from rastra.llm.common import SPACE, free_prefix
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -48,13 +48,6 @@ def mask(policy: str) -> int:
     return sum(1 << i for i, rule in enumerate(RULES) if rule.name in POLICIES[policy])
 
 
-def _unique(df: DataFrame, prefix: str = "_q") -> str:
-    """A prefix that no column has, in any case."""
-    while any(c.lower().startswith(prefix) for c in df.columns):
-        prefix += "_"
-    return prefix
-
-
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of MEASURES, all long; columns of these names are replaced.
 
@@ -62,7 +55,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     an earlier one; n_repeat_words counts words in a 3-word window that occurs at least twice in the
     text. Windows are compared by 64-bit hashes. A null text measures like an empty one: 0 each.
     """
-    q = _unique(docs)
+    q = free_prefix(docs, "_q")
     text, words, hashes, ordered, places, lines = (q + x for x in ("text", "words", "hashes", "ordered", "places", "lines"))
     df = docs.drop(*MEASURES).withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     df = df.withColumns({

@@ -36,8 +36,8 @@ def test_period_keeps_every_window():
 
 def test_mix_places_every_row_once_and_keeps_the_weights(spark):
     rng = random.Random(2)
-    rows = [(i, rng.choice(["a"] * 6 + ["b", "b", "c", None]), "t") for i in range(2000)] + [(None, "a", "t"), (7, "a", "t"), (7, "a", "t")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string")
+    rows = [(i, rng.choice(["a"] * 6 + ["b", "b", "c", None]), "t", "u") for i in range(2000)] + [(None, "a", "t", "u"), (7, "a", "t", "u"), (7, "a", "t", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string, _mixn string")
     weights = {"a": 0.4, "b": 0.3, "c": 0.2, None: 0.1}
     got = mixing.mix(docs, weights, block_rows=8, period=100).collect()
     assert len(got) == len(rows) and sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)

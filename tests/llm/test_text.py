@@ -110,7 +110,7 @@ def test_decontamination_matches_brute_force(spark):
             part[rng.randrange(len(part))] = "changed"
         docs.append(f"{rng.choice(docs)} {' '.join(part).upper()}, {rng.choice(docs)}")
     rows = [*enumerate([*docs, None, "", items[0]]), (5, "v1, v2!")]
-    d = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, item_id int")
+    d = spark.createDataFrame([(i, t, 0, 1) for i, t in rows], "doc_id long, text string, item_id int, _item int")
     b = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
     want = sorted((i, j, round(c, 9)) for i, t in rows for j, x in enumerate(items) if (c := contained(t, x)) is not None)
     for block in (1 << 20, 50):
