@@ -31,7 +31,7 @@ from rastra.llm.common import free_prefix
 WIDTH = 5
 THRESHOLD = 0.8
 #: Bytes of benchmark text that one pass over the documents carries.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -98,6 +98,14 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_repl
 b AS (SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(10 * n_symbols > word_chars AS INT)
              + 8 * CAST(2 * n_dup_lines > n_lines AS INT) + 16 * CAST(word_chars < 2 * n_words OR word_chars > 25 * n_words AS INT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS INT) AS fail_bits FROM b
+""",
+    "op6_benchmark_containment": r"""
+WITH n AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS rid, text FROM documents UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, id, rid, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS ws FROM n),
+g AS (SELECT DISTINCT side, id, rid, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+s AS (SELECT id, rid, g, count(*) OVER (PARTITION BY rid) AS n FROM g WHERE side = 'i')
+SELECT d.id AS doc_id, s.id AS item_id, round(count(*) / max(s.n), 6) AS containment
+FROM g AS d JOIN s ON d.g = s.g WHERE d.side = 'd' GROUP BY d.id, d.rid, s.id, s.rid HAVING count(*) >= 0.8 * max(s.n)
 """,
     "op8_warc_zstd": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

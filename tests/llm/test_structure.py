@@ -148,6 +148,14 @@ def test_pipeline_against_plain_python(spark):
     assert sorted(slots) == list(range(len(slots))) and all(len(s) == 1 for s in slots.values())
 
 
+def test_near_duplicate_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    rows = [(4, "a b c d", "en", "s", 7), (2, "a b c d", "en", "s", 7), (None, "a b c d", "en", "s", 7), (None, "other words here", "en", "s", 9), (9, None, None, None, None), (8, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r["doc_id"]) for r in cp.one_of_each(spark, docs, SF).collect()) == ["2", "8", "None"]
+
+
 @pytest.mark.parametrize("column", ["text", "lang", "source", "doc_id"])
 def test_pipeline_stages_take_nulls(spark, column):
     import corpus_pipeline as cp
