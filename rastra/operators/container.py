@@ -56,10 +56,12 @@ def images(files: DataFrame) -> DataFrame:
     alpha = F.when(animated, F.col("x.has_alpha")).otherwise(F.coalesce(F.col("l.has_alpha"), F.col("alph"), F.lit(False)))
     codec = F.when(~animated, F.when(F.col("l").isNotNull(), "lossless").when(F.col("v").isNotNull(), "lossy"))
     content = F.col("content")
+    short = content.isNull() | (F.octet_length(content) < 12)
     magic = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WEBP"))
-    error = F.when(content.isNull() | (F.octet_length(content) < 12), "truncated").when(~magic, "not_webp").when(F.coalesce(F.col("frames"), F.lit(False)) & ~animated, "invalid_container").when(size("width").isNull() & F.col("cut"), "truncated").when(size("width").isNull(), "missing_image")
-    joined = files.select("path", "content").join(per_file, "path", "left")
-    return joined.select("path", size("width").alias("width"), size("height").alias("height"), codec.alias("codec"), alpha.alias("has_alpha"), F.coalesce("sidecar", F.lit(False)).alias("has_metadata"), animated.alias("is_animated"), error.alias("error"))
+    # Only flags are joined: contents stay where they were read.
+    flags = files.select("path", short.alias("short"), F.coalesce(magic, F.lit(False)).alias("magic"))
+    error = F.when(F.col("short"), "truncated").when(~F.col("magic"), "not_webp").when(F.coalesce(F.col("frames"), F.lit(False)) & ~animated, "invalid_container").when(size("width").isNull() & F.col("cut"), "truncated").when(size("width").isNull(), "missing_image")
+    return flags.join(per_file, "path", "left").select("path", size("width").alias("width"), size("height").alias("height"), codec.alias("codec"), alpha.alias("has_alpha"), F.coalesce("sidecar", F.lit(False)).alias("has_metadata"), animated.alias("is_animated"), error.alias("error"))
 
 
 def metadata(files: DataFrame) -> DataFrame:

@@ -44,26 +44,30 @@ def raw_errors(content: Column, width: Column, height: Column, max_pixels: int |
     return out.when(F.octet_length(content) != 4 * n, "pixel_buffer_mismatch")
 
 
+def _exploded(images: DataFrame, skip: Column, size: int) -> DataFrame:
+    """(img, x, y, digits): a row for each pixel of ``size`` bytes of images (img, width, height, content), as hex digits.
+
+    An image is cut into its rows, then a row into its pixels, so that no row of the result's making carries more than a row of pixels.
+    """
+    cut = lambda y: F.struct(y.alias("y"), F.hex(F.substring(F.col("content"), (skip + y * F.col("width") * size + 1).cast("int"), (F.col("width") * size).cast("int"))).alias("line"))
+    rows = images.select("img", "width", F.explode(F.transform(F.sequence(F.lit(0), F.col("height").cast("int") - 1), cut)).alias("r")).select("img", "width", "r.*")
+    cell = lambda x: F.struct(x.alias("x"), F.substring(F.col("line"), x * (2 * size) + 1, F.lit(2 * size)).alias("digits"))
+    return rows.select("img", "y", F.explode(F.transform(F.sequence(F.lit(0), F.col("width").cast("int") - 1), cell)).alias("c")).select("img", "c.x", "y", "c.digits")
+
+
 def raw_pixels(files: DataFrame, layout: str = "rgba8") -> DataFrame:
     """(img, x, y, argb) of raw files (path, width, height, content), four bytes for each pixel, row by row; files of another length have none."""
-    fine = files.where(raw_errors(F.col("content"), F.col("width"), F.col("height")).isNull())
-    rows = fine.select(F.col("path").alias("img"), "width", "height", "content", F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("y"))
-    # One row of pixels at a time: a cell is at most a row's bytes.
-    rows = rows.select("img", "y", F.substring(F.col("content"), (F.col("y") * F.col("width") * 4 + 1).cast("int"), (F.col("width") * 4).cast("int")).alias("line"), "width")
-    cells = rows.select("img", "y", F.hex("line").alias("digits"), F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("x"))
-    return cells.select("img", "x", "y", argb.from_layout(F.substring("digits", F.col("x") * 8 + 1, F.lit(8)), layout).alias("argb"))
+    fine = files.where(raw_errors(F.col("content"), F.col("width"), F.col("height")).isNull()).withColumn("img", F.col("path"))
+    return _exploded(fine, F.lit(0), 4).select("img", "x", "y", argb.from_layout(F.col("digits"), layout).alias("argb"))
 
 
 def ppm_pixels(files: DataFrame) -> DataFrame:
     """(img, x, y, argb) of PPM files (P6, 255 as largest value, comments allowed)."""
     head = ascii_text(F.substring("content", 1, 512))
     match = F.regexp_extract(head, r"^(P6(?:\s+#[^\n]*\n|\s+)+\d+(?:\s+#[^\n]*\n|\s+)+\d+(?:\s+#[^\n]*\n|\s+)+255\s)", 1)
-    sized = sizes(files).withColumn("skip", F.length(match)).where("skip > 0 and format = 'ppm'")
+    sized = sizes(files).withColumns({"skip": F.length(match), "img": F.col("path")}).where("skip > 0 and format = 'ppm'")
     sized = sized.where(F.octet_length("content") >= F.col("skip") + 3 * F.col("width") * F.col("height"))
-    rows = sized.select(F.col("path").alias("img"), "width", F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("y"), "skip", "content")
-    rows = rows.select("img", "y", "width", F.hex(F.substring(F.col("content"), (F.col("skip") + F.col("y") * F.col("width") * 3 + 1).cast("int"), (F.col("width") * 3).cast("int"))).alias("digits"))
-    cells = rows.select("img", "y", "digits", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") - 1)).alias("x"))
-    return cells.select("img", "x", "y", argb.from_layout(F.concat(F.substring("digits", F.col("x") * 6 + 1, F.lit(6)), F.lit("FF")), "rgba8").alias("argb"))
+    return _exploded(sized, F.col("skip"), 3).select("img", "x", "y", argb.from_layout(F.concat("digits", F.lit("FF")), "rgba8").alias("argb"))
 
 
 def _lines(pixels: DataFrame, digits: Column) -> DataFrame:
