@@ -5,7 +5,7 @@ cut so that suffix arrays stay small and still see every repeat:
 
 1. Anchors. Of the ``k``-byte strings inside a window of ``length`` bytes, that with the least hash is the window's
    anchor. Equal windows have equal anchors at equal offsets. The windows that share an anchor are
-   neighbours and make up a segment; a text is a sequence of segments (one for about 37 bytes).
+   neighbours and make up a segment; a text is a sequence of segments (one for about 47 bytes).
 2. Equal segments. Segments with equal bytes and an equal anchor offset repeat as wholes. They are counted: in each
    batch first, then over all by anchor.
 3. Families. Different segments around one anchor may still share windows. A family's segments, each as
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rastra.llm.common import stored
 
 LENGTH = 200
-ANCHOR = 128
+ANCHOR = 108
 #: Segments of one family that a suffix array is built over at most; larger families are counted window by window.
 FAMILY = 64
 #: Windows that are looked at together; positions then fit the low bits of a number.
@@ -257,11 +257,11 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _segments_of(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, again, segment, row, at, times) from rows (row, body): within a batch, equal segments meet at once.
+    """Rows (key, segment, row, at) from rows (row, body): within a batch, equal segments meet at once.
 
-    The first of equal segments goes on under its anchor, with times 2 if there are more; the others are known to be repeated (again) and
-    go under keys of their own, so that a hot segment is at most one row from each batch. at packs the anchor's place and the
-    distances from the first and the last window to it.
+    The first of equal segments goes on under its anchor, marked if there are more; the others are known to be repeated (again) and
+    go under keys of their own, so that a hot segment is at most one row from each batch. at packs the anchor's place, again, the
+    mark, and the distances from the first and the last window to the anchor, so that little is shuffled.
     """
     hasher = Hasher()
     for batch in batches:
@@ -279,11 +279,11 @@ def _segments_of(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iter
         counts = np.diff(np.append(np.flatnonzero(new), len(order)))
         again = np.ones(len(order), bool)
         again[order[new]] = False
-        times = np.full(len(order), 2)
-        times[order[new]] = np.minimum(counts, 2)
+        more = np.ones(len(order), bool)
+        more[order[new]] = counts > 1
         spread = (row.view(np.uint64) + place.astype(np.uint64)) * _MIX
         key = np.where(again, spread, anchor)
-        yield _batch(key=key.view(np.int64), again=again, segment=own.view(np.int64), row=row, at=place << 16 | (place - first) << 8 | (place - last), times=times.astype(np.int64))
+        yield _batch(key=key.view(np.int64), segment=own.view(np.int64), row=row, at=place << 18 | again << 17 | more << 16 | (place - first) << 8 | (place - last))
 
 
 def _sorted_families(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
@@ -324,13 +324,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = F.octet_length("body") >= length
 
     # Which segments repeat, and which share only their anchor with others: one shuffle by anchor of a few numbers each.
-    cut = rows.where(long).select("row", "body").mapInArrow(lambda batches: _segments_of(batches, length, k), "key long, again boolean, segment long, row long, at long, times long")
+    cut = rows.where(long).select("row", "body").mapInArrow(lambda batches: _segments_of(batches, length, k), "key long, segment long, row long, at long")
     same, around = Window.partitionBy("key", "again", "segment"), Window.partitionBy("key", "again")
-    ranked = cut.repartition("key").withColumns({"rank": F.row_number().over(same.orderBy("row", "at")), "copies": F.sum("times").over(same)})
+    packed = lambda shift, mask: F.shiftright("at", shift).bitwiseAND(F.lit(mask))
+    place = F.shiftright("at", 18)
+    dealt = cut.repartition("key").withColumns({"again": packed(17, 1) == 1, "times": packed(16, 1) + 1})
+    ranked = dealt.withColumns({"rank": F.row_number().over(same.orderBy("row", "at")), "copies": F.sum("times").over(same)})
     counted = ranked.withColumn("members", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(around)).where("copies > 1 or members > 1")
-    place = F.shiftright("at", 16)
-    before = lambda shift: F.shiftright("at", shift).bitwiseAND(F.lit(255))
-    counted = counted.select("key", "row", place.alias("place"), (place - before(8)).alias("first"), (place - before(0)).alias("last"), (F.col("copies") > 1).alias("whole"), "members", ((F.col("members") > 1) & (F.col("rank") == 1)).alias("mixed"))
+    counted = counted.select("key", "row", place.alias("place"), (place - packed(8, 255)).alias("first"), (place - packed(0, 255)).alias("last"), (F.col("copies") > 1).alias("whole"), "members", ((F.col("members") > 1) & (F.col("rank") == 1)).alias("mixed"))
 
     # Texts with any such segment, once: all that follows reads these.
     wanted = counted.groupBy("row").agg(
