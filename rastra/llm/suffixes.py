@@ -11,7 +11,8 @@ cut so that suffix arrays stay small and still see every repeat:
 3. Families. Different segments around one anchor may still share windows. A family's segments, each as
    the bytes left of the anchor, one symbol for the anchor and the bytes right of it, are the text of one suffix
    array (less what all or no two of them share); a window is repeated if the common prefix with a neighbour in suffix order covers it.
-   Families of more than ``FAMILY`` segments are never gathered: their windows are counted by hash instead.
+   Families of more than ``FAMILY`` segments are never gathered: they are halved by where their windows lie about the anchor and split by
+   the further bytes that all windows of a half cover, again and again, until they are small or only equal segments are left.
 
 The suffix array is built in linear time by grouping (`suffix_array`): groups of suffixes with a common Lyndon prefix are
 processed from the largest down, and pointers to the previous smaller group split the groups below; a
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from rastra.llm.common import stored
 
 LENGTH = 200
 ANCHOR = 108
-#: Segments of one family that a suffix array is built over at most; larger families are counted window by window.
+#: Segments of one family that a suffix array is built over at most; larger families are split.
 FAMILY = 64
 #: Windows that are looked at together; positions then fit the low bits of a number.
 _CHUNK, _LOW = 1 << 16, np.uint64((1 << 17) - 1)
@@ -309,6 +311,28 @@ def _sorted_families(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[
         yield out(ranges(pending))
 
 
+def _split(parts: DataFrame, step: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """(ranges of repeated windows, the members of smaller families), from the members of large ones.
+
+    A member's windows are cut by the number of bytes they have left of the anchor, at multiples of 2 ** ``step``: into two cells, as
+    those before were twice as wide. All windows of a cell cover some bytes on either side; members that differ there go to different families.
+    Members equal in a cell are repeated there as wholes; one of them goes on. A cell of one window has nothing else.
+    """
+    cut = parts.select("*", F.explode(F.sequence(F.shiftright("low", step), F.shiftright("high", step))).alias("cell"))
+    least, most = F.shiftleft("cell", step), F.shiftleft(F.col("cell") + 1, step) - 1
+    tail = lambda n: F.substring(F.col("left"), F.octet_length("left") - n + 1, n)
+    head = lambda n: F.substring(F.col("right"), F.lit(1), n)
+    cut = cut.withColumn("key", F.xxhash64("key", F.lit(step), "cell", tail(least), head(F.greatest(reach - most, F.lit(0)))))
+    cut = cut.withColumns({"low": F.greatest("low", least), "high": F.least("high", most)}).withColumns({"left": tail(F.col("high")), "right": head(reach - F.col("low"))})
+    names = ["key", "low", "high", "h1", "h2"]
+    cut = cut.withColumns({f"h{seed}": F.xxhash64(F.lit(seed), "left", "right") for seed in (1, 2)})
+    groups = cut.groupBy(names).agg(F.count("*").alias("copies"), F.first(F.struct("row", "place", "single", "left", "right")).alias("one"))
+    counted = stored(groups.join(groups.groupBy("key").agg(F.count("*").alias("members")), "key").where("copies > 1 or members > 1"), "split")
+    equal = cut.where("single").join(counted.where("copies > 1").select(names), names, "left_semi").select("row", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last"))
+    rest = counted.where("members > 1").select("key", "members", "low", "high", "copies", "one.*")
+    return equal, rest.withColumn("single", F.col("single") & (F.col("copies") == 1)).drop("copies")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = ANCHOR, family: int = FAMILY) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each row of ``docs``; kept is the remaining text's bytes.
 
@@ -343,19 +367,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Segments that share an anchor: their bytes on either side of it.
     parts = touched.select("row", "body", F.explode("mixed").alias("part")).select("row", "body", "part.*")
     at = lambda a, b: F.substring(F.col("body"), (a + 1).cast("int"), (b - a).cast("int"))
-    parts = parts.select("key", "row", "place", "single", "members", "first", "last", at(F.col("first"), F.col("place")).alias("left"), at(F.col("place") + k, F.col("last") + length).alias("right"))
-    small = parts.where(F.col("members") <= family).select("key", "row", "place", "single", "left", "right").repartition("key").sortWithinPartitions("key")
-    by_order = small.mapInArrow(lambda batches: _sorted_families(batches, reach), "row long, first long, last long")
-
-    # Larger families: each window is a row of its left and right bytes around the anchor, counted by hash.
-    windows = parts.where(F.col("members") > family).select("*", F.explode(F.sequence("first", "last")).alias("start")).withColumn("x", (F.col("place") - F.col("start")).cast("int"))
-    sides = F.substring(F.col("left"), (F.col("start") - F.col("first") + 1).cast("int"), F.col("x")), F.substring(F.col("right"), F.lit(1), F.lit(reach) - F.col("x"))
-    windows = windows.select("row", "single", "start", "key", "x", *[F.xxhash64(F.lit(seed), *sides).alias(f"h{seed}") for seed in (1, 2)])
-    names = ["key", "x", "h1", "h2"]
-    often = windows.groupBy(*names).agg(F.count("*").alias("c")).where("c > 1").select(*names)
-    by_count = windows.where("single").join(often, names, "left_semi").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
-
-    ranges = by_order.union(by_count).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("partial"))
+    before = lambda c: (F.col("place") - F.col(c)).cast("int")
+    parts = parts.select("key", "row", "place", "single", "members", before("last").alias("low"), before("first").alias("high"), at(F.col("first"), F.col("place")).alias("left"), at(F.col("place") + k, F.col("last") + length).alias("right"))
+
+    # Larger families are split until they are small; equal parts are counted on the way.
+    members = ["key", "row", "place", "single", "left", "right"]
+    small, equal = [parts.where(F.col("members") <= family).select(members)], []
+    large, step = stored(parts.where(F.col("members") > family), "large"), reach.bit_length()
+    while step and not large.isEmpty():
+        step -= 1
+        found, parts = _split(large, step, reach)
+        equal.append(found)
+        small.append(parts.where(F.col("members") <= family).select(members))
+        large = parts.where(F.col("members") > family)
+    dealt = reduce(DataFrame.union, small).repartition("key").sortWithinPartitions("key")
+    by_order = dealt.mapInArrow(lambda batches: _sorted_families(batches, reach), "row long, first long, last long")
+
+    ranges = reduce(DataFrame.union, equal, by_order).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("partial"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
