@@ -156,6 +156,48 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted(str(r["doc_id"]) for r in cp.one_of_each(spark, docs, SF).collect()) == ["2", "8", "None"]
 
 
+def five_word_groups(texts):
+    """A group number for each text, by links of 5-word similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def test_near_duplicate_stage_links_edited_copies(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(500)]) for _ in range(rng.choice([3, 40, 200, 400]))) for _ in range(20)]
+    for n in range(80):
+        words = rng.choice(texts).split()
+        for _ in range(len(words) // rng.choice([25, 40, 60, 100])):
+            words[rng.randrange(len(words))] = f"edit{n}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    first = {}
+    for i, g in enumerate(five_word_groups(texts)):
+        first.setdefault(g, i)
+    assert 20 < len(first) < 100
+    assert sorted(r["doc_id"] for r in cp.one_of_each(spark, docs, SF).collect()) == sorted(first.values())
+
+
+def test_near_duplicate_stage_keeps_one_row_of_equal_ids(spark):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, "a b c d", "en", "s", 7)] * 3 + [(None, "no id at all", "en", "s", 12)] * 4 + [(1, long + " end", "en", "s", 0), (0, long, "en", "s", 0), (5, "alone", "en", "s", 5), (5, "other", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in cp.one_of_each(spark, docs, SF).collect())
+    assert got == sorted([("0", long), ("1", "a b c d"), ("5", "alone"), ("5", "other"), ("None", "no id at all")])
+
+
 @pytest.mark.parametrize("column", ["text", "lang", "source", "doc_id"])
 def test_pipeline_stages_take_nulls(spark, column):
     import corpus_pipeline as cp
