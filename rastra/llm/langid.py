@@ -2,7 +2,8 @@
 
 A text is a TF-IDF vector of hashed character 1- to 3-grams, scaled to length one. Every language
 has a few centroids, found by clustering a bounded sample of its labelled documents; a text gets
-the language of the centroid with the largest cosine, and is rejected if even that one is too far.
+the language of the centroid with the largest cosine, and is rejected if even that one is too far:
+farther than nearly all starts of that length of the language's own training texts, each of which is left out of its centroid.
 
 What is learned: document frequencies come from every labelled training row (one pass, summed by
 Spark); the centroids from at most ``sample_per_lang`` rows of each language, in one task for each
@@ -27,8 +28,12 @@ FEATURE_BITS = 13
 #: Labelled rows a language that the clustering sees at most.
 SAMPLE_PER_LANG = 600
 CLUSTERS = 3
-#: A text whose best cosine is below this, a distance of over 0.92, is in none of the learned languages.
+#: The least cosine whatever the training rows say, for languages of a few rows or of wild ones.
 MIN_COSINE = 0.08
+#: A text is in none of the learned languages if its best cosine is below MARGIN times this quantile of training texts of its length.
+QUANTILE, MARGIN = 0.01, 0.85
+#: Lengths are compared by powers of two, from 2 ** LENGTHS[0] characters on.
+LENGTHS = range(3, 15)
 UNKNOWN = "und"
 
 
@@ -71,6 +76,11 @@ def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (v / np.sqrt((v * v).sum())).astype(np.float32)
 
 
+def length_class(text: str) -> int:
+    """The place in LENGTHS of a text, by its characters without what features() leaves out."""
+    return min(max(len(_code_points(text)).bit_length() - 1, LENGTHS[0]), LENGTHS[-1]) - LENGTHS[0]
+
+
 @dataclass(frozen=True)
 class Model:
     idf: np.ndarray
@@ -78,6 +88,8 @@ class Model:
     #: One row for each centroid, of length one; langs has its language.
     centroids: np.ndarray
     min_cosine: float = MIN_COSINE
+    #: One row for each centroid, one column for each of LENGTHS: below it a text is rejected.
+    floors: np.ndarray | None = None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """The nearest language, the cosine to it, and whether that is too far."""
@@ -87,7 +99,7 @@ class Model:
         cosines = self.centroids[:, at] @ v
         best = int(cosines.argmax())
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.langs[best], score, score < self.min_cosine
+        return self.langs[best], score, bool(score < max(self.min_cosine, 0.0 if self.floors is None else self.floors[best, length_class(text)]))
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +129,31 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centroids
 
 
+def floors(texts: list[str], dense: np.ndarray, centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each of LENGTHS, MARGIN times the low quantile of the cosines that the starts of the training texts have to the nearest centroid.
+
+    A text is taken out of its own centroid first. Lengths that no text reaches have the value of the next shorter one.
+    """
+    nearest = (dense @ centroids.T).argmax(axis=1)
+    sums = np.array([dense[nearest == i].sum(axis=0) for i in range(len(centroids))])
+    found: list[list[float]] = [[] for _ in LENGTHS]
+    for text, own, at_centroid in zip(texts, dense, nearest.tolist(), strict=True):
+        others = centroids.copy()
+        rest = sums[at_centroid] - own
+        norm = np.linalg.norm(rest)
+        others[at_centroid] = rest / norm if norm > 1e-3 else 0  # its only text
+        for k in range(length_class(text) + 1):
+            part = text if k == length_class(text) else text[: 2 ** LENGTHS[k]]
+            if has_letter(part):
+                at, v = vector(part, idf)
+                found[k].append(float((others[:, at] @ v).max()))
+    out, last = [], 0.0
+    for cosines in found:
+        last = MARGIN * float(np.quantile(cosines, QUANTILE)) if cosines else last
+        out.append(last)
+    return np.array(out)
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", clusters: int = CLUSTERS, sample_per_lang: int = SAMPLE_PER_LANG, min_cosine: float = MIN_COSINE) -> Model:
     """Learn from labelled rows; those without a language or a letter are left out.
 
@@ -142,10 +179,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
             at, v = vector(text, idf)
             dense[row, at] = v
         found = clustered(dense, clusters) if len(group) else dense
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(found), "centroid": list(found)}) if len(found) else pd.DataFrame({"lang": [], "centroid": []})
+        if not len(found):
+            return pd.DataFrame({"lang": [], "centroid": [], "floors": []})
+        least = floors(list(group["text"]), dense, found, idf)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(found), "centroid": list(found), "floors": [least] * len(found)})
 
-    found = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>").collect(), key=lambda r: (r["lang"], r["centroid"]))
-    return Model(idf, [r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32).reshape(len(found), 1 << FEATURE_BITS), min_cosine)
+    found = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, floors array<double>").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    return Model(idf, [r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32).reshape(len(found), 1 << FEATURE_BITS), min_cosine, np.array([r["floors"] for r in found]).reshape(len(found), len(LENGTHS)))
 
 
 def language(model: Model, text: Column) -> Column:

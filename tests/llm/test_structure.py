@@ -198,6 +198,26 @@ def test_near_duplicate_stage_keeps_one_row_of_equal_ids(spark):
     assert got == sorted([("0", long), ("1", "a b c d"), ("5", "alone"), ("5", "other"), ("None", "no id at all")])
 
 
+def test_pipeline_with_unlearned_languages_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as cp
+    from tests.llm.test_text import DUTCH, FINNISH
+
+    docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    odd = [(10_000, DUTCH * 2), (10_001, FINNISH * 2), (10_002, "12 34"), (10_003, None)]
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [tuple(r[c] for c in cp.COLUMNS) for r in docs] + [(i, t, None, "web", 0) for i, t in odd]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first = {}
+    for r, g in zip(docs, five_word_groups([r["text"] for r in docs]), strict=True):
+        first[g] = min(first.get(g, r), r, key=lambda r: r["doc_id"])
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [decontam.normal(t).split()] for i in range(len(w) - 4)}
+    goals = [grams(x) for x in items]
+    kept = [r for r in first.values() if not any(len(g & grams(r["text"])) >= 0.8 * len(g) for g in goals)]
+    want = sorted((r["doc_id"], secret_scan.redacted(r["text"], secret_scan.secret_spans(r["text"]), "[SECRET]")) for r in kept)
+    assert sorted((r["doc_id"], r["text"]) for r in cp.run(spark, str(tmp_path)).collect()) == want
+
+
 @pytest.mark.parametrize("column", ["text", "lang", "source", "doc_id"])
 def test_pipeline_stages_take_nulls(spark, column):
     import corpus_pipeline as cp

@@ -30,6 +30,21 @@ def test_language_held_out_and_rejection(spark):
     assert all(0 <= r["f"]["score"] <= 1 for r in got.values())
 
 
+DUTCH = "het huis van de buren staat aan het einde van een lange straat waar elke ochtend veel mensen voorbij fietsen op weg naar hun werk en waar in de avond kinderen buiten spelen tot het donker wordt "
+FINNISH = "vanha talo seisoo pitkän kadun päässä ja joka aamu monet ihmiset kulkevat sen ohi matkalla töihin kun taas illalla lapset leikkivät ulkona kunnes tulee pimeä ja kaikki menevät kotiin nukkumaan "
+
+
+def test_languages_of_the_same_script_and_random_letters_are_rejected(spark):
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (40, 100, 400)]
+    odd = spark.createDataFrame([(-i, t) for i, t in enumerate([DUTCH * 2, FINNISH * 2, *noise], 1)], "doc_id long, text string")
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r["f"] for r in docs.select("doc_id", "text").union(odd).select("doc_id", langid.language(model, F.col("text")).alias("f")).collect()}
+    assert all(got[-i]["rejected"] for i in range(1, 6))
+    assert sum(f["rejected"] for i, f in got.items() if i >= 0) <= 10
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert docs.select(langid.language(langid.fit(docs), F.col("text")).alias("f")).first()["f"]["lang"] == "und"
