@@ -55,6 +55,27 @@ def test_mix_places_every_row_once_and_keeps_the_weights(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_long_schedules_keep_exact_weights():
+    from fractions import Fraction
+
+    for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 2**0.5, "b": 3**0.5, "c": 0.00003, "d": 7}):
+        total = sum(map(Fraction, weights.values()))
+        share = {s: Fraction(w) / total for s, w in weights.items()}
+        placed = dict.fromkeys(weights, 0)
+        for t, (s, j) in zip(range(1, 100_001), mixing.schedule(dict.fromkeys(weights, 10**6), weights)):
+            assert j == placed[s]
+            placed[s] += 1
+            if t % 97 == 0 or t > 99_900:
+                assert all(abs(placed[x] - t * share[x]) < 1 for x in weights)
+
+
+def test_mix_takes_over_a_thousand_sources(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('host-', id % 1500) AS source")
+    got = mixing.mix(docs, block_rows=2).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(6000))
+    assert sorted({r["mix_slot"] for r in got}) == list(range(3000)) and len({(r["mix_slot"], r["source"]) for r in got}) == 3000
+
+
 def archive(dictionary, frames):
     return struct.pack("<II", warc.DICTIONARY, len(dictionary)) + dictionary + b"".join(frames)
 
