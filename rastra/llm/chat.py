@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastra.llm.common import checkpointed
@@ -66,8 +66,10 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rest = edges.join(by_child.where("n > n_known").select("child"), "child", "left_semi")
         chain = by_child.where("n = 1 and n_known = 0").select(F.col("child").alias("parent"), "skip", "more")
         hop = rest.join(chain, "parent", "left").select("child", F.coalesce("skip", "parent").alias("parent"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))
-        # A path longer than the number of nodes goes round a cycle.
-        hop = hop.groupBy("child", "parent").agg(F.max("d").alias("d")).where(F.col("d") <= most)
+        # A path longer than the number of nodes goes round a cycle: the edge stays, without a parent that could ever be known.
+        far = F.col("d") > most
+        hop = hop.select("child", F.when(~far, F.col("parent")).alias("parent"), F.when(far, most + 1).otherwise(F.col("d")).alias("d"))
+        hop = hop.groupBy("child", "parent").agg(F.max("d").alias("d"))
         after = checkpointed(hop)
         parts.append(checkpointed(new))
         if parts[-1].isEmpty() and after.exceptAll(edges).isEmpty():
@@ -76,35 +78,44 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(reduce(DataFrame.union, parts), "node", "left")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], after: DataFrame | None = None) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], after: DataFrame | None = None, repeats: bool = False) -> DataFrame:
     """One row for each call, and for each result without a call: conv_id, turn, call_id, level, status, errors, json.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text). ``results``: conv_id, turn, call_id, content. ``after``: conv_id, call_id,
     parent_id; pairs that name unknown calls are left out. Other columns are not read. status is linked, unanswered or orphan.
-    Of calls or results that share an id, the first by turn (then by content) counts. A call without an id is
+    Of calls or results that share an id, the first by turn (then by content) counts; with ``repeats`` the later ones stay too: the
+    n-th call of an id meets its n-th result, what is left over is unanswered or an orphan, and all calls of an id wait for
+    the calls that the id waits for, whose first one counts. A call without an id is
     unanswered, and a result without one is an orphan; each stays a row. Ids are compared within a conversation; a null
     conversation is one of its own. level is null for orphans, rows without an id and calls on a cycle.
     """
     key = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("call_id").alias("i")))
-    once = lambda df, *values: df.groupBy("key").agg(*[F.min(F.struct("turn", *values)).alias("v"), F.first("conv_id").alias("conv_id"), F.first("call_id").alias("call_id")]).select("key", "conv_id", "call_id", "v.*")
+    same = Window.partitionBy("key")
+
+    def numbered(df: DataFrame, *values: str) -> DataFrame:
+        """The calls or results of each id by turn, numbered from 1; only the first of each without ``repeats``."""
+        if repeats:
+            return df.withColumn("nth", F.row_number().over(same.orderBy("turn", *values)))
+        return df.groupBy("key").agg(F.min(F.struct("turn", *values)).alias("v"), F.first("conv_id").alias("conv_id"), F.first("call_id").alias("call_id")).select("key", "conv_id", "call_id", "v.*", F.lit(1).alias("nth"))
+
     named_calls = calls.where("call_id is not null").select(key.alias("key"), "conv_id", "call_id", "turn", "name", "arguments")
     named_results = results.where("call_id is not null").select(key.alias("key"), "conv_id", "call_id", "turn", "content")
-    asked = once(named_calls, "name", "arguments")
-    told = once(named_results, "content")
+    asked = numbered(named_calls, "name", "arguments")
+    told = numbered(named_results, "content")
     if after is not None:
         parent = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("parent_id").alias("i")))
-        ids = checkpointed(asked.select(F.col("key").alias("node")))
+        ids = checkpointed(asked.where("nth = 1").select(F.col("key").alias("node")))
         edges = after.where("call_id is not null and parent_id is not null").select(key.alias("child"), parent.alias("parent"))
         edges = edges.join(ids.withColumnRenamed("node", "child"), "child", "left_semi").join(ids.withColumnRenamed("node", "parent"), "parent", "left_semi")
         asked = asked.join(levels(ids, edges).withColumnRenamed("node", "key"), "key", "left")
     else:
         asked = asked.withColumn("level", F.lit(0).cast("long"))
-    answer = told.select("key", F.col("content").alias("result"))
-    linked = asked.join(answer.withColumn("answered", F.lit(True)).hint("shuffle_hash"), "key", "left").withColumn("status", F.when(F.col("answered"), "linked").otherwise("unanswered"))
+    answer = told.select("key", "nth", F.col("content").alias("result"))
+    linked = asked.join(answer.withColumn("answered", F.lit(True)).hint("shuffle_hash"), ["key", "nth"], "left").withColumn("status", F.when(F.col("answered"), "linked").otherwise("unanswered"))
     columns = ["conv_id", "turn", "call_id", "name", "arguments", "result", "level", "status"]
     null = lambda kind: F.lit(None).cast(kind)
     nameless = calls.where("call_id is null").select("conv_id", "turn", null("string").alias("call_id"), "name", "arguments", null("string").alias("result"), null("long").alias("level"), F.lit("unanswered").alias("status"))
-    orphan = told.join(asked.select("key"), "key", "left_anti").select("conv_id", "turn", "call_id", "content").union(results.where("call_id is null").select("conv_id", "turn", null("string"), "content"))
+    orphan = told.join(asked.select("key", "nth"), ["key", "nth"], "left_anti").select("conv_id", "turn", "call_id", "content").union(results.where("call_id is null").select("conv_id", "turn", null("string"), "content"))
     orphan = orphan.select("conv_id", "turn", "call_id", null("string").alias("name"), null("string").alias("arguments"), F.col("content").alias("result"), null("long").alias("level"), F.lit("orphan").alias("status"))
     rows = linked.select(columns).union(nameless).union(orphan)
     errors = F.when(F.col("status") != "orphan", argument_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))

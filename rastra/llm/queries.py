@@ -20,7 +20,7 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results, after = chat.from_turns(table(spark, sf_dir, "conversations"))
-    return chat.link(calls, results, chat.REPLY, after).withColumn("errors", F.array_join("errors", "; "))
+    return chat.link(calls, results, chat.REPLY, after, repeats=True).withColumn("errors", F.array_join("errors", "; "))
 
 
 def op4_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

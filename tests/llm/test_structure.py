@@ -139,6 +139,23 @@ def test_chat_links(spark):
     assert by[None, "c1", "linked"]["errors"] == [] and by[1, "c9", "orphan"]["errors"] == [] and by[1, None, "unanswered"]["turn"] == 7
 
 
+def test_repeated_ids_keep_their_rows(spark):
+    calls = spark.createDataFrame([(1, 1, "c0", "free", '{"n":1}'), (1, 4, "c0", "free", '{"n":4}'), (1, 6, "c0", "free", '{"n":6}'), (1, 2, "c1", "free", "{}")], "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([(1, 5, "c0", "second"), (1, 3, "c0", "first"), (1, 7, "c1", "x"), (1, 8, "c1", "y")], "conv_id long, turn long, call_id string, content string")
+    after = spark.createDataFrame([(1, "c0", "c1")], "conv_id long, call_id string, parent_id string")
+    got = chat.link(calls, results, {"free": {"additional": True}}, after, repeats=True).collect()
+    assert sorted((r["turn"], r["call_id"], r["status"], json.loads(r["json"])["result"], str(r["level"])) for r in got) == [
+        (1, "c0", "linked", "first", "1"), (2, "c1", "linked", "x", "0"), (4, "c0", "linked", "second", "1"), (6, "c0", "unanswered", None, "1"), (8, "c1", "orphan", "y", "None"),
+    ]
+
+
+def test_a_call_behind_a_cycle_and_a_finished_one_has_no_level(spark):
+    edges = [("x", "y"), ("y", "x"), ("z", "x"), ("z", "done"), ("after", "z"), ("p", "q"), ("q", "r"), ("r", "p"), ("w", "p"), ("w", "late"), ("late", "done")]
+    nodes = sorted({n for e in edges for n in e})
+    got = dict(chat.levels(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "child string, parent string")).collect())
+    assert got == dict.fromkeys(nodes) | {"done": 0, "late": 1}
+
+
 def test_levels_of_long_chains_and_joints(spark):
     edges = [(f"n{i}", f"n{i - 1}") for i in range(1, 40)] + [("j", "n39"), ("j", "n3"), ("k", "j"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s")]
     nodes = sorted({n for e in edges for n in e} | {"alone"})
