@@ -230,6 +230,16 @@ def shrink_opaque(spark, sf_dir):
     return pixels.shrink(embedding_pixels(spark, sf_dir).join(opaque, "img", "left_semi"), 2)
 
 
+_MATTE = ", ".join(f"CASE WHEN a = 255 THEN {c} WHEN a = 0 THEN 0 ELSE ({c} * a * 65793 + 8388608) >> 24 END AS {c}" for c in "rgb")
+_MEANS = ", ".join(f"CAST((2 * sum({c}) + count(*)) // (2 * count(*)) AS BIGINT) AS {c}" for c in "argb")
+_RESTORED = " | ".join(f"((({c} * (4278190080 // a) + 8388608) >> 24) << {n})" for c, n in (("r", 16), ("g", 8), ("b", 0)))
+
+
+@query(f"WITH {PX_SQL}, m AS (SELECT img, x // 2 AS x, y // 2 AS y, a, {_MATTE} FROM px), o AS (SELECT img, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {_MEANS} FROM m GROUP BY ALL) SELECT img, x, y, CASE WHEN a = 255 THEN {ARGB} WHEN a = 0 THEN 0 ELSE (a << 24) | {_RESTORED} END AS argb FROM o")
+def shrink(spark, sf_dir):
+    return pixels.shrink(embedding_pixels(spark, sf_dir), 2)
+
+
 @query(f"WITH {PX_SQL}, d AS (SELECT n.img, (n.r - p.r) ** 2 + (n.g - p.g) ** 2 + (n.b - p.b) ** 2 AS se, greatest(abs(n.r - p.r), abs(n.g - p.g), abs(n.b - p.b), abs(n.a - p.a)) AS d FROM px n JOIN px p ON n.img = p.img + 1 AND n.x = p.x AND n.y = p.y) SELECT img, 8 AS width, 8 AS height, CASE WHEN sum(se) > 0 THEN round(10 * log10(65025.0 * 3 * count(*) / sum(se)), 6) END AS psnr, CAST(max(d) AS BIGINT) AS max_delta, CAST(NULL AS VARCHAR) AS error FROM d GROUP BY img")
 def image_diff(spark, sf_dir):
     px = embedding_pixels(spark, sf_dir)

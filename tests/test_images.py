@@ -190,3 +190,9 @@ def test_written_files(spark, tmp_path):
     assert images.write_files(files, str(tmp_path), "skip").first()["outcome"] == "skipped"
     assert os.listdir(tmp_path) == ["a.ppm"]
     assert images.read_files(spark, str(tmp_path), "*.ppm").count() == 1
+
+
+def test_shrink_takes_every_image_with_its_alpha(spark):
+    images = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    got = QUERIES["shrink"](spark, SF).collect()
+    assert len(got) == 16 * images and any(0 < r["argb"] >> 24 < 255 for r in got)
