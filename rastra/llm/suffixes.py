@@ -14,9 +14,12 @@ cut so that suffix arrays stay small and still see every repeat:
    Families of more than ``FAMILY`` segments are never gathered: they are halved by where their windows lie about the anchor and split by
    the further bytes that all windows of a half cover, again and again, until they are small or only equal segments are left.
 
-The suffix array is built in linear time by grouping (`suffix_array`): groups of suffixes with a common Lyndon prefix are
+The suffix array is built by grouping (`suffix_array`): groups of suffixes with a common Lyndon prefix are
 processed from the largest down, and pointers to the previous smaller group split the groups below; a
-second pass emits the order inside every group. There is no renaming and no recursion.
+second pass emits the order inside every group. There is no renaming and no recursion. Both passes are linear, but for the sorting of
+starts by their first symbol and within a group.
+
+What decides a byte: segments that are equal as wholes, and parts of large families that are, by counting hashes; all other repeats by suffix arrays.
 """
 
 from __future__ import annotations
@@ -259,45 +262,53 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _segments_of(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, segment, row, at) from rows (row, body): within a batch, equal segments meet at once.
+    """Rows (key, segment, h1, h2, at) from rows (h1, h2, copies, body) of different texts: within a batch, equal segments meet at once.
 
-    The first of equal segments goes on under its anchor, marked if there are more; the others are known to be repeated (again) and
-    go under keys of their own, so that a hot segment is at most one row from each batch. at packs the anchor's place, again, the
+    The first of equal segments goes on under its anchor, marked if there are more or if its text has copies; the others are known to be
+    repeated (again). Neighbours among those make one range, whose first window is in at and whose last is in segment, so that
+    copies and runs of one byte are a few rows whatever their length. For the rest, at packs the anchor's place, again, the
     mark, and the distances from the first and the last window to the anchor, so that little is shuffled.
     """
     hasher = Hasher()
     for batch in batches:
         found: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for row, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for i, data in enumerate(batch.column("body")):
             parts = segments(data.as_py(), hasher, length, k)
-            for i, x in enumerate((*parts, np.full(len(parts[0]), row, np.int64))):
-                found[i].append(x)
-        anchor, own, first, last, place, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+            for column, x in zip(found, (*parts, np.full(len(parts[0]), i)), strict=True):
+                column.append(x)
+        anchor, own, first, last, place, text = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
         if not len(anchor):
             continue
         order = np.lexsort((own, anchor))
         new = np.ones(len(order), bool)
         new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
         counts = np.diff(np.append(np.flatnonzero(new), len(order)))
+        h1, h2, copies = (batch.column(c).to_numpy() for c in ("h1", "h2", "copies"))
+        leads = order[new]
+        more = (counts > 1) | (copies[text[leads]] > 1)
         again = np.ones(len(order), bool)
-        again[order[new]] = False
-        more = np.ones(len(order), bool)
-        more[order[new]] = counts > 1
-        spread = (row.view(np.uint64) + place.astype(np.uint64)) * _MIX
-        key = np.where(again, spread, anchor)
-        yield _batch(key=key.view(np.int64), segment=own.view(np.int64), row=row, at=place << 18 | again << 17 | more << 16 | (place - first) << 8 | (place - last))
+        again[leads] = False
+        begins = np.flatnonzero(again & ~np.concatenate(([False], again[:-1] & (text[1:] == text[:-1]))))
+        ends = np.flatnonzero(again & ~np.concatenate((again[1:] & (text[1:] == text[:-1]), [False])))
+        spread = (h1[text[begins]].view(np.uint64) + first[begins].astype(np.uint64)) * _MIX
+        at = place[leads] << 18 | more << 16 | (place - first)[leads] << 8 | (place - last)[leads]
+        source = np.concatenate((text[leads], text[begins]))
+        yield _batch(
+            key=np.concatenate((anchor[leads], spread)).view(np.int64), segment=np.concatenate((own[leads].view(np.int64), last[ends])),
+            h1=h1[source], h2=h2[source], at=np.concatenate((at, first[begins] << 18 | 1 << 17)),
+        )
 
 
 def _sorted_families(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """Ranges (row, first, last) of repeated windows from rows (key, row, place, single, left, right) that come sorted by key."""
+    """Ranges (h1, h2, first, last) of repeated windows from rows (key, h1, h2, place, single, left, right) that come sorted by key."""
     pending: list[tuple] = []
 
-    def ranges(group: list[tuple]) -> list[tuple[int, int, int]]:
-        starts = family_windows([(g[4], g[5]) for g in group], reach)
-        return [(row, place - b, place - a) for (_, row, place, single, _, _), xs in zip(group, starts, strict=True) if single for a, b in runs_of(xs)]
+    def ranges(group: list[tuple]) -> list[tuple[int, int, int, int]]:
+        starts = family_windows([(g[5], g[6]) for g in group], reach)
+        return [(h1, h2, place - b, place - a) for (_, h1, h2, place, single, _, _), xs in zip(group, starts, strict=True) if single for a, b in runs_of(xs)]
 
-    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return _batch(**{c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("row", "first", "last"))})
+    def out(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        return _batch(**{c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("h1", "h2", "first", "last"))})
 
     for batch in batches:
         found = []
@@ -324,11 +335,11 @@ def _split(parts: DataFrame, step: int, reach: int) -> tuple[DataFrame, DataFram
     head = lambda n: F.substring(F.col("right"), F.lit(1), n)
     cut = cut.withColumn("key", F.xxhash64("key", F.lit(step), "cell", tail(least), head(F.greatest(reach - most, F.lit(0)))))
     cut = cut.withColumns({"low": F.greatest("low", least), "high": F.least("high", most)}).withColumns({"left": tail(F.col("high")), "right": head(reach - F.col("low"))})
-    names = ["key", "low", "high", "h1", "h2"]
-    cut = cut.withColumns({f"h{seed}": F.xxhash64(F.lit(seed), "left", "right") for seed in (1, 2)})
-    groups = cut.groupBy(names).agg(F.count("*").alias("copies"), F.first(F.struct("row", "place", "single", "left", "right")).alias("one"))
+    names = ["key", "low", "high", "same1", "same2"]
+    cut = cut.withColumns({f"same{seed}": F.xxhash64(F.lit(seed), "left", "right") for seed in (1, 2)})
+    groups = cut.groupBy(names).agg(F.count("*").alias("copies"), F.first(F.struct("h1", "h2", "place", "single", "left", "right")).alias("one"))
     counted = stored(groups.join(groups.groupBy("key").agg(F.count("*").alias("members")), "key").where("copies > 1 or members > 1"), "split")
-    equal = cut.where("single").join(counted.where("copies > 1").select(names), names, "left_semi").select("row", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last"))
+    equal = cut.where("single").join(counted.where("copies > 1").select(names), names, "left_semi").select("h1", "h2", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last"))
     rest = counted.where("members > 1").select("key", "members", "low", "high", "copies", "one.*")
     return equal, rest.withColumn("single", F.col("single") & (F.col("copies") == 1)).drop("copies")
 
@@ -338,42 +349,46 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are whole and UTF-8; null ones are empty. A byte goes if a string of ``length`` bytes that covers it starts at
     another place too, in any text; all are judged on the input. Rows that are repeated entirely lose all their bytes (if they
-    have ``length``) and stay as rows. Ids may be null or repeated. Texts shorter than ``length`` stay whole.
+    have ``length``) and stay as rows. Ids may be null or repeated. Texts shorter than ``length`` stay whole. Other columns are not read.
+
+    Equal texts (by two 64-bit hashes) meet first and are searched once; their rows look the result up at the end.
     """
     reach = length - k
     if not 0 < reach < 256:
         raise ValueError("the anchor must be shorter than the length, by less than 256")
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).select("id", "body", F.xxhash64("id", "body").alias("row"))
-    long = F.octet_length("body") >= length
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("body")).select("id", "body", F.xxhash64(F.lit(1), "body").alias("h1"), F.xxhash64(F.lit(2), "body").alias("h2"))
+    text = ["h1", "h2"]
+    # Copies are merged on the map side: a hot text is at most one row from each task.
+    texts = stored(rows.where(F.octet_length("body") >= length).groupBy(text).agg(F.first("body").alias("body"), F.count("*").alias("copies")), "texts")
 
     # Which segments repeat, and which share only their anchor with others: one shuffle by anchor of a few numbers each.
-    cut = rows.where(long).select("row", "body").mapInArrow(lambda batches: _segments_of(batches, length, k), "key long, segment long, row long, at long")
+    cut = texts.mapInArrow(lambda batches: _segments_of(batches, length, k), "key long, segment long, h1 long, h2 long, at long")
     same, around = Window.partitionBy("key", "again", "segment"), Window.partitionBy("key", "again")
     packed = lambda shift, mask: F.shiftright("at", shift).bitwiseAND(F.lit(mask))
     place = F.shiftright("at", 18)
     dealt = cut.repartition("key").withColumns({"again": packed(17, 1) == 1, "times": packed(16, 1) + 1})
-    ranked = dealt.withColumns({"rank": F.row_number().over(same.orderBy("row", "at")), "copies": F.sum("times").over(same)})
-    counted = ranked.withColumn("members", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(around)).where("copies > 1 or members > 1")
-    counted = counted.select("key", "row", place.alias("place"), (place - packed(8, 255)).alias("first"), (place - packed(0, 255)).alias("last"), (F.col("copies") > 1).alias("whole"), "members", ((F.col("members") > 1) & (F.col("rank") == 1)).alias("mixed"))
-
-    # Texts with any such segment, once: all that follows reads these.
-    wanted = counted.groupBy("row").agg(
+    ranked = dealt.withColumns({"rank": F.row_number().over(same.orderBy("h1", "h2", "at")), "copies": F.sum("times").over(same)})
+    counted = ranked.withColumn("members", F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).over(around)).where("again or copies > 1 or members > 1")
+    first, last = (F.when(F.col("again"), of_range).otherwise(place - distance) for of_range, distance in ((place, packed(8, 255)), (F.col("segment"), packed(0, 255))))
+    counted = counted.select("key", "h1", "h2", place.alias("place"), first.alias("first"), last.alias("last"), (F.col("again") | (F.col("copies") > 1)).alias("whole"), "members", (~F.col("again") & (F.col("members") > 1) & (F.col("rank") == 1)).alias("mixed"))
+    # A list holds at most the segments of one text.
+    lists = counted.groupBy(text).agg(
         F.collect_list(F.when(F.col("whole"), F.struct("first", "last"))).alias("whole"),
         F.collect_list(F.when(F.col("mixed"), F.struct("key", (~F.col("whole")).alias("single"), "members", "first", "last", "place"))).alias("mixed"),
     )
-    touched = stored(rows.where(long).join(wanted, "row"), "touched")
+    lists = stored(lists, "segments")
 
     # Segments that share an anchor: their bytes on either side of it.
-    parts = touched.select("row", "body", F.explode("mixed").alias("part")).select("row", "body", "part.*")
+    parts = texts.join(lists.where(F.size("mixed") > 0).select(*text, "mixed"), text).select(*text, "body", F.explode("mixed").alias("part")).select(*text, "body", "part.*")
     at = lambda a, b: F.substring(F.col("body"), (a + 1).cast("int"), (b - a).cast("int"))
     before = lambda c: (F.col("place") - F.col(c)).cast("int")
-    parts = parts.select("key", "row", "place", "single", "members", before("last").alias("low"), before("first").alias("high"), at(F.col("first"), F.col("place")).alias("left"), at(F.col("place") + k, F.col("last") + length).alias("right"))
+    parts = stored(parts.select("key", *text, "place", "single", "members", before("last").alias("low"), before("first").alias("high"), at(F.col("first"), F.col("place")).alias("left"), at(F.col("place") + k, F.col("last") + length).alias("right")), "parts")
 
     # Larger families are split until they are small; equal parts are counted on the way.
-    members = ["key", "row", "place", "single", "left", "right"]
+    members = ["key", *text, "place", "single", "left", "right"]
     small, equal = [parts.where(F.col("members") <= family).select(members)], []
-    large, step = stored(parts.where(F.col("members") > family), "large"), reach.bit_length()
+    large, step = parts.where(F.col("members") > family), reach.bit_length()
     while step and not large.isEmpty():
         step -= 1
         found, parts = _split(large, step, reach)
@@ -381,18 +396,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         small.append(parts.where(F.col("members") <= family).select(members))
         large = parts.where(F.col("members") > family)
     dealt = reduce(DataFrame.union, small).repartition("key").sortWithinPartitions("key")
-    by_order = dealt.mapInArrow(lambda batches: _sorted_families(batches, reach), "row long, first long, last long")
-
-    ranges = reduce(DataFrame.union, equal, by_order).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("partial"))
+    by_order = dealt.mapInArrow(lambda batches: _sorted_families(batches, reach), "h1 long, h2 long, first long, last long")
+    ranges = reduce(DataFrame.union, equal, by_order).groupBy(text).agg(F.collect_list(F.struct("first", "last")).alias("partial"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [remaining(data.as_py(), [(r["first"], r["last"]) for part in parts for r in part.as_py() or ()], length) for data, *parts in zip(batch.column("body"), batch.column("whole"), batch.column("partial"), strict=True)]
-            yield _batch(id=batch.column("id"), n_removed=pa.array([d[0] for d in done], pa.int64()), n_spans=pa.array([d[1] for d in done], pa.int64()), kept_sha256=pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string()), n_bytes=pa.array([len(x) for x in batch.column("body").to_pylist()], pa.int64()), kept=pa.array([d[2] for d in done], pa.binary()))
+            yield _batch(h1=batch.column("h1"), h2=batch.column("h2"), n_removed=pa.array([d[0] for d in done], pa.int64()), n_spans=pa.array([d[1] for d in done], pa.int64()), kept_sha256=pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string()), kept=pa.array([d[2] for d in done], pa.binary()))
+
+    touched = lists.select(*text, "whole").join(ranges, text, "left").where("size(whole) > 0 or size(partial) > 0")
+    stripped = texts.select(*text, "body").join(touched, text).mapInArrow(strip, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
-    kind = rows.schema["id"].dataType.simpleString()
-    stripped = touched.select("id", "row", "body", "whole").join(ranges, "row", "left").select("id", "body", "whole", "partial").mapInArrow(strip, f"id {kind}, n_removed long, n_spans long, kept_sha256 string, n_bytes long, kept binary")
+    # Texts with a thousandth of all rows or more are at most a thousand: their rows, all of whose bytes go, need no shuffle.
+    limit = max(1000, (texts.agg(F.sum("copies")).first()[0] or 0) // 1000)
+    hot = F.broadcast(texts.where(F.col("copies") > limit).select(text))
     columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    zero = F.lit(0).cast("long")
-    untouched = rows.join(touched.select("row").distinct(), "row", "left_anti").select("id", F.octet_length("body").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("body", 256).alias("kept_sha256"), F.col("body").alias("kept"))
-    return stripped.select(columns).union(untouched.select(columns)).withColumnRenamed("id", id_col)
+    size, zero = F.octet_length("body").cast("long"), F.lit(0).cast("long")
+    gone = rows.join(hot, text, "left_semi").select("id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    own = rows.join(hot, text, "left_anti").select("id", *text, size.alias("n_bytes"), F.sha2("body", 256).alias("own"), "body")
+    rest = own.join(stripped, text, "left").select("id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"), F.coalesce("kept", "body").alias("kept"))
+    return gone.select(columns).union(rest.select(columns)).withColumnRenamed("id", id_col)

@@ -138,3 +138,26 @@ def test_families_against_all_windows():
         window = lambda m, x: (m[0][len(m[0]) - x :], m[1][: reach - x]) if len(m[0]) >= x and len(m[1]) >= reach - x else None
         want = [[x for x in range(reach + 1) if window(m, x) and any(window(o, x) == window(m, x) for o in members if o is not m)] for m in members]
         assert [sorted(x) for x in suffixes.family_windows(members, reach)] == want
+
+
+def test_equal_rows_and_runs_of_one_byte_stay_linear(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(10**6)) for _ in range(n))
+    hot, other = prose(300), prose(300)
+    rows = [(1, hot)] * 10_000 + [(2, hot), (None, hot), (3, " " * 1_000_000), (4, other + " " * 300), (5, hot[:500] + other[:150]), (6, prose(50)), (7, "x" * 199), (8, "x" * 199)]
+    got = Counter(removed(spark, rows))
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    whole = lambda i, t: (str(i), len(t), len(t), 1, digest(b""), b"")
+    kept = lambda i, t, a: (str(i), len(t), len(t) - len(a), int(len(a) < len(t)), digest(a.encode()), a.encode())
+    want = Counter([whole(1, hot)] * 10_000 + [whole(2, hot), whole(None, hot), whole(3, " " * 1_000_000), kept(4, rows[10_003][1], other)])
+    want += Counter([kept(5, rows[10_004][1], other[:150]), kept(6, rows[10_005][1], rows[10_005][1]), kept(7, "x" * 199, "x" * 199), kept(8, "x" * 199, "x" * 199)])
+    assert got == want
+
+
+def test_batches_keep_runs_and_copies_short():
+    import pyarrow as pa
+
+    texts = [b" " * 5000, b"ab" * 3000, bytes(range(256)) * 3, bytes(range(256)) * 3 + b"end"]
+    batch = pa.RecordBatch.from_pydict({"h1": pa.array(range(4), pa.int64()), "h2": pa.array(range(4), pa.int64()), "copies": pa.array([1] * 4, pa.int64()), "body": texts})
+    (out,) = suffixes._segments_of(iter([batch]), 200, 108)
+    assert out.num_rows < 60
