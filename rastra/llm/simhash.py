@@ -1,16 +1,18 @@
 """SimHash near-duplicates through tables of distances to reference fingerprints (pivots).
 
 Every document gets a 64-bit fingerprint. Links are fingerprints at a Hamming distance of at most
-``radius``. Pairs are never enumerated: two kinds of pivots stand for the fingerprints instead.
-
-* Block pivots. For each of five blocks of bits there are references that differ from the zero
-  fingerprint in one bit of the block. The distances to them, less the distance to zero, tell a
-  block's bits. Two fingerprints at distance 3 or less agree in at least two whole blocks, so their
-  distance tables agree in the columns of two blocks: that is an equi-join (ten of them, one for
-  each pair of blocks), and Spark partitions it by block pair and distances.
-* Spread pivots. Sixteen fixed references over all bits. By the triangle inequality a pair whose
-  distances to any one of them differ by more than the radius is no link; the largest coordinate
-  difference discards all but a few of the joined pairs, and the true distance verifies the rest.
+``radius`` (3 at most). Pairs are never enumerated; the distances to fixed references stand for the fingerprints.
+
+1. Table. Each half of a fingerprint (32 bits) has its distances to ``PIVOTS`` references, packed into two numbers.
+2. Candidates. Of two fingerprints at distance 3 or less, one half differs in at most one bit. If in none, the half's
+   distances are equal at every pivot; if in one bit, they differ by exactly 1 at every pivot, and the bit decides at which pivots up and at
+   which down: 32 patterns. So every row goes under its own distances and under those moved by each pattern of a bit that is not
+   set, and an equi-join of the moved with the own ones meets every such pair once.
+3. Hot distances. Where many fingerprints share a half, the same is done again inside that key with the quarters of the other half, one of
+   which differs in at most one bit too; what is left shares 48 bits but for two, so its size has a bound whatever the input.
+4. Discard. By the triangle inequality a pair whose distances to any pivot differ by more than the radius is no link: the largest
+   coordinate difference over the pivots of the whole fingerprint decides. (They follow from the fingerprint, so they are not shuffled with it.)
+5. Verify by the true distance.
 
 Copies meet before the join (one row for each fingerprint), so a hot group costs one row.
 """
@@ -19,23 +21,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial, reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rastra.llm.common import checkpointed
 from rastra.llm.components import connected_components
 
-#: Bits of each block, from the lowest.
-BLOCKS = (13, 13, 13, 13, 12)
-#: How many bits may differ: five blocks and three bits leave two blocks untouched.
+#: How many bits may differ: one of two halves then differs in one bit at most.
 MAX_RADIUS = 3
+#: References for each half. Distances have parity in common, so that this many tell nearly all halves apart.
+PIVOTS = 20
+#: Bits that a distance takes in a packed number, and distances in each.
+_LANE, _LANES = 6, 10
+#: References for whole fingerprints.
 SPREAD_PIVOTS = 16
+#: Pairs that one key may bring into the join before it is split.
+HOT_PAIRS = 1 << 16
 SEED = 42
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -92,36 +98,67 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _block_distances(fp: Column, low: int, bits: int) -> Column:
-    """The distances to a block's references, each less that to zero, packed: one bit for each reference.
+def packed_distances(part: Column, bits: int) -> list[Column]:
+    """The distances of a part of ``bits`` bits to its pivots, _LANES of them in each number."""
+    refs = [p & ((1 << bits) - 1) for p in pivots(PIVOTS)]
+    lanes = [F.shiftleft(F.bit_count(part.bitwiseXOR(F.lit(ref))).cast("long"), _LANE * (n % _LANES)) for n, ref in enumerate(refs)]
+    return [reduce(Column.__add__, lanes[at : at + _LANES]) for at in range(0, PIVOTS, _LANES)]
+
+
+def moves(bits: int) -> list[Column]:
+    """For each packed number, an array of what it gains if one bit is set, by bits; the last entry is 0, for no change."""
+    refs = pivots(PIVOTS)
+    gain = lambda bit, at: sum((1 - 2 * (ref >> bit & 1)) << _LANE * n for n, ref in enumerate(refs[at : at + _LANES]))
+    return [F.array(*[F.lit(gain(bit, at)).cast("long") for bit in range(bits)], F.lit(0).cast("long")) for at in range(0, PIVOTS, _LANES)]
 
-    The distance to a reference with the single bit i is one less than the distance to zero if fp has the bit, else one more.
-    """
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
+
+def _part(fp: Column, low: Column, bits: int) -> Column:
+    return F.call_function("shiftrightunsigned", fp, low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """(fp, spread): one row for each fingerprint with its distances to the spread pivots."""
-    return fps.select("fp", F.array(*[distance(F.col("fp"), F.lit(signed(p))).cast("tinyint") for p in pivots()]).alias("spread"))
+    """(fp, half, part, first, second): two rows for each fingerprint, with the distances of each half to its pivots."""
+    halves = fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).withColumn("part", _part(F.col("fp"), F.col("half") * 32, 32))
+    first, second = packed_distances(F.col("part"), 32)
+    return halves.select("fp", "half", "part", first.alias("first"), second.alias("second"))
+
+
+def max_difference(a: Column, b: Column) -> Column:
+    """The largest difference of two fingerprints' distances to the spread pivots: never more than their own distance."""
+    return F.greatest(*[F.abs(distance(a, F.lit(signed(p))) - distance(b, F.lit(signed(p)))) for p in pivots()])
 
 
-def links(fps: DataFrame, radius: int = MAX_RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = MAX_RADIUS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(a, b): the pairs of different fingerprints within ``radius``, a < b, each once.
 
-    ``fps`` has a column fp without repeated values. No pair is lost: every pair within the radius
-    shares two blocks' distances, and the pivots discard only what the triangle inequality rules out.
+    ``fps`` has a column fp without repeated values. No pair is lost: see the module's text.
     """
     if not 0 <= radius <= MAX_RADIUS:
         raise ValueError(f"radius must lie in 0 to {MAX_RADIUS}")
-    lows = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    columns = [_block_distances(F.col("fp"), low, bits) for low, bits in zip(lows, BLOCKS, strict=True)]
-    keys = F.array(*[F.struct(F.lit(n).cast("tinyint").alias("which"), F.shiftleft(columns[i], 13).bitwiseOR(columns[j]).cast("int").alias("near")) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
-    spread = pivot_table(fps).select("fp", "spread", F.explode(keys).alias("key")).select("fp", "spread", "key.*")
-    a, b = spread.alias("a"), spread.alias("b")
-    close = [F.abs(F.col("a.spread")[i].cast("int") - F.col("b.spread")[i].cast("int")) <= radius for i in range(SPREAD_PIVOTS)]
-    met = (F.col("a.which") == F.col("b.which")) & (F.col("a.near") == F.col("b.near")) & (F.col("a.fp") < F.col("b.fp"))
-    verified = distance(F.col("a.fp"), F.col("b.fp")) <= radius
-    return a.join(b, met & reduce(Column.__and__, close) & verified).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    bit, own = F.col("bit"), F.col("bit") == 32
+    unset = _part(F.col("part"), bit, 1) == 0
+    moved = pivot_table(fps).select("*", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bit")).where(own | unset)
+    shifted = [F.col(c) + F.get(gains, bit) for c, gains in zip(("first", "second"), moves(32), strict=True)]
+    keyed = moved.select("fp", "half", own.alias("own"), F.xxhash64("half", *shifted).alias("key"))
+    of_key = Window.partitionBy("key")
+    met = keyed.withColumns({"owns": F.sum(F.col("own").cast("long")).over(of_key), "rows": F.count("*").over(of_key)}).where("owns > 0 and rows > 1")
+    met = checkpointed(met)
+
+    def verified(probes: DataFrame, owns: DataFrame) -> DataFrame:
+        a, b = probes.alias("a"), owns.alias("b")
+        other = (F.col("a.fp") < F.col("b.fp")) | (~F.col("a.own") & (F.col("a.fp") != F.col("b.fp")))
+        close = (max_difference(F.col("a.fp"), F.col("b.fp")) <= radius) & (distance(F.col("a.fp"), F.col("b.fp")) <= radius)
+        return a.join(b, (F.col("a.key") == F.col("b.key")) & other & close).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
+
+    few, hot = met.where(F.col("owns") * F.col("rows") <= hot_pairs), met.where(F.col("owns") * F.col("rows") > hot_pairs)
+    quarters = hot.select("fp", "own", "key", F.explode(F.array(F.lit(0), F.lit(16))).alias("low"), "half").withColumn("part", _part(F.col("fp"), (1 - F.col("half")) * 32 + F.col("low"), 16))
+    first, second = packed_distances(F.col("part"), 16)
+    quarters = quarters.select("*", first.alias("first"), second.alias("second"), F.explode(F.sequence(F.lit(0), F.lit(16))).alias("bit"))
+    sign = F.when(unset, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
+    shifted = [F.col(c) + sign * F.get(gains, bit) for c, gains in zip(("first", "second"), moves(16), strict=True)]
+    quarters = quarters.select("fp", "own", "bit", F.xxhash64("key", "low", *shifted).alias("key"))
+    split = verified(quarters.drop("bit"), quarters.where("own and bit = 16").drop("bit"))
+    return verified(few, few.where("own")).union(split).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = MAX_RADIUS) -> DataFrame:

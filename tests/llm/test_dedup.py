@@ -6,6 +6,7 @@ from collections import Counter
 from functools import partial
 
 import xxhash
+from pyspark.sql import functions as F
 
 from rastra.llm import components, simhash, suffixes
 
@@ -70,6 +71,20 @@ def test_simhash_links_are_complete(spark):
     got = {frozenset((r["a"], r["b"])) for r in simhash.links(table).collect()}
     want = {frozenset((simhash.signed(x), simhash.signed(y))) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 3}
     assert got == want
+    assert {frozenset((r["a"], r["b"])) for r in simhash.links(table, hot_pairs=0).collect()} == want
+    close = [signed ^ low for signed in (5 << 40,) for low in rng.sample(range(1 << 14), 400)]
+    got = {frozenset((r["a"], r["b"])) for r in simhash.links(spark.createDataFrame([(x,) for x in close], "fp long"), hot_pairs=1000).collect()}
+    assert got == {frozenset((x, y)) for x in close for y in close if x < y and (x ^ y).bit_count() <= 3}
+
+
+def test_distances_to_pivots_move_as_bits_do(spark):
+    rng = random.Random(8)
+    rows = [(x, b) for x in (rng.getrandbits(32) for _ in range(50)) for b in range(32) if not x >> b & 1]
+    table = spark.createDataFrame(rows, "x long, b int")
+    first, second = simhash.packed_distances(F.col("x"), 32)
+    moved_first, moved_second = simhash.packed_distances(F.expr("x | shiftleft(1L, b)"), 32)
+    gain_first, gain_second = (F.get(g, F.col("b")) for g in simhash.moves(32))
+    assert table.where((first + gain_first != moved_first) | (second + gain_second != moved_second)).count() == 0
 
 
 def test_simhash_empty(spark):
