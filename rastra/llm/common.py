@@ -14,11 +14,13 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests in local mode), one is made here.
+    Only in local mode (tests), where one machine is the cluster, a folder is made here if the session names none; elsewhere that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='rastra-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -36,6 +38,12 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/rastra-{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that new_path() named, once nothing reads it any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rastra.llm import near
 from rastra.llm.common import checkpointed
 from rastra.llm.components import connected_components
 
@@ -161,6 +162,14 @@ def links(fps: DataFrame, radius: int = MAX_RADIUS, hot_pairs: int = HOT_PAIRS)
     return verified(few, few.where("own")).union(split).distinct()
 
 
+def near_copies(docs: DataFrame, row_col: str, text_col: str = "text") -> DataFrame:
+    """(row_col, component) of rows whose texts have a 5-word shingle similarity of 0.8 or more: see `near`.
+
+    row_col must be a unique long that stays the same when read again. Texts without a word are one class; null counts as empty.
+    """
+    return near.components(docs, row_col, text_col)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = MAX_RADIUS) -> DataFrame:
     """(id_col, fingerprint, component_id), one row for each row of ``docs``.
 

@@ -12,7 +12,6 @@ import zstandard
 from pyspark.sql import functions as F
 
 from rastra.llm import chat, decontam, mixing, secret_scan, warc
-from tests.llm.test_dedup import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -169,8 +168,10 @@ def test_pipeline_against_plain_python(spark):
 
     docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    roots = {i: root for i, _, root in plain_components([(r["doc_id"], r["text"]) for r in docs])}
-    kept = [r for r in docs if roots[str(r["doc_id"])] == r["doc_id"]]
+    least = {}
+    for r, g in zip(docs, five_word_groups([r["text"] for r in docs]), strict=True):
+        least[g] = min(least.get(g, r["doc_id"]), r["doc_id"])
+    kept = [r for r in docs if r["doc_id"] in least.values()]
     sketches = decontam.Sketches(list(enumerate(items)), 5, 0.8)
     grams = lambda t: {tuple(w[i : i + 5]) for w in [decontam.normal(t).split()] for i in range(len(w) - 4)}
     goals = [grams(x) for x in items]
