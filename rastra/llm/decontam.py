@@ -30,7 +30,9 @@ from rastra.llm.common import free_prefix, stored
 WIDTH = 5
 THRESHOLD = 0.8
 #: Bits of the Bloom filter for each hash, and bytes that the filter has at most.
-BITS_PER_HASH, BLOCK_BYTES = 16, 16 << 20
+BITS_PER_HASH, BLOCK_BYTES = 64, 16 << 20
+#: Where the bits of a hash lie that give its places in the filter.
+FILTER_SHIFTS = (37, 0, 18, 9)
 #: Ways that a hash of the join is dealt out.
 SALTS = 16
 #: Contaminated keys that clean() broadcasts; more are joined by a shuffle.
@@ -130,10 +132,10 @@ def _longs(values) -> pa.Array:
 
 
 def bloom(hashes: DataFrame, block_bytes: int) -> tuple[np.ndarray, int]:
-    """(64-bit words, hash bits of a place) of a filter over column hash: two places for each, found and merged by Spark."""
+    """(64-bit words, hash bits of a place) of a filter over column hash: a place for each of FILTER_SHIFTS, found and merged by Spark."""
     n = hashes.count()
     bits = max(6, min((block_bytes * 8).bit_length() - 1, (BITS_PER_HASH * n).bit_length()))
-    places = F.explode(F.array(*[F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))]))
+    places = F.explode(F.array(*[F.shiftrightunsigned("hash", shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in FILTER_SHIFTS]))
     words = hashes.select(places.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
     out = np.zeros(1 << bits - 6, np.int64)
     for word, value in words.collect():  # at most block_bytes / 8 words
@@ -143,9 +145,12 @@ def bloom(hashes: DataFrame, block_bytes: int) -> tuple[np.ndarray, int]:
 
 def in_bloom(hashes: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
     """Which of the hashes the filter may hold."""
-    out = np.ones(len(hashes), bool)
-    for place in (hashes >> np.uint64(64 - bits), hashes & np.uint64((1 << bits) - 1)):
-        out &= (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    left = np.arange(len(hashes))
+    for shift in FILTER_SHIFTS:
+        place = hashes[left] >> np.uint64(shift) & np.uint64((1 << bits) - 1)
+        left = left[(words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    out = np.zeros(len(hashes), bool)
+    out[left] = True
     return out
 
 
