@@ -13,6 +13,7 @@ language. The driver gets the frequencies and the centroids: both have the size
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,14 +104,15 @@ class Model:
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each feature and task; feature -1 counts the texts."""
-    total, n = np.zeros(1 << FEATURE_BITS, np.int64), 0
+    """One row for each feature and task, and one for each language and task, which counts its texts as feature -1."""
+    total, langs = np.zeros(1 << FEATURE_BITS, np.int64), Counter()
     for batch in batches:
+        langs.update(batch.column(1).to_pylist())
         for text in batch.column(0):
             total[features(text.as_py())[0]] += 1
-            n += 1
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["feature", "n"])
+    numbers = [pa.array(np.append(at, np.full(len(langs), -1))), pa.array(np.append(total[at], np.array(list(langs.values()), np.int64)).astype(np.int64))]
+    yield pa.RecordBatch.from_arrays([numbers[0], pa.array([None] * len(at) + list(langs), pa.string()), numbers[1]], names=["feature", "lang", "n"])
 
 
 def clustered(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -154,23 +156,23 @@ def floors(texts: list[str], dense: np.ndarray, centroids: np.ndarray, idf: np.n
     return np.array(out)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", clusters: int = CLUSTERS, sample_per_lang: int = SAMPLE_PER_LANG, min_cosine: float = MIN_COSINE) -> Model:
-    """Learn from labelled rows; those without a language or a letter are left out.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, sample_per_lang: int = SAMPLE_PER_LANG, min_cosine: float = MIN_COSINE) -> Model:
+    """Learn from the text and language of labelled rows, whatever their ids; those without a language or a letter are left out.
 
     Ties and repeated rows only weigh more. With no rows at all the model knows no language and calls every text unknown.
     """
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(order_col)).alias("order")).where("lang is not null and text is not null")
-    counts = {r["feature"]: r["n"] for r in rows.select("text").mapInArrow(_document_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    idf = np.ones(1 << FEATURE_BITS)
-    n = counts.pop(-1, 0)
-    idf += np.log(1 + n)
-    for feature, df in counts.items():
-        idf[feature] = 1 + np.log((1 + n) / (1 + df))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("order")).where("lang is not null and text is not null")
+    counts = rows.select("text", "lang").mapInArrow(_document_frequencies, "feature long, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).collect()
+    sizes = {r["lang"]: r["n"] for r in counts if r["feature"] < 0}
+    n = sum(sizes.values())
+    idf = np.ones(1 << FEATURE_BITS) + np.log(1 + n)
+    for r in counts:
+        if r["feature"] >= 0:
+            idf[r["feature"]] = 1 + np.log((1 + n) / (1 + r["n"]))
     # A cut by hash lets about twice the sample through, so that only few texts are moved; the rank then makes it exact.
     cut = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * sample_per_lang / n)))]) if sizes else F.lit(None)
     few = rows.where((F.pmod(F.xxhash64("order"), F.lit(1 << 20)) < F.lit(1 << 20) * cut[F.col("lang")]) if sizes else F.lit(False))
-    sample = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))).where(F.col("rank") <= sample_per_lang)
+    sample = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= sample_per_lang)
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         group = group[group["text"].map(has_letter)].sort_values("rank")

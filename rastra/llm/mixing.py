@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: Mapping[object, float] | None = None, id_col:
     ``weights`` has a positive weight for each source (None as key: rows without a source); without it
     they are the square roots of the sources' sizes. They hold exactly; only if a ``period`` is given are they rounded to multiples of
     1 / period. No row is dropped or repeated: when a source runs
-    out, the rest go on in their proportions. Within a source the order is that of a hash of the id, then of
+    out, the rest go on in their proportions. Within a source the order is that of a hash of the row, then of
     the id; equal rows may change places with each other. The last block of a source may be short. Null
     sources are a source of their own; null ids count like any other id. An empty table gives an empty one.
     Input columns that are named like the new ones are replaced.
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, weights: Mapping[object, float] | None = None, id_col:
     plan = stored(sources.coalesce(1).mapInArrow(planned, "source string, block long, slot long"), "slots")
 
     # A row's place in its source: a source of n rows is cut by a hash into sqrt(n) salts of about sqrt(n) rows, ranked salt by salt.
-    hashed = F.xxhash64(F.col(id_col))
+    hashed = F.xxhash64(*docs.columns)  # of all columns: ids may be null or repeated
     salts = sources.select(work["source"], F.floor(F.sqrt(work["n"])).alias(work["salts"]))
     salted = docs.withColumn(work["source"], source).join(salts, work["source"]).withColumn(work["salt"], F.pmod(hashed, work["salts"])).drop(work["salts"])
     sizes = salted.groupBy(work["source"], work["salt"]).agg(F.count("*").alias(work["n"]))

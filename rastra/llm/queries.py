@@ -32,6 +32,12 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.MEASURES, (~quality.kept("base")).alias("base_failed"), quality.kept("v2").alias("kept"), "fail_bits")
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v2 removes, from a ledger that is written once."""
+    rows = stored(quality.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return quality.ablation(rows, "v2")
+
+
 def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return pairs.select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
@@ -61,13 +67,29 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)))
     model = langid.fit(docs.where("not held_out"))
     found = docs.select("doc_id", "held_out", langid.language(model, F.col("text")).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_pfair_mix, op3_tool_call_links, op4_suffix_groups, op5_rule_ledger, op6_benchmark_containment, op7_section_tokens, op8_warc_zstd, op9_secret_scan, op10_language_centroids)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_pfair_mix, op3_tool_call_links, op4_suffix_groups, op5_rule_ledger, rule_ablation, op6_benchmark_containment, op7_section_tokens, op8_warc_zstd, op9_secret_scan, op10_language_centroids)}
+
+#: The ledger's measurements and failure bits as table b.
+_LEDGER = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g),
+p AS (SELECT rid, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2)) AS k(k) WHERE c >= 2 GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN p USING (rid)),
+b AS (SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(10 * n_symbols > word_chars AS INT)
+             + 8 * CAST(2 * n_dup_lines > n_lines AS INT) + 16 * CAST(word_chars < 2 * n_words OR word_chars > 25 * n_words AS INT) AS fail_bits FROM m)
+"""
 
 ORACLE_SQL: dict[str, str] = {
     "op3_tool_call_links": r"""
@@ -84,20 +106,13 @@ SELECT conv_id, turn, call_id, level, status, '' AS errors,
        || ',"name":' || CASE WHEN status = 'orphan' THEN 'null' ELSE '"reply"' END
        || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS json FROM a
 """,
-    "op5_rule_ledger": r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g),
-p AS (SELECT rid, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2)) AS k(k) WHERE c >= 2 GROUP BY rid),
-m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
-             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
-             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
-      FROM w LEFT JOIN p USING (rid)),
-b AS (SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(10 * n_symbols > word_chars AS INT)
-             + 8 * CAST(2 * n_dup_lines > n_lines AS INT) + 16 * CAST(word_chars < 2 * n_words OR word_chars > 25 * n_words AS INT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS INT) AS fail_bits FROM b
+    "op5_rule_ledger": _LEDGER
+    + """SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS INT) AS fail_bits FROM b
+""",
+    "rule_ablation": _LEDGER
+    + """, r AS (SELECT unnest(['few_words', 'repetition', 'symbols', 'repeated_lines', 'word_length']) AS rule, unnest([1, 2, 4, 8, 16]) AS bit)
+SELECT rule, CAST(count(*) FILTER (WHERE fail_bits & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE fail_bits = bit) AS BIGINT) AS removed_by_it_alone,
+       CAST(count(*) FILTER (WHERE fail_bits & ~bit = 0) AS BIGINT) AS kept_without_it FROM b CROSS JOIN r GROUP BY rule
 """,
     "op6_benchmark_containment": r"""
 WITH n AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS rid, text FROM documents UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -31,6 +32,8 @@ PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \
 KEY = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P][A-Za-z0-9+/]{38,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{38,})={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{78,}")
 OPENSSH = b"openssh-key-v1\0"
+#: Object identifiers (fixed values) of RSA and elliptic-curve keys, whose PKCS#8 form has another sequence inside.
+SEQUENCE_KEYS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"))
 
 
 def _decoded(text: str) -> bytes | None:
@@ -63,6 +66,18 @@ def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
     return fields
 
 
+def is_inner_key(algorithm: tuple[int, bytes], data: bytes) -> bool:
+    """Whether the octets inside a PKCS#8 key are what its algorithm asks for, or at least nested fields whose lengths hold."""
+    tag, oid = algorithm
+    fields = der_fields(data)
+    if tag != 0x06 or not fields or len(fields) != 1:
+        return False
+    if oid in SEQUENCE_KEYS:
+        inner = der_fields(fields[0][1]) if fields[0][0] == 0x30 else None
+        return bool(inner) and inner[0][0] == 0x02 and (len(inner) >= 6 or inner[1:2] != [] and inner[1][0] == 0x04)
+    return fields[0][0] != 0x30 or der_fields(fields[0][1]) is not None
+
+
 def is_der_key(data: bytes) -> bool:
     """Whether the bytes are one DER sequence with the fields of a private key."""
     outer = der_fields(data)
@@ -75,7 +90,7 @@ def is_der_key(data: bytes) -> bool:
     if not tags or tags[0] != 0x02 or fields[0][1] not in (b"\0", b"\1"):
         return False
     if tags[1:3] == [0x30, 0x04]:  # version, algorithm, key
-        return (der_fields(fields[1][1]) or [(0, b"")])[0][0] == 0x06
+        return is_inner_key((der_fields(fields[1][1]) or [(0, b"")])[0], fields[2][1])
     return tags[1:2] == [0x04] and all(t in (0xA0, 0xA1) for t in tags[2:]) or len(tags) >= 6 and set(tags) == {0x02}
 
 
@@ -130,7 +145,12 @@ def secret_spans(text: str | None) -> list[tuple[int, int, int]]:
             if is_key(data) or data and "Proc-Type:" in m.group(2):
                 pems.append((m.start(), 4, m.end()))
     spans += pems
-    outside = lambda m: not any(a <= m.start() < b for a, _, b in pems)
+    begins = [a for a, _, _ in pems]  # in order and apart
+
+    def outside(m: re.Match) -> bool:
+        before = bisect.bisect_right(begins, m.start()) - 1
+        return before < 0 or m.start() >= pems[before][2]
+
     spans += [(m.start(), 5, m.end()) for m in KEY.finditer(text) if outside(m) and is_key(_decoded(m.group()))]
     spans += [(m.start(), 6, m.end()) for m in HEX_KEY.finditer(text) if len(m.group()) % 2 == 0 and is_key(bytes.fromhex(m.group()))]
     return sorted(spans)

@@ -25,6 +25,8 @@ DICTIONARY_BYTES = 64 << 10
 #: Pages and bytes of each that a dictionary is trained on at most.
 SAMPLE_PAGES, SAMPLE_BYTES = 400, 32 << 10
 #: Payloads below this many bytes are never revisits.
+#: Bytes after which a partition's next archive begins.
+ARCHIVE_BYTES = 256 << 20
 LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
 _FILLER = struct.pack("<II", SKIPPABLE, 1)
@@ -56,19 +58,39 @@ def record(record_id: str, uri: str, payload: bytes | None, size: int, digest: s
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(records: DataFrame, path: str, dictionary: bytes) -> None:
-    """Write one archive for each partition of ``records``: columns record_id, uri, payload (binary), size, digest, refers_to (strings)."""
+def write_archives(records: DataFrame, path: str, dictionary: bytes, most: int = ARCHIVE_BYTES) -> None:
+    """Write archives of ``records``: columns record_id, uri, payload (binary), size, digest, refers_to (strings); other columns are not written.
+
+    Each partition has an archive of its own, and another one whenever one has ``most`` bytes (a single longer record excepted), below
+    ``path``/roll=0, roll=1 and so on: readers take no file of 2 GB or more. A null payload is empty, a null refers_to makes a
+    response; record_id, uri, size and digest must not be null. An empty partition leaves an archive without records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary), write_checksum=True, write_content_size=True)
-        rows = [struct.pack("<II", DICTIONARY, len(dictionary)) + dictionary + _FILLER]
+        head = struct.pack("<II", DICTIONARY, len(dictionary)) + dictionary + _FILLER
+        rows, rolls, roll, written, done = [head], [0], 0, len(head), 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rolls, pa.int32()), pa.array(range(done, done + len(rows)), pa.int64()), pa.array(rows, pa.binary())], names=["roll", "nth", "bytes"])
+
         for batch in batches:
             for r in batch.to_pylist():
-                rows.append(packer.compress(record(**r)) + _FILLER)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["bytes"])
-            rows = []
-
-    records.select("record_id", "uri", "payload", "size", "digest", "refers_to").mapInArrow(run, "bytes binary").select(F.col("bytes").cast("string")).write.option("lineSep", "\n").text(path)
+                frame = packer.compress(record(**r)) + _FILLER
+                if written + len(frame) > most and written > len(head):
+                    roll, written = roll + 1, len(head)
+                    rows.append(head)
+                    rolls.append(roll)
+                rows.append(frame)
+                rolls.append(roll)
+                written += len(frame) + 1
+            yield out()
+            done, rows, rolls = done + len(rows), [], []
+        if rows:
+            yield out()
+
+    packed = records.select("record_id", "uri", "payload", "size", "digest", "refers_to").mapInArrow(run, "roll int, nth long, bytes binary")
+    packed.sortWithinPartitions("roll", "nth").select("roll", F.col("bytes").cast("string")).write.partitionBy("roll").option("lineSep", "\n").text(path)
 
 
 def frame_end(data: bytes | memoryview, at: int) -> int:
@@ -152,7 +174,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """One row for each record of the archives under ``path``, in the columns of RECORDS.
 
     Broken records have an error and nulls. Without ``with_payload`` payloads are checked but not handed on. Archives are
-    files of a size that a task can hold; the writer makes one for each partition.
+    files of a size that a task can hold; the writer sees to it.
     """
     schema = [f.strip().split(" ")[0] for f in RECORDS.split(",")]
     types = {"offset": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}

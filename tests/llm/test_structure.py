@@ -267,3 +267,41 @@ def test_pipeline_stages_take_nulls(spark, column):
         out = stage(spark, some, SF)
         assert set(cp.COLUMNS) <= set(out.columns) and out.count() > 0
         assert stage(spark, some.limit(0), SF).count() == 0
+
+
+def test_archives_roll_over_by_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    bodies = [rng.randbytes(rng.choice([0, 10, 3000, 40_000])) for _ in range(60)]
+    rows = [(str(i), "http://x/", b, len(b), hashlib.sha256(b).hexdigest(), None, "clash") for i, b in enumerate(bodies)]
+    records = spark.createDataFrame(rows, "record_id string, uri string, payload binary, size long, digest string, refers_to string, roll string").repartition(2)
+    warc.write_archives(records, f"{tmp_path}/a", b"", most=50_000)
+    files = [f for f in spark.read.format("binaryFile").load(f"{tmp_path}/a").select("path", "length").collect()]
+    assert len(files) > 10 and max(f["length"] for f in files) < 60_000
+    got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, f"{tmp_path}/a").where("error is null").collect()}
+    assert got == {str(i): b for i, b in enumerate(bodies)}
+
+
+def test_a_cycle_beside_a_deep_ladder(spark):
+    edges = [("x", "y"), ("y", "x"), ("z", "x"), ("z", "a0")]
+    for i in range(1, 10):
+        edges += [(f"a{i}", f"a{i - 1}"), (f"a{i}", f"b{i - 1}"), (f"b{i}", f"a{i - 1}"), (f"b{i}", f"b{i - 1}")]
+    nodes = sorted({n for e in edges for n in e})
+    got = dict(chat.levels(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "child string, parent string")).collect())
+    assert got == {f"{s}{i}": i for s in "ab" for i in range(10)} | {"x": None, "y": None, "z": None}
+
+
+def test_every_turn_stays_a_row(spark):
+    rows = [(1, 0, "user", "one"), (1, 0, "user", "two"), (1, 1, "assistant", "answer"), (1, 1, "assistant", "another"), (None, 0, "user", "no conversation"), (2, None, "user", "no turn"), (3, 4, "assistant", None), (3, 5, "system", "rules")]
+    talk = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, key string")
+    calls, results, after = chat.from_turns(talk)
+    got = sorted((str(r["conv_id"]), str(r["turn"]), r["status"]) for r in chat.link(calls, results, chat.REPLY, after, repeats=True).collect())
+    assert got == [("1", "0", "linked"), ("1", "0", "linked"), ("2", "None", "unanswered"), ("3", "4", "orphan"), ("None", "0", "unanswered")]
+
+
+def test_mix_takes_null_and_repeated_ids(spark):
+    docs = spark.range(5000).selectExpr("if(id % 3 = 0, null, 7L) AS doc_id", "if(id % 2 = 0, null, 'a') AS source", "cast(id as string) AS text")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 5000 and len({r["text"] for r in got}) == 5000
+    assert len({(r["mix_slot"], r["mix_row"]) for r in got}) == 5000
+    with pytest.raises(Exception, match="no weight for"):
+        mixing.mix(docs, {"a": 1.0}).collect()

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import random
 
 import pytest
@@ -181,3 +182,121 @@ def test_tokens_add_up_and_match_a_plain_count(spark):
 
 def test_secret_tokens_are_json():
     assert json.loads(secret_scan._decoded(b64(b'{"a":1}', True))) == {"a": 1}
+
+
+def plain_base_spans(text):
+    """The base kinds by looking at one character after the other."""
+    names, value = ("password", "passwd", "secret", "token", "api_key", "apikey"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(c.lower() if c.isascii() else c for c in text)
+    spans, at = [], 0
+    while at < len(text):
+        end = None
+        for name in names:
+            if not lower.startswith(name, at):
+                continue
+            for quoted in (True, False):  # each optional part is taken if it can be
+                p = at + len(name)
+                if quoted and text[p : p + 1] in ('"', "'") and text[p : p + 1]:
+                    p += 1
+                elif quoted:
+                    continue
+                while text[p : p + 1] == " ":
+                    p += 1
+                if text[p : p + 1] not in (":", "="):
+                    continue
+                p += 1
+                while text[p : p + 1] == " ":
+                    p += 1
+                if text[p : p + 1] in ('"', "'") and text[p : p + 1]:
+                    p += 1
+                q = p
+                while q < len(text) and text[q] in value:
+                    q += 1
+                if q > p:
+                    end = (p, q)
+                    break
+            if end:
+                break
+        if end:
+            if end[1] - end[0] >= 8:
+                spans.append((at, 0, end[1]))
+            at = end[1]
+        else:
+            at += 1
+    for kind, start, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(text):
+            q = at + len(start)
+            while text.startswith(start, at) and q < len(text) and text[q] in allowed:
+                q += 1
+            if text.startswith(start, at) and q > at + len(start):
+                if q - at >= least:
+                    spans.append((at, kind, q))
+                at = q
+            else:
+                at += 1
+    return sorted(spans)
+
+
+def test_base_spans_against_a_plain_scanner(spark):
+    rng = random.Random(12)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "passwd", " ", "  ", ":", "=", "'", '"', "AKIA", "AKIAQWERTY12345", "0123456789abcdef", "deadbeef" * 4, "x", "é", "\n", "Z9", "long-value.12", "ſecret"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    found = 0
+    for text in texts:
+        want = plain_base_spans(text)
+        found += len(want)
+        assert [s for s in secret_scan.secret_spans(text) if s[1] < 3] == want, text
+    assert found > 1000
+
+
+def test_inner_keys_are_parsed():
+    rsa, ec = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+    wrap = lambda oid, inner: der(0x30, der(2, b"\0"), der(0x30, der(6, oid)), der(4, inner))
+    sec1 = der(0x30, der(2, b"\1"), der(4, b"k" * 32))
+    assert kinds(b64(wrap(rsa, PKCS1))) == kinds(b64(wrap(ec, sec1))) == ["key"]
+    assert kinds(b64(wrap(rsa, PKCS1[:-3]))) == kinds(b64(wrap(ec, b"k" * 40))) == kinds(b64(wrap(rsa, der(4, b"k" * 40)))) == []
+
+
+def test_language_query_takes_null_ids_and_clashing_columns(spark, tmp_path):
+    from rastra.llm import queries
+
+    rng = random.Random(5)
+    rows = [(i, babble(rng, LANGS[lang], 30), lang, "n", 0) for i, lang in enumerate(sorted(LANGS) * 40)] + [(None, babble(rng, LANGS["xx"], 30), "xx", "n", 0), (None, None, None, None, None), (1, "", "zz", "n", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, found string, `order` long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_language_centroids(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(isinstance(r["held_out"], bool) for r in got)
+    assert sorted((r["held_out"], r["lang_pred"]) for r in got if r["doc_id"] is None) == [(False, "und"), (False, "xx")]
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got if r["doc_id"] is not None and r["lang_pred"] != "und")
+
+
+def plain_vector(text, idf):
+    """The cosine's vector from its definition, one n-gram at a time."""
+    points, grams = langid._code_points(text).tolist(), {}
+    m = (1 << 32) - 1
+    for i in range(len(points)):
+        one = [c * 0x9E3779B1 & m for c in points[i : i + 3]]
+        hashes = [one[0] ^ one[0] >> 15]
+        if len(one) > 1:
+            two = ((one[0] ^ 0x7F4A7C15) * 0x85EBCA6B + points[i + 1] * 0xC2B2AE35) & m
+            hashes.append(two ^ two >> 13)
+        if len(one) > 2:
+            hashes.append(((two ^ two >> 16) * 0x27D4EB2F + points[i + 2] * 0x165667B1) & m)
+        for h in hashes:
+            at = (h * 0x9E3779B1 & m) >> 32 - langid.FEATURE_BITS
+            grams[at] = grams.get(at, 0) + 1
+    v = {at: (1 + math.log(n)) * idf[at] for at, n in grams.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {at: x / norm for at, x in v.items()}
+
+
+def test_predictions_are_the_nearest_centroids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    model = langid.fit(docs)
+    for r in docs.limit(60).select("text", langid.language(model, F.col("text")).alias("f")).collect():
+        if langid.has_letter(r["text"]):
+            v = plain_vector(r["text"], model.idf)
+            cosines = [(sum(c[at] * x for at, x in v.items()), lang) for c, lang in zip(model.centroids, model.langs, strict=True)]
+            best = max(cosines)
+            assert abs(best[0] - r["f"]["score"]) < 1e-4 and (best[1] == r["f"]["lang"] or sorted(cosines)[-2][0] > best[0] - 1e-5)
