@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastra.llm.common import checkpointed
+from rastra.llm.common import checkpointed, stored
 
 #: What a schema's type accepts, as the start of the type's name in Spark.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}
@@ -100,14 +100,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], a
 
     named_calls = calls.where("call_id is not null").select(key.alias("key"), "conv_id", "call_id", "turn", "name", "arguments")
     named_results = results.where("call_id is not null").select(key.alias("key"), "conv_id", "call_id", "turn", "content")
-    asked = numbered(named_calls, "name", "arguments")
-    told = numbered(named_results, "content")
+    # Each is read by several joins; files keep them from being numbered again for each.
+    asked = stored(numbered(named_calls, "name", "arguments"), "calls")
+    told = stored(numbered(named_results, "content"), "results")
+    numbers = asked.select("key", "nth")
     if after is not None:
         parent = F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("parent_id").alias("i")))
         ids = checkpointed(asked.where("nth = 1").select(F.col("key").alias("node")))
         edges = after.where("call_id is not null and parent_id is not null").select(key.alias("child"), parent.alias("parent"))
         edges = edges.join(ids.withColumnRenamed("node", "child"), "child", "left_semi").join(ids.withColumnRenamed("node", "parent"), "parent", "left_semi")
-        asked = asked.join(levels(ids, edges).withColumnRenamed("node", "key"), "key", "left")
+        asked = asked.join(checkpointed(levels(ids, edges)).withColumnRenamed("node", "key"), "key", "left")
     else:
         asked = asked.withColumn("level", F.lit(0).cast("long"))
     answer = told.select("key", "nth", F.col("content").alias("result"))
@@ -115,7 +117,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], a
     columns = ["conv_id", "turn", "call_id", "name", "arguments", "result", "level", "status"]
     null = lambda kind: F.lit(None).cast(kind)
     nameless = calls.where("call_id is null").select("conv_id", "turn", null("string").alias("call_id"), "name", "arguments", null("string").alias("result"), null("long").alias("level"), F.lit("unanswered").alias("status"))
-    orphan = told.join(asked.select("key", "nth"), ["key", "nth"], "left_anti").select("conv_id", "turn", "call_id", "content").union(results.where("call_id is null").select("conv_id", "turn", null("string"), "content"))
+    orphan = told.join(numbers, ["key", "nth"], "left_anti").select("conv_id", "turn", "call_id", "content").union(results.where("call_id is null").select("conv_id", "turn", null("string"), "content"))
     orphan = orphan.select("conv_id", "turn", "call_id", null("string").alias("name"), null("string").alias("arguments"), F.col("content").alias("result"), null("long").alias("level"), F.lit("orphan").alias("status"))
     rows = linked.select(columns).union(nameless).union(orphan)
     errors = F.when(F.col("status") != "orphan", argument_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
