@@ -61,11 +61,13 @@ def replaced_frame(rows: DataFrame, new: DataFrame, index: int) -> DataFrame:
 
 def write(rows: DataFrame, loop_count: int = 0, background: int = 0, alpha: bool = True) -> DataFrame:
     """(path, content): one animated file for each path of a frame table; the canvas is the smallest that holds all frames."""
-    one = riff.chunk("ANMF", riff.anmf(F.col("x"), F.col("y"), F.col("width"), F.col("height"), F.col("duration_ms"), F.col("blend") == "blend", F.col("dispose") == "background", F.col("payload")))
-    per_file = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("frame_idx", one.alias("b")))).alias("f"), F.max(F.col("x") + F.col("width")).alias("w"), F.max(F.col("y") + F.col("height")).alias("h"))
+    one = riff.anmf(F.col("x"), F.col("y"), F.col("width"), F.col("height"), F.col("duration_ms"), F.col("blend") == "blend", F.col("dispose") == "background", F.col("payload"))
+    framed = rows.select("path", "frame_idx", "x", "y", "width", "height", one.alias("anmf"))
+    per_file = framed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("frame_idx", riff.chunk("ANMF", F.col("anmf")).alias("b")))).alias("f"), F.max(F.col("x") + F.col("width")).alias("w"), F.max(F.col("y") + F.col("height")).alias("h"))
     head = riff.chunk("VP8X", riff.vp8x(F.lit(riff.ANIMATION + riff.ALPHA * alpha), F.col("w"), F.col("h")))
-    body = F.aggregate("f", F.concat(head, riff.chunk("ANIM", riff.anim(F.lit(background), F.lit(loop_count)))), lambda acc, x: F.concat(acc, x["b"]))
-    return per_file.select("path", riff.envelope(body).alias("content"))
+    # As hex digits, which are joined in one go; a fold would copy the growing body for each frame.
+    body = F.concat(head, riff.chunk("ANIM", riff.anim(F.lit(background), F.lit(loop_count))), F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["b"])), "")))
+    return per_file.select("path", body.alias("body")).select("path", riff.envelope(F.col("body")).alias("content"))
 
 
 def changed_boxes(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -83,12 +85,16 @@ def blend_deltas(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.join(both.groupBy("img").agg(F.bool_and("fine").alias("valid")), "img").drop("fine")
 
 
-def disposals(now: DataFrame, following: DataFrame) -> DataFrame:
-    """(img, dispose): background if the image shows something and the next one is transparent in the same place, else keep."""
+def disposals(now: DataFrame, following: DataFrame, canvas: tuple[int, int] | None = None) -> DataFrame:
+    """(img, dispose): background if the image shows something and the next one is transparent in the same place, else keep.
+
+    Given the ``canvas`` (width, height), images that fill it are kept whatever follows; without it all are taken for parts.
+    """
     a = lambda t: argb.channel(F.col(f"{t}.argb"), "a")
     both = now.alias("n").join(following.alias("f"), ["img", "x", "y"], "left")
     clear = F.bool_and(F.coalesce(a("f") == 0, F.lit(False)))
-    return both.groupBy("img").agg(F.when(F.bool_or(a("n") > 0) & clear, "background").otherwise("keep").alias("dispose"))
+    part = F.lit(True) if canvas is None else F.count("*") < canvas[0] * canvas[1]
+    return both.groupBy("img").agg(F.when(part & F.bool_or(a("n") > 0) & clear, "background").otherwise("keep").alias("dispose"))
 
 
 def last_drawn(pixels: DataFrame) -> DataFrame:
@@ -110,13 +116,15 @@ def _over(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 
 def composited(rows: DataFrame) -> DataFrame:
-    """(path, frame_idx, duration_ms, width, height, argb array<long>): the canvas after each frame.
+    """(path, frame_idx, duration_ms, width, height, argb array<long>, error): the canvas after each frame.
 
     ``rows``: path, frame_idx, x, y, width, height, canvas_w, canvas_h, duration_ms, blend, dispose, has_alpha, argb (array<long>, row by
     row). A disposal to background clears the frame's rectangle before the next frame. Key frames are
     written onto an empty canvas: the first one, a full-canvas one that is opaque or not to be blended, and any after
     a full-canvas or key frame that was disposed. Where a blended frame meets a rectangle that was just
     cleared, its pixels are taken as they are. One animation is folded in one task, since each canvas needs the one before.
+    A frame that leaves the canvas or has another number of pixels ends its animation with a row without pixels and the error
+    invalid_container; other animations go on.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -126,6 +134,10 @@ def composited(rows: DataFrame) -> DataFrame:
         cleared = None  # the rectangle that the last frame left to be cleared
         key_next = True
         for f in group.itertuples():
+            pixels = np.asarray([] if f.argb is None else f.argb, np.int64)
+            if min(f.x, f.y, f.width, f.height) < 0 or f.x + f.width > w or f.y + f.height > h or len(pixels) != f.width * f.height:
+                out.append((f.path, f.frame_idx, f.duration_ms, w, h, None, "invalid_container"))
+                break
             at = np.s_[f.y : f.y + f.height, f.x : f.x + f.width]
             raw = np.zeros((h, w), bool)
             if cleared is not None:
@@ -133,17 +145,17 @@ def composited(rows: DataFrame) -> DataFrame:
                 raw[cleared] = True
             full = (f.x, f.y, f.width, f.height) == (0, 0, w, h)
             key = key_next or full and (f.blend != "blend" or not f.has_alpha)
-            pixels = np.asarray(f.argb, np.int64).reshape(f.height, f.width)
+            pixels = pixels.reshape(f.height, f.width)
             if key:
                 canvas[:] = 0
             if key or f.blend != "blend":
                 canvas[at] = pixels
             else:
                 canvas[at] = np.where(raw[at], pixels, _over(pixels, canvas[at]))
-            out.append((f.path, f.frame_idx, f.duration_ms, w, h, canvas.ravel().copy()))
+            out.append((f.path, f.frame_idx, f.duration_ms, w, h, canvas.ravel().copy(), None))
             cleared = at if f.dispose == "background" else None
             key_next = cleared is not None and (full or key)
-        return pd.DataFrame(out, columns=["path", "frame_idx", "duration_ms", "width", "height", "argb"])
+        return pd.DataFrame(out, columns=["path", "frame_idx", "duration_ms", "width", "height", "argb", "error"])
 
     kind = dict(rows.dtypes)["path"]
-    return rows.groupBy("path").applyInPandas(fold, f"path {kind}, frame_idx int, duration_ms int, width int, height int, argb array<long>")
+    return rows.groupBy("path").applyInPandas(fold, f"path {kind}, frame_idx int, duration_ms int, width int, height int, argb array<long>, error string")

@@ -30,43 +30,55 @@ def completeness(files: DataFrame) -> DataFrame:
     return files.select("path", declared.alias("declared_length"), F.coalesce(F.octet_length(content) >= declared, F.lit(False)).alias("is_complete"))
 
 
-def _first(fourcc: str, value: str = "payload") -> Column:
-    return F.min_by(F.when(F.col("fourcc") == fourcc, F.col(value)), F.when(F.col("fourcc") == fourcc, F.col("idx")))
+def _place(name: str) -> Column:
+    """The first chunk of a name in column places; null if there is none."""
+    return F.get(F.filter("places", lambda c: c["fourcc"] == name), F.lit(0))
+
+
+def _payload(place: Column, most: int | None = None) -> Column:
+    """The bytes (of which at most so many) of a chunk of column content; null without a chunk."""
+    size = place["size"] if most is None else F.least(place["size"], F.lit(most))
+    return F.when(place.isNotNull(), F.substring(F.col("content"), (place["payload_start"] + 1).cast("int"), size.cast("int")))
+
+
+def _has(*names: str) -> Column:
+    return F.coalesce(F.exists("places", lambda c: c["fourcc"].isin(*names)), F.lit(False))
+
+
+def _described(files: DataFrame) -> DataFrame:
+    """The columns of images() and places; each file is looked at alone, in its row."""
+    content = F.col("content")
+    walked = files.select("path", "content", riff.places(content, lenient=True).alias("places"))
+    magic = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WEBP"))
+    cut = F.coalesce(F.exists("places", lambda c: c["fourcc"].isin("VP8L", "VP8 ") & c["truncated"]), F.lit(False))
+    heads = walked.select(
+        "path", "places", (content.isNull() | (F.octet_length(content) < 12)).alias("short"), F.coalesce(magic, F.lit(False)).alias("magic"), cut.alias("cut"), _has("ALPH").alias("alph"),
+        _has(*SIDECARS.values()).alias("has_metadata"), _has("ANIM", "ANMF").alias("frames"), *[_payload(_place(fourcc), 32).alias(name) for name, fourcc in (("x", "VP8X"), ("l", "VP8L"), ("v", "VP8 "))],
+    )
+    read = heads.withColumns({"x": riff.read_vp8x(F.col("x")), "l": riff.read_vp8l_header(F.col("l")), "v": riff.read_vp8_header(F.col("v"))})
+    size = lambda c: F.coalesce(F.col(f"x.{c}"), F.col(f"l.{c}"), F.col(f"v.{c}")).cast("int")
+    animated = F.coalesce(F.col("x.is_animated"), F.lit(False))
+    alpha = F.when(animated, F.col("x.has_alpha")).otherwise(F.coalesce(F.col("l.has_alpha"), F.col("alph")))
+    codec = F.when(~animated, F.when(F.col("l").isNotNull(), "lossless").when(F.col("v").isNotNull(), "lossy"))
+    error = F.when(F.col("short"), "truncated").when(~F.col("magic"), "not_webp").when(F.col("frames") & ~animated, "invalid_container").when(size("width").isNull() & F.col("cut"), "truncated").when(size("width").isNull(), "missing_image")
+    # A file that is no container has neither an alpha flag nor another.
+    known = lambda c: F.when(F.size("places") > 0, c)
+    return read.select("path", "places", size("width").alias("width"), size("height").alias("height"), codec.alias("codec"), known(alpha).alias("has_alpha"), "has_metadata", known(animated).alias("is_animated"), error.alias("error"))
 
 
 def images(files: DataFrame) -> DataFrame:
     """(path, width, height, codec, has_alpha, has_metadata, is_animated, error), one row for each file, from headers alone.
 
     Of repeated chunks the first counts. error is not_webp, truncated (shorter than a file header, or cut off in the image's header), invalid_container (frames without an
-    animation header), missing_image, or null.
+    animation header), missing_image, or null. Nothing is shuffled; repeated paths are files of their own.
     """
-    found = chunks(files.select("path", "content"), lenient=True)
-    head = F.substring(F.col("payload"), 1, 32)
-    per_file = found.withColumn("head", head).groupBy("path").agg(
-        riff.read_vp8x(_first("VP8X", "head")).alias("x"),
-        riff.read_vp8l_header(_first("VP8L", "head")).alias("l"),
-        riff.read_vp8_header(_first("VP8 ", "head")).alias("v"),
-        F.bool_or(F.col("fourcc") == "ALPH").alias("alph"),
-        F.bool_or(F.col("fourcc").isin(*SIDECARS.values())).alias("sidecar"),
-        F.bool_or(F.col("fourcc").isin("ANIM", "ANMF")).alias("frames"),
-        F.bool_or(F.col("fourcc").isin("VP8L", "VP8 ") & F.col("truncated")).alias("cut"),
-    )
-    size = lambda c: F.coalesce(F.col(f"x.{c}"), F.col(f"l.{c}"), F.col(f"v.{c}")).cast("int")
-    animated = F.coalesce(F.col("x.is_animated"), F.lit(False))
-    alpha = F.when(animated, F.col("x.has_alpha")).otherwise(F.coalesce(F.col("l.has_alpha"), F.col("alph"), F.lit(False)))
-    codec = F.when(~animated, F.when(F.col("l").isNotNull(), "lossless").when(F.col("v").isNotNull(), "lossy"))
-    content = F.col("content")
-    short = content.isNull() | (F.octet_length(content) < 12)
-    magic = (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WEBP"))
-    # Only flags are joined: contents stay where they were read.
-    flags = files.select("path", short.alias("short"), F.coalesce(magic, F.lit(False)).alias("magic"))
-    error = F.when(F.col("short"), "truncated").when(~F.col("magic"), "not_webp").when(F.coalesce(F.col("frames"), F.lit(False)) & ~animated, "invalid_container").when(size("width").isNull() & F.col("cut"), "truncated").when(size("width").isNull(), "missing_image")
-    return flags.join(per_file, "path", "left").select("path", size("width").alias("width"), size("height").alias("height"), codec.alias("codec"), alpha.alias("has_alpha"), F.coalesce("sidecar", F.lit(False)).alias("has_metadata"), animated.alias("is_animated"), error.alias("error"))
+    return _described(files).drop("places")
 
 
 def metadata(files: DataFrame) -> DataFrame:
     """(path, icc, exif, xmp): each sidecar's first chunk, else null; files without chunks have no row."""
-    return chunks(files).groupBy("path").agg(*[_first(fourcc).alias(name) for name, fourcc in SIDECARS.items()])
+    walked = files.select("path", "content", riff.places(F.col("content")).alias("places")).where("size(places) > 0")
+    return walked.select("path", *[_payload(_place(fourcc)).alias(name) for name, fourcc in SIDECARS.items()])
 
 
 def resolved(old: Column, new: Column, keep: Column) -> Column:
@@ -80,26 +92,21 @@ def with_metadata(files: DataFrame, icc: Column, exif: Column, xmp: Column, widt
     The order is VP8X, ICCP, the rest, EXIF, XMP; VP8X is written only if there is something for it to tell.
     ``icc``, ``exif``, ``xmp`` are binary expressions over ``files``, the sizes are the canvas's.
     """
-    edits = files.select("path", icc.alias("icc"), exif.alias("exif"), xmp.alias("xmp"), width.alias("w"), height.alias("h"))
-    rest = chunks(files).where(~F.col("fourcc").isin("VP8X", *SIDECARS.values()))
-    raw = F.concat(F.col("fourcc").cast("binary"), F.expr("unhex('')"))
-    piece = F.struct("idx", F.concat(raw, riff.le_bytes(F.col("size"), 4), F.col("payload"), F.when(F.col("size") % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b""))).alias("b"))
-    bodies = rest.groupBy("path").agg(
-        F.aggregate(F.array_sort(F.collect_list(piece)), F.lit(b""), lambda acc, x: F.concat(acc, x["b"])).alias("body"),
-        F.bool_or(F.col("fourcc") == "ALPH").alias("alpha"),
-        F.bool_or(F.col("fourcc") == "ANIM").alias("animated"),
-    )
+    edits = files.select("path", "content", icc.alias("icc"), exif.alias("exif"), xmp.alias("xmp"), width.alias("w"), height.alias("h"), riff.places(F.col("content")).alias("places"))
+    rest = F.filter("places", lambda c: ~c["fourcc"].isin("VP8X", *SIDECARS.values()))
+    kept = edits.withColumn("rest", rest).where("size(rest) > 0")
+    # As hex digits, because those are joined in one go; a fold over bytes would copy the growing body for each chunk.
+    digits = lambda c: F.concat(F.hex(F.substring(F.col("content"), (c["payload_start"] - 7).cast("int"), (c["size"] + 8).cast("int"))), F.when(c["size"] % 2 == 1, "00").otherwise(""))
+    bodies = kept.select("path", "icc", "exif", "xmp", "w", "h", _has("ALPH").alias("alpha"), _has("ANIM").alias("animated"), F.unhex(F.array_join(F.transform("rest", digits), "")).alias("body"))
     has = [F.col(c).isNotNull() for c in ("icc", "exif", "xmp")]
     flags = riff.vp8x_flags(has[0], F.col("alpha"), has[1], has[2], F.col("animated"))
     head = F.when(flags > 0, riff.chunk("VP8X", riff.vp8x(flags, F.col("w"), F.col("h")))).otherwise(F.lit(b""))
     body = F.concat(head, riff.chunk("ICCP", F.col("icc")), F.col("body"), riff.chunk("EXIF", F.col("exif")), riff.chunk("XMP ", F.col("xmp")))
-    return bodies.join(edits, "path").select("path", riff.envelope(body).alias("content"))
+    return bodies.select("path", body.alias("body")).select("path", riff.envelope(F.col("body")).alias("content"))
 
 
 def report(files: DataFrame) -> DataFrame:
-    """(path, container, json): the class of the container and a report of the image and its chunks as JSON."""
-    listed = chunks(files, lenient=True).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "fourcc", "payload_start", "size", "truncated"))).alias("chunks"),
-        F.when(F.bool_or(F.col("fourcc").isin("ANIM", "ANMF")), "animation").when(F.bool_or(F.col("fourcc") == "VP8X"), "extended").otherwise("simple").alias("container"),
-    )
-    return listed.join(images(files), "path").select("path", "container", F.to_json(F.struct("width", "height", "codec", "has_alpha", "has_metadata", "is_animated", "container", "chunks")).alias("json"))
+    """(path, container, json): the class of the container and a report of the image and its chunks as JSON; files without chunks have no row."""
+    kind = F.when(_has("ANIM", "ANMF"), "animation").when(_has("VP8X"), "extended").otherwise("simple")
+    listed = _described(files).where("size(places) > 0").withColumns({"container": kind, "chunks": F.col("places")})
+    return listed.select("path", "container", F.to_json(F.struct("width", "height", "codec", "has_alpha", "has_metadata", "is_animated", "container", "chunks")).alias("json"))

@@ -60,6 +60,10 @@ def cross_coloured(pixels: DataFrame, tiles: DataFrame, bits: int, inverse: bool
     return at.select("img", "x", "y", argb.cross_color(F.col("argb"), F.col("green_to_red"), F.col("green_to_blue"), F.col("red_to_blue"), inverse).alias("argb"))
 
 
+#: Fixed value: a side of an image from which near-lossless passes are made.
+MIN_NEAR_LOSSLESS = 64
+
+
 def near_lossless_bits(level: int) -> int:
     """How many low bits a level of 0 to 100 may change."""
     return 0 if level >= 100 else 5 - level // 20
@@ -77,10 +81,15 @@ def near_lossless(pixels: DataFrame, bits: int) -> DataFrame:
 
 
 def near_lossless_passes(pixels: DataFrame, level: int) -> DataFrame:
-    """All passes of a level, the strongest first."""
+    """All passes of a level, the strongest first; images with fewer than MIN_NEAR_LOSSLESS pixels both ways stay as they are."""
+    sizes = pixels.groupBy("img").agg((F.greatest(F.max("x"), F.max("y")) + 1 >= MIN_NEAR_LOSSLESS).alias("large"))
+    if near_lossless_bits(level) == 0:
+        return pixels
+    sized = pixels.join(sizes, "img")
+    small, pixels = sized.where("not large").select(*pixels.columns), sized.where("large").select(*pixels.columns)
     for bits in range(near_lossless_bits(level), 0, -1):
         pixels = near_lossless(pixels, bits)
-    return pixels
+    return pixels.union(small.select(*pixels.columns))
 
 
 def alpha_filtered(planes: DataFrame, kind: str) -> DataFrame:

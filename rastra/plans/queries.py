@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastra.functions import argb, riff
+from rastra.functions.bits import le_bytes
 from rastra.operators import animation, batch, container, pixels, transforms
+from rastra.sources import images
 from rastra.plans.raster import ARGB, FRAMES_SQL, LINES_SQL, PAGES_SQL, PX_SQL, embedding_pixels, event_frames, line_pixels, page_files, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +165,68 @@ def animation_codecs(spark, sf_dir):
     return animation.codecs(animation.write(rows.withColumn("payload", still)))
 
 
+@query("SELECT page_id AS path, CASE WHEN page_id % 3 = 0 THEN 'new' WHEN page_id % 3 = 1 THEN coalesce(url, '') END AS exif FROM pages")
+def metadata_selection(spark, sf_dir):
+    """EXIF is replaced, kept or left out, by the page's number; the files are written again and read back."""
+    files = page_files(spark, sf_dir)
+    third, null = F.pmod("path", F.lit(3)), F.lit(None).cast("binary")
+    old = container.metadata(files).withColumnRenamed("exif", "old").select("path", "old")
+    exif = container.resolved(F.col("old"), F.when(third == 0, F.lit(b"new")), third == 1)
+    again = container.with_metadata(files.join(old, "path"), null, exif, null, F.lit(1), F.lit(1))
+    return container.metadata(again).select("path", F.decode("exif", "UTF-8").alias("exif"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey & 3 AS BIGINT) AS method, CAST((p_partkey >> 2) & 3 AS BIGINT) AS filter, CAST((p_partkey >> 4) & 3 AS BIGINT) AS preprocessing FROM part WHERE p_partkey & 192 = 0")
+def alpha_header(spark, sf_dir):
+    """The first byte of alpha data; headers with reserved bits have no row."""
+    head = riff.read_alph_header(le_bytes(F.col("p_partkey").bitwiseAND(F.lit(255)), 1))
+    return table(spark, sf_dir, "part").select("p_partkey", head.alias("h")).where("h is not null").select("p_partkey", "h.method", "h.filter", "h.preprocessing")
+
+
+@query(f"WITH {FRAMES_SQL}, n AS (SELECT path, count(*) AS n FROM fr GROUP BY path) SELECT path, frame_idx, CASE WHEN frame_idx = 1 THEN CAST(5 AS BIGINT) ELSE duration_ms END AS duration_ms FROM fr UNION ALL SELECT path, 1, CAST(5 AS BIGINT) FROM n WHERE n = 1")
+def frame_replacement(spark, sf_dir):
+    """Frame 1 of every animation becomes one of 5 ms."""
+    rows = event_frames(spark, sf_dir)
+    new = rows.where("frame_idx = 0").withColumn("duration_ms", F.lit(5).cast("long"))
+    return animation.replaced_frame(rows, new, 1).select("path", "frame_idx", "duration_ms")
+
+
+@query(f"WITH {PX_SQL}, f AS (SELECT img - 1 AS img, x, y, CASE WHEN img % 4 = 0 THEN 0 ELSE a END AS a FROM px) SELECT px.img, CASE WHEN px.img % 3 > 0 AND bool_or(px.a > 0) AND bool_and(coalesce(f.a = 0, false)) THEN 'background' ELSE 'keep' END AS dispose FROM px LEFT JOIN f USING (img, x, y) WHERE px.img % 3 = 0 OR x < 5 GROUP BY px.img")
+def part_disposals(spark, sf_dir):
+    """Every third image fills its canvas of 8 x 8 and is kept; of the others only the left part is a frame."""
+    px = embedding_pixels(spark, sf_dir)
+    following = px.select((F.col("img") - 1).alias("img"), "x", "y", F.when(F.pmod("img", F.lit(4)) == 0, 0).otherwise(F.col("argb")).alias("argb"))
+    return animation.disposals(px.where((F.pmod("img", F.lit(3)) == 0) | (F.col("x") < 5)), following, (8, 8))
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL} SELECT img, x, y, argb FROM pa")
+def raw_round_trip(spark, sf_dir):
+    """Pixels written as raw files and read again."""
+    files = images.to_raw(embedding_pixels(spark, sf_dir)).withColumnsRenamed({"img": "path"})
+    return images.raw_pixels(files.select("path", F.lit(8).alias("width"), F.lit(8).alias("height"), "content"))
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL} SELECT img, x, y, argb | 4278190080 AS argb FROM pa")
+def ppm_round_trip(spark, sf_dir):
+    """Pixels written as PPM files, given a comment of 600 characters each, and read again; alpha is lost."""
+    files = images.to_ppm(embedding_pixels(spark, sf_dir)).withColumnRenamed("img", "path")
+    comment = F.concat(F.lit(b"P6\n#"), F.repeat(F.lit("long "), F.lit(120)).cast("binary"), F.lit(b"\n"))
+    return images.ppm_pixels(files.withColumn("content", F.concat(comment, F.expr("substring(content, 4)"))))
+
+
+@query("SELECT page_id AS path, kind AS format, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height FROM (SELECT page_id, page_id % 500 + 1 AS w, page_id % 300 + 1 AS h, CASE page_id % 3 WHEN 0 THEN 'ppm' WHEN 1 THEN 'gif' ELSE 'bmp' END AS kind FROM pages)")
+def header_sizes(spark, sf_dir):
+    """Sizes from the headers of PPM (behind comments), GIF and BMP files."""
+    w, h = F.pmod("page_id", F.lit(500)) + 1, F.pmod("page_id", F.lit(300)) + 1
+    binary = lambda c: c.cast("string").cast("binary")
+    ppm = F.concat(F.lit(b"P6\n# "), F.repeat(F.lit("x"), F.lit(700)).cast("binary"), F.lit(b"\n"), binary(w), F.lit(b" "), binary(h), F.lit(b"\n255\n"))
+    gif = F.concat(F.lit(b"GIF89a"), le_bytes(w, 2), le_bytes(h, 2), F.lit(bytes(10)))
+    bmp = F.concat(F.lit(b"BM" + bytes(16)), le_bytes(w, 4), le_bytes(h, 4), F.lit(bytes(20)))
+    third = F.pmod("page_id", F.lit(3))
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.when(third == 0, ppm).when(third == 1, gif).otherwise(bmp).alias("content"))
+    return images.sizes(files).select("path", "format", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
+
+
 # --- pixels -----------------------------------------------------------------------------------------------------
 
 

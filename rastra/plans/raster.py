@@ -63,11 +63,11 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a file for each page, with VP8X, a lossless header and the page's text as image, and its address as EXIF."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).cast("binary")
-    w, h = F.pmod("page_id", F.lit(500)) + 1, F.pmod("page_id", F.lit(300)) + 1
-    image = F.concat(riff.vp8l_header(w, h, F.pmod("page_id", F.lit(2)) == 1), text("html"))
-    flags = F.lit(riff.EXIF) + F.when(F.pmod("page_id", F.lit(2)) == 1, riff.ALPHA).otherwise(0)
-    body = F.concat(riff.chunk("VP8X", riff.vp8x(flags, w, h)), riff.chunk("VP8L", image), riff.chunk("EXIF", text("url")))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), riff.envelope(body).alias("content"))
+    w, h, alpha = F.pmod("page_id", F.lit(500)) + 1, F.pmod("page_id", F.lit(300)) + 1, F.pmod("page_id", F.lit(2)) == 1
+    # One step at a time: a chunk's payload is named several times in it, and would be computed each time.
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), text("url").alias("exif"), F.concat(riff.vp8l_header(w, h, alpha), text("html")).alias("image"), riff.vp8x(F.lit(riff.EXIF) + F.when(alpha, riff.ALPHA).otherwise(0), w, h).alias("head"))
+    body = F.concat(riff.chunk("VP8X", F.col("head")), riff.chunk("VP8L", F.col("image")), riff.chunk("EXIF", F.col("exif")))
+    return pages.select("path", body.alias("body")).select("path", riff.envelope(F.col("body")).alias("content"))
 
 
 PAGES_SQL = """pg AS (SELECT page_id AS path, page_id % 500 + 1 AS w, page_id % 300 + 1 AS h, page_id % 2 = 1 AS alpha,

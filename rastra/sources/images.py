@@ -25,7 +25,7 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], pattern: str | N
 def sizes(files: DataFrame) -> DataFrame:
     """``files`` with format, width and height from the first bytes alone: PNG, BMP, GIF, PPM and PAM; null for others."""
     content, kind = F.col("content"), format_by_content(F.col("content"))
-    head = ascii_text(F.substring(content, 1, 512))
+    head = ascii_text(F.when(kind.isin("ppm", "pam"), content).otherwise(F.substring(content, 1, 1)))  # comments may be of any length
     plain = F.regexp_replace(head, r"#[^\n]*\n", " ")
     ppm = lambda i: F.regexp_extract(plain, r"^P6\s+(\d+)\s+(\d+)\s", i)
     pam = lambda name: F.regexp_extract(plain, rf"\n{name}\s+(\d+)", 1)
@@ -63,7 +63,7 @@ def raw_pixels(files: DataFrame, layout: str = "rgba8") -> DataFrame:
 
 def ppm_pixels(files: DataFrame) -> DataFrame:
     """(img, x, y, argb) of PPM files (P6, 255 as largest value, comments allowed)."""
-    head = ascii_text(F.substring("content", 1, 512))
+    head = ascii_text(F.col("content"))
     match = F.regexp_extract(head, r"^(P6(?:\s+#[^\n]*\n|\s+)+\d+(?:\s+#[^\n]*\n|\s+)+\d+(?:\s+#[^\n]*\n|\s+)+255\s)", 1)
     sized = sizes(files).withColumns({"skip": F.length(match), "img": F.col("path")}).where("skip > 0 and format = 'ppm'")
     sized = sized.where(F.octet_length("content") >= F.col("skip") + 3 * F.col("width") * F.col("height"))

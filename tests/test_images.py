@@ -196,3 +196,19 @@ def test_shrink_takes_every_image_with_its_alpha(spark):
     images = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     got = QUERIES["shrink"](spark, SF).collect()
     assert len(got) == 16 * images and any(0 < r["argb"] >> 24 < 255 for r in got)
+
+
+def test_a_bad_frame_ends_its_animation_only(spark):
+    schema = "path string, frame_idx int, x int, y int, width int, height int, canvas_w int, canvas_h int, duration_ms int, blend string, dispose string, has_alpha boolean, argb array<long>"
+    rows = [frame(0, 0, 0, 2, 1, [1, 2]), frame(1, 1, 0, 2, 1, [3, 4]), frame(2, 0, 0, 2, 1, [5, 6])]
+    rows += [("other", *r[1:]) for r in (rows[0], rows[2])] + [("short", *frame(0, 0, 0, 2, 1, [7])[1:]), ("null", *frame(0, 0, 0, 2, 1, None)[1:])]
+    got = {(r["path"], r["frame_idx"], r["error"]) for r in animation.composited(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {("p", 0, None), ("p", 1, "invalid_container"), ("other", 0, None), ("other", 2, None), ("short", 0, "invalid_container"), ("null", 0, "invalid_container")}
+
+
+def test_near_lossless_leaves_small_images_alone(spark):
+    px = spark.range(6 * 63).selectExpr("'s' AS img", "cast(id % 6 as int) AS x", "cast(id div 6 as int) AS y", "cast(4278190080 + pmod(id * 7919 * 7919, 16777216) as bigint) AS argb")
+    wide = spark.range(6 * 64).selectExpr("'w' AS img", "cast(id % 64 as int) AS x", "cast(id div 64 as int) AS y", "cast(4278190080 + pmod(id * 7919 * 7919, 16777216) as bigint) AS argb")
+    before = {tuple(r) for r in px.union(wide).collect()}
+    after = {tuple(r) for r in transforms.near_lossless_passes(px.union(wide), 0).collect()}
+    assert {r for r in before - after if r[0] == "s"} == set() and {r for r in before - after if r[0] == "w"} != set()
