@@ -288,10 +288,11 @@ def premultiplied(spark, sf_dir):
     return embedding_pixels(spark, sf_dir).select("img", "x", "y", argb.matte(F.col("argb")).alias("argb"))
 
 
-@query(f"WITH {PX_SQL}, o AS (SELECT img, x // 2 AS x, y // 2 AS y, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM px WHERE label % 3 <> 0 GROUP BY ALL) SELECT img, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(4278190080 | (CAST((2 * r + n) // (2 * n) AS BIGINT) << 16) | (CAST((2 * g + n) // (2 * n) AS BIGINT) << 8) | CAST((2 * b + n) // (2 * n) AS BIGINT) AS BIGINT) AS argb FROM o")
+@query(f"WITH {PX_SQL}, o AS (SELECT img, x // 2 AS x, y // 2 AS y, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM px GROUP BY ALL) SELECT img, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(4278190080 | (CAST((2 * r + n) // (2 * n) AS BIGINT) << 16) | (CAST((2 * g + n) // (2 * n) AS BIGINT) << 8) | CAST((2 * b + n) // (2 * n) AS BIGINT) AS BIGINT) AS argb FROM o")
 def shrink_opaque(spark, sf_dir):
-    opaque = table(spark, sf_dir, "embeddings").where(F.pmod("label", F.lit(3)) != 0).select(F.col("vec_id").alias("img"))
-    return pixels.shrink(embedding_pixels(spark, sf_dir).join(opaque, "img", "left_semi"), 2)
+    """All images, with their alpha set to opaque."""
+    px = embedding_pixels(spark, sf_dir)
+    return pixels.shrink(px.withColumn("argb", argb.opaque(F.col("argb"))), 2)
 
 
 _MATTE = ", ".join(f"CASE WHEN a = 255 THEN {c} WHEN a = 0 THEN 0 ELSE ({c} * a * 65793 + 8388608) >> 24 END AS {c}" for c in "rgb")
