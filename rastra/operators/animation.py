@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastra.functions import argb, riff
-from rastra.operators.container import chunks
+from rastra.functions.bits import le_bytes
+from rastra.operators.container import chunk_bytes, chunks, described, first_chunk
 
 #: The largest sum of durations that is reported.
 MAX_DURATION = (1 << 32) - 1
@@ -70,6 +71,53 @@ def write(rows: DataFrame, loop_count: int = 0, background: int = 0, alpha: bool
     return per_file.select("path", body.alias("body")).select("path", riff.envelope(F.col("body")).alias("content"))
 
 
+def as_stills(rows: DataFrame) -> DataFrame:
+    """(path, frame_idx, content): each frame as a file of its own, its image's bytes unchanged; null content without an image.
+
+    Of repeated chunks the first counts. A lossless image makes a simple file; a lossy one with alpha an extended file of the frame's size.
+    """
+    walked = rows.select("path", "frame_idx", "width", "height", F.col("payload").alias("content"), riff.places(F.col("payload"), start=0).alias("places"))
+    image = F.get(F.filter("places", lambda c: c["fourcc"].isin("VP8L", "VP8 ")), F.lit(0))
+    cut = walked.select("path", "frame_idx", "width", "height", image["fourcc"].alias("kind"), chunk_bytes(image).alias("image"), chunk_bytes(first_chunk("ALPH")).alias("alpha"))
+    head = riff.chunk("VP8X", riff.vp8x(F.lit(riff.ALPHA), F.col("width"), F.col("height")))
+    lossy = F.concat(F.when(F.col("alpha").isNotNull(), head).otherwise(F.lit(b"")), riff.chunk("ALPH", F.col("alpha")), riff.chunk("VP8 ", F.col("image")))
+    body = F.when(F.col("kind") == "VP8L", riff.chunk("VP8L", F.col("image"))).when(F.col("kind") == "VP8 ", lossy)
+    return cut.select("path", "frame_idx", body.alias("body")).select("path", "frame_idx", riff.envelope(F.col("body")).alias("content"))
+
+
+def from_stills(files: DataFrame, x: Column, y: Column, duration_ms: Column, blend: Column, dispose: Column) -> DataFrame:
+    """(path, x, y, width, height, duration_ms, blend, dispose, payload, error): still files as frames, their image's bytes unchanged.
+
+    The columns are expressions over ``files``. error is invalid_frame (odd or negative offsets, a duration beyond 24 bits, or nulls among
+    them), that of ``container.images``, unsupported_feature (an animation) or null; with an error the payload is null.
+    """
+    options = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), duration_ms.cast("long").alias("duration_ms"), blend.alias("blend"), dispose.alias("dispose"))
+    parts = {name: chunk_bytes(first_chunk(fourcc)) for name, fourcc in (("_l", "VP8L"), ("_v", "VP8 "), ("_a", "ALPH"))}
+    found = described(files.select("path", "content", options.alias("options")), ("options",), parts)
+    o = lambda name: F.col(f"options.{name}")
+    fine = (o("x") >= 0) & (o("y") >= 0) & (o("x") % 2 == 0) & (o("y") % 2 == 0) & o("duration_ms").between(0, (1 << 24) - 1)
+    error = F.when(~F.coalesce(fine, F.lit(False)), "invalid_frame").when(F.col("error").isNotNull(), F.col("error")).when(F.col("is_animated"), "unsupported_feature").when(F.coalesce("_l", "_v").isNull(), "missing_image")
+    body = F.when(F.col("_l").isNotNull(), riff.chunk("VP8L", F.col("_l"))).otherwise(F.concat(riff.chunk("ALPH", F.col("_a")), riff.chunk("VP8 ", F.col("_v"))))
+    made = found.select("path", "options", "width", "height", error.alias("error"), body.alias("body"))
+    size = lambda c: F.col(c).cast("long").alias(c)
+    return made.select("path", "options.x", "options.y", size("width"), size("height"), "options.duration_ms", "options.blend", "options.dispose", F.when(F.col("error").isNull(), F.col("body")).alias("payload"), "error")
+
+
+def with_settings(files: DataFrame, loop_count: Column | None = None, background: Column | None = None) -> DataFrame:
+    """(path, content): animated files with another loop count or background colour (expressions over ``files``; null or none: as it was).
+
+    Everything else keeps its bytes; files without an ANIM chunk are returned as they are. Nothing is shuffled.
+    """
+    none = F.lit(None).cast("long")
+    asked = files.select("path", "content", (none if loop_count is None else loop_count).alias("loops"), (none if background is None else background).alias("colour"), riff.places(F.col("content")).alias("places"))
+    # The old bytes are taken over as they are, not read and written again.
+    placed = asked.select("path", "content", "loops", "colour", F.get(F.filter("places", lambda c: (c["fourcc"] == "ANIM") & (c["size"] >= 6)), F.lit(0))["payload_start"].cast("int").alias("at"))
+    bytes_at = lambda skip, n: F.substring(F.col("content"), F.col("at") + 1 + skip, F.lit(n))
+    new = F.concat(F.coalesce(le_bytes(F.col("colour"), 4), bytes_at(0, 4)), F.coalesce(le_bytes(F.col("loops"), 2), bytes_at(4, 2)))
+    content = F.concat(F.substring(F.col("content"), F.lit(1), F.col("at")), new, F.expr("substring(content, at + 7)"))
+    return placed.select("path", F.when(F.col("at").isNull(), F.col("content")).otherwise(content).alias("content"))
+
+
 def changed_boxes(now: DataFrame, before: DataFrame) -> DataFrame:
     """(img, x, y, width, height) around the pixels in which two pixel tables differ, the corner at even places; equal images have no row."""
     both = now.alias("n").join(before.alias("p"), ["img", "x", "y"]).where(F.col("n.argb") != F.col("p.argb"))

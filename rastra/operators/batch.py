@@ -20,7 +20,7 @@ EXTENSIONS = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "tif":
 #: A command's exit codes by kind of outcome; fixed values.
 EXIT_CODES = {"success": 0, "predicate": 1, "usage": 2, "read": 3, "write": 4, "codec": 5, "unsupported": 6, "limit": 7, "dimensions": 8, "format": 9}
 #: The kind of each error code that the operators here report.
-KINDS = {"not_webp": "codec", "truncated": "codec", "missing_image": "codec", "invalid_container": "codec", "size_mismatch": "usage", "unsupported_feature": "unsupported", "limit_exceeded": "limit", "invalid_dimensions": "dimensions", "pixel_buffer_mismatch": "dimensions", "crop_out_of_bounds": "usage"}
+KINDS = {"not_webp": "codec", "truncated": "codec", "missing_image": "codec", "invalid_container": "codec", "size_mismatch": "usage", "unsupported_feature": "unsupported", "limit_exceeded": "limit", "invalid_dimensions": "dimensions", "pixel_buffer_mismatch": "dimensions", "crop_out_of_bounds": "usage", "invalid_frame": "codec", "conflicting_options": "usage"}
 #: Search levels of 0 to 9 for the scale of methods 0 to 6; fixed values.
 METHOD_LEVELS = (0, 1, 3, 4, 6, 7, 9)
 
@@ -38,6 +38,36 @@ def effort(method: Column, level: Column, quality: Column) -> Column:
     return F.when(method.isNotNull(), by_method).when(level.isNotNull(), clip(level, 9).cast("int")).when(quality.isNotNull(), clip(F.floor(quality / 10), 9).cast("int"))
 
 
+def breadth(level: Column) -> Column:
+    """struct(tile_bits, cross_colour, optimal_parse, blockwise_codes): what a search level (0 to 9) tries; fixed values."""
+    tiles = F.when(level <= 1, F.array(F.lit(4))).when(level == 2, F.array(*map(F.lit, (3, 4)))).when(level == 3, F.array(*map(F.lit, (2, 3, 4)))).otherwise(F.array(*map(F.lit, (2, 3, 4, 5))))
+    return F.struct(tiles.alias("tile_bits"), (level >= 1).alias("cross_colour"), (level >= 1).alias("optimal_parse"), (level >= 6).alias("blockwise_codes"))
+
+
+def encode_mode(kind: Column, lossless: Column, near_lossless: Column, lossy: Column, quality: Column) -> Column:
+    """struct(codec, quality, near_lossless, derived, error): the codec that options ask for; without any, JPEG stays lossy at 75 and the rest lossless.
+
+    lossless and lossy are booleans, near_lossless and quality numbers; null means not given. Options for both codecs are the error conflicting_options.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    exact, loose = yes(lossless) | near_lossless.isNotNull(), yes(lossy) | quality.isNotNull()
+    clash, derived = exact & loose, ~exact & ~loose
+    codec = F.when(clash, None).when(exact, "lossless").when(loose | (derived & F.coalesce(kind == "jpeg", F.lit(False))), "lossy").otherwise("lossless")
+    return F.struct(codec.alias("codec"), F.when(codec == "lossy", F.coalesce(quality, F.lit(75))).cast("int").alias("quality"), F.when(codec == "lossless", near_lossless).cast("int").alias("near_lossless"), derived.alias("derived"), F.when(clash, "conflicting_options").alias("error"))
+
+
+def strategy(codec: Column, derived: Column, optimise: Column, has_target: Column) -> Column:
+    """struct(strategy, error): once, optimise (every lossless level) or search (a quality for a target).
+
+    Optimising goes with neither a target nor a lossy codec that was asked for (one that follows from the input is encoded once);
+    a target goes with lossy only. What contradicts is the error conflicting_options.
+    """
+    lossy = codec == "lossy"
+    clash = (optimise & (has_target | (lossy & ~derived))) | (~optimise & has_target & ~lossy)
+    choice = F.when(optimise & ~lossy, "optimise").when(has_target, "search").otherwise("once")
+    return F.struct(F.when(~clash, choice).alias("strategy"), F.when(clash, "conflicting_options").alias("error"))
+
+
 def effective(*layers: tuple[str, Column]) -> Column:
     """struct(value, origin) of a setting: the first layer (origin, value) that is not null."""
     value = F.coalesce(*[v for _, v in layers])

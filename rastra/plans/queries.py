@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from rastra.functions import argb, riff
 from rastra.functions.bits import le_bytes
-from rastra.operators import animation, batch, container, pixels, transforms
+from rastra.operators import animation, batch, container, lossy, pixels, transforms
 from rastra.sources import images
+from rastra.streaming import incremental
 from rastra.plans.raster import ARGB, FRAMES_SQL, LINES_SQL, PAGES_SQL, PX_SQL, embedding_pixels, event_frames, line_pixels, page_files, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -560,3 +561,218 @@ def exit_codes_and_settings(spark, sf_dir):
     error = F.when(n(4) == 1, "not_webp").when(n(4) == 2, "invalid_dimensions").when(n(4) == 3, "limit_exceeded")
     setting = batch.effective(("argument", F.when(n(5) == 0, 1)), ("environment", F.when(n(3) == 0, 2)), ("default", F.lit(3)))
     return table(spark, sf_dir, "customer").select("c_custkey", batch.exit_code(error).alias("code"), setting["origin"].alias("origin"))
+
+
+# --- frames and stills, nested chunks, pieces -------------------------------------------------------------------------
+
+
+@query(f"""WITH {FRAMES_SQL}, n AS (SELECT path, count(*) AS n FROM fr GROUP BY path)
+SELECT path, CAST(NULL AS INT) AS parent_idx, 0 AS idx, 'VP8X' AS fourcc, CAST(20 AS BIGINT) AS payload_start, CAST(10 AS BIGINT) AS size FROM n UNION ALL SELECT path, NULL, 1, 'ANIM', 38, 6 FROM n
+UNION ALL SELECT path, NULL, frame_idx + 2, 'ANMF', 52 + 36 * frame_idx, 28 FROM fr UNION ALL SELECT path, frame_idx + 2, 0, 'VP8L', 76 + 36 * frame_idx, 3 FROM fr""")
+def nested_chunks(spark, sf_dir):
+    rows = event_frames(spark, sf_dir).withColumn("payload", riff.chunk("VP8L", F.lit(b"abc")))
+    return container.nested_chunks(animation.write(rows))
+
+
+@query(f"WITH {FRAMES_SQL} SELECT path, frame_idx, CAST(width AS INT) AS width, CAST(height AS INT) AS height, CASE WHEN path % 2 = 0 THEN 'lossless' ELSE 'lossy' END AS codec, frame_idx % 2 = 1 AS has_alpha FROM fr WHERE path % 7 <> 6")
+def frames_as_stills(spark, sf_dir):
+    """Frames taken out as files and probed: lossless ones, lossy ones with and without alpha, and (left out by the operator) such without an image."""
+    rows, w, h, alpha = event_frames(spark, sf_dir), F.col("width"), F.col("height"), F.pmod("frame_idx", F.lit(2)) == 1
+    coded = F.concat(F.when(alpha, riff.chunk("ALPH", F.lit(b"abc"))).otherwise(F.lit(b"")), riff.chunk("VP8 ", F.concat(riff.vp8_header(w, h, F.lit(0)), F.lit(b"xyz"))))
+    path = F.col("path")
+    payload = F.when(F.pmod(path, F.lit(7)) == 6, riff.chunk("junk", F.lit(b"abc"))).when(F.pmod(path, F.lit(2)) == 0, riff.chunk("VP8L", riff.vp8l_header(w, h, alpha))).otherwise(coded)
+    stills = animation.as_stills(animation.frames(animation.write(rows.withColumn("payload", payload)))).where("content is not null")
+    found = container.images(stills.select(F.concat_ws("-", "path", "frame_idx").alias("path"), "content"))
+    part = lambda i, kind: F.split_part("path", F.lit("-"), F.lit(i)).cast(kind)
+    return found.select(part(1, "long").alias("path"), part(2, "int").alias("frame_idx"), "width", "height", "codec", "has_alpha")
+
+
+@query(f"""WITH {PAGES_SQL}, e AS (SELECT *, CASE WHEN path % 4 = 1 OR path % 9 = 0 THEN 'invalid_frame' WHEN path % 5 = 0 THEN 'not_webp' END AS error FROM pg)
+SELECT path, path % 4 AS x, CASE WHEN error IS NULL OR path % 5 <> 0 THEN w END AS width, error, CASE WHEN error IS NULL THEN CAST(8 + image + image % 2 AS BIGINT) END AS payload_bytes FROM e""".replace("path % 4 = 1", "path % 2 = 1 AND path % 4 < 3"))
+def stills_as_frames(spark, sf_dir):
+    """Files as frames; odd offsets, durations that are too long and files that are no images have an error."""
+    path = F.col("path")
+    fifth = F.pmod(path, F.lit(5)) == 0
+    files = page_files(spark, sf_dir).withColumn("content", F.when(fifth, F.lit(b"no such image file")).otherwise(F.col("content")))
+    x = F.pmod(path, F.lit(4))
+    made = animation.from_stills(files, F.when(x == 3, 4).otherwise(x), F.lit(2), F.when(F.pmod(path, F.lit(9)) == 0, 1 << 24).otherwise(40), F.lit("blend"), F.lit("keep"))
+    return made.select("path", F.pmod("path", F.lit(4)).alias("x"), "width", "error", F.octet_length("payload").cast("long").alias("payload_bytes"))
+
+
+@query(f"WITH {FRAMES_SQL} SELECT path, CASE WHEN path % 3 = 0 THEN CAST(9 AS BIGINT) ELSE 5 END AS loop_count, CASE WHEN path % 2 = 0 THEN CAST(4278190335 AS BIGINT) ELSE 17 END AS background, count(*) AS frame_count, CAST(sum(duration_ms) AS BIGINT) AS total_duration_ms FROM fr GROUP BY path")
+def animation_settings(spark, sf_dir):
+    """Another loop count for every third animation, another background for every second."""
+    files = animation.write(event_frames(spark, sf_dir), loop_count=5, background=17)
+    edited = animation.with_settings(files, F.when(F.pmod("path", F.lit(3)) == 0, F.lit(9)), F.when(F.pmod("path", F.lit(2)) == 0, F.lit(0xFF0000FF)))
+    return animation.animations(edited).select("path", "loop_count", "background", "frame_count", "total_duration_ms")
+
+
+@query(f"WITH {PAGES_SQL} SELECT path, alpha AS has_alpha, true AS has_icc, false AS has_exif, w AS width FROM pg")
+def metadata_flags(spark, sf_dir):
+    """The flags of rewritten files: alpha is what the image's header says."""
+    files = page_files(spark, sf_dir).withColumn("w", F.pmod("path", F.lit(500)) + 1)
+    null = F.lit(None).cast("binary")
+    edited = container.with_metadata(files, F.lit(b"icc"), null, null, F.col("w"), F.lit(1))
+    head = container.chunks(edited).where("fourcc = 'VP8X'").select("path", riff.read_vp8x(F.col("payload")).alias("x"))
+    return head.select("path", "x.has_alpha", "x.has_icc", "x.has_exif", "x.width")
+
+
+@query(f"""WITH {PAGES_SQL}, e AS (SELECT path, 46 + image + image % 2 + exif + exif % 2 AS n FROM pg)
+SELECT CAST(path AS VARCHAR) AS path, 'chunk' AS event, CAST(idx AS INT) AS idx, fourcc, payload_start, size FROM ck UNION ALL SELECT CAST(path AS VARCHAR), 'header', NULL, NULL, 12, n FROM e UNION ALL SELECT CAST(path AS VARCHAR), 'finished', 3, NULL, NULL, n FROM e""")
+def piece_events(spark, sf_dir):
+    """Files in pieces of 700 bytes: the events are the chunks."""
+    cut = F.explode(F.sequence(F.lit(0), F.call_function("div", F.octet_length("content") - 1, F.lit(700)).cast("int")))
+    pieces = page_files(spark, sf_dir).select("path", "content", cut.alias("seq"))
+    return incremental.whole_events(pieces.select("path", "seq", F.expr("substring(content, seq * 700 + 1, 700)").alias("bytes")))
+
+
+# --- more formats -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL} SELECT img, x, y, argb FROM pa")
+def pam_round_trip(spark, sf_dir):
+    return images.pam_pixels(images.to_pam(embedding_pixels(spark, sf_dir)).withColumnRenamed("img", "path"))
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL} SELECT img, x, y, argb FROM pa")
+def bmp_round_trip(spark, sf_dir):
+    return images.bmp_pixels(images.to_bmp(embedding_pixels(spark, sf_dir)).withColumnRenamed("img", "path"))
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL} SELECT img, x, y, argb FROM pa")
+def image_rows_round_trip(spark, sf_dir):
+    """Through the rows of Spark's image source."""
+    return images.image_pixels(images.to_image_rows(embedding_pixels(spark, sf_dir))).withColumn("img", F.col("img").cast("long"))
+
+
+@query("""WITH b AS (SELECT page_id, [CAST(14695981039346656037 AS HUGEINT)] || list_transform(range(1, length(url) + 1), lambda i: CAST(ascii(substr(url, i, 1)) AS HUGEINT)) AS v FROM pages)
+SELECT page_id, CAST(list_reduce(v, lambda h, c: xor(h, c) * 1099511628211 % 18446744073709551616) AS DECIMAL(20, 0)) AS hash FROM b""")
+def address_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", images.fnv1a(F.col("url").cast("binary")).alias("hash"))
+
+
+# --- lossy coding as arithmetic -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH b AS (SELECT p_partkey, p_size, {list(lossy.QUALITY_QUANTISERS)}[CAST(least(100, greatest(0, p_partkey % 130 - 10)) AS INT) + 1] AS base FROM part),
+q AS (SELECT p_partkey, CAST(least(127, base + CASE WHEN p_size % 2 = 0 THEN (142 - base) // 16 ELSE 0 END + (p_size % 5) * 127 // 100) AS INT) AS q FROM b),
+s AS (SELECT p_partkey, q, {list(lossy.DC_STEPS)}[q + 1] AS dc, {list(lossy.AC_STEPS)}[q + 1] AS ac, {list(lossy.DC_STEPS)}[least(q, 117) + 1] AS uv FROM q)
+SELECT p_partkey, q, dc AS y1_dc, ac AS y1_ac, dc * 2 AS y2_dc, CAST(greatest(8, (CAST(ac AS BIGINT) * 101581) >> 16) AS INT) AS y2_ac, uv AS uv_dc, ac AS uv_ac FROM s""")
+def quantisers(spark, sf_dir):
+    q = lossy.quantiser(F.pmod("p_partkey", F.lit(130)) - 10, F.pmod("p_size", F.lit(2)) == 0, F.pmod("p_size", F.lit(5)))
+    return table(spark, sf_dir, "part").select("p_partkey", q.alias("q")).select("p_partkey", "q", F.inline(F.array(lossy.steps(F.col("q")))))
+
+
+_BLOCKS_SQL = f"{PX_SQL}, bl AS (SELECT img, CAST(x // 4 AS INT) AS bx, CAST(y // 4 AS INT) AS b_y, list((r - 128) * 8 ORDER BY y, x) AS c FROM px GROUP BY ALL)"
+
+
+def _coefficients(spark, sf_dir):
+    """Blocks of 8 times the red samples around zero, taken as coefficients."""
+    red = (argb.channel(F.col("argb"), "r") - 128) * 8
+    return lossy.blocks(embedding_pixels(spark, sf_dir).select("img", "x", "y", red.alias("v")))
+
+
+@query(f"""WITH {_BLOCKS_SQL}, z AS (SELECT unnest(range(0, 16)) AS n, unnest({list(lossy.ZIGZAG)}) AS j), f AS (SELECT unnest(range(0, 16)) AS j, unnest({list(lossy.SHARPENING)}) AS w),
+cv AS (SELECT img, bx, b_y, n, j, c[j + 1] AS v, {list(lossy.AC_STEPS)}[CAST(img % 128 AS INT) + 1] AS ac, w, CASE WHEN j = 0 THEN {list(lossy.DC_STEPS)}[CAST(img % 128 AS INT) + 1] ELSE ac END AS step FROM bl, z JOIN f USING (j)),
+l AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE sign(v) * least(2047, ((abs(v) + ((w * ac) >> 11)) * ((131072 + step // 2) // step) + 65536) >> 17) END AS l FROM cv)
+SELECT img, bx, b_y AS by, string_agg(CAST(CAST(l AS BIGINT) AS VARCHAR), ',' ORDER BY n) AS levels, string_agg(CAST(CAST(l * step AS BIGINT) AS VARCHAR), ',' ORDER BY j) AS restored, CAST(coalesce(max(n) FILTER (l <> 0), 0) AS INT) AS last FROM l GROUP BY ALL""")
+def quantised_blocks(spark, sf_dir):
+    step = lossy.steps(F.pmod("img", F.lit(128)))
+    found = _coefficients(spark, sf_dir).withColumn("s", step).withColumn("f", lossy.quantised(F.col("block"), F.col("s.y1_dc"), F.col("s.y1_ac"), first=1, sharpen=True))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return found.select("img", "bx", "by", text("f.levels").alias("levels"), text("f.values").alias("restored"), "f.last")
+
+
+def _columns_sql(source: str, add: int) -> str:
+    """The four outputs of each column of a block's list c, as a list in the order of columns."""
+    return f"""(SELECT img, bx, b_y, list(v ORDER BY i, k) AS c FROM (SELECT img, bx, b_y, i, unnest([p + r + h, p - r + l, p - r - l, p + r - h]) AS v, unnest([0, 1, 2, 3]) AS k
+FROM (SELECT *, ((q * 35468) >> 16) - (((s * 20091) >> 16) + s) AS l, ((q * 20091) >> 16) + q + ((s * 35468) >> 16) AS h
+FROM (SELECT img, bx, b_y, i, c[i + 1] + {add} AS p, c[i + 5] AS q, c[i + 9] AS r, c[i + 13] AS s FROM {source}, (SELECT unnest(range(0, 4)) AS i)))) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_BLOCKS_SQL}, t AS {_columns_sql("bl", 0)}, d AS {_columns_sql("t", 4)} SELECT img, bx, b_y AS by, array_to_string(list_transform(c, lambda v: CAST(least(255, greatest(0, 100 + (v >> 3))) AS BIGINT)), ',') AS samples FROM d""")
+def inverse_dct(spark, sf_dir):
+    """Residuals on a flat prediction of 100."""
+    samples = lossy.reconstructed(F.array_repeat(F.lit(100).cast("long"), 16), lossy.inverse_dct(F.col("block")))
+    return _coefficients(spark, sf_dir).select("img", "bx", "by", F.array_join(samples.cast("array<string>"), ",").alias("samples"))
+
+
+@query(f"""WITH {_BLOCKS_SQL}, {_SIGNS}, s AS (SELECT img, bx, b_y, p.k AS i, q.k AS k, (CAST(sum(c[4 * u + v + 1] * p.s[u + 1] * q.s[v + 1]) AS BIGINT) + 3) >> 3 AS o FROM bl, sg p, sg q, (SELECT unnest(range(0, 4)) AS u), (SELECT unnest(range(0, 4)) AS v) GROUP BY ALL)
+SELECT img, bx, b_y AS by, string_agg(CAST(o AS VARCHAR), ',' ORDER BY i, k) AS firsts FROM s GROUP BY ALL""")
+def inverse_hadamard(spark, sf_dir):
+    return _coefficients(spark, sf_dir).select("img", "bx", "by", F.array_join(lossy.inverse_hadamard(F.col("block")).cast("array<string>"), ",").alias("firsts"))
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_partkey % 8 AS sharp, p_partkey % 2 = 0 AS small, (5 * (p_size * 2) * ({list(lossy.AC_STEPS)}[CAST(p_partkey % 128 AS INT) + 1] // 4)) // (256 + p_partkey % 256) AS f FROM part),
+l AS (SELECT *, CASE WHEN f < 2 THEN 0 ELSE least(63, f) END AS level FROM s),
+m AS (SELECT *, least(63, greatest(0, level - 3 + CASE WHEN small THEN 5 ELSE 0 END)) AS v FROM l),
+i AS (SELECT *, greatest(1, CASE WHEN sharp = 0 THEN v WHEN sharp > 4 THEN least(v // 4, 9 - sharp) ELSE least(v // 2, 9 - sharp) END) AS inside FROM m)
+SELECT p_partkey, CAST(level AS INT) AS level, CAST(CASE WHEN v > 0 THEN 2 * v + inside ELSE 0 END AS INT) AS edge_limit, CAST(CASE WHEN v > 0 THEN inside ELSE 0 END AS INT) AS inner_limit, v > 0 AND small AS inner_edges, CASE WHEN v >= 40 THEN 2 WHEN v >= 15 THEN 1 ELSE 0 END AS hev_threshold FROM i""")
+def filter_strengths(spark, sf_dir):
+    key = lambda k: F.pmod("p_partkey", F.lit(k))
+    level = lossy.filter_level(key(128), F.col("p_size") * 2, key(256))
+    limits = lossy.filter_limits(F.col("level"), key(8), key(2) == 0, F.lit(-3), F.lit(5))
+    return table(spark, sf_dir, "part").withColumn("level", level).select("p_partkey", "level", F.inline(F.array(limits)))
+
+
+@query("SELECT l_orderkey AS img, l_linenumber AS segment, CAST(255 * (a - min(a) OVER w) // greatest(1, max(a) OVER w - min(a) OVER w) AS INT) AS bias FROM (SELECT *, l_partkey % 200 AS a FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey)")
+def segment_biases(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img"), F.col("l_linenumber").alias("segment"), F.pmod("l_partkey", F.lit(200)).alias("activity"))
+    return lossy.segment_biases(rows).select("img", "segment", "bias")
+
+
+@query("""SELECT p_partkey, CAST(trunc((p_partkey % 256 - 128) * (p_size * 2) / 512) AS INT) AS shaping, CAST(2 + (p_size * 2 * 254 + 50) // 100 AS INT) AS alpha_levels,
+CASE p_partkey % 5 WHEN 0 THEN 80 WHEN 1 THEN 80 WHEN 2 THEN 25 WHEN 3 THEN 0 ELSE 50 END AS noise_shaping, CASE p_partkey % 5 WHEN 0 THEN 35 WHEN 1 THEN 30 WHEN 2 THEN 10 WHEN 3 THEN 0 ELSE 60 END AS filter_strength,
+CAST(CASE WHEN p_size % 2 = 0 THEN least(7, p_size) ELSE CASE p_partkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 0 END END AS INT) AS filter_sharpness, CASE WHEN p_partkey % 5 = 3 THEN 2 ELSE 4 END AS segments FROM part""")
+def tuning_values(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, ("picture", "Photo", "drawing", "text", "no such"))), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))
+    knobs = lossy.tuning(name, filter_sharpness=F.when(F.pmod("p_size", F.lit(2)) == 0, F.col("p_size")))
+    shaping = lossy.noise_shaping(F.pmod("p_partkey", F.lit(256)), F.col("p_size") * 2)
+    return table(spark, sf_dir, "part").select("p_partkey", shaping.alias("shaping"), lossy.alpha_levels(F.col("p_size") * 2).alias("alpha_levels"), F.inline(F.array(knobs)))
+
+
+def _log2_sql(n: str, out: str) -> str:
+    """CTEs from table {out}_0 (img, n) to {out} (img, l): the logarithm of n times 65,536, a bit in each."""
+    steps = [f"{out}_1 AS (SELECT img, length(bin(n)) - 1 AS w, CASE WHEN length(bin(n)) <= 17 THEN n << (17 - length(bin(n))) ELSE n >> (length(bin(n)) - 17) END AS m, 0 AS f FROM (SELECT img, CAST({n} AS BIGINT) AS n FROM se))"]
+    for k in range(16):
+        steps.append(f"{out}_{k + 2} AS (SELECT img, w, CASE WHEN q >= 131072 THEN q >> 1 ELSE q END AS m, f * 2 + CASE WHEN q >= 131072 THEN 1 ELSE 0 END AS f FROM (SELECT *, (m * m) >> 16 AS q FROM {out}_{k + 1}))")
+    return ", ".join([*steps, f"{out} AS (SELECT img, w * 65536 + f AS l FROM {out}_17)"])
+
+
+@query(f"""WITH {PX_SQL}, se AS (SELECT n.img, sum((n.r - p.r) * (n.r - p.r) + (n.g - p.g) * (n.g - p.g) + (n.b - p.b) * (n.b - p.b)) AS se, count(*) AS n FROM px n JOIN px p ON n.img = p.img + CASE WHEN p.img % 9 = 0 THEN 0 ELSE 1 END AND n.x = p.x AND n.y = p.y WHERE p.img % 9 <> 8 GROUP BY n.img),
+{_log2_sql("195075 * n", "a")}, {_log2_sql("greatest(se, 1)", "b")}
+SELECT img, CASE WHEN se = 0 THEN 4294967295 ELSE CAST(greatest(0, a.l - b.l) * 1000 // 217706 AS BIGINT) END AS centidecibels FROM se JOIN a USING (img) JOIN b USING (img)""")
+def exact_psnr(spark, sf_dir):
+    """Each image against the one before, the first of nine against itself."""
+    px = embedding_pixels(spark, sf_dir)
+    ninth = F.pmod("img", F.lit(9))
+    before = px.where(ninth != 8).withColumn("img", F.col("img") + F.when(ninth == 0, 0).otherwise(1))
+    return pixels.exact_psnr(px, before)
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL} SELECT img, x, y, CASE WHEN x < 6 THEN (argb & 16777215) | (g << 24) END AS argb FROM pa")
+def alpha_planes(spark, sf_dir):
+    """Alpha from a plane that lacks the last two columns."""
+    px = embedding_pixels(spark, sf_dir)
+    return pixels.with_alpha(px, px.where("x < 6").select("img", "x", "y", argb.channel(F.col("argb"), "g").alias("v")))
+
+
+@query("""WITH o AS (SELECT p_partkey, p_partkey % 2 = 0 AS jpeg, p_partkey % 3 = 0 AS lossless, p_partkey % 5 = 0 AS near, p_partkey % 7 = 0 AS loose, p_size % 4 = 0 AS q, p_size FROM part),
+m AS (SELECT *, (lossless OR near) AND (loose OR q) AS clash, NOT (lossless OR near OR loose OR q) AS derived FROM o),
+c AS (SELECT *, CASE WHEN clash THEN NULL WHEN lossless OR near THEN 'lossless' WHEN loose OR q OR jpeg THEN 'lossy' ELSE 'lossless' END AS codec FROM m),
+t AS (SELECT *, p_size % 3 = 0 AS opt, p_size % 5 = 0 AS aim FROM c)
+SELECT p_partkey, codec, CASE WHEN codec = 'lossy' THEN CASE WHEN q THEN p_size ELSE 75 END END AS quality, derived, CASE WHEN clash OR (opt AND (aim OR (codec = 'lossy' AND NOT derived))) OR (NOT opt AND aim AND codec = 'lossless') THEN 'conflicting_options' END AS error,
+CASE WHEN codec IS NULL OR error IS NOT NULL THEN NULL WHEN opt AND codec = 'lossless' THEN 'optimise' WHEN aim THEN 'search' ELSE 'once' END AS strategy FROM t""")
+def encode_modes(spark, sf_dir):
+    """Codec and strategy for combinations of options; a clash in either is an error."""
+    part = lambda k: F.pmod("p_partkey", F.lit(k)) == 0
+    size = lambda k: F.pmod("p_size", F.lit(k)) == 0
+    mode = batch.encode_mode(F.when(part(2), "jpeg").otherwise("png"), part(3), F.when(part(5), 60), part(7), F.when(size(4), F.col("p_size")))
+    found = table(spark, sf_dir, "part").withColumn("m", mode).withColumn("s", batch.strategy(F.col("m.codec"), F.col("m.derived"), size(3), size(5)))
+    return found.select("p_partkey", "m.codec", "m.quality", "m.derived", F.coalesce("m.error", "s.error").alias("error"), F.when(F.col("m.error").isNull(), F.col("s.strategy")).alias("strategy"))
+
+
+@query("SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN '4' WHEN 1 THEN '4' WHEN 2 THEN '3,4' WHEN 3 THEN '2,3,4' ELSE '2,3,4,5' END AS tile_bits, p_size % 10 > 0 AS cross_colour, p_size % 10 > 0 AS optimal_parse, p_size % 10 > 5 AS blockwise_codes FROM part")
+def search_breadth(spark, sf_dir):
+    found = table(spark, sf_dir, "part").select("p_partkey", batch.breadth(F.pmod("p_size", F.lit(10))).alias("b"))
+    return found.select("p_partkey", F.array_join(F.col("b.tile_bits").cast("array<string>"), ",").alias("tile_bits"), "b.cross_colour", "b.optimal_parse", "b.blockwise_codes")

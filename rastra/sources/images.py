@@ -32,7 +32,9 @@ def sizes(files: DataFrame) -> DataFrame:
     number = lambda c: F.when(c != "", c.cast("long"))
     pick = lambda png, bmp, gif, p6, p7: F.when(kind == "png", png).when(kind == "bmp", bmp).when(kind == "gif", gif).when(kind == "ppm", p6).when(kind == "pam", p7)
     width = pick(be_uint(content, 16, 4), le_uint(content, 18, 4), le_uint(content, 6, 2), number(ppm(1)), number(pam("WIDTH")))
-    height = pick(be_uint(content, 20, 4), le_uint(content, 22, 4), le_uint(content, 8, 2), number(ppm(2)), number(pam("HEIGHT")))
+    rows = le_uint(content, 22, 4)
+    rows = F.when(rows >= 1 << 31, F.lit(1 << 32) - rows).otherwise(rows)  # BMP rows from the top have a negative height
+    height = pick(be_uint(content, 20, 4), rows, le_uint(content, 8, 2), number(ppm(2)), number(pam("HEIGHT")))
     return files.withColumns({"format": kind, "width": width, "height": height})
 
 
@@ -44,30 +46,88 @@ def raw_errors(content: Column, width: Column, height: Column, max_pixels: int |
     return out.when(F.octet_length(content) != 4 * n, "pixel_buffer_mismatch")
 
 
-def _exploded(images: DataFrame, skip: Column, size: int) -> DataFrame:
+def _exploded(images: DataFrame, skip: Column, size: Column | int, stride: Column | None = None, from_below: Column | None = None) -> DataFrame:
     """(img, x, y, digits): a row for each pixel of ``size`` bytes of images (img, width, height, content), as hex digits.
 
-    An image is cut into its rows, then a row into its pixels, so that no row of the result's making carries more than a row of pixels.
+    Rows start every ``stride`` bytes (no gaps if none is given), the last one first where from_below holds. An image is cut into its rows,
+    then a row into its pixels, so that no row of the result's making carries more than a row of pixels.
     """
-    cut = lambda y: F.struct(y.alias("y"), F.hex(F.substring(F.col("content"), (skip + y * F.col("width") * size + 1).cast("int"), (F.col("width") * size).cast("int"))).alias("line"))
-    rows = images.select("img", "width", F.explode(F.transform(F.sequence(F.lit(0), F.col("height").cast("int") - 1), cut)).alias("r")).select("img", "width", "r.*")
-    cell = lambda x: F.struct(x.alias("x"), F.substring(F.col("line"), x * (2 * size) + 1, F.lit(2 * size)).alias("digits"))
+    size = size if isinstance(size, Column) else F.lit(size)
+    layout = images.withColumns({"_skip": skip.cast("long"), "_size": size.cast("int"), "_below": F.lit(False) if from_below is None else from_below})
+    layout = layout.withColumn("_stride", (F.col("width") * F.col("_size") if stride is None else stride).cast("long"))
+    place = lambda y: F.col("_skip") + F.when(F.col("_below"), F.col("height") - 1 - y).otherwise(y) * F.col("_stride")
+    cut = lambda y: F.struct(y.alias("y"), F.hex(F.substring(F.col("content"), (place(y) + 1).cast("int"), (F.col("width") * F.col("_size")).cast("int"))).alias("line"))
+    rows = layout.select("img", "width", "_size", F.explode(F.transform(F.sequence(F.lit(0), F.col("height").cast("int") - 1), cut)).alias("r")).select("img", "width", "_size", "r.*")
+    cell = lambda x: F.struct(x.alias("x"), F.substring(F.col("line"), x * 2 * F.col("_size") + 1, 2 * F.col("_size")).alias("digits"))
     return rows.select("img", "y", F.explode(F.transform(F.sequence(F.lit(0), F.col("width").cast("int") - 1), cell)).alias("c")).select("img", "c.x", "y", "c.digits")
 
 
-def raw_pixels(files: DataFrame, layout: str = "rgba8") -> DataFrame:
-    """(img, x, y, argb) of raw files (path, width, height, content), four bytes for each pixel, row by row; files of another length have none."""
-    fine = files.where(raw_errors(F.col("content"), F.col("width"), F.col("height")).isNull()).withColumn("img", F.col("path"))
+def raw_pixels(files: DataFrame, layout: str = "rgba8", max_pixels: int | None = MAX_PIXELS) -> DataFrame:
+    """(img, x, y, argb) of raw files (path, width, height, content), four bytes for each pixel, row by row.
+
+    Files for which ``raw_errors`` with the same limit gives an error have no pixels; a limit of None lifts it.
+    """
+    fine = files.where(raw_errors(F.col("content"), F.col("width"), F.col("height"), max_pixels).isNull()).withColumn("img", F.col("path"))
     return _exploded(fine, F.lit(0), 4).select("img", "x", "y", argb.from_layout(F.col("digits"), layout).alias("argb"))
 
 
+def _whole(sized: DataFrame, bytes_needed: Column) -> DataFrame:
+    """Files (with img) that have a size and all their bytes."""
+    return sized.withColumn("img", F.col("path")).where((F.col("width") > 0) & (F.col("height") > 0) & (F.octet_length("content") >= bytes_needed))
+
+
 def ppm_pixels(files: DataFrame) -> DataFrame:
-    """(img, x, y, argb) of PPM files (P6, 255 as largest value, comments allowed)."""
+    """(img, x, y, argb) of PPM files (P6, 255 as largest value, comments allowed); files that are cut off or of another kind have none."""
     head = ascii_text(F.col("content"))
     match = F.regexp_extract(head, r"^(P6(?:\s+#[^\n]*\n|\s+)+\d+(?:\s+#[^\n]*\n|\s+)+\d+(?:\s+#[^\n]*\n|\s+)+255\s)", 1)
-    sized = sizes(files).withColumns({"skip": F.length(match), "img": F.col("path")}).where("skip > 0 and format = 'ppm'")
-    sized = sized.where(F.octet_length("content") >= F.col("skip") + 3 * F.col("width") * F.col("height"))
-    return _exploded(sized, F.col("skip"), 3).select("img", "x", "y", argb.from_layout(F.concat("digits", F.lit("FF")), "rgba8").alias("argb"))
+    sized = sizes(files).withColumn("skip", F.length(match)).where("skip > 0 and format = 'ppm'")
+    whole = _whole(sized, F.col("skip") + 3 * F.col("width") * F.col("height"))
+    return _exploded(whole, F.col("skip"), 3).select("img", "x", "y", argb.from_layout(F.concat("digits", F.lit("FF")), "rgba8").alias("argb"))
+
+
+def pam_pixels(files: DataFrame) -> DataFrame:
+    """(img, x, y, argb) of PAM files (three or four channels, 255 as largest value); files that are cut off or of another kind have none."""
+    head = F.regexp_extract(ascii_text(F.col("content")), r"^(P7\n(?s:.*?)ENDHDR\n)", 1)
+    field = lambda name: F.regexp_extract(F.col("head"), rf"\n{name}\s+(\d+)", 1)
+    sized = sizes(files).withColumn("head", head).where("head <> '' and format = 'pam'")
+    sized = sized.withColumns({"depth": field("DEPTH"), "most": field("MAXVAL")}).where("depth in ('3', '4') and most = '255'").withColumn("depth", F.col("depth").cast("int"))
+    whole = _whole(sized, F.length("head") + F.col("depth") * F.col("width") * F.col("height"))
+    return _exploded(whole, F.length("head"), F.col("depth")).select("img", "x", "y", argb.from_layout(F.rpad("digits", 8, "FF"), "rgba8").alias("argb"))
+
+
+def bmp_pixels(files: DataFrame) -> DataFrame:
+    """(img, x, y, argb) of BMP files with 24 or 32 bits a pixel and no compression, rows from the top or from below.
+
+    Files of other kinds, or cut off, have no pixels. The fourth byte of 32 bits is alpha, as ``to_bmp`` writes it.
+    """
+    at = {"skip": (10, 4), "width": (18, 4), "rows": (22, 4), "bits": (28, 2), "packed": (30, 4)}
+    # Bound in a lambda, so that plans stay small: each number names the header's bytes many times.
+    read = lambda h: F.struct(*[le_uint(h, *place).alias(name) for name, place in at.items()])
+    head = F.get(F.transform(F.array(F.substring("content", 1, 34)), read), F.lit(0))
+    read_in = files.where(format_by_content(F.col("content")) == "bmp").select(F.col("path"), "content", head.alias("h")).select("path", "content", "h.*")
+    plain = read_in.where("bits in (24, 32) and packed = 0").withColumns({"below": F.col("rows") < 1 << 31, "depth": F.shiftright("bits", 3)})
+    sized = plain.withColumns({"height": F.when(F.col("below"), F.col("rows")).otherwise(F.lit(1 << 32) - F.col("rows")), "stride": F.call_function("div", F.col("width") * F.col("depth") + 3, F.lit(4)) * 4})
+    whole = _whole(sized, F.col("skip") + F.col("stride") * F.col("height"))
+    return _exploded(whole, F.col("skip"), F.col("depth"), F.col("stride"), F.col("below")).select("img", "x", "y", argb.from_layout(F.rpad("digits", 8, "FF"), "bgra8").alias("argb"))
+
+
+#: Spark's image source: the modes of one, three and four bytes a pixel; fixed values.
+IMAGE_MODES = {1: 0, 3: 16, 4: 24}
+
+
+def image_pixels(rows: DataFrame) -> DataFrame:
+    """(img, x, y, argb) of the rows (image) that Spark's ``image`` source reads: gray, BGR or BGRA; what it could not read has none."""
+    flat = rows.select(F.col("image.origin").alias("path"), F.col("image.width").cast("long").alias("width"), F.col("image.height").cast("long").alias("height"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("content"))
+    whole = _whole(flat.where(F.col("n").isin(*IMAGE_MODES)), F.col("n") * F.col("width") * F.col("height"))
+    cells = _exploded(whole.withColumn("img", F.col("path")), F.lit(0), F.col("n"))
+    digits = F.when(F.length("digits") == 2, F.repeat("digits", F.lit(3))).otherwise(F.col("digits"))
+    return cells.select("img", "x", "y", argb.from_layout(F.rpad(digits, 8, "FF"), "bgra8").alias("argb"))
+
+
+def to_image_rows(pixels: DataFrame) -> DataFrame:
+    """(image): complete images as rows of the schema of Spark's ``image`` source, with four channels."""
+    whole = _lines(pixels, argb.to_layout(F.col("argb"), "bgra8"))
+    return whole.select(F.struct(F.col("img").cast("string").alias("origin"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.lit(4).alias("nChannels"), F.lit(IMAGE_MODES[4]).alias("mode"), F.col("body").alias("data")).alias("image"))
 
 
 def _lines(pixels: DataFrame, digits: Column) -> DataFrame:
@@ -145,28 +205,40 @@ def write_files(files: DataFrame, folder: str, overwrite: str = "error") -> Data
     """Write (name, content) as one file each and return (name, outcome, out_bytes).
 
     Tasks write beside the target and rename, so a lost or repeated task leaves no half file. ``folder`` is a path that every executor
-    mounts. overwrite: error (existing files fail), skip or replace.
+    mounts; a name may have folders of its own in it. Names that are null, absolute or lead out of the folder fail, and so do null
+    contents. overwrite: error (existing files fail), skip or replace; it also decides between rows of one name, of which one is written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
         for batch in batches:
             outcome, size = [], []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                target = os.path.join(folder, os.path.basename(name or ""))
-                if not name or content is None:
+                inside = os.path.normpath(name or ".")
+                target = os.path.join(folder, inside)
+                if inside.split(os.sep)[0] in ("", ".", "..") or content is None:
                     outcome.append("failed")
                 elif os.path.exists(target) and overwrite != "replace":
                     outcome.append("skipped" if overwrite == "skip" else "failed")
                 else:
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
                     part = f"{target}.{uuid.uuid4().hex}.part"
                     with open(part, "wb") as file:
                         file.write(content)
-                    os.replace(part, target)
                     outcome.append("converted")
+                    try:
+                        if overwrite == "replace":
+                            os.replace(part, target)
+                        else:
+                            os.link(part, target)  # fails if another task wrote the name in the meantime
+                            os.remove(part)
+                    except FileExistsError:
+                        os.remove(part)
+                        outcome[-1] = "skipped" if overwrite == "skip" else "failed"
+                    except OSError:  # no hard links here
+                        os.replace(part, target)
                 size.append(len(content or b"") if outcome[-1] == "converted" else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(outcome), pa.array(size, pa.int64())], names=["name", "outcome", "out_bytes"])
 

@@ -64,17 +64,38 @@ def advance(state: tuple | None, pieces: list[bytes]) -> tuple[tuple, list[tuple
     return (pending, at, skip, idx, end, done), events
 
 
-def chunk_events(pieces: DataFrame) -> DataFrame:
+def _table(path: object, events: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(path, *e) for e in events], columns=["path", "event", "idx", "fourcc", "payload_start", "size"]).astype({"idx": "Int32", "payload_start": "Int64", "size": "Int64"})
+
+
+def whole_events(pieces: DataFrame) -> DataFrame:
+    """The chunk events of a table of all pieces (path, seq, bytes), as the stream would give them; path may be of any type, as a string in the result."""
+    one = lambda key, rows: _table(key[0], advance(None, [bytes(b) for b in rows.sort_values("seq")["bytes"] if b is not None])[1])
+    return pieces.select(pieces["path"].cast("string").alias("path"), "seq", "bytes").groupBy("path").applyInPandas(one, EVENTS)
+
+
+def chunk_events(pieces: DataFrame, idle: str | None = None) -> DataFrame:
     """A stream of chunk events from a stream of pieces (path, seq, bytes): EVENTS.
 
     The pieces of one micro-batch are ordered by seq; across batches they must come in order. The events don't depend on how a
-    file is cut up. A finished file's state stays as a mark, so that late pieces are ignored.
+    file is cut up. A finished file's state stays as a mark, so that late pieces are ignored. With ``idle`` (such as "1 hour" of processing
+    time) it goes when nothing has come for so long; an unfinished file then has the event abandoned at the place it had come to, and
+    pieces after that begin a file anew. Streams that run on should set it; with it Spark keeps making batches, so that a stream
+    that is to end by itself needs spark.sql.streaming.noDataMicroBatches.enabled off.
     """
+    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
-        new, events = advance(state.get if state.exists else None, [bytes(b) for b in rows["bytes"] if b is not None])
-        state.update(new)
-        yield pd.DataFrame([(key[0], *e) for e in events], columns=["path", "event", "idx", "fourcc", "payload_start", "size"]).astype({"idx": "Int32", "payload_start": "Int64", "size": "Int64"})
+        if state.hasTimedOut:
+            _, at, _, idx, _, done = state.get
+            events = [] if done else [("abandoned", idx, None, None, at)]
+            state.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values("seq")
+            new, events = advance(state.get if state.exists else None, [bytes(b) for b in rows["bytes"] if b is not None])
+            state.update(new)
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
+        yield _table(key[0], events)
 
-    return pieces.groupBy("path").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return pieces.groupBy("path").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

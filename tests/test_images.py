@@ -212,3 +212,62 @@ def test_near_lossless_leaves_small_images_alone(spark):
     before = {tuple(r) for r in px.union(wide).collect()}
     after = {tuple(r) for r in transforms.near_lossless_passes(px.union(wide), 0).collect()}
     assert {r for r in before - after if r[0] == "s"} == set() and {r for r in before - after if r[0] == "w"} != set()
+
+
+def test_bmp_from_below_and_pam_of_three_channels(spark):
+    head = b"BM" + bytes(8) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (3).to_bytes(4, "little") + (2).to_bytes(4, "little") + b"\1\0" + (24).to_bytes(2, "little") + bytes(24)
+    below, above = bytes(range(1, 10)), bytes(range(11, 20))
+    bmp = head + below + b"\0" * 3 + above + b"\0" * 3
+    pam = b"P7\n# WIDTH 9\nWIDTH 3\nHEIGHT 1\nDEPTH 3\nMAXVAL 255\nENDHDR\n" + below
+    files = spark.createDataFrame([("b", bmp), ("cut", bmp[:-1]), ("p", pam), ("short", pam[:-1]), ("none", None), ("empty", b"")], "path string, content binary").withColumns({"skip": F.lit("clash"), "depth": F.lit(7)})
+    got = {(r["x"], r["y"]): r["argb"] for r in images.bmp_pixels(files).collect() if r["img"] == "b"}
+    assert len(got) == 6 and got[0, 0] == 0xFF0D0C0B and got[2, 1] == 0xFF090807
+    assert {r["img"] for r in images.bmp_pixels(files).collect()} == {"b"}
+    assert {(r["img"], r["x"], r["argb"]) for r in images.pam_pixels(files).collect()} == {("p", 0, 0xFF010203), ("p", 1, 0xFF040506), ("p", 2, 0xFF070809)}
+    assert images.bmp_pixels(files.limit(0)).count() == images.pam_pixels(files.limit(0)).count() == 0
+
+
+def test_image_source_pixels(spark, tmp_path):
+    px = images.formula_pixels(spark, "a", 5, 3, ("40 * x", "70 * y", "9 * (x + y)", "255"))
+    (tmp_path / "a.bmp").write_bytes(images.to_bmp(px).first()["content"])
+    ours = {(r["x"], r["y"], r["argb"]) for r in px.collect()}
+    assert {(r["x"], r["y"], r["argb"]) for r in images.image_pixels(spark.read.format("image").load(str(tmp_path))).collect()} == ours
+    gray = spark.createDataFrame([(("g", 1, 2, 1, 0, b"\x05\xff"),), (("bad", -1, -1, -1, -1, b""),)], "image struct<origin string, height int, width int, nChannels int, mode int, data binary>")
+    assert [r["argb"] for r in images.image_pixels(gray).orderBy("x").collect()] == [0xFF050505, 0xFFFFFFFF]
+
+
+def test_written_names_keep_their_folders(spark, tmp_path):
+    rows = [("a/x.bin", b"1"), ("b/x.bin", b"2"), ("../out.bin", b"3"), ("/etc/none", b"4"), (None, b"5"), ("n", None), ("twice", b"6"), ("twice", b"7")]
+    files = spark.createDataFrame(rows, "name string, content binary").repartition(4)
+    got = sorted((str(r["name"]), r["outcome"]) for r in images.write_files(files, str(tmp_path / "in")).collect())
+    assert got == [("../out.bin", "failed"), ("/etc/none", "failed"), ("None", "failed"), ("a/x.bin", "converted"), ("b/x.bin", "converted"), ("n", "failed"), ("twice", "converted"), ("twice", "failed")]
+    assert (tmp_path / "in/a/x.bin").read_bytes() == b"1" and (tmp_path / "in/b/x.bin").read_bytes() == b"2" and not (tmp_path / "out.bin").exists()
+
+
+def test_raw_limit_can_be_lifted(spark):
+    raw = images.to_raw(images.formula_pixels(spark, "a", 4, 4, ("x", "y", "0", "255"))).withColumnRenamed("img", "path")
+    assert images.raw_pixels(raw, max_pixels=15).count() == 0 and images.raw_pixels(raw, max_pixels=None).count() == 16
+
+
+def test_idle_files_are_abandoned(spark, tmp_path):
+    schema, data = "path string, seq int, bytes binary", b"RIFF" + (50).to_bytes(4, "little") + b"WEBP"
+    add = lambda name, piece: spark.createDataFrame([(name, 0, piece)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    add("slow", data)
+    stream = incremental.chunk_events(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), idle="100 ms")
+    start = lambda: stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    start()
+    add("other", b"no such file")
+    start()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = {(r["path"], r["event"], r["size"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert {("slow", "header", 58), ("slow", "abandoned", 12), ("other", "error", None)} <= got
+
+
+def test_alpha_flag_of_animations_survives_new_metadata(spark):
+    rows = spark.createDataFrame([("p", 0, 0, 0, 4, 4, 10, "blend", "keep", b"")], "path string, frame_idx int, x long, y long, width long, height long, duration_ms long, blend string, dispose string, payload binary")
+    null = F.lit(None).cast("binary")
+    for alpha in (True, False):
+        edited = container.with_metadata(animation.write(rows, alpha=alpha), null, F.lit(b"e"), null, F.lit(4), F.lit(4))
+        head = container.chunks(edited).where("fourcc = 'VP8X'").select(riff.read_vp8x(F.col("payload")).alias("x")).first()["x"]
+        assert (head["has_alpha"], head["has_exif"], head["is_animated"]) == (alpha, True, True)
