@@ -88,9 +88,10 @@ def ppm_pixels(files: DataFrame) -> DataFrame:
 def pam_pixels(files: DataFrame) -> DataFrame:
     """(img, x, y, argb) of PAM files (three or four channels, 255 as largest value); files that are cut off or of another kind have none."""
     head = F.regexp_extract(ascii_text(F.col("content")), r"^(P7\n(?s:.*?)ENDHDR\n)", 1)
-    field = lambda name: F.regexp_extract(F.col("head"), rf"\n{name}\s+(\d+)", 1)
-    sized = sizes(files).withColumn("head", head).where("head <> '' and format = 'pam'")
-    sized = sized.withColumns({"depth": field("DEPTH"), "most": field("MAXVAL")}).where("depth in ('3', '4') and most = '255'").withColumn("depth", F.col("depth").cast("int"))
+    field = lambda name: F.regexp_extract(F.col("head"), rf"\n{name}\s+(\d{{1,9}})\s", 1)
+    read_in = files.select("path", "content", head.alias("head")).where("head <> ''")
+    plain = read_in.select("path", "content", "head", *[field(n).try_cast("long").alias(n.lower()) for n in ("WIDTH", "HEIGHT", "DEPTH", "MAXVAL")])
+    sized = plain.where("depth in (3, 4) and maxval = 255")
     whole = _whole(sized, F.length("head") + F.col("depth") * F.col("width") * F.col("height"))
     return _exploded(whole, F.length("head"), F.col("depth")).select("img", "x", "y", argb.from_layout(F.rpad("digits", 8, "FF"), "rgba8").alias("argb"))
 
