@@ -32,8 +32,7 @@ def sizes(files: DataFrame) -> DataFrame:
     number = lambda c: F.when(c != "", c.cast("long"))
     pick = lambda png, bmp, gif, p6, p7: F.when(kind == "png", png).when(kind == "bmp", bmp).when(kind == "gif", gif).when(kind == "ppm", p6).when(kind == "pam", p7)
     width = pick(be_uint(content, 16, 4), le_uint(content, 18, 4), le_uint(content, 6, 2), number(ppm(1)), number(pam("WIDTH")))
-    rows = le_uint(content, 22, 4)
-    rows = F.when(rows >= 1 << 31, F.lit(1 << 32) - rows).otherwise(rows)  # BMP rows from the top have a negative height
+    rows = F.abs(F.pmod(le_uint(content, 22, 4) + (1 << 31), F.lit(1 << 32)) - (1 << 31))  # BMP rows from the top have a negative height
     height = pick(be_uint(content, 20, 4), rows, le_uint(content, 8, 2), number(ppm(2)), number(pam("HEIGHT")))
     return files.withColumns({"format": kind, "width": width, "height": height})
 
