@@ -184,12 +184,15 @@ class Hasher:
             self.power, self.inverse = powers
 
     def prefix(self, data: bytes) -> np.ndarray:
-        self._grow(len(data) + 1)
         raw = np.frombuffer(data, np.uint8).astype(np.uint64)
         raw += np.uint64(1)
-        raw *= self.power[: len(raw)]
-        out = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(raw, out=out[1:])
+        return self.sums(raw)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The prefix hashes of a sequence of numbers."""
+        self._grow(len(values) + 1)
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.power[: len(values)], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, starts, ends) -> np.ndarray:
