@@ -4,13 +4,13 @@ Every ``width`` consecutive words are an edge between the ``width`` - 1 words th
 places is repeated, and its words go at every place. The graph holds repeated edges only, and never reaches one task:
 
 1. Anchors. Of the ``anchor``-word strings in a window, that with the least hash is the window's anchor; neighbours that share it are
-   one row. Windows can only be equal if their anchors are, so only windows with a repeated anchor become edges.
-2. Edges are counted by hash. Each remembers its least source coordinate (text, word), how many coordinates it has and a signature of them,
+   one piece. Windows can only be equal if their anchors are, so only pieces with a repeated anchor become edges.
+2. Equal pieces are bundled, then their edges are counted by hash. Each remembers its least source coordinate (text, word), how many coordinates it has and a signature of them,
    a sum that turns into the next edge's by one multiplication if each coordinate moves on by one word.
 3. Compaction. Where all occurrences of an edge go on with one and the same edge, and all of that come from it, nothing branches
    between them: least coordinates are neighbours, counts are equal, and the signature turns into the next. Two joins find
    the edges without such a predecessor or successor, the ends of the nonbranching paths; a third joins the ends of each path.
-4. Coordinates. The occurrences of a path's first edge are the sources of the whole path: a join by that edge gives repeated spans.
+4. Coordinates. The occurrences of a path's first edge are the sources of the whole path: joins by that edge and by piece give repeated spans.
 5. Verification. At each source the span's words are hashed anew, to 128 bits. Paths whose sources differ (hash collisions) are taken
    apart into windows that are counted by such hashes.
 """
@@ -32,10 +32,9 @@ from rastra.llm.suffixes import Hasher, anchors
 WIDTH, ANCHOR = 35, 12
 #: Texts that are looked at together, in bytes; a longer text is looked at alone.
 _TOGETHER = 1 << 20
-#: Edges in one Arrow batch.
-_ROWS = 1 << 16
 #: What a signature is multiplied by for each word; small enough for exact decimal products.
 _TURN = 0x9E3779B1
+_OTHER, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 
@@ -112,32 +111,54 @@ def _pieces(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "h1", "h2", "at", "copies"])
 
 
-def _edges(batches: Iterator[pa.RecordBatch], width: int, mask: int) -> Iterator[pa.RecordBatch]:
-    """Rows (edge, sign, h1, h2, place, copies) from rows (h1, h2, copies, body, ats): the windows of the pieces in ats."""
+def _bundles(batches: Iterator[pa.RecordBatch], width: int, mask: int) -> Iterator[pa.RecordBatch]:
+    """Rows (p1, p2, sign, h1, h2, place, copies, edges) from rows (h1, h2, copies, body, ats): the pieces in ats, by 128 bits of their words, with their windows' hashes.
+
+    ``place`` and ``sign`` are of the first window; each of the next has the place one on and the sign turned once more.
+    """
     hasher, turns = Hasher(), np.ones(1, np.uint64)
     for batch in batches:
         h1, h2, copies = (batch.column(c).to_numpy() for c in ("h1", "h2", "copies"))
         lists = batch.column("ats")
         for rows, bodies in _groups(batch, "body"):
             words = Words(bodies, hasher)
-            hashes = words.windows(width)
+            hashes = words.windows(width) & np.uint64(mask)
+            second = hasher.sums((words.hashes ^ (words.hashes >> np.uint64(29))) * _OTHER)
             sizes = [len(lists[int(i)]) for i in rows]
             at = np.concatenate([lists[int(i)].values.to_numpy() for i in rows])
-            row, base = np.repeat(rows, sizes), np.repeat(words.first, sizes)
-            times = (at & 255) + 1
-            step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            place = np.repeat(at >> 8, times) + step
-            row, base = np.repeat(row, times), np.repeat(base, times)
-            if len(turns) <= int(place.max(initial=0)):
-                turns = np.full(2 * int(place.max()) + 2, _TURN, np.uint64)
-                turns[0] = 1
-                turns = np.multiply.accumulate(turns)
-            edge = hashes[base + place] & np.uint64(mask)
+            row, place, times = np.repeat(rows, sizes), at >> 8, (at & 255) + 1
+            first = np.repeat(words.first, sizes) + place
+            ends = np.cumsum(times)
+            edges = hashes[np.repeat(first - ends + times, times) + np.arange(int(ends[-1]))]
+            if len(turns) <= int(place.max()):
+                turns = _turns(2 * int(place.max()) + 2)
             sign = (h1[row].view(np.uint64) | np.uint64(1)) * turns[place]
-            for a in range(0, len(edge), _ROWS):
-                part = slice(a, a + _ROWS)
-                columns = [edge[part].view(np.int64), sign[part].view(np.int64), h1[row[part]], h2[row[part]], place[part], copies[row[part]]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["edge", "sign", "h1", "h2", "place", "copies"])
+            p1, p2 = (hasher.spans(sums, first, first + times + width - 1) for sums in (words.sums, second))
+            columns = [pa.array(c, pa.int64()) for c in (p1.view(np.int64), p2.view(np.int64), sign.view(np.int64), h1[row], h2[row], place, copies[row])]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(edges.view(np.int64), pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["p1", "p2", "sign", "h1", "h2", "place", "copies", "edges"])
+
+
+def _turns(n: int) -> np.ndarray:
+    """What a signature is multiplied by for 0 to n - 1 words."""
+    out = np.full(n, _TURN, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _single_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (edge, n, places, source, at, low, high) from rows (n, places, source, low, high, edges): a piece's edges, with the signature turned to each."""
+    turns = _turns(256)
+    for batch in batches:
+        edges = batch.column("edges")
+        sizes = np.diff(edges.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        low, high = (batch.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))
+        sign = ((high << np.uint64(32)) + low)[row] * turns[at]
+        index = pa.array(row)
+        columns = [edges.flatten(), *(batch.column(c).take(index) for c in ("n", "places", "source")), pa.array(at, pa.int64()), pa.array((sign & _LOW).view(np.int64)), pa.array((sign >> np.uint64(32)).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["edge", "n", "places", "source", "at", "low", "high"])
 
 
 def paths(edges: DataFrame) -> DataFrame:
@@ -214,19 +235,25 @@ def repeated(texts: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hash_bi
     touched = stored(texts.groupBy(key).agg(F.first("body").alias("body"), F.count("*").alias("copies")).join(lists, key), "touched")
 
     mask = (1 << hash_bits) - 1
-    occurrences = stored(touched.mapInArrow(lambda batches: _edges(batches, width, mask), "edge long, sign long, h1 long, h2 long, place long, copies long"), "occurrences")
+    piece, numbers = ["p1", "p2"], ", ".join(f"{c} long" for c in ("p1", "p2", "sign", "h1", "h2", "place", "copies"))
+    occurrences = stored(touched.mapInArrow(lambda batches: _bundles(batches, width, mask), f"{numbers}, edges array<long>"), "occurrences")
     # The least source of an edge as one number of 126 bits: 95 of the text's key, then the word.
     base = (F.col("h1").cast("decimal(20,0)") + F.lit(Decimal(1 << 63))) * F.lit(Decimal(1 << 62))
     source = (base + (F.shiftleft(F.col("h2").bitwiseAND(F.lit((1 << 31) - 1)), 31) + F.col("place")).cast("decimal(19,0)")).cast("decimal(38,0)")
     low, high = F.col("sign").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("sign", 32)
-    counted = occurrences.select("edge", "copies", source.alias("source"), low.alias("low"), high.alias("high")).groupBy("edge").agg(
-        F.sum("copies").alias("n"), F.count("*").alias("places"), F.min("source").alias("source"), F.sum("low").alias("low"), F.sum("high").alias("high")
-    )
+    summed = lambda n: [F.sum(n).alias("n"), F.sum("places").alias("places"), F.min("source").alias("source"), F.sum("low").alias("low"), F.sum("high").alias("high")]
+    # Equal pieces are one before they become edges.
+    rows = occurrences.select(*piece, "copies", F.lit(1).cast("long").alias("places"), source.alias("source"), low.alias("low"), high.alias("high"), "edges")
+    bundles = stored(rows.groupBy(piece).agg(*summed("copies"), F.first("edges").alias("edges")), "bundles")
+    single = bundles.select("n", "places", "source", "low", "high", "edges").mapInArrow(_single_edges, "edge long, n long, places long, source decimal(38,0), at long, low long, high long")
+    counted = single.select("edge", "n", "places", (F.col("source") + F.col("at").cast("decimal(19,0)")).cast("decimal(38,0)").alias("source"), "low", "high").groupBy("edge").agg(*summed("n"))
     sign = F.pmod(F.col("high").cast("decimal(19,0)") * F.lit(Decimal(1 << 32)) + F.col("low").cast("decimal(19,0)"), F.lit(Decimal(1 << 64))).cast("decimal(20,0)")
     place = F.expr("cast(source % 2147483648 as long)")
     edges = stored(counted.where("n > 1").select("edge", (F.col("source") - place).cast("decimal(38,0)").alias("base"), place.alias("place"), "places", sign.alias("sign")), "edges")
     compact = stored(paths(edges), "paths")
-    spans = stored(occurrences.select(F.col("edge").alias("path"), *key, "place").join(compact, "path"), "spans")
+    spots = stored(bundles.select(*piece, F.posexplode("edges").alias("at", "path")).join(compact, "path"), "spots")
+    spans = occurrences.select(*piece, *key, "place").join(spots, piece).select("path", *key, (F.col("place") + F.col("at")).alias("place"), "n")
+    spans = stored(spans, "spans")
 
     def stripped(of: DataFrame) -> DataFrame:
         grouped = of.groupBy(key).agg(F.collect_list(F.struct("place", "n", "path")).alias("spans"))
@@ -237,10 +264,10 @@ def repeated(texts: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hash_bi
     wrong = stored(marks.where("mind1 <> maxd1 or mind2 <> maxd2").select("path"), "wrong")
     if not wrong.isEmpty():
         doubtful = spans.join(wrong, "path", "left_semi").groupBy(key).agg(F.collect_list(F.struct("place", "n")).alias("spans"))
-        single = touched.select(*key, "copies", "body").join(doubtful, key).mapInArrow(lambda batches: _single_windows(batches, width), "h1 long, h2 long, place long, copies long, d1 long, d2 long")
-        single = stored(single, "windows")
-        certain = stored(single.groupBy("d1", "d2").agg(F.sum("copies").alias("n")).where("n > 1").select("d1", "d2"), "certain")
-        exact = single.join(certain, ["d1", "d2"]).select(F.lit(0).cast("long").alias("path"), *key, "place", F.lit(1).cast("long").alias("n"))
+        windows = touched.select(*key, "copies", "body").join(doubtful, key).mapInArrow(lambda batches: _single_windows(batches, width), "h1 long, h2 long, place long, copies long, d1 long, d2 long")
+        windows = stored(windows, "windows")
+        certain = stored(windows.groupBy("d1", "d2").agg(F.sum("copies").alias("n")).where("n > 1").select("d1", "d2"), "certain")
+        exact = windows.join(certain, ["d1", "d2"]).select(F.lit(0).cast("long").alias("path"), *key, "place", F.lit(1).cast("long").alias("n"))
         done = stripped(spans.join(wrong, "path", "left_anti").select("path", *key, "place", "n").union(exact))
     return done.select(*key, "n_removed", "kept")
 
