@@ -45,6 +45,7 @@ QUALITY_QUANTISERS = (
     9, 8, 7, 6, 5, 4, 3, 3, 2, 1,
     0,
 )
+# The order of coefficients, what sharpening adds to each, and the presets.
 ZIGZAG = (0, 1, 4, 8, 5, 2, 3, 6, 9, 12, 13, 10, 7, 11, 14, 15)
 SHARPENING = (0, 30, 60, 90, 30, 60, 90, 90, 60, 90, 90, 90, 90, 90, 90, 90)
 #: Noise shaping, filter strength, filter sharpness and segments of each preset.
@@ -178,6 +179,126 @@ def filter_limits(level: Column, sharpness: Column, is_4x4: Column, reference_de
     return F.struct(zero(2 * level + inner).alias("edge_limit"), zero(inner).alias("inner_limit"), (on & is_4x4).alias("inner_edges"), zero(hev).alias("hev_threshold"))
 
 
+# Fixed values of the forward transform, of the activity measure and of the two clusterings.
+DCT_LOW, DCT_HIGH = 2217, 5352
+ACTIVITY_BINS, ACTIVITY_SCALE = 32, 510
+CLUSTER_ROUNDS, LEAST_MOVE = 6, 5
+SMOOTH_MAJORITY = 5
+#: Bits below the point of an alpha level's centre.
+LEVEL_BITS = 16
+
+
+def _bound(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def forward_dct(block: Column) -> Column:
+    """The coefficients of a block of 16 residual samples, row by row; rows are transformed first, then columns."""
+    cell = lambda v, i: F.get(v, i).cast("long")
+    four = F.array(*map(F.lit, range(4)))
+
+    def row(i: Column) -> Column:
+        a, b, c, d = (cell(block, 4 * i + k) for k in range(4))
+        even, odd, inner, outer = a + d, b + c, b - c, a - d
+        return F.array((even + odd) * 8, F.shiftright(inner * DCT_LOW + outer * DCT_HIGH + 1812, 9), (even - odd) * 8, F.shiftright(outer * DCT_LOW - inner * DCT_HIGH + 937, 9))
+
+    def columns(rows: Column) -> Column:
+        def column(i: Column) -> Column:
+            a, b, c, d = (cell(rows, i + 4 * k) for k in range(4))
+            even, odd, inner, outer = a + d, b + c, b - c, a - d
+            return F.array(
+                F.shiftright(even + odd + 7, 4), F.shiftright(inner * DCT_LOW + outer * DCT_HIGH + 12000, 16) + F.when(outer != 0, 1).otherwise(0),
+                F.shiftright(even - odd + 7, 4), F.shiftright(outer * DCT_LOW - inner * DCT_HIGH + 51000, 16),
+            )
+
+        turned = lambda cols: F.flatten(F.transform(four, lambda k: F.transform(cols, lambda c: F.get(c, k))))
+        return _bound(F.transform(four, column), turned)
+
+    return _bound(F.flatten(F.transform(four, row)), columns)
+
+
+def macroblock_activity(luma: DataFrame) -> DataFrame:
+    """(img, mx, my, activity): how busy each 16 x 16 block of a luma plane (img, x, y, v) is, 0 to 255.
+
+    The coefficients of its 4 x 4 blocks, the first of each left out, are counted in bins by size; the highest bin that is used counts against
+    the fullest. A 4 x 4 block that lacks samples counts none. Blocks of 16 samples are the only rows that are gathered.
+    """
+    sample = F.struct((4 * F.pmod("y", F.lit(4)) + F.pmod("x", F.lit(4))).alias("at"), F.col("v").cast("long").alias("v"))
+    small = luma.groupBy("img", F.shiftright("x", 2).alias("bx"), F.shiftright("y", 2).alias("by")).agg(F.array_sort(F.collect_list(sample)).alias("samples")).where(F.size("samples") == 16)
+    bins = F.transform(forward_dct(F.transform("samples", lambda s: s["v"])), lambda c, i: F.when(i == 0, 0).otherwise(F.least(F.shiftright(F.abs(c), 3), F.lit(ACTIVITY_BINS - 1))).cast("int"))
+    counts = small.select("img", F.shiftright("bx", 2).alias("mx"), F.shiftright("by", 2).alias("my"), F.explode(bins).alias("bin")).groupBy("img", "mx", "my", "bin").agg(F.count("*").alias("n"))
+    most = counts.groupBy("img", "mx", "my").agg(F.max("bin").alias("last"), F.max("n").alias("n"))
+    return most.select("img", "mx", "my", F.when(F.col("n") > 1, F.least(F.lit(255), _div(ACTIVITY_SCALE * F.col("last"), F.col("n")))).otherwise(0).cast("int").alias("activity"))
+
+
+def segmented(blocks: DataFrame, most: int = 4) -> DataFrame:
+    """``blocks`` (img, mx, my, activity) with segment, from 0 for the calmest, and centre, the segment's mean activity.
+
+    Each image's activities, at most 256 values with counts, are one row; up to ``most`` centres start evenly spread over them and move to
+    their values' means in CLUSTER_ROUNDS rounds at most, until all together move by less than LEAST_MOVE. A value belongs to the nearest centre, the lower of two.
+    Centres that keep no value are no segments. An image whose blocks are all alike has one.
+    """
+    counts = blocks.groupBy("img", "activity").agg(F.count("*").alias("n")).groupBy("img").agg(F.array_sort(F.collect_list(F.struct(F.col("activity").cast("long").alias("a"), "n"))).alias("values"))
+    low, high = F.get("values", F.lit(0))["a"], F.element_at("values", -1)["a"]
+    begin = F.transform(F.sequence(F.lit(0), F.lit(max(0, most - 1))), lambda k: (low + _div((high - low) * k, F.lit(max(1, most - 1)))).cast("long"))
+    nearest = lambda a, centres: F.array_min(F.transform(centres, lambda c, k: F.struct(F.abs(a - c).alias("d"), k.alias("k"))))["k"]
+    total = lambda values, of: F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + of(v))
+    mean = lambda values: _div(total(values, lambda v: v["a"] * v["n"]), total(values, lambda v: v["n"]))
+    mine = lambda centres, k: F.filter("values", lambda v: nearest(v["a"], centres) == k)
+
+    def step(state: Column, _: Column) -> Column:
+        moved = F.transform(state["centres"], lambda c, k: _bound(mine(state["centres"], k), lambda own: F.when(F.size(own) > 0, mean(own)).otherwise(c)))
+        far = lambda new: F.aggregate(F.zip_with(new, state["centres"], lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, d: s + d)
+        return F.when(state["done"], state).otherwise(_bound(moved, lambda new: F.struct(new.alias("centres"), (far(new) < LEAST_MOVE).alias("done"))))
+
+    start = F.struct(begin.alias("centres"), F.lit(False).alias("done"))
+    centres = F.aggregate(F.sequence(F.lit(1), F.lit(CLUSTER_ROUNDS)), start, step)["centres"] if most > 1 else begin
+    found = counts.withColumn("centres", F.when(low == high, F.array(low)).otherwise(centres))
+    placed = found.withColumn("spots", F.transform("values", lambda v: nearest(v["a"], F.col("centres"))))
+    used = placed.withColumn("used", F.array_sort(F.array_distinct("spots")))
+    entry = lambda v, i: F.struct(v["a"].cast("int").alias("activity"), (F.array_position("used", F.get("spots", i)) - 1).cast("int").alias("segment"), mean(mine(F.col("centres"), F.get("spots", i))).alias("centre"))
+    table = used.select("img", F.inline(F.transform("values", entry)))
+    return blocks.join(table, ["img", "activity"])
+
+
+def smoothed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (img, mx, my, segment) with smooth: the segment that SMOOTH_MAJORITY or more of the eight neighbours share, the lowest if there were two, else the block's own; blocks on the rim keep theirs."""
+    beside = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
+    votes = blocks.select("img", F.explode(F.array(*[F.struct((F.col("mx") + dx).alias("mx"), (F.col("my") + dy).alias("my")) for dx, dy in beside])).alias("to"), "segment").select("img", "to.*", "segment")
+    counted = votes.groupBy("img", "mx", "my", "segment").agg(F.count("*").alias("n")).groupBy("img", "mx", "my").agg(F.sum("n").alias("votes"), F.min(F.when(F.col("n") >= SMOOTH_MAJORITY, F.col("segment"))).alias("most"))
+    return blocks.join(counted, ["img", "mx", "my"], "left").withColumn("smooth", F.when(F.col("votes") == len(beside), F.coalesce("most", "segment")).otherwise(F.col("segment"))).drop("votes", "most")
+
+
+def quantised_alpha(planes: DataFrame, levels: int) -> DataFrame:
+    """(img, x, y, v): alpha planes (img, x, y, v) with at most ``levels`` different values each (2 to 256); planes that have no more stay as they are.
+
+    Each image's values, at most 256 with counts, are one row. Centres, fixed-point numbers, start evenly spread from the least to the largest value. In
+    CLUSTER_ROUNDS rounds each value goes to the centre whose bounds, halfway to its neighbours, it lies in, and centres move to their values' means;
+    centres without values stay. In the end each value becomes its centre, rounded.
+    """
+    counts = planes.groupBy("img", "v").agg(F.count("*").alias("n")).groupBy("img").agg(F.array_sort(F.collect_list(F.struct(F.col("v").cast("long").alias("v"), "n"))).alias("values"))
+    low, high = F.get("values", F.lit(0))["v"], F.element_at("values", -1)["v"]
+    rounded = lambda n, d: _div(n + _div(d, F.lit(2).cast("long")), d)
+    scaled = lambda c: c * F.lit(1 << LEVEL_BITS)
+    begin = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: scaled(low) + rounded(scaled((high - low) * i), F.lit(max(1, levels - 1)).cast("long")))
+    bounds = lambda centres: F.zip_with(F.slice(centres, 1, levels - 1), F.slice(centres, 2, levels - 1), lambda a, b: a + b)
+    spot = lambda v, limits: F.size(F.filter(limits, lambda b: 2 * scaled(v) > b))
+    total = lambda values, of: F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + of(x))
+
+    def step(state: Column, _: Column) -> Column:
+        spots = _bound(bounds(state["centres"]), lambda limits: F.transform("values", lambda x: spot(x["v"], limits)))
+        mean = lambda own: rounded(scaled(total(own, lambda x: x["v"] * x["n"])), total(own, lambda x: x["n"]))
+        own = lambda at, i: F.filter("values", lambda x, k: F.get(at, k) == i)
+        return _bound(spots, lambda at: F.struct(F.transform(state["centres"], lambda c, i: _bound(own(at, i), lambda mine: F.when(F.size(mine) > 0, mean(mine)).otherwise(c))).alias("centres"), at.alias("spots")))
+
+    start = F.struct(begin.alias("centres"), F.transform("values", lambda x: F.lit(0)).alias("spots"))
+    end = counts.where(F.size("values") > levels).select("img", "values", F.aggregate(F.sequence(F.lit(1), F.lit(CLUSTER_ROUNDS)), start, step).alias("end"))
+    value = lambda i: _clip(F.shiftright(F.get(F.col("end.centres"), F.get(F.col("end.spots"), i)) + F.lit(1 << (LEVEL_BITS - 1)), LEVEL_BITS), 255)
+    table = end.select("img", F.inline(F.transform("values", lambda x, i: F.struct(x["v"].alias("v"), value(i).alias("level")))))
+    return planes.join(table, ["img", "v"], "left").select("img", "x", "y", F.coalesce("level", "v").alias("v"))
+
+
 def noise_shaping(activity: Column, strength: Column) -> Column:
     """How much coarser (or finer, below zero) a block of an activity (0 to 255) is quantised at a strength (0 to 100, clipped)."""
     return _div((activity - 128) * _clip(strength, 100), F.lit(512)).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,126 @@ def shrink(pixels: DataFrame, factor: int) -> DataFrame:
     return sums.select("img", "x", "y", argb.matte(argb.pack(*[mean(c) for c in "argb"]), inverse=True).alias("argb"))
 
 
+_ONE = 1 << 32
+
+
+def _fraction(a: Column, b: Column) -> Column:
+    """a / b in fixed point with 32 bits; a whole one has none."""
+    return F.pmod(F.call_function("div", a.cast("long") * F.lit(_ONE), b.cast("long")), F.lit(_ONE))
+
+
+def _product(a: Column, b: Column) -> Column:
+    """The product of a number and a fraction, rounded."""
+    return F.shiftright(a * b + F.lit(_ONE >> 1), 32)
+
+
+def _targets(at: Column, n: Column, to: Column, shares: Callable[[Column, Column], Column]) -> Column:
+    """array<struct(to, ...)>: the target cells that source cell ``at`` of ``n`` reaches, and its share in them.
+
+    When there are fewer target cells, a source cell lies in one; when there are more, each target cell lies between two source cells.
+    ``shares(cell, over)`` makes the entries of a target cell.
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    here = div(at * to, n)
+    over = div((here + 1) * n + to - 1, to) * to - (here + 1) * n  # how far the last source cell of a target cell reaches beyond it
+    last = div((here + 1) * n + to - 1, to) - 1 == at
+    return shares(here, F.when(last, over).otherwise(0))
+
+
+def _between(at: Column, n: Column, to: Column, upper: bool) -> Column:
+    """The target cells, more than source cells, of which ``at`` is the upper or the lower neighbour, as array<long>; rounding goes up."""
+    div = lambda a, b: F.call_function("div", a, b)
+    steps, cells = to - 1, F.greatest(n - 1, F.lit(1))
+    until = lambda q: div(q * steps, cells)
+    place = at if upper else at + 1
+    low, high = F.when(place == 0, 0).otherwise(until(place - 1) + 1), F.when(place == 0, 0).otherwise(until(place))
+    whole = F.sequence(F.lit(0).cast("long"), steps)
+    none = F.array().cast("array<bigint>")
+    span = F.when((place < n) & (low <= high), F.sequence(low.cast("long"), high.cast("long"))).otherwise(none)
+    return F.when(n == 1, whole if upper else none).otherwise(span)
+
+
+def resized(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(img, x, y, argb): images at the sizes (img, width, height, to_width, to_height), any ratio, colours weighted by alpha. Images without sizes go.
+
+    Fewer columns or rows are area averages, more are interpolated; fixed point with 32 bits decides the last digit. A cell's average takes what its last source cell has
+    beyond it off and gives it to the next cell, and that depends on this source cell alone. So each axis is one join of source cells
+    with the one or two target cells that they reach, and one sum by target cell: two shuffles, with partial sums before each.
+    """
+    div = lambda a, b: F.call_function("div", a, b)
+    channels = "argb"
+    m = argb.matte(F.col("argb"))
+    size = sizes.select("img", *[F.col(c).cast("long").alias(c) for c in ("width", "height", "to_width", "to_height")])
+    at = pixels.join(size, "img").select("img", F.col("x").cast("long").alias("x"), "y", "width", "height", "to_width", "to_height", *[argb.channel(m, c).alias(c) for c in channels])
+    n, to = F.col("width"), F.col("to_width")
+    entry = lambda cell, values: F.struct(cell.cast("long").alias("cell"), *[values(c).cast("long").alias(c) for c in channels])
+
+    def columns(cell: Column, over: Column) -> Column:
+        carried = lambda c: _product(F.col(c) * over, _fraction(F.lit(1), to))
+        return F.array(entry(cell, lambda c: F.col(c) * to - F.col(c) * over), entry(cell + 1, lambda c: carried(c) * to))
+
+    # How near target cell k lies to its lower neighbour, of to - 1 parts; a single column counts for both.
+    nearness = lambda k: F.greatest(F.lit(1), div(k * (n - 1) + to - 2, to - 1)) * (to - 1) - k * (n - 1)
+    lower = F.transform(_between(F.col("x"), n, to, False), lambda k: entry(k, lambda c: F.col(c) * nearness(k)))
+    first = F.when(F.col("x") == 0, F.array(entry(F.lit(0), lambda c: F.col(c) * (to - 1)))).otherwise(F.array().cast(f"array<struct<cell:bigint,{','.join(f'{c}:bigint' for c in channels)}>>"))
+    upper = F.transform(F.filter(_between(F.col("x"), n, to, True), lambda k: (k > 0) | (n == 1)), lambda k: entry(k, lambda c: F.col(c) * F.when(n == 1, to - 1).otherwise(to - 1 - nearness(k))))
+    parts = F.when(n < to, F.concat(lower, F.when(n == 1, F.array().cast(f"array<struct<cell:bigint,{','.join(f'{c}:bigint' for c in channels)}>>")).otherwise(first), upper)).otherwise(_targets(F.col("x"), n, to, columns))
+    keys = ["img", "width", "height", "to_width", "to_height"]
+    rows = at.select(*keys, "y", F.explode(parts).alias("p")).select(*keys, F.col("y").cast("long").alias("y"), F.col("p.cell").alias("x"), *[F.col(f"p.{c}").alias(c) for c in channels]).where("x < to_width")
+    rows = rows.groupBy(*keys, "y", "x").agg(*[F.pmod(F.sum(c), F.lit(_ONE)).alias(c) for c in channels])
+
+    h, up = F.col("height"), F.col("to_height")
+
+    def lines(cell: Column, over: Column) -> Column:
+        beyond = lambda c: F.shiftright(F.col(c) * F.pmod(_fraction(F.lit(1), up) * over, F.lit(_ONE)), 32)
+        return F.array(entry(cell, lambda c: F.col(c) - beyond(c)), entry(cell + 1, beyond))
+
+    reach = lambda k: div(k * (h - 1) + up - 2, up - 1) * (up - 1) - k * (h - 1)
+    above = F.transform(_between(F.col("y"), h, up, True), lambda k: entry(k, lambda c: F.col(c) * (F.lit(_ONE) - _fraction(reach(k), up - 1))))
+    below = F.transform(F.filter(_between(F.col("y"), h, up, False), lambda k: reach(k) > 0), lambda k: entry(k, lambda c: F.col(c) * _fraction(reach(k), up - 1)))
+    parts = F.when(h < up, F.concat(above, below)).otherwise(_targets(F.col("y"), h, up, lines))
+    cells = rows.select(*keys, "x", F.explode(parts).alias("p")).select(*keys, "x", F.col("p.cell").alias("y"), *[F.col(f"p.{c}").alias(c) for c in channels]).where("y < to_height")
+    cells = cells.groupBy(*keys, "x", "y").agg(*[F.sum(c).alias(c) for c in channels])
+    wide = F.when(n < to, to - 1).otherwise(n)
+    scale = div(up * F.lit(_ONE), wide * h)
+    averaged = lambda c: F.when(scale < F.lit(_ONE), _product(F.pmod(F.col(c), F.lit(_ONE)), scale)).otherwise(F.pmod(F.col(c), F.lit(256)))
+    blended = lambda c: _product(F.shiftright(F.col(c) + F.lit(_ONE >> 1), 32), _fraction(F.lit(1), wide))
+    value = lambda c: F.least(F.lit(255), F.when(h < up, blended(c)).otherwise(averaged(c)))
+    return cells.select("img", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), argb.matte(argb.pack(*[value(c) for c in channels]), inverse=True).alias("argb"))
+
+
+def upsampled(luma: DataFrame, chroma: DataFrame) -> DataFrame:
+    """(img, x, y, argb): opaque pixels from luma (img, x, y, v) and half-size chroma (img, x, y, u, v), each chroma value blended with its neighbours by 9:3:3:1.
+
+    A pixel lies nearest to one chroma cell; the others of the four are on the sides that its parity tells. Cells beyond the rim are those on it. Each chroma
+    cell goes to the at most 16 pixels around it, and Spark meets them by place: a stencil without windows.
+    """
+    size = luma.groupBy("img").agg(F.max("x").alias("right"), F.max("y").alias("bottom"))
+    at = luma.join(size, "img").withColumnRenamed("v", "luma")
+    half = lambda c: F.shiftright(c, 1)
+
+    def near_far(c: str, edge: str) -> tuple[Column, Column]:
+        place = F.col(c)
+        far = F.when(F.pmod(place, F.lit(2)) == 1, half(place) + 1).otherwise(half(place) - 1)
+        return half(place), F.least(F.greatest(far, F.lit(0)), half(F.col(edge)))
+
+    (nx, fx), (ny, fy) = near_far("x", "right"), near_far("y", "bottom")
+    corners = F.explode(F.array(*[F.struct(cx.alias("cx"), cy.alias("cy"), F.lit(n).alias("corner")) for n, (cx, cy) in enumerate(((nx, ny), (fx, ny), (nx, fy), (fx, fy)))]))
+    met = at.select("img", "x", "y", "luma", corners.alias("c")).select("img", "x", "y", "luma", "c.*").join(chroma.select("img", F.col("x").cast("int").alias("cx"), F.col("y").cast("int").alias("cy"), "u", "v"), ["img", "cx", "cy"])
+    one = lambda c, n: F.max(F.when(F.col("corner") == n, F.col(c))).alias(f"{c}{n}")
+    four = met.groupBy("img", "x", "y").agg(F.first("luma").alias("luma"), *[one(c, n) for c in "uv" for n in range(4)]).join(size, "img")
+    rim = (F.col("x") == 0) | ((F.col("x") == F.col("right")) & (F.pmod("x", F.lit(2)) == 1))
+
+    def blended(c: str) -> Column:
+        near, side, below, across = (F.col(f"{c}{n}") for n in range(4))
+        flat = F.shiftright(3 * near + below + 2, 2)
+        # First the mean of the four with the two sides three times, rounded, then its mean with the nearest, cut.
+        mixed = F.shiftright(F.shiftright(near + 3 * side + 3 * below + across + 8, 3) + near, 1)
+        return F.when(rim, flat).otherwise(mixed)
+
+    return four.select("img", "x", "y", argb.yuv_to_argb(F.col("luma"), blended("u"), blended("v")).alias("argb"))
+
+
 def alpha_flags(pixels: DataFrame) -> DataFrame:
     """(img, has_alpha): whether any pixel isn't opaque."""
     return pixels.groupBy("img").agg(F.bool_or(argb.channel(F.col("argb"), "a") != 255).alias("has_alpha"))

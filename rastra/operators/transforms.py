@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastra.functions import argb
+from rastra.operators.pixels import fixed_log2
 
 BLACK = 0xFF000000
 
@@ -60,6 +61,75 @@ def cross_coloured(pixels: DataFrame, tiles: DataFrame, bits: int, inverse: bool
     return at.select("img", "x", "y", argb.cross_color(F.col("argb"), F.col("green_to_red"), F.col("green_to_blue"), F.col("red_to_blue"), inverse).alias("argb"))
 
 
+#: Fixed value: how often the two multipliers of blue are chosen at most, each given the other.
+CROSS_COLOUR_ROUNDS = 3
+
+
+def _nearest_multipliers(colours: DataFrame, rest: Column, by: str, name: str) -> DataFrame:
+    """(img, tx, ty, name): of the multipliers -128 to 127 that which leaves least of ``rest`` in a tile once its share of channel ``by`` is taken off.
+
+    Every colour of a tile meets every candidate, and costs are summed before anything moves. Of equally good ones the nearest to zero is
+    taken, then the lower.
+    """
+    tile = ["img", "tx", "ty"]
+    met = colours.select(*tile, "n", rest.alias("rest"), argb.signed_byte(F.col(by)).alias("by"), F.explode(F.sequence(F.lit(-128), F.lit(127))).alias("m"))
+    left = F.pmod(F.col("rest") - F.shiftright(F.col("m") * F.col("by"), 5), F.lit(256))
+    costs = met.groupBy(*tile, "m").agg(F.sum(F.col("n") * F.least(left, 256 - left)).alias("cost"))
+    return costs.groupBy(*tile).agg(F.min(F.struct("cost", F.abs("m").alias("size"), "m"))["m"].alias(name))
+
+
+def cross_colour_multipliers(pixels: DataFrame, bits: int) -> DataFrame:
+    """(img, tx, ty, green_to_red, green_to_blue, red_to_blue): the multipliers, -128 to 127, that leave the smallest residuals in each tile of 2**bits.
+
+    Residuals count by their distance from zero as signed bytes. Red has one multiplier. Blue has two, chosen in turn, each for what the other leaves, in
+    CROSS_COLOUR_ROUNDS rounds; what no longer changes stays. The pixels are shuffled once, by tile; a tile's equal colours are one row from then on.
+    """
+    tile = ["img", "tx", "ty"]
+    at = pixels.select("img", F.shiftright("x", bits).alias("tx"), F.shiftright("y", bits).alias("ty"), *[argb.channel(F.col("argb"), c).alias(c) for c in "rgb"])
+    colours = at.groupBy(*tile, "r", "g", "b").agg(F.count("*").alias("n")).repartition(*tile)
+    share = lambda m, c: F.shiftright(F.col(m) * argb.signed_byte(F.col(c)), 5)
+    chosen = _nearest_multipliers(colours, F.col("r"), "g", "green_to_red")
+    blue = _nearest_multipliers(colours, F.col("b"), "g", "green_to_blue")
+    for n in range(CROSS_COLOUR_ROUNDS):
+        red = _nearest_multipliers(colours.join(blue.select(*tile, "green_to_blue"), tile), F.col("b") - share("green_to_blue", "g"), "r", "red_to_blue")
+        if n < CROSS_COLOUR_ROUNDS - 1:
+            blue = _nearest_multipliers(colours.join(red, tile), F.col("b") - share("red_to_blue", "r"), "g", "green_to_blue")
+    return chosen.join(blue, tile).join(red, tile)
+
+
+def predictor_modes(pixels: DataFrame, bits: int) -> DataFrame:
+    """(img, tx, ty, mode): the mode whose residuals have least entropy in each tile of 2**bits, summed over channels in whole bits; the lowest of equal ones.
+
+    Pixels of the first row and column have fixed predictions and count for no mode; a tile that has no others has mode 0. Each pixel
+    gives a row for each mode and channel, which are counted before they move.
+    """
+    tile = ["img", "tx", "ty"]
+    near = with_neighbours(pixels)
+    first = F.first("argb").over(Window.partitionBy("img", "y").orderBy("x"))
+    near = near.withColumn("top_right", F.coalesce("top_right", first))
+    near = near.select("img", F.shiftright("x", bits).alias("tx"), F.shiftright("y", bits).alias("ty"), (F.least("x", "y") > 0).alias("inner"), "argb", "left", "top", "top_left", "top_right")
+    guesses = [prediction(m, *(F.col(c) for c in ("left", "top", "top_left", "top_right"))) for m in range(14)]
+    guessed = near.where("inner").select(*tile, "argb", F.posexplode(F.array(*[g.cast("long") for g in guesses])).alias("mode", "guess"))
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.pmod(argb.channel(F.col("argb"), c) - argb.channel(F.col("guess"), c), F.lit(256)).alias("value")) for c in "argb"]))
+    counts = guessed.select(*tile, "mode", parts.alias("p")).groupBy(*tile, "mode", "p.channel", "p.value").agg(F.count("*").alias("n"))
+    per = counts.groupBy(*tile, "mode", "channel").agg(F.sum("n").alias("total"), F.sum(F.col("n") * fixed_log2(F.col("n"))).alias("part"))
+    cost = F.shiftright(F.col("total") * fixed_log2(F.col("total")) - F.col("part"), 16)
+    best = per.groupBy(*tile, "mode").agg(F.sum(cost).alias("cost")).groupBy(*tile).agg(F.min(F.struct("cost", "mode"))["mode"].alias("mode"))
+    return near.select(*tile).distinct().join(best, tile, "left").select(*tile, F.coalesce("mode", F.lit(0)).alias("mode"))
+
+
+def predicted(pixels: DataFrame, tiles: DataFrame, bits: int) -> DataFrame:
+    """(img, x, y, argb): each pixel less what its tile's mode (img, tx, ty, mode) predicts; rims as in ``residuals``."""
+    near = with_neighbours(pixels)
+    first = F.first("argb").over(Window.partitionBy("img", "y").orderBy("x"))
+    near = near.withColumns({"top_right": F.coalesce("top_right", first), "tx": F.shiftright("x", bits), "ty": F.shiftright("y", bits)}).join(tiles, ["img", "tx", "ty"])
+    guess = F.lit(BLACK)
+    for m in range(1, 14):
+        guess = F.when(F.col("mode") == m, prediction(m, *(F.col(c) for c in ("left", "top", "top_left", "top_right")))).otherwise(guess)
+    guess = F.when((F.col("x") == 0) & (F.col("y") == 0), F.lit(BLACK)).when(F.col("y") == 0, F.col("left")).when(F.col("x") == 0, F.col("top")).otherwise(guess)
+    return near.withColumn("guess", guess).select("img", "x", "y", argb.pack(*[F.pmod(argb.channel(F.col("argb"), c) - argb.channel(F.col("guess"), c), F.lit(256)) for c in "argb"]).alias("argb"))
+
+
 #: Fixed value: a side of an image from which near-lossless passes are made.
 MIN_NEAR_LOSSLESS = 64
 

@@ -12,7 +12,7 @@ from rastra.functions.bits import le_bytes
 from rastra.operators import animation, batch, container, lossy, pixels, transforms
 from rastra.sources import images
 from rastra.streaming import incremental
-from rastra.plans.raster import ARGB, FRAMES_SQL, LINES_SQL, PAGES_SQL, PX_SQL, embedding_pixels, event_frames, line_pixels, page_files, table
+from rastra.plans.raster import ARGB, FRAMES_SQL, LINES_SQL, LUMA_SQL, PAGES_SQL, PX_SQL, embedding_pixels, event_frames, line_pixels, luma_planes, page_files, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -421,6 +421,65 @@ def predict_gradient(spark, sf_dir):
     return transforms.residuals(embedding_pixels(spark, sf_dir), 12)
 
 
+def _multiplier_sql(name: str, rest: str, by: str, source: str) -> str:
+    """The table ``name`` (img, tx, ty, m): for each tile the candidate that leaves least of ``rest``."""
+    signed = f"(CASE WHEN {by} > 127 THEN {by} - 256 ELSE {by} END)"
+    left = f"((({rest} - ((m * {signed}) >> 5)) % 256 + 256) % 256)"
+    return f"""{name} AS MATERIALIZED (SELECT img, tx, ty, min({{'c': c, 'a': abs(m), 'm': m}})['m'] AS m FROM (SELECT img, tx, ty, m, sum(least({left}, 256 - {left})) AS c FROM {source}, range(-128, 128) AS k(m) GROUP BY img, tx, ty, m) GROUP BY img, tx, ty)"""
+
+
+def _share_sql(m: str, c: str) -> str:
+    return f"(({m} * (CASE WHEN {c} > 127 THEN {c} - 256 ELSE {c} END)) >> 5)"
+
+
+_MULTIPLIERS = ", ".join(
+    [
+        "tp AS MATERIALIZED (SELECT img, x // 4 AS tx, y // 4 AS ty, r, g, b FROM px)",
+        _multiplier_sql("gr", "r", "g", "tp"),
+        _multiplier_sql("gb0", "b", "g", "tp"),
+        *(
+            part
+            for n in range(3)
+            for part in (
+                _multiplier_sql(f"rb{n}", "(b - " + _share_sql("h", "g") + ")", "r", f"(SELECT tp.*, gb{n}.m AS h FROM tp JOIN gb{n} USING (img, tx, ty))"),
+                *([_multiplier_sql(f"gb{n + 1}", "(b - " + _share_sql("h", "r") + ")", "g", f"(SELECT tp.*, rb{n}.m AS h FROM tp JOIN rb{n} USING (img, tx, ty))")] if n < 2 else []),
+            )
+        ),
+    ]
+)
+
+
+@query(f"WITH {PX_SQL}, {_MULTIPLIERS} SELECT img, tx, ty, CAST(gr.m AS INT) AS green_to_red, CAST(gb2.m AS INT) AS green_to_blue, CAST(rb2.m AS INT) AS red_to_blue FROM gr JOIN gb2 USING (img, tx, ty) JOIN rb2 USING (img, tx, ty)")
+def cross_colour_search(spark, sf_dir):
+    return transforms.cross_colour_multipliers(embedding_pixels(spark, sf_dir), 2)
+
+
+_MODES_SQL = f"""nb AS (SELECT *, lag(t) OVER w AS tl, coalesce(lead(t) OVER w, first_value(argb) OVER w) AS tr FROM ne WINDOW w AS (PARTITION BY img, y ORDER BY x)),
+ch AS (SELECT img, x, y, s, (argb >> s) & 255 AS v, (l >> s) & 255 AS l, (t >> s) & 255 AS t, (tl >> s) & 255 AS tl, (tr >> s) & 255 AS tr,
+  sum(abs(((l >> s) & 255) - ((tl >> s) & 255)) - abs(((t >> s) & 255) - ((tl >> s) & 255))) OVER (PARTITION BY img, x, y) AS lean FROM nb, (VALUES (0), (8), (16), (24)) AS c(s)),
+gs AS (SELECT img, x, y, s, v, unnest(range(14)) AS mode, unnest([CASE s WHEN 24 THEN 255 ELSE 0 END, l, t, tr, tl, ((l + tr) // 2 + t) // 2, (l + tl) // 2, (l + t) // 2, (tl + t) // 2, (t + tr) // 2,
+  ((l + tl) // 2 + (t + tr) // 2) // 2, CASE WHEN lean <= 0 THEN t ELSE l END, least(255, greatest(0, l + t - tl)),
+  least(255, greatest(0, (l + t) // 2 + CAST(trunc(((l + t) // 2 - tl) / 2.0) AS BIGINT)))]) AS g FROM ch),
+hs AS (SELECT img, x // 4 AS tx, y // 4 AS ty, mode, s, (v - g + 256) % 256 AS value, count(*) AS n FROM gs WHERE x > 0 AND y > 0 GROUP BY ALL),
+lg AS (SELECT n, list_reduce(list_prepend(n << (16 - CAST(floor(log2(n)) AS INT)), range(16)), lambda m, k: ((((m & 4294967295) * (m & 4294967295)) >> 16) >> CASE WHEN ((m & 4294967295) * (m & 4294967295)) >> 16 >= 131072 THEN 1 ELSE 0 END)
+  + (((m >> 32) * 2 + CASE WHEN ((m & 4294967295) * (m & 4294967295)) >> 16 >= 131072 THEN 1 ELSE 0 END) << 32)) >> 32 AS part, CAST(floor(log2(n)) AS INT) AS whole FROM range(1, 17) AS r(n)),
+eb AS (SELECT img, tx, ty, mode, s, sum(hs.n) AS total, sum(hs.n * CASE WHEN hs.n > 1 THEN whole * 65536 + part ELSE 0 END) AS used FROM hs JOIN lg ON lg.n = hs.n GROUP BY ALL),
+co AS (SELECT img, tx, ty, mode, sum(CAST(total * CASE WHEN total > 1 THEN whole * 65536 + part ELSE 0 END - used AS BIGINT) >> 16) AS cost FROM eb JOIN lg ON lg.n = total GROUP BY ALL),
+mo AS (SELECT img, tx, ty, min({{'c': cost, 'm': mode}})['m'] AS mode FROM co GROUP BY ALL)"""
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL}, {NEAR_SQL}, {_MODES_SQL} SELECT img, tx, ty, CAST(mode AS INT) AS mode FROM mo")
+def predictor_choice(spark, sf_dir):
+    return transforms.predictor_modes(embedding_pixels(spark, sf_dir), 2)
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL}, {NEAR_SQL}, {_MODES_SQL} SELECT img, x, y, CAST(sum(((v - CASE WHEN x = 0 AND y = 0 THEN CASE s WHEN 24 THEN 255 ELSE 0 END WHEN y = 0 THEN l WHEN x = 0 THEN t ELSE g END + 256) % 256) << s) AS BIGINT) AS argb "
+       "FROM ch JOIN gs USING (img, x, y, s, v) JOIN mo ON mo.img = ch.img AND mo.tx = x // 4 AND mo.ty = y // 4 AND mo.mode = gs.mode GROUP BY ALL")
+def predictor_residuals(spark, sf_dir):
+    px = embedding_pixels(spark, sf_dir)
+    return transforms.predicted(px, transforms.predictor_modes(px, 2), 2)
+
+
 _GRID = " | ".join(f"((CASE WHEN ((argb >> {s}) & 255) + 3 + ((((argb >> {s}) & 255) >> 3) & 1) > 255 THEN 255 ELSE (((argb >> {s}) & 255) + 3 + ((((argb >> {s}) & 255) >> 3) & 1)) & 65528 END) << {s})" for s in (24, 16, 8, 0))
 _SMOOTH = " AND ".join(f"abs(((argb >> {s}) & 255) - (({n} >> {s}) & 255)) < 8" for n in ("l", "t", "rr", "bb") for s in (24, 16, 8, 0))
 
@@ -776,3 +835,100 @@ def encode_modes(spark, sf_dir):
 def search_breadth(spark, sf_dir):
     found = table(spark, sf_dir, "part").select("p_partkey", batch.breadth(F.pmod("p_size", F.lit(10))).alias("b"))
     return found.select("p_partkey", F.array_join(F.col("b.tile_bits").cast("array<string>"), ",").alias("tile_bits"), "b.cross_colour", "b.optimal_parse", "b.blockwise_codes")
+
+
+# --- choices that cluster, and geometry of any ratio -------------------------------------------------------------
+
+_BLOCKS_SQL = """b4 AS (SELECT img, x // 4 AS sx, y // 4 AS sy, list(v ORDER BY y, x) AS b FROM lu GROUP BY ALL HAVING count(*) = 16),
+rw AS (SELECT img, sx, sy, i, b[4 * i + 1] + b[4 * i + 4] AS e, b[4 * i + 2] + b[4 * i + 3] AS o, b[4 * i + 2] - b[4 * i + 3] AS n, b[4 * i + 1] - b[4 * i + 4] AS u FROM b4, range(4) AS r(i)),
+rt AS (SELECT img, sx, sy, k AS i, list([(e + o) * 8, (n * 2217 + u * 5352 + 1812) >> 9, (e - o) * 8, (u * 2217 - n * 5352 + 937) >> 9][k + 1] ORDER BY i) AS c FROM rw, range(4) AS q(k) GROUP BY ALL),
+cw AS (SELECT img, sx, sy, i, c[1] + c[4] AS e, c[2] + c[3] AS o, c[2] - c[3] AS n, c[1] - c[4] AS u FROM rt),
+cf AS (SELECT img, sx, sy, i, k, [(e + o + 7) >> 4, ((n * 2217 + u * 5352 + 12000) >> 16) + CASE WHEN u <> 0 THEN 1 ELSE 0 END, (e - o + 7) >> 4, (u * 2217 - n * 5352 + 51000) >> 16][k + 1] AS c FROM cw, range(4) AS q(k)),
+bn AS (SELECT img, sx // 4 AS mx, sy // 4 AS my, CASE WHEN i = 0 AND k = 0 THEN 0 ELSE least(31, abs(c) >> 3) END AS bin, count(*) AS n FROM cf GROUP BY ALL),
+ac AS MATERIALIZED (SELECT img, mx, my, CAST(CASE WHEN max(n) > 1 THEN least(255, 510 * max(bin) // max(n)) ELSE 0 END AS INT) AS activity FROM bn GROUP BY ALL),
+h AS MATERIALIZED (SELECT img, activity AS a, count(*) AS n FROM ac GROUP BY ALL)"""
+
+
+def _segments_sql() -> str:
+    """Centres c0 to c6 of each image, and the nearest of each value after each round."""
+    near = lambda r: f"z{r} AS MATERIALIZED (SELECT h.img, a, any_value(n) AS n, min({{'d': abs(a - c), 'k': k}})['k'] AS k FROM h JOIN c{r} ON h.img = c{r}.img GROUP BY h.img, a)"
+    parts = ["c0 AS (SELECT img, k, CASE WHEN min(a) = max(a) THEN min(a) ELSE min(a) + (max(a) - min(a)) * k // 3 END AS c, false AS done FROM h, range(4) AS r(k) GROUP BY img, k)", near(0)]
+    for r in range(6):
+        parts.append(
+            f"""c{r + 1} AS MATERIALIZED (SELECT img, k, CASE WHEN done THEN c ELSE m END AS c, done OR sum(abs(m - c)) OVER (PARTITION BY img) < 5 AS done
+FROM (SELECT c.img, c.k, c.c, c.done, coalesce(z.m, c.c) AS m FROM c{r} AS c LEFT JOIN (SELECT img, k, CAST(sum(a * n) AS BIGINT) // CAST(sum(n) AS BIGINT) AS m FROM z{r} GROUP BY img, k) AS z ON z.img = c.img AND z.k = c.k))"""
+        )
+        parts.append(near(r + 1))
+    parts.append("sg AS MATERIALIZED (SELECT img, a, CAST(dense_rank() OVER (PARTITION BY img ORDER BY k) - 1 AS INT) AS segment, CAST(sum(a * n) OVER (PARTITION BY img, k) AS BIGINT) // CAST(sum(n) OVER (PARTITION BY img, k) AS BIGINT) AS centre FROM z6)")
+    parts.append("sm AS MATERIALIZED (SELECT ac.*, segment, centre FROM ac JOIN sg ON sg.img = ac.img AND sg.a = ac.activity)")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {LUMA_SQL}, {_BLOCKS_SQL}, {_segments_sql()},
+vt AS (SELECT a.img, a.mx, a.my, b.segment, count(*) AS n FROM sm AS a JOIN sm AS b ON a.img = b.img AND abs(a.mx - b.mx) <= 1 AND abs(a.my - b.my) <= 1 AND (a.mx <> b.mx OR a.my <> b.my) GROUP BY ALL),
+vs AS (SELECT img, mx, my, sum(n) AS n, min(segment) FILTER (WHERE n >= 5) AS s FROM vt GROUP BY ALL)
+SELECT sm.img, sm.mx, sm.my, activity, segment, centre, CASE WHEN n = 8 THEN coalesce(s, segment) ELSE segment END AS smooth FROM sm LEFT JOIN vs ON vs.img = sm.img AND vs.mx = sm.mx AND vs.my = sm.my""")
+def segment_map(spark, sf_dir):
+    return lossy.smoothed(lossy.segmented(lossy.macroblock_activity(luma_planes(spark, sf_dir)))).select("img", "mx", "my", "activity", "segment", "centre", "smooth")
+
+
+def _levels_sql(levels: int) -> str:
+    parts = [
+        "h AS MATERIALIZED (SELECT img, v, count(*) AS n FROM lu GROUP BY ALL)",
+        f"g AS (SELECT img, min(v) AS lo, max(v) AS hi FROM h GROUP BY img HAVING count(*) > {levels})",
+        f"c0 AS (SELECT img, i, lo * 65536 + ((hi - lo) * i * 65536 + {levels - 1} // 2) // {levels - 1} AS c FROM g, range({levels}) AS r(i))",
+    ]
+    for r in range(6):
+        parts.append(f"b{r} AS MATERIALIZED (SELECT img, c + lead(c) OVER (PARTITION BY img ORDER BY i) AS b FROM c{r})")
+        parts.append(f"s{r} AS MATERIALIZED (SELECT h.img, v, any_value(n) AS n, count(*) FILTER (WHERE v * 131072 > b) AS i FROM h JOIN b{r} ON b{r}.img = h.img GROUP BY h.img, v)")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.img, c.i, coalesce(m, c.c) AS c FROM c{r} AS c LEFT JOIN (SELECT img, i, (CAST(sum(v * n) AS BIGINT) * 65536 + CAST(sum(n) AS BIGINT) // 2) // CAST(sum(n) AS BIGINT) AS m FROM s{r} GROUP BY img, i) AS s ON s.img = c.img AND s.i = c.i)")
+    return ", ".join(parts)
+
+
+@query(f"WITH {LUMA_SQL}, {_levels_sql(12)}, t AS (SELECT s5.img, s5.v, least(255, greatest(0, (c + 32768) >> 16)) AS level FROM s5 JOIN c6 ON c6.img = s5.img AND c6.i = s5.i) SELECT lu.img, x, y, coalesce(level, lu.v) AS v FROM lu LEFT JOIN t ON t.img = lu.img AND t.v = lu.v")
+def alpha_levels_chosen(spark, sf_dir):
+    return lossy.quantised_alpha(luma_planes(spark, sf_dir), 12)
+
+
+#: Axis by axis: what each source cell gives to target cells, then sums. Images are 8 x 8; tw and th are their new sizes.
+_RESIZE_SQL = f"""sz AS (SELECT DISTINCT img, 1 + img % 13 AS tw, 1 + img // 13 % 11 AS th FROM px),
+mt AS (SELECT img, x, y, a, {_MATTE} FROM px),
+lg AS (SELECT img, x, y, unnest([0, 8, 16, 24]) AS s, unnest([b, g, r, a]) AS v FROM mt),
+l1 AS (SELECT *, x * tw // 8 AS k, CASE WHEN ((x * tw // 8 + 1) * 8 + tw - 1) // tw - 1 = x THEN ((x * tw // 8 + 1) * 8 + tw - 1) // tw * tw - (x * tw // 8 + 1) * 8 ELSE 0 END AS o FROM lg JOIN sz USING (img) WHERE tw <= 8),
+e1 AS (SELECT img, tw, th, k, greatest(0, (k * 7 + tw - 2) // (tw - 1) - 1) AS j FROM (SELECT *, unnest(range(tw)) AS k FROM sz WHERE tw > 8)),
+f1 AS (SELECT img, tw, th, s, y, k, v * tw - v * o AS f FROM l1 UNION ALL SELECT img, tw, th, s, y, k + 1, ((v * o * (4294967296 // tw % 4294967296) + 2147483648) >> 32) * tw FROM l1 WHERE o > 0
+  UNION ALL SELECT img, tw, th, s, y, k, v * ((tw - 1) * (j + 1) - k * 7) FROM e1 JOIN lg USING (img) WHERE lg.x = j UNION ALL SELECT img, tw, th, s, y, k, v * (tw - 1 - ((tw - 1) * (j + 1) - k * 7)) FROM e1 JOIN lg USING (img) WHERE lg.x = j + 1),
+rw AS (SELECT img, tw, th, s, y, k AS x, CAST(sum(f) AS BIGINT) AS f FROM f1 WHERE k < tw GROUP BY ALL),
+l2 AS (SELECT *, y * th // 8 AS k, CASE WHEN ((y * th // 8 + 1) * 8 + th - 1) // th - 1 = y THEN ((y * th // 8 + 1) * 8 + th - 1) // th * th - (y * th // 8 + 1) * 8 ELSE 0 END AS o FROM rw WHERE th <= 8),
+e2 AS (SELECT img, th, k, q, q * (th - 1) - k * 7 AS o FROM (SELECT *, (k * 7 + th - 2) // (th - 1) AS q FROM (SELECT *, unnest(range(th)) AS k FROM sz WHERE th > 8))),
+f2 AS (SELECT img, tw, th, s, x, k, f - ((f * (4294967296 // th * o % 4294967296)) >> 32) AS f FROM l2 UNION ALL SELECT img, tw, th, s, x, k + 1, (f * (4294967296 // th * o % 4294967296)) >> 32 FROM l2 WHERE o > 0
+  UNION ALL SELECT rw.img, tw, rw.th, s, x, k, f * (4294967296 - 4294967296 * o // (rw.th - 1)) FROM e2 JOIN rw ON rw.img = e2.img AND rw.y = q UNION ALL SELECT rw.img, tw, rw.th, s, x, k, f * (4294967296 * o // (rw.th - 1)) FROM e2 JOIN rw ON rw.img = e2.img AND rw.y = q - 1 AND o > 0),
+c2 AS (SELECT img, tw, th, s, x, k AS y, CAST(sum(f) AS BIGINT) AS f, CASE WHEN tw > 8 THEN tw - 1 ELSE 8 END AS w FROM f2 WHERE k < th GROUP BY ALL),
+vl AS (SELECT img, x, y, s, least(255, CASE WHEN th > 8 THEN (((f + 2147483648) >> 32) * (4294967296 // w % 4294967296) + 2147483648) >> 32 ELSE (f * (th * 4294967296 // (w * 8)) + 2147483648) >> 32 END) AS v FROM c2),
+rs AS (SELECT img, x, y, max(v) FILTER (WHERE s = 24) AS a, max(v) FILTER (WHERE s = 16) AS r, max(v) FILTER (WHERE s = 8) AS g, max(v) FILTER (WHERE s = 0) AS b FROM vl GROUP BY ALL)"""
+
+
+@query(f"WITH {PX_SQL}, {_RESIZE_SQL} SELECT img, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CASE WHEN a = 255 THEN {ARGB} WHEN a = 0 THEN 0 ELSE (a << 24) | {_RESTORED} END AS argb FROM rs")
+def resize_any_ratio(spark, sf_dir):
+    px = embedding_pixels(spark, sf_dir)
+    n = F.col("img")
+    sizes = px.select("img").distinct().select("img", F.lit(8).alias("width"), F.lit(8).alias("height"), (1 + F.pmod(n, F.lit(13))).alias("to_width"), (1 + F.pmod(F.call_function("div", n, F.lit(13)), F.lit(11))).alias("to_height"))
+    return pixels.resized(px, sizes)
+
+
+_FANCY = "CASE WHEN rim THEN (3 * n.{0} + b.{0} + 2) >> 2 ELSE (((n.{0} + 3 * s.{0} + 3 * b.{0} + a.{0} + 8) >> 3) + n.{0}) >> 1 END AS {0}"
+
+
+@query(f"""WITH {PX_SQL}, i AS (SELECT *, 7 + img % 2 AS w, 8 - img // 2 % 2 AS h FROM px), y1 AS (SELECT img, x, y, r AS yy, x = 0 OR (x = w - 1 AND x % 2 = 1) AS rim, (w - 1) // 2 AS mx, (h - 1) // 2 AS my FROM i WHERE x < w AND y < h),
+c AS (SELECT img, x // 2 AS x, y // 2 AS y, g AS u, b AS v FROM i WHERE x < w AND y < h AND x % 2 = 0 AND y % 2 = 0),
+p AS (SELECT *, x // 2 AS nx, y // 2 AS ny, least(mx, greatest(0, x // 2 + CASE WHEN x % 2 = 1 THEN 1 ELSE -1 END)) AS fx, least(my, greatest(0, y // 2 + CASE WHEN y % 2 = 1 THEN 1 ELSE -1 END)) AS fy FROM y1),
+d AS (SELECT p.img, p.x, p.y, (yy * 19077) >> 8 AS k, {_FANCY.format('u')}, {_FANCY.format('v')} FROM p JOIN c n ON n.img = p.img AND n.x = nx AND n.y = ny JOIN c s ON s.img = p.img AND s.x = fx AND s.y = ny JOIN c b ON b.img = p.img AND b.x = nx AND b.y = fy JOIN c a ON a.img = p.img AND a.x = fx AND a.y = fy)
+SELECT img, x, y, 4278190080 | (least(255, greatest(0, (k + ((v * 26149) >> 8) - 14234) >> 6)) << 16) | (least(255, greatest(0, (k - ((u * 6419) >> 8) - ((v * 13320) >> 8) + 8708) >> 6)) << 8) | least(255, greatest(0, (k + ((u * 33050) >> 8) - 17685) >> 6)) AS argb FROM d""")
+def chroma_upsampling(spark, sf_dir):
+    """Images of 7 or 8 columns and rows; chroma is that of every other pixel both ways."""
+    px = embedding_pixels(spark, sf_dir)
+    width, height = 7 + F.pmod("img", F.lit(2)), 8 - F.pmod(F.call_function("div", F.col("img"), F.lit(2)), F.lit(2))
+    inside = px.where((F.col("x") < width) & (F.col("y") < height))
+    luma = inside.select("img", "x", "y", argb.channel(F.col("argb"), "r").alias("v"))
+    half = inside.where("x % 2 = 0 and y % 2 = 0").select("img", F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"), argb.channel(F.col("argb"), "g").alias("u"), argb.channel(F.col("argb"), "b").alias("v"))
+    return pixels.upsampled(luma, half)

@@ -28,6 +28,21 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("img"), F.pmod("i", F.lit(8)).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), argb.pack(a, value(0), value(1), value(8)).alias("argb"))
 
 
+#: Luma planes of 64 x 64 from 64 vectors each, as 8 x 8 tiles; every third tile is flat and every fifth is coarse.
+LUMA_SQL = """lu AS (SELECT vec_id // 64 AS img, CAST(vec_id % 8 * 8 + i % 8 AS INT) AS x, CAST(vec_id // 8 % 8 * 8 + i // 8 AS INT) AS y,
+  CASE WHEN (vec_id // 2) % 3 = 0 THEN 128 WHEN vec_id % 5 = 0 THEN v // 64 * 64 ELSE v END AS v
+  FROM (SELECT vec_id, i, least(255, greatest(0, CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 127) AS BIGINT))) AS v FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings)))"""
+
+
+def luma_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img, x, y, v): LUMA_SQL in Spark."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).where("i < 64")
+    v = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("e").cast("double") + 1) * 127)))
+    n, div = F.col("vec_id"), lambda c, k: F.call_function("div", c, F.lit(k))
+    tile = F.when(F.pmod(div(n, 2), F.lit(3)) == 0, F.lit(128).cast("long")).when(F.pmod(n, F.lit(5)) == 0, div(v, 64) * 64).otherwise(v)
+    return e.select(div(n, 64).alias("img"), (F.pmod(n, F.lit(8)) * 8 + F.pmod("i", F.lit(8))).cast("int").alias("x"), (F.pmod(div(n, 8), F.lit(8)) * 8 + div(F.col("i"), 8)).cast("int").alias("y"), tile.alias("v"))
+
+
 #: Sparse images from order lines: the place is the line's number and the order's, so that no window is needed.
 LINES_SQL = """px AS (SELECT l_orderkey // 8 AS img, CAST(l_linenumber - 1 AS INT) AS x, CAST(l_orderkey % 8 AS INT) AS y, l_returnflag AS flag, l_linestatus AS status,
   l_partkey & 255 AS r, l_suppkey & 255 AS g, CAST(l_quantity AS BIGINT) & 255 AS b, CASE l_returnflag WHEN 'R' THEN 128 WHEN 'A' THEN 64 ELSE 255 END AS a FROM lineitem)"""
