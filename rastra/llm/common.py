@@ -53,7 +53,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """The same rows, read from Parquet in the shared folder: Catalyst knows their size then, and broadcasts them only if it is small."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() returned, once nothing reads them any more."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)
 
 
 def free_prefix(df: DataFrame, prefix: str) -> str:

@@ -8,8 +8,8 @@ places is repeated, and its words go at every place. The graph holds repeated ed
 2. Equal pieces are bundled, then their edges are counted by hash. Each remembers its least source coordinate (text, word), how many coordinates it has and a signature of them,
    a sum that turns into the next edge's by one multiplication if each coordinate moves on by one word.
 3. Compaction. Where all occurrences of an edge go on with one and the same edge, and all of that come from it, nothing branches
-   between them: least coordinates are neighbours, counts are equal, and the signature turns into the next. Two joins find
-   the edges without such a predecessor or successor, the ends of the nonbranching paths; a third joins the ends of each path.
+   between them: least coordinates are neighbours, counts are equal, and the signature turns into the next. Neighbours meet in one
+   shuffle by least coordinate and make up nonbranching paths.
 4. Coordinates. The occurrences of a path's first edge are the sources of the whole path: joins by that edge and by piece give repeated spans.
 5. Verification. At each source the span's words are hashed anew, to 128 bits. Paths whose sources differ (hash collisions) are taken
    apart into windows that are counted by such hashes.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastra.llm.common import stored
+from rastra.llm.common import discard, stored
 from rastra.llm.suffixes import Hasher, anchors
 
 WIDTH, ANCHOR = 35, 12
@@ -164,17 +164,17 @@ def _single_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def paths(edges: DataFrame) -> DataFrame:
     """(path, n) of the nonbranching paths: the first edge and the number of edges. From rows (edge, base, place, places, sign), one an edge.
 
-    ``base`` is the text of the least source, ``place`` the word there. Paths are cut every 65,536 words, so that no group grows with a text.
+    ``base`` is the text of the least source, ``place`` the word there. Edges that follow each other have neighbouring least sources, so one
+    shuffle by those brings them together. Paths are cut every 65,536 words, so that no group grows with a text.
     """
     turned = F.pmod(F.col("sign") * F.lit(Decimal(_TURN)), F.lit(Decimal(1 << 64))).cast("decimal(20,0)")
-    block = F.shiftright("place", 16)
-    rows = edges.select("edge", "base", "place", "places", "sign", block.alias("block"), (F.col("place") + 1).alias("next"), turned.alias("turned"))
-    before = rows.select("base", F.col("next").alias("place"), "places", F.col("turned").alias("sign"), "block")
-    after = rows.select("base", F.col("place").alias("next"), "places", F.col("sign").alias("turned"), "block")
-    by_place = lambda at: Window.partitionBy("base", "block").orderBy(at)
-    heads = rows.join(before, ["base", "place", "places", "sign", "block"], "left_anti").select("base", "block", "place", "edge", F.row_number().over(by_place("place")).alias("nth"))
-    tails = rows.join(after, ["base", "next", "places", "turned", "block"], "left_anti").select("base", "block", F.col("next").alias("end"), F.row_number().over(by_place("next")).alias("nth"))
-    return heads.join(tails, ["base", "block", "nth"]).select(F.col("edge").alias("path"), (F.col("end") - F.col("place")).alias("n"))
+    by_place = Window.partitionBy("base", "block").orderBy("place")
+    rows = edges.select("edge", "base", F.shiftright("place", 16).alias("block"), "place", "places", "sign")
+    before = F.lag(F.struct("place", "places", turned.alias("turned"))).over(by_place)
+    joined = (F.col("before.place") + 1 == F.col("place")) & (F.col("before.places") == F.col("places")) & (F.col("before.turned") == F.col("sign"))
+    headed = rows.withColumn("before", before).withColumn("head", F.when(~F.coalesce(joined, F.lit(False)), F.col("edge")))
+    named = headed.select("base", "block", F.last("head", ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, 0)).alias("path"))
+    return named.groupBy("base", "block", "path").agg(F.count("*").alias("n")).select("path", "n")
 
 
 def _digest(words: list[bytes]) -> tuple[int, int]:
@@ -249,11 +249,12 @@ def repeated(texts: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hash_bi
     counted = single.select("edge", "n", "places", (F.col("source") + F.col("at").cast("decimal(19,0)")).cast("decimal(38,0)").alias("source"), "low", "high").groupBy("edge").agg(*summed("n"))
     sign = F.pmod(F.col("high").cast("decimal(19,0)") * F.lit(Decimal(1 << 32)) + F.col("low").cast("decimal(19,0)"), F.lit(Decimal(1 << 64))).cast("decimal(20,0)")
     place = F.expr("cast(source % 2147483648 as long)")
-    edges = stored(counted.where("n > 1").select("edge", (F.col("source") - place).cast("decimal(38,0)").alias("base"), place.alias("place"), "places", sign.alias("sign")), "edges")
+    edges = counted.where("n > 1").select("edge", (F.col("source") - place).cast("decimal(38,0)").alias("base"), place.alias("place"), "places", sign.alias("sign"))
     compact = stored(paths(edges), "paths")
     spots = stored(bundles.select(*piece, F.posexplode("edges").alias("at", "path")).join(compact, "path"), "spots")
     spans = occurrences.select(*piece, *key, "place").join(spots, piece).select("path", *key, (F.col("place") + F.col("at")).alias("place"), "n")
     spans = stored(spans, "spans")
+    discard(again, occurrences, bundles, compact, spots)
 
     def stripped(of: DataFrame) -> DataFrame:
         grouped = of.groupBy(key).agg(F.collect_list(F.struct("place", "n", "path")).alias("spans"))
