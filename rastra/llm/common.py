@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return back
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same table, once Spark has had the chance to drop the shuffle files of the jobs before: it does so for plans that the driver's JVM has collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that stored() returned, once nothing reads them any more."""
     for df in tables:

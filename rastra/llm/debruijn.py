@@ -19,21 +19,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastra.llm.common import discard, stored
+from rastra.llm.common import discard, settled, stored
 from rastra.llm.suffixes import Hasher, anchors
 
 WIDTH, ANCHOR = 35, 12
 #: Texts that are looked at together, in bytes; a longer text is looked at alone.
 _TOGETHER = 1 << 20
-#: What a signature is multiplied by for each word; small enough for exact decimal products.
-_TURN = 0x9E3779B1
+#: What a signature is multiplied by for each word; small enough for products of 32 bits with it.
+_TURN, _HALF = 0x1E3779B1, (1 << 32) - 1
 _OTHER, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
@@ -147,7 +146,7 @@ def _turns(n: int) -> np.ndarray:
 
 
 def _single_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (edge, n, places, source, at, low, high) from rows (n, places, source, low, high, edges): a piece's edges, with the signature turned to each."""
+    """Rows (edge, n, places, source, low, high) from rows (n, places, source, low, high, edges): a piece's edges, with the signature turned to each."""
     turns = _turns(256)
     for batch in batches:
         edges = batch.column("edges")
@@ -157,24 +156,37 @@ def _single_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         low, high = (batch.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))
         sign = ((high << np.uint64(32)) + low)[row] * turns[at]
         index = pa.array(row)
-        columns = [edges.flatten(), *(batch.column(c).take(index) for c in ("n", "places", "source")), pa.array(at, pa.int64()), pa.array((sign & _LOW).view(np.int64)), pa.array((sign >> np.uint64(32)).view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, names=["edge", "n", "places", "source", "at", "low", "high"])
+        source = batch.column("source").to_numpy()[row] + at
+        columns = [edges.flatten(), *(batch.column(c).take(index) for c in ("n", "places")), pa.array(source), pa.array((sign & _LOW).view(np.int64)), pa.array((sign >> np.uint64(32)).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["edge", "n", "places", "source", "low", "high"])
+
+
+def _turned(sign: Column) -> Column:
+    """A signature times _TURN modulo 2 ** 64, from its halves, none of which overflows."""
+    low, high = sign.bitwiseAND(F.lit(_HALF)) * F.lit(_TURN), F.shiftrightunsigned(sign, 32) * F.lit(_TURN)
+    return _joined(low, high)
+
+
+def _joined(low: Column, high: Column) -> Column:
+    """high * 2 ** 32 + low modulo 2 ** 64, for numbers of 0 to 2 ** 62."""
+    top = (high + F.shiftrightunsigned(low, 32)).bitwiseAND(F.lit(_HALF))
+    return F.shiftleft(top, 32).bitwiseOR(low.bitwiseAND(F.lit(_HALF)))
 
 
 def paths(edges: DataFrame) -> DataFrame:
-    """(path, n) of the nonbranching paths: the first edge and the number of edges. From rows (edge, base, place, places, sign), one an edge.
+    """(path, n) of the nonbranching paths: the first edge and the number of edges. From rows (edge, source, places, sign), one an edge.
 
-    ``base`` is the text of the least source, ``place`` the word there. Edges that follow each other have neighbouring least sources, so one
-    shuffle by those brings them together. Paths are cut every 65,536 words, so that no group grows with a text.
+    ``source`` is the least coordinate, a number that grows by one from word to word of a text. Edges that follow each other have neighbouring
+    ones, so one shuffle by those brings them together. Paths are cut every 65,536 numbers, so that no group grows with a text; where two texts'
+    numbers overlap, paths may be cut too, but the signature keeps them from being mixed.
     """
-    turned = F.pmod(F.col("sign") * F.lit(Decimal(_TURN)), F.lit(Decimal(1 << 64))).cast("decimal(20,0)")
-    by_place = Window.partitionBy("base", "block").orderBy("place")
-    rows = edges.select("edge", "base", F.shiftright("place", 16).alias("block"), "place", "places", "sign")
-    before = F.lag(F.struct("place", "places", turned.alias("turned"))).over(by_place)
-    joined = (F.col("before.place") + 1 == F.col("place")) & (F.col("before.places") == F.col("places")) & (F.col("before.turned") == F.col("sign"))
+    order = Window.partitionBy("block").orderBy("source")
+    rows = edges.select("edge", F.shiftright("source", 16).alias("block"), "source", "places", "sign")
+    before = F.lag(F.struct("source", "places", "sign")).over(order)
+    joined = (F.col("before.source") + 1 == F.col("source")) & (F.col("before.places") == F.col("places")) & (_turned(F.col("before.sign")) == F.col("sign"))
     headed = rows.withColumn("before", before).withColumn("head", F.when(~F.coalesce(joined, F.lit(False)), F.col("edge")))
-    named = headed.select("base", "block", F.last("head", ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, 0)).alias("path"))
-    return named.groupBy("base", "block", "path").agg(F.count("*").alias("n")).select("path", "n")
+    named = headed.select("block", F.last("head", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("path"))
+    return named.groupBy("block", "path").agg(F.count("*").alias("n")).select("path", "n")
 
 
 def _digest(words: list[bytes]) -> tuple[int, int]:
@@ -233,28 +245,25 @@ def repeated(texts: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hash_bi
     again = stored(pieces.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "anchors")
     lists = pieces.join(again, "anchor").select(*key, "at").distinct().groupBy(key).agg(F.collect_list("at").alias("ats"))  # at most a text's windows
     touched = stored(texts.groupBy(key).agg(F.first("body").alias("body"), F.count("*").alias("copies")).join(lists, key), "touched")
+    discard(again)
+    settled(touched)
 
     mask = (1 << hash_bits) - 1
     piece, numbers = ["p1", "p2"], ", ".join(f"{c} long" for c in ("p1", "p2", "sign", "h1", "h2", "place", "copies"))
     occurrences = stored(touched.mapInArrow(lambda batches: _bundles(batches, width, mask), f"{numbers}, edges array<long>"), "occurrences")
-    # The least source of an edge as one number of 126 bits: 95 of the text's key, then the word.
-    base = (F.col("h1").cast("decimal(20,0)") + F.lit(Decimal(1 << 63))) * F.lit(Decimal(1 << 62))
-    source = (base + (F.shiftleft(F.col("h2").bitwiseAND(F.lit((1 << 31) - 1)), 31) + F.col("place")).cast("decimal(19,0)")).cast("decimal(38,0)")
-    low, high = F.col("sign").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("sign", 32)
+    source = F.shiftright(F.xxhash64("h1", "h2"), 1) + F.col("place")
+    low, high = F.col("sign").bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned("sign", 32)
     summed = lambda n: [F.sum(n).alias("n"), F.sum("places").alias("places"), F.min("source").alias("source"), F.sum("low").alias("low"), F.sum("high").alias("high")]
     # Equal pieces are one before they become edges.
     rows = occurrences.select(*piece, "copies", F.lit(1).cast("long").alias("places"), source.alias("source"), low.alias("low"), high.alias("high"), "edges")
-    bundles = stored(rows.groupBy(piece).agg(*summed("copies"), F.first("edges").alias("edges")), "bundles")
-    single = bundles.select("n", "places", "source", "low", "high", "edges").mapInArrow(_single_edges, "edge long, n long, places long, source decimal(38,0), at long, low long, high long")
-    counted = single.select("edge", "n", "places", (F.col("source") + F.col("at").cast("decimal(19,0)")).cast("decimal(38,0)").alias("source"), "low", "high").groupBy("edge").agg(*summed("n"))
-    sign = F.pmod(F.col("high").cast("decimal(19,0)") * F.lit(Decimal(1 << 32)) + F.col("low").cast("decimal(19,0)"), F.lit(Decimal(1 << 64))).cast("decimal(20,0)")
-    place = F.expr("cast(source % 2147483648 as long)")
-    edges = counted.where("n > 1").select("edge", (F.col("source") - place).cast("decimal(38,0)").alias("base"), place.alias("place"), "places", sign.alias("sign"))
-    compact = stored(paths(edges), "paths")
+    bundles = settled(stored(rows.groupBy(piece).agg(*summed("copies"), F.first("edges").alias("edges")), "bundles"))
+    single = bundles.select("n", "places", "source", "low", "high", "edges").mapInArrow(_single_edges, "edge long, n long, places long, source long, low long, high long")
+    edges = single.groupBy("edge").agg(*summed("n")).where("n > 1").select("edge", "source", "places", _joined(F.col("low"), F.col("high")).alias("sign"))
+    compact = settled(stored(paths(edges), "paths"))
     spots = stored(bundles.select(*piece, F.posexplode("edges").alias("at", "path")).join(compact, "path"), "spots")
     spans = occurrences.select(*piece, *key, "place").join(spots, piece).select("path", *key, (F.col("place") + F.col("at")).alias("place"), "n")
-    spans = stored(spans, "spans")
-    discard(again, occurrences, bundles, compact, spots)
+    spans = settled(stored(spans, "spans"))
+    discard(occurrences, bundles, compact, spots)
 
     def stripped(of: DataFrame) -> DataFrame:
         grouped = of.groupBy(key).agg(F.collect_list(F.struct("place", "n", "path")).alias("spans"))

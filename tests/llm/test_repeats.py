@@ -62,11 +62,11 @@ def test_nonbranching_paths_are_compacted(spark):
     docs = spark.createDataFrame([(t.encode(),) for t in texts], "body binary").select("body", *(F.xxhash64(F.lit(n), "body").alias(f"h{n}") for n in (1, 2)))
     done = debruijn.repeated(docs, 20, 5).collect()
     assert sorted((r["n_removed"], bytes(r["kept"]).decode()) for r in done) == [(300, ""), (300, "a b"), (300, "c")]
-    edges = [(i, 5, i, 3, 7 * pow(debruijn._TURN, i, 1 << 64) % (1 << 64)) for i in range(50)]
-    edges += [(50, 5, 50, 2, 7), (51, 9, 51, 3, 7), (52, 9, 52, 3, 7 * debruijn._TURN), (53, 9, 54, 3, 7 * debruijn._TURN**3)]
-    frame = spark.createDataFrame([(e, p, n, str(s % (1 << 64)), str(b)) for e, b, p, n, s in edges], "edge long, place long, places long, sign string, base string")
-    frame = frame.withColumns({"sign": F.col("sign").cast("decimal(20,0)"), "base": F.col("base").cast("decimal(38,0)")})
-    assert sorted((r["path"], r["n"]) for r in debruijn.paths(frame).collect()) == [(0, 50), (50, 1), (51, 2), (53, 1)]
+    signed = lambda s: (s % (1 << 64) + (1 << 63)) % (1 << 64) - (1 << 63)
+    edges = [(i, 100 + i, 3, 7 * pow(debruijn._TURN, i, 1 << 64)) for i in range(50)]
+    edges += [(50, 150, 2, 7), (51, 251, 3, 7), (52, 252, 3, 7 * debruijn._TURN), (53, 254, 3, 7 * debruijn._TURN**3), (60, 65_535, 2, 1), (61, 65_536, 2, debruijn._TURN)]
+    frame = spark.createDataFrame([(e, p, n, signed(s)) for e, p, n, s in edges], "edge long, source long, places long, sign long")
+    assert sorted((r["path"], r["n"]) for r in debruijn.paths(frame).collect()) == [(0, 50), (50, 1), (51, 2), (53, 1), (60, 1), (61, 1)]
 
 
 def test_repeated_windows_of_nothing(spark):
