@@ -6,6 +6,7 @@ import os
 import random
 import struct
 import sys
+import time
 
 import pytest
 import zstandard
@@ -290,6 +291,34 @@ def test_a_cycle_beside_a_deep_ladder(spark):
     assert got == {f"{s}{i}": i for s in "ab" for i in range(10)} | {"x": None, "y": None, "z": None}
 
 
+def plain_levels(nodes, edges):
+    level, parents = {}, {n: {p for c, p in edges if c == n} for n in nodes}
+    while True:
+        more = {n: 1 + max((level[p] for p in parents[n]), default=-1) for n in nodes if n not in level and all(p in level for p in parents[n])}
+        if not more:
+            return {n: level.get(n) for n in nodes}
+        level |= more
+
+
+def test_levels_of_a_long_ladder_take_seconds(spark):
+    edges = [(f"a{i}", f"a{i - k}") for i in range(1, 1000) for k in (1, 2) if i >= k] + [("x", "y"), ("y", "x"), ("z", "x"), ("z", "a500")]
+    nodes = sorted({n for e in edges for n in e})
+    begun = time.monotonic()
+    got = dict(chat.levels(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "child string, parent string")).collect())
+    assert got == {f"a{i}": i for i in range(1000)} | {"x": None, "y": None, "z": None}
+    assert time.monotonic() - begun < 60
+
+
+def test_levels_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_BITS", 2)
+    monkeypatch.setattr(chat, "WIDE", 3)
+    rng = random.Random(6)
+    nodes = [f"n{i:02}" for i in range(40)]
+    edges = list({(nodes[i], nodes[rng.randrange(i)]) for i in range(1, 30) for _ in range(rng.choice([0, 1, 2]))} | {("n39", f"n{i:02}") for i in range(8)} | {("n31", "n32"), ("n32", "n31"), ("n33", "n31"), ("n33", "n05")})
+    frame = spark.createDataFrame([(n, rng.random()) for n in nodes], "node string, place double")
+    assert dict(chat.levels(frame, spark.createDataFrame(edges, "child string, parent string")).collect()) == plain_levels(nodes, edges)
+
+
 def test_every_turn_stays_a_row(spark):
     rows = [(1, 0, "user", "one"), (1, 0, "user", "two"), (1, 1, "assistant", "answer"), (1, 1, "assistant", "another"), (None, 0, "user", "no conversation"), (2, None, "user", "no turn"), (3, 4, "assistant", None), (3, 5, "system", "rules")]
     talk = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, key string")
