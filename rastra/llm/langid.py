@@ -5,8 +5,8 @@ has a few centroids, found by clustering a bounded sample of its labelled docume
 the language of the centroid with the largest cosine, and is rejected if even that one is too far:
 farther than nearly all starts of that length of the language's own training texts, each of which is left out of its centroid.
 
-What is learned: document frequencies come from every labelled training row (one pass, summed by
-Spark); the centroids from at most ``sample_per_lang`` rows of each language, in one task for each
+What is learned: document frequencies come from every different labelled training text (one pass, summed by
+Spark); the centroids from at most ``sample_per_lang`` different texts of each language, in one task for each
 language. The driver gets the frequencies and the centroids: both have the size of the model
 (features times languages times clusters), whatever the size of the corpus.
 """
@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from rastra.llm.common import stored
+
 #: Hash buckets of n-grams, as a power of two.
 FEATURE_BITS = 13
-#: Labelled rows a language that the clustering sees at most.
+#: Different labelled texts a language that the clustering sees at most.
 SAMPLE_PER_LANG = 600
 CLUSTERS = 3
 #: The least cosine whatever the training rows say, for languages of a few rows or of wild ones.
@@ -159,23 +161,27 @@ def floors(texts: list[str], dense: np.ndarray, centroids: np.ndarray, idf: np.n
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, sample_per_lang: int = SAMPLE_PER_LANG, min_cosine: float = MIN_COSINE) -> Model:
     """Learn from the text and language of labelled rows, whatever their ids; those without a language or a letter are left out.
 
-    Ties and repeated rows only weigh more. With no rows at all the model knows no language and calls every text unknown.
+    Repeated rows are one text, so that copies of a text teach no more than the text. With no rows at all the model knows no language and calls every text unknown.
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("order")).where("lang is not null and text is not null")
-    counts = rows.select("text", "lang").mapInArrow(_document_frequencies, "feature long, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).collect()
+    # Copies of a text are one text here. Those that have none are read where they are; of the others one of each is moved.
+    known = stored(rows.groupBy("lang", "order").agg(F.count("*").alias("n")), "texts")
+    again = known.where("n > 1").select("lang", "order")
+    one = rows.join(again, ["lang", "order"], "left_semi").groupBy("lang", "order").agg(F.first("text").alias("text"))
+    different = rows.join(again, ["lang", "order"], "left_anti").select("text", "lang").union(one.select("text", "lang"))
+    counts = different.mapInArrow(_document_frequencies, "feature long, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).collect()
     sizes = {r["lang"]: r["n"] for r in counts if r["feature"] < 0}
     n = sum(sizes.values())
     idf = np.ones(1 << FEATURE_BITS) + np.log(1 + n)
     for r in counts:
         if r["feature"] >= 0:
             idf[r["feature"]] = 1 + np.log((1 + n) / (1 + r["n"]))
-    # A cut by hash lets about twice the sample through, so that only few texts are moved; the rank then makes it exact.
-    cut = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * sample_per_lang / n)))]) if sizes else F.lit(None)
-    few = rows.where((F.pmod(F.xxhash64("order"), F.lit(1 << 20)) < F.lit(1 << 20) * cut[F.col("lang")]) if sizes else F.lit(False))
-    sample = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= sample_per_lang)
+    by_hash = Window.partitionBy("lang").orderBy("rank", "order")
+    chosen = known.select("lang", "order", F.xxhash64("order").alias("rank")).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= sample_per_lang)
+    sample = rows.join(chosen, ["lang", "order"]).groupBy("lang", "order").agg(F.first("text").alias("text"), F.first("rank").alias("rank"))
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[group["text"].map(has_letter)].sort_values("rank")
+        group = group[group["text"].map(has_letter)].sort_values(["rank", "order"])
         dense = np.zeros((len(group), 1 << FEATURE_BITS), np.float32)
         for row, text in enumerate(group["text"]):
             at, v = vector(text, idf)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from rastra.llm import decontam, langid, quality, secret_scan, tokens
 
+SF = "/root/testdata/sf0.01"
+
 LANGS = {"xx": "abcdefgh", "yy": "nopqrstu", "zz": "éèàçùîôû"}
 
 
@@ -300,3 +302,19 @@ def test_predictions_are_the_nearest_centroids(spark):
             cosines = [(sum(c[at] * x for at, x in v.items()), lang) for c, lang in zip(model.centroids, model.langs, strict=True)]
             best = max(cosines)
             assert abs(best[0] - r["f"]["score"]) < 1e-4 and (best[1] == r["f"]["lang"] or sorted(cosines)[-2][0] > best[0] - 1e-5)
+
+
+def test_copies_of_one_text_do_not_crowd_out_a_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2)
+    train, held = docs.where("not held_out"), docs.where("held_out and lang is not null and text is not null").cache()
+
+    def right(model):
+        found = held.select("lang", langid.language(model, F.col("text")).alias("f"))
+        return found.where("lang = f.lang").count() / held.count()
+
+    german = [r["text"] for r in train.where("lang = 'de'").orderBy(F.length("text")).collect()]
+    plain = right(langid.fit(train))
+    for text in (german[len(german) // 2], german[-1][:3000]):
+        copies = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("de").alias("lang"), F.lit(False).alias("held_out"))
+        assert right(langid.fit(train.unionByName(copies))) >= plain - 0.005
+    held.unpersist()
