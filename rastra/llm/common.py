@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +37,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_open: ContextVar[list[str] | None] = ContextVar("paths of the open scratch block", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what operators store inside the block when it ends, failed or not; results must be written before that, elsewhere."""
+    paths: list[str] = []
+    before = _open.set(paths)
+    try:
+        yield
+    finally:
+        _open.reset(before)
+        for path in paths:
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that no other job uses."""
-    return f"{shared_dir(spark)}/rastra-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rastra-{what}-{uuid.uuid4().hex}"
+    if _open.get() is not None:
+        _open.get().append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
