@@ -5,8 +5,8 @@ has a few centroids, found by clustering a bounded sample of its labelled docume
 the language of the centroid with the largest cosine, and is rejected if even that one is too far:
 farther than nearly all starts of that length of the language's own training texts, each of which is left out of its centroid.
 
-What is learned: document frequencies come from every different labelled training text (one pass, summed by
-Spark); the centroids from at most ``sample_per_lang`` different texts of each language, in one task for each
+What is learned: document frequencies come from every labelled training row, but copies of a text that has a thousandth of the rows or more
+count once (one pass, summed by Spark); the centroids from at most ``sample_per_lang`` different texts of each language, in one task for each
 language. The driver gets the frequencies and the centroids: both have the size of the model
 (features times languages times clusters), whatever the size of the corpus.
 """
@@ -161,14 +161,15 @@ def floors(texts: list[str], dense: np.ndarray, centroids: np.ndarray, idf: np.n
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, sample_per_lang: int = SAMPLE_PER_LANG, min_cosine: float = MIN_COSINE) -> Model:
     """Learn from the text and language of labelled rows, whatever their ids; those without a language or a letter are left out.
 
-    Repeated rows are one text, so that copies of a text teach no more than the text. With no rows at all the model knows no language and calls every text unknown.
+    For the centroids repeated rows are one text; in the frequencies they are if they are many (a thousandth of all rows). With no rows at all the model knows no language and calls every text unknown.
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("order")).where("lang is not null and text is not null")
-    # Copies of a text are one text here. Those that have none are read where they are; of the others one of each is moved.
     known = stored(rows.groupBy("lang", "order").agg(F.count("*").alias("n")), "texts")
-    again = known.where("n > 1").select("lang", "order")
-    one = rows.join(again, ["lang", "order"], "left_semi").groupBy("lang", "order").agg(F.first("text").alias("text"))
-    different = rows.join(again, ["lang", "order"], "left_anti").select("text", "lang").union(one.select("text", "lang"))
+    # Texts with a thousandth of all rows or more are at most a thousand: of their copies one counts, and no other text is moved for that.
+    limit = max(1, (known.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = F.broadcast(known.where(F.col("n") > limit).select("lang", "order"))
+    one = rows.join(hot, ["lang", "order"], "left_semi").groupBy("lang", "order").agg(F.first("text").alias("text"))
+    different = rows.join(hot, ["lang", "order"], "left_anti").select("text", "lang").union(one.select("text", "lang"))
     counts = different.mapInArrow(_document_frequencies, "feature long, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")).collect()
     sizes = {r["lang"]: r["n"] for r in counts if r["feature"] < 0}
     n = sum(sizes.values())
@@ -178,7 +179,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clu
             idf[r["feature"]] = 1 + np.log((1 + n) / (1 + r["n"]))
     by_hash = Window.partitionBy("lang").orderBy("rank", "order")
     chosen = known.select("lang", "order", F.xxhash64("order").alias("rank")).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= sample_per_lang)
-    sample = rows.join(chosen, ["lang", "order"]).groupBy("lang", "order").agg(F.first("text").alias("text"), F.first("rank").alias("rank"))
+    # As many keys as the sample has texts, which the model is larger than.
+    sample = rows.join(F.broadcast(chosen), ["lang", "order"]).groupBy("lang", "order").agg(F.first("text").alias("text"), F.first("rank").alias("rank"))
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         group = group[group["text"].map(has_letter)].sort_values(["rank", "order"])
