@@ -100,9 +100,13 @@ def cross_color(argb: Column, green_to_red: Column, green_to_blue: Column, red_t
     return pack(a, red, g, blue)
 
 
+#: Fixed value: the colour cache's multiplier.
+CACHE_MULTIPLIER = 0x1E35A7BD
+
+
 def cache_index(argb: Column, bits: int) -> Column:
     """The place of a pixel in a colour cache of 2**bits entries: the top bits of a 32-bit product."""
-    return F.shiftright((argb * F.lit(0x1E35A7BD)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits)
+    return F.shiftright((argb * F.lit(CACHE_MULTIPLIER)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits)
 
 
 def discretized(argb: Column, bits: int) -> Column:
@@ -124,6 +128,9 @@ def is_near(p: Column, q: Column, limit: int) -> Column:
     return out
 
 
+# The coefficients below are fixed values: of BT.601 in fixed point with 16 bits, and of its inverse with 14.
+
+
 def luma(argb: Column) -> Column:
     """Y of BT.601 in 16-bit fixed point, 16 to 235."""
     return F.shiftright(16839 * channel(argb, "r") + 33059 * channel(argb, "g") + 6420 * channel(argb, "b") + F.lit((1 << 15) + (16 << 16)), 16)

@@ -126,6 +126,24 @@ def changed_boxes(now: DataFrame, before: DataFrame) -> DataFrame:
     return box.select("img", even("x0").alias("x"), even("y0").alias("y"), (F.col("x1") - even("x0") + 1).alias("width"), (F.col("y1") - even("y0") + 1).alias("height"))
 
 
+def frame_plan(frames: DataFrame, kmin: int = 0, kmax: int = 0) -> DataFrame:
+    """(img, frame_idx, kind, x, y, width, height) for animations of full-canvas frames (img, frame_idx, x, y, argb): how each is to be stored.
+
+    The first frame is a key frame, and with ``kmax`` over 0 one after every max(kmin, kmax) others. Other frames hold the changed box, its corner at even places (delta), or
+    one pixel if nothing changed (keep). Frames are numbered without gaps; each meets the one before it by place, in one join.
+    """
+    cadence = max(kmin, kmax) + 1 if kmax > 0 else 0
+    key = (F.col("frame_idx") == 0) if not cadence else F.pmod("frame_idx", F.lit(cadence)) == 0
+    before = frames.select("img", (F.col("frame_idx") + 1).alias("frame_idx"), "x", "y", F.col("argb").alias("was"))
+    both = frames.join(before, ["img", "frame_idx", "x", "y"], "left").withColumn("changed", key | F.coalesce(F.col("argb") != F.col("was"), F.lit(True)))
+    edge = lambda f, c: f(F.when(F.col("changed"), F.col(c)))
+    box = both.groupBy("img", "frame_idx").agg(edge(F.min, "x").alias("x0"), edge(F.min, "y").alias("y0"), edge(F.max, "x").alias("x1"), edge(F.max, "y").alias("y1"))
+    even = lambda c: F.coalesce(F.col(c) - F.pmod(F.col(c), F.lit(2)), F.lit(0))
+    kind = F.when(key, "key").when(F.col("x0").isNull(), "keep").otherwise("delta")
+    size = lambda a, b: F.coalesce(F.col(b) - even(a), F.lit(0)) + 1
+    return box.select("img", "frame_idx", kind.alias("kind"), even("x0").alias("x"), even("y0").alias("y"), size("x0", "x1").alias("width"), size("y0", "y1").alias("height"))
+
+
 def blend_deltas(now: DataFrame, before: DataFrame) -> DataFrame:
     """(img, x, y, argb, valid): unchanged pixels become transparent; valid tells of the image whether all changed ones are opaque, so that blending restores it."""
     same = F.col("n.argb") == F.col("p.argb")

@@ -51,6 +51,9 @@ SHARPENING = (0, 30, 60, 90, 30, 60, 90, 90, 60, 90, 90, 90, 90, 90, 90, 90)
 #: Noise shaping, filter strength, filter sharpness and segments of each preset.
 PRESETS = {"default": (50, 60, 0, 4), "picture": (80, 35, 4, 4), "photo": (80, 30, 3, 4), "drawing": (25, 10, 6, 4), "icon": (25, 10, 0, 4), "text": (0, 0, 0, 2)}
 
+# The inverse transform's two factors and that of the second-order steps, with 16 bits below the point.
+INVERSE_LOW, INVERSE_HIGH, Y2_AC_SCALE = 35468, 20091, 101581
+
 #: Bits below the point of a reciprocal; the largest level; the largest quantiser.
 RECIPROCAL_BITS, MAX_LEVEL, MAX_QUANTISER = 17, 2047, 127
 
@@ -60,29 +63,31 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def _clip(c: Column, most: int, least: int = 0) -> Column:
-    return F.greatest(F.lit(least), F.least(F.lit(most), c))
+def _clip(c: Column, most: int | None, least: int | None = 0) -> Column:
+    """A number kept within bounds; null stays null."""
+    out = c if most is None else F.least(F.lit(most), c)
+    return F.when(c.isNotNull(), out if least is None else F.greatest(F.lit(least), out))
 
 
 def _entry(table: Sequence[int], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, table)), (index + 1).cast("int"))
+    return F.when(index.isNotNull(), F.get(F.array(*map(F.lit, table)), index.cast("int")))
 
 
 def quantiser(quality: Column, jpeg_like: Column | None = None, partition_limit: Column | None = None) -> Column:
-    """The quantiser (0 to 127) for a quality (0 to 100, clipped), coarser by a sixteenth of what is left if jpeg_like, and by the limit's percentage of 127."""
+    """The quantiser (0 to 127) for a quality (0 to 100, clipped), coarser by a sixteenth of what is left if jpeg_like, and by the limit's percentage of 127; null if one of them is."""
     base = _entry(QUALITY_QUANTISERS, _clip(quality, 100))
     out = base
     if jpeg_like is not None:
-        out = out + F.when(jpeg_like, _div(F.lit(MAX_QUANTISER + 15) - base, F.lit(16))).otherwise(0)
+        out = out + F.when(jpeg_like, _div(F.lit(MAX_QUANTISER + 15) - base, F.lit(16))).when(~jpeg_like, 0)
     if partition_limit is not None:
-        out = out + F.greatest(F.lit(0), _div(partition_limit * MAX_QUANTISER, F.lit(100)))
+        out = out + _clip(_div(partition_limit * MAX_QUANTISER, F.lit(100)), None)
     return _clip(out, MAX_QUANTISER).cast("int")
 
 
 def steps(q: Column) -> Column:
     """struct(y1_dc, y1_ac, y2_dc, y2_ac, uv_dc, uv_ac): what a level of one counts for, by plane; a quantiser out of range is clipped."""
     dc, ac, uv = _entry(DC_STEPS, _clip(q, MAX_QUANTISER)), _entry(AC_STEPS, _clip(q, MAX_QUANTISER)), _entry(DC_STEPS, _clip(q, 117))
-    y2 = F.greatest(F.lit(8), F.shiftright(ac.cast("long") * 101581, 16).cast("int"))
+    y2 = _clip(F.shiftright(ac.cast("long") * Y2_AC_SCALE, 16).cast("int"), None, 8)
     return F.struct(dc.alias("y1_dc"), ac.alias("y1_ac"), (dc * 2).alias("y2_dc"), y2.alias("y2_ac"), uv.alias("uv_dc"), ac.alias("uv_ac"))
 
 
@@ -98,7 +103,7 @@ def quantised(block: Column, dc: Column, ac: Column, first: int = 0, sharpen: bo
         c, step = F.get(block, at).cast("long"), F.when(at == 0, dc).otherwise(ac).cast("long")
         lift = F.shiftright(_entry(SHARPENING, at).cast("long") * ac, 11) if sharpen else F.lit(0)
         size = F.shiftright((F.abs(c) + lift) * _div((1 << RECIPROCAL_BITS) + _div(step, F.lit(2)), step) + (1 << RECIPROCAL_BITS - 1), RECIPROCAL_BITS)
-        clipped = F.least(F.lit(MAX_LEVEL), size)
+        clipped = _clip(size, MAX_LEVEL, None)
         return F.when(n < first, F.lit(0).cast("long")).otherwise(F.when(c < 0, -clipped).otherwise(clipped))
 
     levels = F.transform(F.array(*map(F.lit, ZIGZAG)), level)
@@ -125,8 +130,8 @@ def _two_passes(block: Column, butterfly, rounder: int) -> Column:
 
 def inverse_dct(block: Column) -> Column:
     """The residual samples of a block of coefficients, row by row, before they are added to a prediction."""
-    less = lambda v: F.shiftright(v * 35468, 16)
-    more = lambda v: F.shiftright(v * 20091, 16) + v
+    less = lambda v: F.shiftright(v * INVERSE_LOW, 16)
+    more = lambda v: F.shiftright(v * INVERSE_HIGH, 16) + v
 
     def butterfly(p: Column, q: Column, r: Column, s: Column) -> list[Column]:
         even, odd, low, high = p + r, p - r, less(q) - more(s), more(q) + less(s)
@@ -160,8 +165,8 @@ def blocks(planes: DataFrame) -> DataFrame:
 def filter_level(q: Column, strength: Column, bias: Column | None = None) -> Column:
     """The loop filter's level (0 to 63) for a quantiser, a strength (0 to 100) and a segment's bias (0 to 255); below 2 it is off."""
     step = F.shiftright(_entry(AC_STEPS, _clip(q, MAX_QUANTISER)), 2)
-    level = _div(5 * strength * step, 256 + (F.greatest(F.lit(0), bias) if bias is not None else F.lit(0)))
-    return F.when(level < 2, 0).otherwise(F.least(F.lit(63), level)).cast("int")
+    level = _div(5 * strength * step, 256 + (_clip(bias, None) if bias is not None else F.lit(0)))
+    return F.when(level < 2, 0).otherwise(_clip(level, 63, None)).cast("int")
 
 
 def filter_limits(level: Column, sharpness: Column, is_4x4: Column, reference_delta: Column | None = None, mode_delta: Column | None = None) -> Column:
@@ -169,13 +174,13 @@ def filter_limits(level: Column, sharpness: Column, is_4x4: Column, reference_de
     if reference_delta is not None:
         level = level + reference_delta
     if mode_delta is not None:
-        level = level + F.when(is_4x4, mode_delta).otherwise(0)
+        level = level + F.when(is_4x4, mode_delta).when(~is_4x4, 0)
     level = _clip(level, 63)
     eased = F.when(sharpness > 4, F.shiftright(level, 2)).otherwise(F.shiftright(level, 1))
-    inner = F.greatest(F.lit(1), F.when(sharpness > 0, F.least(eased, 9 - sharpness)).otherwise(level))
+    inner = _clip(F.when(sharpness > 0, F.least(eased, 9 - sharpness)).when(sharpness <= 0, level), None, 1)
     on = level > 0
     hev = F.when(level >= 40, 2).when(level >= 15, 1).otherwise(0)
-    zero = lambda c: F.when(on, c).otherwise(0).cast("int")
+    zero = lambda c: F.when(on, c).when(~on, 0).cast("int")
     return F.struct(zero(2 * level + inner).alias("edge_limit"), zero(inner).alias("inner_limit"), (on & is_4x4).alias("inner_edges"), zero(hev).alias("hev_threshold"))
 
 

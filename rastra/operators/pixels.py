@@ -233,12 +233,15 @@ EQUAL_CENTIDECIBELS, LOG2_10 = (1 << 32) - 1, 217_706
 
 
 def exact_psnr(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(img, centidecibels): the PSNR over RGB of images in both tables in whole hundredths of a decibel, by whole-number arithmetic."""
+    """(img, centidecibels): the PSNR over RGB of images in both tables in whole hundredths of a decibel, by whole-number arithmetic; null if their sizes differ."""
+    extent = lambda t: t.groupBy("img").agg(F.max("x").alias("right"), F.max("y").alias("bottom"))
+    alike = extent(left).join(extent(right).withColumnsRenamed({"right": "r", "bottom": "b"}), "img").select("img", ((F.col("right") == F.col("r")) & (F.col("bottom") == F.col("b"))).alias("alike"))
     both = left.alias("l").join(right.alias("r"), ["img", "x", "y"])
     deltas = [argb.channel(F.col("l.argb"), c) - argb.channel(F.col("r.argb"), c) for c in "rgb"]
     sums = both.groupBy("img").agg(F.sum(sum((d * d for d in deltas), F.lit(0))).alias("se"), F.count("*").alias("n"))
     ratio = F.greatest(F.lit(0), fixed_log2(65025 * 3 * F.col("n")) - fixed_log2(F.col("se")))
-    return sums.select("img", F.when(F.col("se") == 0, F.lit(EQUAL_CENTIDECIBELS)).otherwise(F.call_function("div", ratio * 1000, F.lit(LOG2_10))).alias("centidecibels"))
+    value = F.when(F.col("se") == 0, F.lit(EQUAL_CENTIDECIBELS)).otherwise(F.call_function("div", ratio * 1000, F.lit(LOG2_10)))
+    return alike.join(sums, "img", "left").select("img", F.when(F.col("alike"), value).alias("centidecibels"))
 
 
 def with_alpha(pixels: DataFrame, plane: DataFrame) -> DataFrame:
@@ -247,9 +250,13 @@ def with_alpha(pixels: DataFrame, plane: DataFrame) -> DataFrame:
     return given.select("img", "x", "y", (F.col("argb").bitwiseAND(F.lit(0xFFFFFF)) + F.shiftleft(F.col("v").cast("long"), 24)).alias("argb"))
 
 
+#: What keeps the quotients of the structural similarity of 8-bit samples from dividing by nothing.
+SSIM_LUMA, SSIM_CONTRAST = 6.5025, 58.5225
+
+
 def ssim(left: DataFrame, right: DataFrame, block: int = 8) -> DataFrame:
     """(img, ssim): the mean over blocks and colours of the structural similarity of two tables' images."""
-    c1, c2 = 6.5025, 58.5225
+    c1, c2 = SSIM_LUMA, SSIM_CONTRAST
     both = left.alias("l").join(right.alias("r"), ["img", "x", "y"])
     at = [F.call_function("div", F.col(c), F.lit(block)).alias(f"b{c}") for c in ("x", "y")]
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), argb.channel(F.col("l.argb"), c).cast("double").alias("p"), argb.channel(F.col("r.argb"), c).cast("double").alias("q")) for c in "rgb"]))
@@ -305,6 +312,7 @@ def effort_levels(pixels: DataFrame) -> DataFrame:
 
 
 #: Signs of the Walsh-Hadamard basis in the order that coded blocks use.
+#: The signs of the transform's four rows.
 HADAMARD = ((1, 1, 1, 1), (1, 1, -1, -1), (1, -1, -1, 1), (1, -1, 1, -1))
 
 

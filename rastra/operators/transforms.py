@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from rastra.functions import argb
 from rastra.operators.pixels import fixed_log2
@@ -206,3 +210,43 @@ def canonical_codes(lengths: DataFrame) -> DataFrame:
     code = F.call_function("shiftright", share, F.lit(32) - F.col("length"))
     digits = F.lpad(F.bin(code), F.col("length"), F.lit("0"))
     return used.select("img", "symbol", "length", code.alias("code"), F.conv(F.reverse(digits), 2, 10).cast("long").alias("reversed"))
+
+
+def _tree_depths(counts: list[int], floor: int) -> list[int]:
+    """The depth of each leaf in the tree that joins the two least weights again and again; of equal ones the older. Weights are at least ``floor``."""
+    heap = [(max(n, floor), i) for i, n in enumerate(counts)]
+    heapq.heapify(heap)
+    above = [0] * (2 * len(counts) - 1)
+    for parent in range(len(counts), len(above)):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        above[i] = above[j] = parent
+        heapq.heappush(heap, (a + b, parent))
+    depth = [0] * len(above)
+    for node in range(len(above) - 2, -1, -1):
+        depth[node] = depth[above[node]] + 1
+    return depth[: len(counts)]
+
+
+def code_lengths(counts: DataFrame, limit: int = 15) -> DataFrame:
+    """(img, symbol, n, length): the prefix-code lengths, at most ``limit``, of each image's symbols (img, symbol, n) with n over 0.
+
+    The tree is the best one; while it is too deep, weights below a floor count as the floor, which doubles. A single symbol has length 1.
+    An image's symbols are one array (an alphabet has a few hundred), and a small Arrow helper builds its tree. ``limit`` must leave room for them.
+    """
+    used = counts.where("n > 0").groupBy("img").agg(F.array_sort(F.collect_list(F.struct("symbol", F.col("n").cast("long").alias("n")))).alias("symbols"))
+
+    @arrow_udf("array<int>")
+    def lengths(weights: pa.Array) -> pa.Array:
+        out = []
+        for row in weights.to_pylist():
+            if len(row) > 1 << limit:
+                raise ValueError(f"{len(row)} symbols need codes of more than {limit} bits")
+            floor, found = 1, [1] if len(row) == 1 else _tree_depths(row, 1)
+            while max(found) > limit:
+                floor *= 2
+                found = _tree_depths(row, floor)
+            out.append(found)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    coded = used.withColumn("lengths", lengths(F.transform("symbols", lambda s: s["n"])))
+    return coded.select("img", F.inline(F.arrays_zip("symbols", "lengths"))).select("img", "symbols.symbol", "symbols.n", F.col("lengths").alias("length"))

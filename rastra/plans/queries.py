@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.functions import argb, riff
+from rastra.functions import argb, riff, sql
 from rastra.functions.bits import le_bytes
 from rastra.operators import animation, batch, container, lossy, pixels, transforms
 from rastra.sources import images
-from rastra.streaming import incremental
+from rastra.streaming import arrivals, incremental
 from rastra.plans.raster import ARGB, FRAMES_SQL, LINES_SQL, LUMA_SQL, PAGES_SQL, PX_SQL, embedding_pixels, event_frames, line_pixels, luma_planes, page_files, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,44 @@ def composited_frames(spark, sf_dir):
     return folded.select("path", "frame_idx", total.alias("checksum"))
 
 
+#: Five images make an animation on a canvas of 8 x 8: three of four are parts of it, some overwrite, some are disposed, some have alpha.
+_PARTS_SQL = """al AS (SELECT img, bool_or(a < 255) AS has_alpha FROM px GROUP BY img),
+fa AS (SELECT img // 5 AS path, CAST(img % 5 AS INT) AS idx, CASE WHEN img % 4 = 0 THEN 0 ELSE 2 * (img % 3) END AS x, CASE WHEN img % 4 = 0 THEN 0 ELSE 2 * (img % 2) END AS y, CASE WHEN img % 4 = 0 THEN 8 ELSE 4 END AS w, CASE WHEN img % 4 = 0 THEN 8 ELSE 6 END AS h,
+  img % 3 = 0 AS overwrite, img % 7 < 3 AS dispose, has_alpha, pix FROM al JOIN (SELECT img, list(argb ORDER BY y, x) AS pix FROM pa GROUP BY img) USING (img)),
+cv AS (WITH RECURSIVE c AS (SELECT path, -1 AS idx, list_transform(range(64), lambda i: CAST(0 AS BIGINT)) AS canvas, CAST(NULL AS BIGINT) AS cx, CAST(NULL AS BIGINT) AS cy, CAST(NULL AS BIGINT) AS cw, CAST(NULL AS BIGINT) AS ch, true AS next_key FROM (SELECT DISTINCT path FROM fa)
+  UNION ALL SELECT path, idx, list_transform(range(64), lambda i: CASE WHEN i % 8 >= x AND i % 8 < x + w AND i // 8 >= y AND i // 8 < y + h
+    THEN CASE WHEN key OR overwrite OR (cx IS NOT NULL AND i % 8 >= cx AND i % 8 < cx + cw AND i // 8 >= cy AND i // 8 < cy + ch) THEN pix[(i // 8 - y) * 8 + i % 8 - x + 1] ELSE {over} END
+    ELSE CASE WHEN key THEN 0 ELSE below[i + 1] END END), CASE WHEN dispose THEN x END, CASE WHEN dispose THEN y END, CASE WHEN dispose THEN w END, CASE WHEN dispose THEN h END, dispose AND (w * h = 64 OR key)
+  FROM (SELECT fa.*, cx, cy, cw, ch, next_key OR (fa.w * fa.h = 64 AND (fa.overwrite OR NOT fa.has_alpha)) AS key,
+    list_transform(range(64), lambda i: CASE WHEN cx IS NOT NULL AND i % 8 >= cx AND i % 8 < cx + cw AND i // 8 >= cy AND i // 8 < cy + ch THEN 0 ELSE canvas[i + 1] END) AS below FROM c JOIN fa ON fa.path = c.path AND fa.idx = c.idx + 1)) SELECT * FROM c WHERE idx >= 0)"""
+
+
+def _list_over_sql() -> str:
+    """One pixel of a list drawn over another."""
+    p, d = "pix[(i // 8 - y) * 8 + i % 8 - x + 1]", "below[i + 1]"
+    a, rest = f"(({p} >> 24) & 255)", f"(((({d} >> 24) & 255) * (256 - (({p} >> 24) & 255))) >> 8)"
+    c = lambda k: f"(((((({p} >> {k}) & 255) * {a} + (({d} >> {k}) & 255) * {rest}) * (16777216 // ({a} + {rest}))) >> 24) & 255)"
+    return f"CASE WHEN {a} = 255 THEN {p} WHEN {a} = 0 THEN {d} ELSE (({a} + {rest}) << 24) | ({c(16)} << 16) | ({c(8)} << 8) | {c(0)} END"
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL}, {_PARTS_SQL.format(over=_list_over_sql())} SELECT path, idx AS frame_idx, CAST(list_sum(list_transform(range(64), lambda i: canvas[i + 1] * (i + 1))) AS BIGINT) AS checksum FROM cv")
+def composited_parts(spark, sf_dir):
+    """The canvas after each frame, with parts, blending, overwriting, disposals and alpha."""
+    px, n = embedding_pixels(spark, sf_dir), F.col("img")
+    whole = F.pmod(n, F.lit(4)) == 0
+    place = lambda k: F.when(whole, 0).otherwise(2 * F.pmod(n, F.lit(k))).cast("int")
+    size = lambda k: F.when(whole, 8).otherwise(k)
+    inside = (F.col("x") < size(4)) & (F.col("y") < size(6))
+    cell = F.when(inside, F.struct("y", "x", "argb"))
+    flat = px.groupBy("img").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda p: p["argb"]).alias("argb"), F.bool_or(argb.channel(F.col("argb"), "a") < 255).alias("has_alpha"))
+    rows = flat.select(
+        F.call_function("div", n, F.lit(5)).alias("path"), F.pmod(n, F.lit(5)).cast("int").alias("frame_idx"), place(3).alias("x"), place(2).alias("y"), size(4).alias("width"), size(6).alias("height"), F.lit(8).alias("canvas_w"), F.lit(8).alias("canvas_h"),
+        F.lit(40).alias("duration_ms"), F.when(F.pmod(n, F.lit(3)) == 0, "overwrite").otherwise("blend").alias("blend"), F.when(F.pmod(n, F.lit(7)) < 3, "background").otherwise("keep").alias("dispose"), "has_alpha", "argb",
+    )
+    total = F.aggregate(F.transform("argb", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+    return animation.composited(rows).select("path", "frame_idx", total.alias("checksum"))
+
+
 @query(f"WITH {FRAMES_SQL}, k AS (SELECT path, CASE WHEN payload IN ('click', 'view') AND path % 3 < 2 THEN 'l' WHEN path % 3 > 0 THEN 'v' END AS c FROM fr) SELECT path, CASE WHEN bool_or(c IS NULL) THEN 'unknown' WHEN count(DISTINCT c) = 2 THEN 'mixed' WHEN max(c) = 'l' THEN 'lossless' ELSE 'lossy' END AS codec FROM k GROUP BY path")
 def animation_codecs(spark, sf_dir):
     rows = event_frames(spark, sf_dir)
@@ -932,3 +970,79 @@ def chroma_upsampling(spark, sf_dir):
     luma = inside.select("img", "x", "y", argb.channel(F.col("argb"), "r").alias("v"))
     half = inside.where("x % 2 = 0 and y % 2 = 0").select("img", F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"), argb.channel(F.col("argb"), "g").alias("u"), argb.channel(F.col("argb"), "b").alias("v"))
     return pixels.upsampled(luma, half)
+
+
+@query(f"""WITH {PX_SQL}, p AS (SELECT img, min(x) AS z FROM px GROUP BY img)
+SELECT img AS path, CASE WHEN img % 10 = 9 THEN NULL WHEN img % 10 IN (2, 7) THEN 'bmp' WHEN img % 10 = 4 THEN 'pam' WHEN img % 10 = 8 THEN 'raw' ELSE 'ppm' END AS format,
+  CASE WHEN img % 10 IN (5, 8, 9) THEN NULL ELSE CAST(8 AS BIGINT) END AS width, CASE WHEN img % 10 IN (5, 8, 9) THEN NULL ELSE CAST(8 AS BIGINT) END AS height,
+  CASE img % 10 WHEN 3 THEN 'truncated' WHEN 5 THEN 'bad_header' WHEN 6 THEN 'unsupported' WHEN 7 THEN 'unsupported' WHEN 8 THEN 'unknown_format' WHEN 9 THEN 'unknown_format' END AS error FROM p""")
+def mixed_file_errors(spark, sf_dir):
+    """What the readers say of files of several formats, good and bad."""
+    return images.read_errors(_mixed_files(spark, sf_dir))
+
+
+@query(f"WITH {PX_SQL}, {ARGB_SQL} SELECT img, x, y, CASE img % 10 WHEN 2 THEN argb WHEN 4 THEN argb ELSE argb | 4278190080 END AS argb FROM pa WHERE img % 10 IN (0, 1, 2, 4)")
+def mixed_file_pixels(spark, sf_dir):
+    """The pixels of those of the same files that can be read, whatever their format; three of ten images are BMP or PAM with alpha, the bad ones have no pixels."""
+    return images.any_pixels(_mixed_files(spark, sf_dir))
+
+
+def _mixed_files(spark, sf_dir):
+    """(path, content): each image as PPM, BMP or PAM; of every ten, one is cut off, one has no size, one has 16 bits, one is packed, one is something else and one is null."""
+    px = embedding_pixels(spark, sf_dir)
+    n = F.pmod("path", F.lit(10))
+    # A generator keeps a file's making apart from its reading, which names the content many times.
+    of = lambda f: f(px).select(F.col("img").alias("path"), F.explode(F.array("content")).alias("content"))
+    cut = lambda a, b: F.expr(f"substring(content, {a}, {b})")
+    ppm = of(images.to_ppm).where(~n.isin(2, 4, 7)).withColumn("content", F.when(n == 3, cut(1, 100)).when(n == 5, F.lit(b"P6\n8 x\n255\n")).when(n == 6, F.concat(F.lit(b"P6\n8 8\n65535\n"), cut(12, 200), cut(12, 200))).when(n == 8, F.lit(b"something else")).when(n != 9, F.col("content")))
+    bmp = of(images.to_bmp).where(n.isin(2, 7)).withColumn("content", F.when(n == 7, F.concat(cut(1, 30), F.lit(b"\1"), cut(32, 1000))).otherwise(F.col("content")))
+    return ppm.union(bmp).union(of(images.to_pam).where(n == 4)).select("path", F.explode(F.array("content")).alias("content"))
+
+
+@query(f"""WITH {PX_SQL}, {ARGB_SQL}, f AS (SELECT img // 10 AS img, CAST(img % 10 AS INT) AS frame_idx, x, y, argb FROM pa),
+d AS (SELECT a.img, a.frame_idx, a.x, a.y, a.frame_idx % 4 = 0 AS k, a.frame_idx % 4 = 0 OR b.argb IS NULL OR a.argb <> b.argb AS c FROM f a LEFT JOIN f b ON b.img = a.img AND b.frame_idx = a.frame_idx - 1 AND b.x = a.x AND b.y = a.y),
+bo AS (SELECT img, frame_idx, k, min(x) FILTER (WHERE c) AS x0, min(y) FILTER (WHERE c) AS y0, max(x) FILTER (WHERE c) AS x1, max(y) FILTER (WHERE c) AS y1 FROM d GROUP BY ALL)
+SELECT img, frame_idx, CASE WHEN k THEN 'key' WHEN x0 IS NULL THEN 'keep' ELSE 'delta' END AS kind, CAST(coalesce(x0 - x0 % 2, 0) AS INT) AS x, CAST(coalesce(y0 - y0 % 2, 0) AS INT) AS y,
+  CAST(coalesce(x1 - x0 + x0 % 2, 0) + 1 AS INT) AS width, CAST(coalesce(y1 - y0 + y0 % 2, 0) + 1 AS INT) AS height FROM bo""")
+def frame_plans(spark, sf_dir):
+    """Ten images make an animation; a key frame comes after three others at most."""
+    frames = embedding_pixels(spark, sf_dir).select(F.call_function("div", "img", F.lit(10)).alias("img"), F.pmod("img", F.lit(10)).cast("int").alias("frame_idx"), "x", "y", "argb")
+    return animation.frame_plan(frames, kmin=2, kmax=3)
+
+
+#: All floors at once, each with its own tree: the state is a list of (weight, age, symbols), and every join adds a level to the symbols below it.
+_TREES_SQL = """hi AS MATERIALIZED (SELECT channel, value, count(*) AS n FROM (SELECT unnest(['a', 'r', 'g', 'b']) AS channel, unnest([a, r, g, b]) AS value FROM px) GROUP BY ALL),
+fl AS (SELECT CAST(1 << k AS BIGINT) AS floor FROM range(24) AS r(k)),
+st AS (SELECT channel, floor, list({'w': greatest(n, floor), 'i': i, 's': [value]}) AS nodes, max(i) + 1 AS next FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY value) AS i FROM hi), fl GROUP BY ALL),
+tr AS (WITH RECURSIVE t AS (SELECT channel, floor, list_sort(nodes) AS nodes, next, CAST([] AS BIGINT[]) AS joined FROM st
+  UNION ALL SELECT channel, floor, list_sort(list_append(nodes[3:], {'w': nodes[1].w + nodes[2].w, 'i': next, 's': nodes[1].s || nodes[2].s})), next + 1, nodes[1].s || nodes[2].s FROM t WHERE len(nodes) > 1) SELECT channel, floor, joined FROM t),
+dp AS (SELECT channel, floor, value, count(*) AS length FROM (SELECT channel, floor, unnest(joined) AS value FROM tr) GROUP BY ALL),
+ok AS (SELECT channel, min(floor) AS floor FROM (SELECT channel, floor, max(length) AS deep FROM dp GROUP BY ALL) WHERE deep <= 8 GROUP BY channel)"""
+
+
+@query(f"WITH {PX_SQL}, {_TREES_SQL} SELECT hi.channel AS img, hi.value AS symbol, hi.n, CAST(coalesce(dp.length, 1) AS INT) AS length FROM hi LEFT JOIN ok ON ok.channel = hi.channel LEFT JOIN dp ON dp.channel = hi.channel AND dp.value = hi.value AND dp.floor = ok.floor")
+def limited_code_lengths(spark, sf_dir):
+    """Codes of at most eight bits for the values of each channel over all images."""
+    counts = pixels.histogram(embedding_pixels(spark, sf_dir))
+    return transforms.code_lengths(counts.select(F.col("channel").alias("img"), F.col("value").alias("symbol"), "n"), 8)
+
+
+@query("SELECT event_type AS kind, time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS end, count(*) AS files, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def arrivals_by_time(spark, sf_dir):
+    """Events as files that arrive, by kind and six hours of event time."""
+    files = table(spark, sf_dir, "events").select(F.col("ts").alias("modificationTime"), F.length("props").cast("long").alias("length"), F.col("event_type").alias("kind"))
+    return arrivals.by_time(files, "6 hours", "1 hour", "modificationTime", "length", "kind")
+
+
+@query(f"WITH {PAGES_SQL} SELECT path, idx, fourcc, payload_start, size FROM ck")
+def chunks_by_sql(spark, sf_dir):
+    """The chunks of files, asked for in SQL text."""
+    sql.register(spark)
+    return spark.sql("SELECT path, c.idx, c.fourcc, c.payload_start, c.size FROM {files}, LATERAL riff_chunks(content) AS c", files=page_files(spark, sf_dir))
+
+
+@query(f"WITH {PAGES_SQL} SELECT path, CAST(w AS INT) AS width, CAST(h AS INT) AS height, 'lossless' AS codec, alpha AS has_alpha, CAST(NULL AS VARCHAR) AS error FROM pg")
+def probe_by_sql(spark, sf_dir):
+    """The probe of files, asked for in SQL text."""
+    sql.register(spark)
+    return spark.sql("SELECT path, p.width, p.height, p.codec, p.has_alpha, p.error FROM (SELECT path, webp_probe(content) AS p FROM {files})", files=page_files(spark, sf_dir))

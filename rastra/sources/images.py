@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,45 +71,106 @@ def raw_pixels(files: DataFrame, layout: str = "rgba8", max_pixels: int | None =
     return _exploded(fine, F.lit(0), 4).select("img", "x", "y", argb.from_layout(F.col("digits"), layout).alias("argb"))
 
 
-def _whole(sized: DataFrame, bytes_needed: Column) -> DataFrame:
-    """Files (with img) that have a size and all their bytes."""
-    return sized.withColumn("img", F.col("path")).where((F.col("width") > 0) & (F.col("height") > 0) & (F.octet_length("content") >= bytes_needed))
+def _checked(read_in: DataFrame, wrong: Column, bytes_needed: Column, max_pixels: int | None) -> DataFrame:
+    """``read_in`` (path, content, width, height, ...) with img and error: bad_header, unsupported (``wrong``), invalid_dimensions, limit_exceeded, truncated or null."""
+    n = F.col("width") * F.col("height")
+    error = F.when(F.col("width").isNull() | F.col("height").isNull(), "bad_header").when(F.coalesce(wrong, F.lit(True)), "unsupported").when((F.col("width") < 1) | (F.col("height") < 1), "invalid_dimensions")
+    error = error.when(n > max_pixels, "limit_exceeded") if max_pixels is not None else error
+    error = error.when(F.coalesce(F.octet_length("content") < bytes_needed, F.lit(True)), "truncated")
+    return read_in.select("*", F.col("path").alias("img"), F.explode(F.array(error)).alias("error"))
 
 
-def ppm_pixels(files: DataFrame) -> DataFrame:
-    """(img, x, y, argb) of PPM files (P6, 255 as largest value, comments allowed); files that are cut off or of another kind have none."""
-    head = ascii_text(F.col("content"))
-    match = F.regexp_extract(head, r"^(P6(?:\s+#[^\n]*\n|\s+)+\d+(?:\s+#[^\n]*\n|\s+)+\d+(?:\s+#[^\n]*\n|\s+)+255\s)", 1)
-    sized = sizes(files).withColumn("skip", F.length(match)).where("skip > 0 and format = 'ppm'")
-    whole = _whole(sized, F.col("skip") + 3 * F.col("width") * F.col("height"))
-    return _exploded(whole, F.col("skip"), 3).select("img", "x", "y", argb.from_layout(F.concat("digits", F.lit("FF")), "rgba8").alias("argb"))
+def _ppm(files: DataFrame, max_pixels: int | None) -> DataFrame:
+    """PPM and PGM files with where their pixels start, their size, largest value, channels and error."""
+    gap = r"(?:\s+#[^\n]*\n|\s+)+"
+    head = F.regexp_extract(ascii_text(F.col("content")), rf"^(P[56]{gap}\d{{1,9}}{gap}\d{{1,9}}{gap}\d{{1,5}}\s)", 1)
+    numbers = lambda i: F.regexp_extract(F.regexp_replace(F.col("head"), r"#[^\n]*\n", " "), r"^P([56])\s+(\d+)\s+(\d+)\s+(\d+)\s", i).try_cast("long")
+    names = dict(kind=1, width=2, height=3, most=4)
+    fields = F.struct(F.length("head").alias("skip"), *[numbers(i).alias(n) for n, i in names.items()])
+    read_in = files.select("path", "content", F.explode(F.array(head)).alias("head")).select("path", "content", F.inline(F.array(fields)))
+    read_in = read_in.withColumn("depth", F.when(F.col("kind") == 5, 1).otherwise(3))
+    return _checked(read_in, F.col("most") != 255, F.col("skip") + F.col("depth") * F.col("width") * F.col("height"), max_pixels)
 
 
-def pam_pixels(files: DataFrame) -> DataFrame:
-    """(img, x, y, argb) of PAM files (three or four channels, 255 as largest value); files that are cut off or of another kind have none."""
+def _pam(files: DataFrame, max_pixels: int | None) -> DataFrame:
+    """PAM files with where their pixels start, their size, channels and error."""
     head = F.regexp_extract(ascii_text(F.col("content")), r"^(P7\n(?s:.*?)ENDHDR\n)", 1)
-    field = lambda name: F.regexp_extract(F.col("head"), rf"\n{name}\s+(\d{{1,9}})\s", 1)
-    read_in = files.select("path", "content", head.alias("head")).where("head <> ''")
-    plain = read_in.select("path", "content", "head", *[field(n).try_cast("long").alias(n.lower()) for n in ("WIDTH", "HEIGHT", "DEPTH", "MAXVAL")])
-    sized = plain.where("depth in (3, 4) and maxval = 255")
-    whole = _whole(sized, F.length("head") + F.col("depth") * F.col("width") * F.col("height"))
-    return _exploded(whole, F.length("head"), F.col("depth")).select("img", "x", "y", argb.from_layout(F.rpad("digits", 8, "FF"), "rgba8").alias("argb"))
+    field = lambda name: F.regexp_extract(F.col("head"), rf"\n{name}\s+(\d{{1,9}})\s", 1).try_cast("long").alias(name.lower())
+    fields = F.struct(F.length("head").alias("skip"), *[field(n) for n in ("WIDTH", "HEIGHT", "DEPTH", "MAXVAL")])
+    read_in = files.select("path", "content", F.explode(F.array(head)).alias("head")).select("path", "content", F.inline(F.array(fields)))
+    return _checked(read_in, ~F.col("depth").isin(3, 4) | (F.col("maxval") != 255), F.col("skip") + F.col("depth") * F.col("width") * F.col("height"), max_pixels)
 
 
-def bmp_pixels(files: DataFrame) -> DataFrame:
-    """(img, x, y, argb) of BMP files with 24 or 32 bits a pixel and no compression, rows from the top or from below.
-
-    Files of other kinds, or cut off, have no pixels. The fourth byte of 32 bits is alpha, as ``to_bmp`` writes it.
-    """
+def _bmp(files: DataFrame, max_pixels: int | None) -> DataFrame:
+    """BMP files with where their rows start and how long they are, their size, direction, channels and error."""
     at = {"skip": (10, 4), "width": (18, 4), "rows": (22, 4), "bits": (28, 2), "packed": (30, 4)}
-    # Bound in a lambda, so that plans stay small: each number names the header's bytes many times.
+    # Bound in a lambda and made columns by a generator, so that plans stay small: each number names the header's bytes many times.
     read = lambda h: F.struct(*[le_uint(h, *place).alias(name) for name, place in at.items()])
-    head = F.get(F.transform(F.array(F.substring("content", 1, 34)), read), F.lit(0))
-    read_in = files.where(format_by_content(F.col("content")) == "bmp").select(F.col("path"), "content", head.alias("h")).select("path", "content", "h.*")
-    plain = read_in.where("bits in (24, 32) and packed = 0").withColumns({"below": F.col("rows") < 1 << 31, "depth": F.shiftright("bits", 3)})
-    sized = plain.withColumns({"height": F.when(F.col("below"), F.col("rows")).otherwise(F.lit(1 << 32) - F.col("rows")), "stride": F.call_function("div", F.col("width") * F.col("depth") + 3, F.lit(4)) * 4})
-    whole = _whole(sized, F.col("skip") + F.col("stride") * F.col("height"))
-    return _exploded(whole, F.col("skip"), F.col("depth"), F.col("stride"), F.col("below")).select("img", "x", "y", argb.from_layout(F.rpad("digits", 8, "FF"), "bgra8").alias("argb"))
+    head = F.transform(F.array(F.when(F.octet_length("content") >= 34, F.substring("content", 1, 34))), read)
+    read_in = files.select("path", "content", F.inline(head))
+    read_in = read_in.withColumns({"below": F.col("rows") < 1 << 31, "depth": F.shiftright("bits", 3)})
+    shape = F.struct(F.when(F.col("below"), F.col("rows")).otherwise(F.lit(1 << 32) - F.col("rows")).alias("height"), (F.call_function("div", F.col("width") * F.col("depth") + 3, F.lit(4)) * 4).alias("stride"))
+    sized = read_in.select("*", F.inline(F.array(shape)))
+    return _checked(sized, ~F.col("bits").isin(24, 32) | (F.col("packed") != 0), F.col("skip") + F.col("stride") * F.col("height"), max_pixels)
+
+
+def ppm_pixels(files: DataFrame, max_pixels: int | None = MAX_PIXELS) -> DataFrame:
+    """(img, x, y, argb) of PPM and PGM files (P6 and P5, 255 as largest value, comments allowed); files with an error (``read_errors``) have none."""
+    fine = _ppm(files, max_pixels).where("error is null")
+    digits = F.when(F.length("digits") == 2, F.repeat("digits", F.lit(3))).otherwise(F.col("digits"))
+    return _exploded(fine, F.col("skip"), F.col("depth")).select("img", "x", "y", argb.from_layout(F.concat(digits, F.lit("FF")), "rgba8").alias("argb"))
+
+
+def pam_pixels(files: DataFrame, max_pixels: int | None = MAX_PIXELS) -> DataFrame:
+    """(img, x, y, argb) of PAM files (three or four channels, 255 as largest value); files with an error (``read_errors``) have none."""
+    fine = _pam(files, max_pixels).where("error is null")
+    return _exploded(fine, F.col("skip"), F.col("depth")).select("img", "x", "y", argb.from_layout(F.rpad("digits", 8, "FF"), "rgba8").alias("argb"))
+
+
+def bmp_pixels(files: DataFrame, max_pixels: int | None = MAX_PIXELS) -> DataFrame:
+    """(img, x, y, argb) of BMP files with 24 or 32 bits a pixel and no compression, rows from the top or from below; files with an error have none.
+
+    The fourth byte of 32 bits is alpha, as ``to_bmp`` writes it, unless it is 0 in all pixels of a file: then it is no alpha, and the image is opaque.
+    """
+    fine = _bmp(files, max_pixels).where("error is null")
+    body = F.hex(F.substring(F.col("content"), (F.col("skip") + 1).cast("int"), (F.col("stride") * F.col("height")).cast("int")))
+    fine = fine.withColumn("clear", (F.col("depth") == 4) & (F.length(F.rtrim(F.regexp_replace(body, ".{6}(..)", "$1"), F.lit("0"))) == 0))
+    # The mark goes along in the name, which rows keep.
+    marked = fine.withColumn("img", F.struct(F.col("path").alias("path"), "clear"))
+    pixel = argb.from_layout(F.rpad("digits", 8, "FF"), "bgra8")
+    return _exploded(marked, F.col("skip"), F.col("depth"), F.col("stride"), F.col("below")).select(F.col("img.path").alias("img"), "x", "y", F.when(F.col("img.clear"), argb.opaque(pixel)).otherwise(pixel).alias("argb"))
+
+
+#: The formats that any_pixels() reads, each with its header reader and its pixel reader.
+_READERS = {"ppm": (_ppm, ppm_pixels), "pam": (_pam, pam_pixels), "bmp": (_bmp, bmp_pixels)}
+
+
+def _told(files: DataFrame) -> DataFrame:
+    """Files with their format; PGM is read as PPM is."""
+    gray = F.substring("content", 1, 2) == F.lit(b"P5")
+    return files.select("path", "content", F.when(gray, "ppm").when(F.col("content").isNotNull(), format_by_content(F.col("content"))).alias("format"))
+
+
+def read_errors(files: DataFrame, max_pixels: int | None = MAX_PIXELS) -> DataFrame:
+    """(path, format, width, height, error), one row for each file: what any_pixels() would do with it.
+
+    error is unknown_format (no reader here), bad_header, unsupported (bits, channels or packing), invalid_dimensions, limit_exceeded, truncated, or null.
+    A null content has no format. Only headers are read; nothing is shuffled.
+    """
+    told = _told(files)
+    columns = ["path", "format", "width", "height", "error"]
+    out = told.where(~F.coalesce(F.col("format").isin(*_READERS), F.lit(False))).select("path", "format", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), F.lit("unknown_format").alias("error"))
+    for name, (header, _) in _READERS.items():
+        out = out.union(header(told.where(F.col("format") == name), max_pixels).withColumn("format", F.lit(name)).select(columns))
+    return out
+
+
+def any_pixels(files: DataFrame, max_pixels: int | None = MAX_PIXELS) -> DataFrame:
+    """(img, x, y, argb) of files of any format that has a reader here, told by content; files with an error (``read_errors``) have no pixels."""
+    told, parts = _told(files), []
+    for name, (_, reader) in _READERS.items():
+        parts.append(reader(told.where(F.col("format") == name), max_pixels))
+    return reduce(DataFrame.union, parts)
 
 
 #: Spark's image source: the modes of one, three and four bytes a pixel; fixed values.
@@ -118,8 +180,8 @@ IMAGE_MODES = {1: 0, 3: 16, 4: 24}
 def image_pixels(rows: DataFrame) -> DataFrame:
     """(img, x, y, argb) of the rows (image) that Spark's ``image`` source reads: gray, BGR or BGRA; what it could not read has none."""
     flat = rows.select(F.col("image.origin").alias("path"), F.col("image.width").cast("long").alias("width"), F.col("image.height").cast("long").alias("height"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("content"))
-    whole = _whole(flat.where(F.col("n").isin(*IMAGE_MODES)), F.col("n") * F.col("width") * F.col("height"))
-    cells = _exploded(whole.withColumn("img", F.col("path")), F.lit(0), F.col("n"))
+    whole = _checked(flat, ~F.col("n").isin(*IMAGE_MODES), F.col("n") * F.col("width") * F.col("height"), None).where("error is null")
+    cells = _exploded(whole, F.lit(0), F.col("n"))
     digits = F.when(F.length("digits") == 2, F.repeat("digits", F.lit(3))).otherwise(F.col("digits"))
     return cells.select("img", "x", "y", argb.from_layout(F.rpad(digits, 8, "FF"), "bgra8").alias("argb"))
 
@@ -177,7 +239,10 @@ def to_planar_yuv(pixels: DataFrame) -> DataFrame:
 
 
 def fnv1a(content: Column) -> Column:
-    """The 64-bit FNV-1a hash of bytes, unsigned, as decimal(20,0); a small Arrow helper, since Spark's numbers don't wrap."""
+    """The 64-bit FNV-1a hash of bytes, unsigned, as decimal(20,0); a small Arrow helper, since Spark's numbers don't wrap.
+
+    Each byte is a step in Python: meant for addresses and names, not for pixels.
+    """
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("string")

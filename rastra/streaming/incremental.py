@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rastra.functions.riff import CHUNK_HEADER, FILE_HEADER
@@ -99,3 +100,58 @@ def chunk_events(pieces: DataFrame, idle: str | None = None) -> DataFrame:
         yield _table(key[0], events)
 
     return pieces.groupBy("path").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+class FileState(StatefulProcessor):
+    """One file of ``chunk_events_with_ttl``: what is pending, where the reader is, and a timer for files that stop coming."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "bytes binary", self.ttl_ms)
+        self.place = handle.getValueState("place", "at long, skip long, idx int, end long", self.ttl_ms)
+        self.done = handle.getValueState("done", "done boolean", self.ttl_ms)
+
+    def _read(self) -> tuple | None:
+        if not self.place.exists():
+            return None
+        (pending,) = self.pending.get() if self.pending.exists() else (b"",)
+        return (bytes(pending), *self.place.get(), self.done.exists())
+
+    def _wait(self, until: int | None) -> None:
+        """Only the last timer of a file counts, and a finished file has none: its state just expires."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if until is not None:
+            self.handle.registerTimer(until)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("seq")
+        (pending, at, skip, idx, end, done), events = advance(self._read(), [bytes(b) for b in frame["bytes"] if b is not None])
+        self.pending.update((pending,))
+        self.place.update((at, skip, idx, end))
+        if done:
+            self.done.update((True,))
+        self._wait(None if done else timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
+        yield _table(key[0], events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self._read()  # gone if the timer comes late
+        self.pending.clear()
+        self.place.clear()
+        yield _table(key[0], [("abandoned", state and state[3], None, None, state and state[1])])
+
+    def close(self) -> None:
+        pass
+
+
+def chunk_events_with_ttl(pieces: DataFrame, idle: str) -> DataFrame:
+    """``chunk_events`` with state variables that expire: the bytes, the place and the end of a file are kept apart, each for ``idle`` after its last change.
+
+    Needs Spark's RocksDB state store. When its timer runs out, an unfinished file has the event abandoned and its state goes; should the
+    timer come late, the state is gone all the same and the event has no place. A piece after that begins the file anew.
+    """
+    ttl_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return pieces.groupBy("path").transformWithStateInPandas(FileState(ttl_ms), EVENTS, "append", "ProcessingTime")

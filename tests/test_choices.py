@@ -4,7 +4,10 @@ import random
 
 import pytest
 
-from rastra.operators import lossy, pixels, transforms
+from pyspark.sql import functions as F
+
+from rastra.operators import animation, lossy, pixels, transforms
+from rastra.sources import images as images_io
 
 
 def images(seed, sizes, colours=None):
@@ -296,3 +299,87 @@ def test_alpha_levels_are_clusters_of_values(spark, levels):
     got = {(r["img"], r["x"]): r["v"] for r in lossy.quantised_alpha(table, levels).collect()}
     assert got == {(i, x): plain_levels(vs, levels)[v] for i, vs in planes.items() for x, v in enumerate(vs)}
     assert all(len({got[i, x] for x in range(len(vs))}) <= max(levels, 1) for i, vs in planes.items())
+
+
+def test_frame_plans(spark):
+    base = [[1] * 6 for _ in range(4)]
+    changed = [row[:] for row in base]
+    changed[3][5] = changed[1][3] = 9
+    shown = [base, base, changed, changed, base, base, changed]
+    rows = [(0, i, x, y, v) for i, f in enumerate(shown) for y, row in enumerate(f) for x, v in enumerate(row)]
+    frames = spark.createDataFrame(rows, "img int, frame_idx int, x int, y int, argb long")
+    box, keep, whole = (2, 0, 4, 4), (0, 0, 1, 1), (0, 0, 6, 4)
+    plan = lambda **k: [tuple(r)[2:] for r in sorted(animation.frame_plan(frames, **k).collect())]
+    assert plan() == [("key", *whole), ("keep", *keep), ("delta", *box), ("keep", *keep), ("delta", *box), ("keep", *keep), ("delta", *box)]
+    assert [p[0] for p in plan(kmax=2)] == ["key", "keep", "delta", "key", "delta", "keep", "key"]
+    assert plan(kmax=2)[3][1:] == whole and [p[0] for p in plan(kmin=5, kmax=2)] == ["key", "keep", "delta", "keep", "delta", "keep", "key"]
+
+
+def plain_lengths(counts, limit):
+    floor = 1
+    if len(counts) == 1:
+        return [1]
+    while True:
+        pool = [(max(n, floor), i, [i]) for i, n in enumerate(counts)]
+        depth, made = [0] * len(counts), len(counts)
+        while len(pool) > 1:
+            pool.sort(key=lambda t: t[:2])
+            (a, _, s), (b, _, t), *pool = pool
+            for leaf in s + t:
+                depth[leaf] += 1
+            pool.append((a + b, made, s + t))
+            made += 1
+        if max(depth) <= limit:
+            return depth
+        floor *= 2
+
+
+@pytest.mark.parametrize("limit", [5, 7, 15])
+def test_code_lengths_are_limited_and_complete(spark, limit):
+    rng = random.Random(limit)
+    fib = [1, 1]
+    while len(fib) < 24:
+        fib.append(fib[-1] + fib[-2])
+    tables = {0: [5], 1: [3, 9], 2: fib, 3: [rng.randrange(1, 50) for _ in range(32)], 4: [7] * 16}
+    rows = [(i, 10 * s, n) for i, ns in tables.items() for s, n in enumerate(ns)] + [(0, 5, 0), (9, 1, 0)]
+    tables = {i: ns for i, ns in tables.items()}
+    got = {}
+    for r in transforms.code_lengths(spark.createDataFrame(rows, "img int, symbol int, n int"), limit).collect():
+        got.setdefault(r["img"], []).append((r["symbol"], r["n"], r["length"]))
+    assert set(got) == set(tables)
+    for i, ns in tables.items():
+        assert [x[2] for x in sorted(got[i])] == plain_lengths(ns, limit)
+        assert sum(2 ** (limit - x[2]) for x in got[i]) == (2**limit if len(ns) > 1 else 2 ** (limit - 1))
+
+
+def test_code_lengths_need_room(spark):
+    with pytest.raises(Exception, match="need codes of more than 2 bits"):
+        transforms.code_lengths(spark.createDataFrame([(0, s, 1) for s in range(5)], "img int, symbol int, n int"), 2).collect()
+
+
+def test_readers_tell_what_is_wrong(spark):
+    bmp = lambda bits, w, h, body, packed=0: b"BM" + bytes(8) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + w.to_bytes(4, "little") + h.to_bytes(4, "little", signed=True) + b"\1\0" + bits.to_bytes(2, "little") + packed.to_bytes(4, "little") + bytes(20) + body
+    files = {
+        "a.ppm": (b"P6\n1 1\n255\n\1\2\3", "ppm", None), "cut.ppm": (b"P6\n2 2\n255\n\1\2\3", "ppm", "truncated"), "deep.ppm": (b"P6 1 1 65535 " + bytes(6), "ppm", "unsupported"), "zero.ppm": (b"P6 0 1 255 \1", "ppm", "invalid_dimensions"), "bad.ppm": (b"P6 a", "ppm", "bad_header"), "vast.ppm": (b"P6 999999 999999 255 \1", "ppm", "limit_exceeded"),
+        "gray.pgm": (b"P5\n# g\n2 1\n255\n\5\xff", "ppm", None), "x.pam": (b"P7\nWIDTH 1\nHEIGHT 1\nDEPTH 2\nMAXVAL 255\nENDHDR\n\1\2", "pam", "unsupported"), "half.pam": (b"P7\nWIDTH 1\nHEIGHT 1\nDEPTH 4\nMAXVAL 255\nENDHDR\n\1\2", "pam", "truncated"), "no.pam": (b"P7\nWIDTH 1\nENDHDR\n", "pam", "bad_header"),
+        "clear.bmp": (bmp(32, 2, 1, b"\1\2\3\0\4\5\6\0"), "bmp", None), "alpha.bmp": (bmp(32, 2, -1, b"\1\2\3\0\4\5\6\x80"), "bmp", None), "eight.bmp": (bmp(8, 1, 1, b"\1\2\3\4"), "bmp", "unsupported"), "packed.bmp": (bmp(32, 1, 1, b"\1\2\3\4", 1), "bmp", "unsupported"), "short.bmp": (b"BM12", "bmp", "bad_header"), "cut.bmp": (bmp(24, 3, 3, b"\1"), "bmp", "truncated"),
+        "x.txt": (b"hello", "raw", "unknown_format"), "none": (None, None, "unknown_format"), "empty": (b"", "raw", "unknown_format"),
+    }
+    table = spark.createDataFrame([(p, c) for p, (c, _, _) in files.items()], "path string, content binary")
+    assert {r["path"]: (r["format"], r["error"]) for r in images_io.read_errors(table).collect()} == {p: (f, e) for p, (_, f, e) in files.items()}
+    assert {(r["img"], r["x"], r["y"]): r["argb"] for r in images_io.any_pixels(table).collect()} == {
+        ("a.ppm", 0, 0): 0xFF010203, ("gray.pgm", 0, 0): 0xFF050505, ("gray.pgm", 1, 0): 0xFFFFFFFF, ("clear.bmp", 0, 0): 0xFF030201, ("clear.bmp", 1, 0): 0xFF060504, ("alpha.bmp", 0, 0): 0x00030201, ("alpha.bmp", 1, 0): 0x80060504,
+    }
+
+
+def test_lossy_arithmetic_keeps_nulls(spark):
+    row = spark.createDataFrame([(None, 50, None, True)], "q int, s int, b int, f boolean")
+    q, s, b, f = (F.col(c) for c in "qsbf")
+    got = row.select(lossy.quantiser(q).alias("quantiser"), lossy.alpha_levels(q).alias("levels"), lossy.steps(q)["y2_ac"].alias("step"), lossy.filter_level(q, s).alias("level"), lossy.filter_level(s, s, b).alias("biased"), lossy.filter_limits(q, s, f)["edge_limit"].alias("limit"), lossy.quantiser(s, partition_limit=b).alias("limited"), lossy.noise_shaping(q, s).alias("noise")).first()
+    assert all(v is None for v in got)
+
+
+def test_exact_psnr_of_different_sizes_is_null(spark):
+    a, b = table(spark, images(1, [(4, 4), (3, 3)])), table(spark, images(2, [(4, 5), (3, 3)]))
+    got = {r["img"]: r["centidecibels"] for r in pixels.exact_psnr(a, b).collect()}
+    assert got[0] is None and got[1] > 0
