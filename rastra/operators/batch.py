@@ -44,6 +44,17 @@ def breadth(level: Column) -> Column:
     return F.struct(tiles.alias("tile_bits"), (level >= 1).alias("cross_colour"), (level >= 1).alias("optimal_parse"), (level >= 6).alias("blockwise_codes"))
 
 
+#: The highest level of the two lower tiers, and the most pixels of the two deeper ones.
+TIER_LEVELS, TIER_PIXELS = (2, 7), (1 << 20, 1 << 24)
+
+
+def lossy_tier(level: Column, pixels: Column) -> Column:
+    """How deep a lossy search goes, fast, full or best: by its level (0 to 9), or without one by the image's number of pixels; null if neither is known."""
+    by_level = F.when(level <= TIER_LEVELS[0], "fast").when(level <= TIER_LEVELS[1], "full").when(level > TIER_LEVELS[1], "best")
+    by_size = F.when(pixels <= TIER_PIXELS[0], "best").when(pixels <= TIER_PIXELS[1], "full").when(pixels > TIER_PIXELS[1], "fast")
+    return F.coalesce(by_level, by_size)
+
+
 def encode_mode(kind: Column, lossless: Column, near_lossless: Column, lossy: Column, quality: Column) -> Column:
     """struct(codec, quality, near_lossless, derived, error): the codec that options ask for; without any, JPEG stays lossy at 75 and the rest lossless.
 

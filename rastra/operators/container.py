@@ -105,6 +105,25 @@ def resolved(old: Column, new: Column, keep: Column) -> Column:
     return F.coalesce(new, F.when(keep, old))
 
 
+def selection(fields: Column) -> Column:
+    """struct(icc, exif, xmp, error): what a list such as "none,exif" keeps: names add up from the left, all and none begin anew; null and empty lists keep all.
+
+    A name that is none of all, none, icc, exif and xmp (case and blanks aside) is the error unknown_field, and nothing is kept.
+    """
+    names = F.filter(F.transform(F.split(F.coalesce(fields, F.lit("")), ","), lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    build = lambda values: F.struct(*[v.alias(n) for n, v in zip(SIDECARS, values, strict=True)])
+    step = lambda s, t: build([F.when(t == "all", True).when(t == "none", False).otherwise(s[n] | (t == n)) for n in SIDECARS])
+    kept = F.aggregate(names, build([F.size(names) == 0] * len(SIDECARS)), step)
+    wrong = F.exists(names, lambda t: ~t.isin("all", "none", *SIDECARS))
+    return F.struct(*[(kept[n] & ~wrong).alias(n) for n in SIDECARS], F.when(wrong, "unknown_field").alias("error"))
+
+
+def selected(files: DataFrame, fields: Column) -> DataFrame:
+    """(path, icc, exif, xmp, error): each file's sidecars (as ``metadata``) that a list of names over ``files`` keeps."""
+    walked = files.select("path", "content", selection(fields).alias("keep"), riff.places(F.col("content")).alias("places")).where("size(places) > 0")
+    return walked.select("path", *[F.when(F.col(f"keep.{n}"), chunk_bytes(first_chunk(fourcc))).alias(n) for n, fourcc in SIDECARS.items()], F.col("keep.error").alias("error"))
+
+
 def with_metadata(files: DataFrame, icc: Column, exif: Column, xmp: Column, width: Column, height: Column) -> DataFrame:
     """(path, content): files whose sidecars are replaced (null: none). Other chunks keep their bytes and order.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -250,3 +252,74 @@ def code_lengths(counts: DataFrame, limit: int = 15) -> DataFrame:
 
     coded = used.withColumn("lengths", lengths(F.transform("symbols", lambda s: s["n"])))
     return coded.select("img", F.inline(F.arrays_zip("symbols", "lengths"))).select("img", "symbols.symbol", "symbols.n", F.col("lengths").alias("length"))
+
+
+# The least and greatest size of a block as powers of two, the blocks of an image at most, and the cost of a code's header.
+BLOCK_BITS, MAX_BLOCKS, HEADER_BITS, SYMBOL_BITS = (2, 9), 256, 24, 3
+
+
+def _fixed_logs(n: np.ndarray) -> np.ndarray:
+    """n times its base-2 logarithm with 16 bits below the point, as ``pixels.fixed_log2`` gives it."""
+    known, at = np.unique(n, return_inverse=True)
+    whole = np.array([max(int(x), 1).bit_length() - 1 for x in known], np.int64)
+    m = np.where(whole <= 16, known << np.maximum(16 - whole, 0), known >> np.maximum(whole - 16, 0))
+    part = np.zeros_like(known)
+    for k in range(15, -1, -1):
+        m = m * m >> 16
+        high = m >= 1 << 17
+        m = np.where(high, m >> 1, m)
+        part += high.astype(np.int64) << k
+    return np.where(known > 1, known * (whole * 65536 + part), 0)[at].reshape(n.shape)
+
+
+def _code_bits(counts: np.ndarray) -> np.ndarray:
+    """The bits that the codes of histograms (..., channel, value) take: whole bits of each channel's entropy, and headers of channels with two values or more."""
+    used = (counts > 0).sum(axis=-1)
+    entropy = (_fixed_logs(counts.sum(axis=-1)) - _fixed_logs(counts).sum(axis=-1)) >> 16
+    return (entropy + np.where(used > 1, HEADER_BITS + SYMBOL_BITS * used, 0)).sum(axis=-1)
+
+
+def _merged_groups(counts: np.ndarray) -> np.ndarray:
+    """The group of each block: the two groups that save most together are joined, of equally good pairs the first, until none saves any; numbered by their first blocks."""
+    n = len(counts)
+    group, alive, own = np.arange(n), np.ones(n, bool), _code_bits(counts)
+    saving = np.full((n, n), np.iinfo(np.int64).max)
+    for i in range(n - 1):
+        saving[i, i + 1 :] = _code_bits(counts[i] + counts[i + 1 :]) - own[i] - own[i + 1 :]
+    while n > 1:
+        a, b = divmod(int(saving.argmin()), n)
+        if saving[a, b] >= 0:
+            break
+        counts[a] += counts[b]
+        own[a], alive[b] = _code_bits(counts[a]), False
+        group[group == b] = a
+        saving[b, :] = saving[:, b] = np.iinfo(np.int64).max
+        others = np.flatnonzero(alive & (np.arange(n) != a))
+        if len(others):
+            with_a = _code_bits(counts[a] + counts[others]) - own[a] - own[others]
+            saving[np.minimum(a, others), np.maximum(a, others)] = with_a
+    return np.unique(group, return_inverse=True)[1]
+
+
+def block_groups(pixels: DataFrame) -> DataFrame:
+    """(img, bits, bx, by, group): which blocks of 2**bits pixels of an image share their codes, each pixel coded by its four channels.
+
+    Blocks are the smallest of which an image has no more than MAX_BLOCKS; a larger image than that allows has one group, with bits null and a row for block 0. Pixels are counted by block
+    before they move; an image's blocks, at most MAX_BLOCKS histograms, are merged pair by pair in one group of a task.
+    """
+    size = pixels.groupBy("img").agg((F.max("x") + 1).cast("long").alias("w"), (F.max("y") + 1).cast("long").alias("h"))
+    side = lambda c, k: F.shiftright(F.col(c) + (1 << k) - 1, k)
+    bits = F.coalesce(*[F.when(side("w", k) * side("h", k) <= MAX_BLOCKS, F.lit(k)) for k in range(BLOCK_BITS[0], BLOCK_BITS[1] + 1)])
+    sized = pixels.join(size.select("img", bits.alias("bits")), "img")
+    at = lambda c: F.coalesce(F.call_function("shiftright", F.col(c).cast("int"), F.col("bits")), F.lit(0))
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("channel"), argb.channel(F.col("argb"), c).cast("int").alias("value")) for n, c in enumerate("argb")]))
+    counts = sized.select("img", "bits", at("x").alias("bx"), at("y").alias("by"), parts.alias("p")).groupBy("img", "bits", "bx", "by", "p.channel", "p.value").agg(F.count("*").alias("n"))
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        blocks, block = np.unique(rows[["by", "bx"]].to_numpy(), axis=0, return_inverse=True)
+        table = np.zeros((len(blocks), 4, 256), np.int64)
+        table[block.ravel(), rows["channel"], rows["value"]] = rows["n"]
+        return pd.DataFrame({"img": rows["img"].iloc[0], "bits": rows["bits"].iloc[0], "bx": blocks[:, 1], "by": blocks[:, 0], "group": _merged_groups(table)}).astype({"bits": "Int32"})
+
+    kind = dict(pixels.dtypes)["img"]
+    return counts.groupBy("img").applyInPandas(merge, f"img {kind}, bits int, bx int, by int, group int")

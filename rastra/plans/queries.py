@@ -1046,3 +1046,29 @@ def probe_by_sql(spark, sf_dir):
     """The probe of files, asked for in SQL text."""
     sql.register(spark)
     return spark.sql("SELECT path, p.width, p.height, p.codec, p.has_alpha, p.error FROM (SELECT path, webp_probe(content) AS p FROM {files})", files=page_files(spark, sf_dir))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 13 <= 2 THEN 'fast' WHEN p_size % 13 <= 7 THEN 'full' WHEN p_size % 13 <= 9 THEN 'best' WHEN p_partkey * 40000 <= 1048576 THEN 'best' WHEN p_partkey * 40000 <= 16777216 THEN 'full' ELSE 'fast' END AS tier FROM part")
+def lossy_tiers(spark, sf_dir):
+    """Levels of 0 to 9, else sizes of 40,000 pixels times the key."""
+    level = F.pmod("p_size", F.lit(13))
+    return table(spark, sf_dir, "part").select("p_partkey", batch.lossy_tier(F.when(level <= 9, level), F.col("p_partkey") * 40000).alias("tier"))
+
+
+_FIELDS = ("", "none", "all", "exif", "icc, xmp", "none,exif", "exif,none", "all,none,EXIF", "gps")
+
+
+@query(f"""WITH {PAGES_SQL} SELECT path, CAST(NULL AS BLOB) AS icc, CASE WHEN path % 9 IN (0, 2, 3, 5, 7) THEN encode(coalesce(url, '')) END AS exif, CAST(NULL AS BLOB) AS xmp, CASE WHEN path % 9 = 8 THEN 'unknown_field' END AS error FROM pg JOIN pages ON page_id = path""")
+def metadata_options(spark, sf_dir):
+    """What lists of names keep of each file's sidecars; the files have EXIF only."""
+    fields = F.get(F.array(*map(F.lit, _FIELDS)), F.pmod("path", F.lit(len(_FIELDS))).cast("int"))
+    return container.selected(page_files(spark, sf_dir), fields)
+
+
+def block_groups(spark, sf_dir):
+    """Which blocks of 64 x 64 gray planes share codes; merging pair by pair is beyond SQL (tested against a plain version)."""
+    planes = luma_planes(spark, sf_dir).select("img", "x", "y", argb.pack(F.lit(255), F.col("v"), F.col("v"), F.col("v")).alias("argb"))
+    return transforms.block_groups(planes)
+
+
+QUERIES["block_groups"] = block_groups

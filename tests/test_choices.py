@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from rastra.operators import animation, lossy, pixels, transforms
+from rastra.operators import animation, batch, container, lossy, pixels, transforms
 from rastra.sources import images as images_io
 
 
@@ -383,3 +383,61 @@ def test_exact_psnr_of_different_sizes_is_null(spark):
     a, b = table(spark, images(1, [(4, 4), (3, 3)])), table(spark, images(2, [(4, 5), (3, 3)]))
     got = {r["img"]: r["centidecibels"] for r in pixels.exact_psnr(a, b).collect()}
     assert got[0] is None and got[1] > 0
+
+
+def test_metadata_lists_are_folded_from_the_left(spark):
+    lists = {None: "111", "": "111", " , ": "111", "none": "000", "icc": "100", "icc,xmp": "101", "all,none": "000", "none, EXIF": "010", "exif,none,xmp": "001", "icc,all": "111", "icc,gps": "000"}
+    table = spark.createDataFrame([(k,) for k in lists], "fields string").select("fields", container.selection(F.col("fields")).alias("s"))
+    for r in table.collect():
+        assert "".join(str(int(r["s"][n])) for n in ("icc", "exif", "xmp")) == lists[r["fields"]] and r["s"]["error"] == ("unknown_field" if r["fields"] == "icc,gps" else None)
+
+
+def test_lossy_tiers(spark):
+    rows = [(None, 1 << 20, "best"), (None, (1 << 20) + 1, "full"), (None, 1 << 24, "full"), (None, (1 << 24) + 1, "fast"), (0, 1, "fast"), (2, 1, "fast"), (3, 1, "full"), (7, None, "full"), (8, 1 << 30, "best"), (None, None, None)]
+    table = spark.createDataFrame(rows, "level int, pixels long, want string")
+    assert all(r["want"] == r["got"] for r in table.withColumn("got", batch.lossy_tier(F.col("level"), F.col("pixels"))).collect())
+
+
+def plain_groups(rows):
+    w, h = len(rows[0]), len(rows)
+    up = lambda n, k: (n + (1 << k) - 1) >> k
+    bits = next((k for k in range(2, 10) if up(w, k) * up(h, k) <= 256), None)
+    blocks = {}
+    for y, row in enumerate(rows):
+        for x, v in enumerate(row):
+            blocks.setdefault((y >> bits, x >> bits), []).append(v)
+    keys = sorted(blocks)
+
+    def cost(values):
+        total = 0
+        for s in (0, 8, 16, 24):
+            counts = {}
+            for v in values:
+                counts[v >> s & 255] = counts.get(v >> s & 255, 0) + 1
+            total += (len(values) * plain_log(len(values)) - sum(n * plain_log(n) for n in counts.values())) >> 16
+            total += 24 + 3 * len(counts) if len(counts) > 1 else 0
+        return total
+
+    sets, members = [list(blocks[k]) for k in keys], [{i} for i in range(len(keys))]
+    alive = set(range(len(keys)))
+    while True:
+        best = min(((cost(sets[a] + sets[b]) - cost(sets[a]) - cost(sets[b]), a, b) for a in alive for b in alive if a < b), default=(0,))
+        if best[0] >= 0:
+            break
+        _, a, b = best
+        sets[a], members[a] = sets[a] + sets[b], members[a] | members[b]
+        alive.remove(b)
+    order = sorted(alive)
+    return {keys[i]: (bits, order.index(g)) for g in alive for i in members[g]}
+
+
+def test_block_groups(spark):
+    rng = random.Random(8)
+    noisy = [[0xFF000000 | rng.randrange(1 << 24) for _ in range(17)] for _ in range(9)]
+    halves = [[(0xFF000000 if x < 12 else 0xFFF0F0F0) | rng.randrange(4) * 0x010101 for x in range(24)] for _ in range(10)]
+    imgs = {0: noisy, 1: halves, 2: [[5] * 12] * 12, 3: [[7]]}
+    got = {}
+    for r in transforms.block_groups(table(spark, imgs)).collect():
+        got.setdefault(r["img"], {})[r["by"], r["bx"]] = (r["bits"], r["group"])
+    assert got == {i: plain_groups(rows) for i, rows in imgs.items()}
+    assert len({g for _, g in got[1].values()}) >= 1
