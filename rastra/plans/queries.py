@@ -1063,12 +1063,3 @@ def metadata_options(spark, sf_dir):
     """What lists of names keep of each file's sidecars; the files have EXIF only."""
     fields = F.get(F.array(*map(F.lit, _FIELDS)), F.pmod("path", F.lit(len(_FIELDS))).cast("int"))
     return container.selected(page_files(spark, sf_dir), fields)
-
-
-def block_groups(spark, sf_dir):
-    """Which blocks of 64 x 64 gray planes share codes; merging pair by pair is beyond SQL (tested against a plain version)."""
-    planes = luma_planes(spark, sf_dir).select("img", "x", "y", argb.pack(F.lit(255), F.col("v"), F.col("v"), F.col("v")).alias("argb"))
-    return transforms.block_groups(planes)
-
-
-QUERIES["block_groups"] = block_groups
