@@ -30,7 +30,7 @@ from rastra.llm.suffixes import Hasher, anchors
 
 WIDTH, ANCHOR = 35, 12
 #: Texts that are looked at together, in bytes; a longer text is looked at alone.
-_TOGETHER = 1 << 20
+_TOGETHER = 1 << 18
 #: What a signature is multiplied by for each word; small enough for products of 32 bits with it.
 _TURN, _HALF = 0x1E3779B1, (1 << 32) - 1
 _OTHER, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
@@ -198,22 +198,23 @@ def _strip(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
     """Rows (h1, h2, n_removed, kept, marks) from rows (h1, h2, body, spans); marks has the digest of each span's words."""
     mark = pa.struct([(c, pa.int64()) for c in ("path", "d1", "d2")])
     for batch in batches:
-        removed, kept, marks = [], [], []
-        for body, spans in zip(batch.column("body"), batch.column("spans"), strict=True):
-            words, found = body.as_py().split(), spans.as_py()
-            edge = np.zeros(len(words) + 1, np.int64)
-            own = []
-            for s in found:
-                end = s["place"] + s["n"] + width - 1
-                edge[s["place"]] += 1
-                edge[end] -= 1
-                d1, d2 = _digest(words[s["place"] : end])
-                own.append({"path": s["path"], "d1": d1, "d2": d2})
-            gone = np.cumsum(edge[:-1]) > 0
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]))
-            marks.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(marks, pa.list_(mark))], names=["h1", "h2", "n_removed", "kept", "marks"])
+        for rows, bodies in _groups(batch, "body"):
+            some, removed, kept, marks = batch.slice(rows[0], len(rows)), [], [], []
+            for body, spans in zip(bodies, some.column("spans"), strict=True):
+                words, found = body.split(), spans.as_py()
+                edge = np.zeros(len(words) + 1, np.int64)
+                own = []
+                for s in found:
+                    end = s["place"] + s["n"] + width - 1
+                    edge[s["place"]] += 1
+                    edge[end] -= 1
+                    d1, d2 = _digest(words[s["place"] : end])
+                    own.append({"path": s["path"], "d1": d1, "d2": d2})
+                gone = np.cumsum(edge[:-1]) > 0
+                removed.append(int(gone.sum()))
+                kept.append(b" ".join([w for w, g in zip(words, gone, strict=True) if not g]))
+                marks.append(own)
+            yield pa.RecordBatch.from_arrays([some.column("h1"), some.column("h2"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(marks, pa.list_(mark))], names=["h1", "h2", "n_removed", "kept", "marks"])
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -228,9 +229,15 @@ def _single_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, h1, h2, n_words, whole) from rows (id, h1, h2, body); words take ten times their text's memory, so only one text is split at a time."""
     for batch in batches:
-        split = [body.as_py().split() for body in batch.column("body")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h1"), batch.column("h2"), pa.array([len(w) for w in split], pa.int64()), pa.array([b" ".join(w) for w in split], pa.binary())], names=["id", "h1", "h2", "n_words", "whole"])
+        for rows, bodies in _groups(batch, "body"):
+            some, sizes, wholes = batch.slice(rows[0], len(rows)), [], []
+            for body in bodies:
+                split = body.split()
+                sizes.append(len(split))
+                wholes.append(b" ".join(split))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("id", "h1", "h2")), pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary())], names=["id", "h1", "h2", "n_words", "whole"])
 
 
 def repeated(texts: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, hash_bits: int = 64) -> DataFrame:

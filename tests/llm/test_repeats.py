@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,22 @@ def test_repeated_windows_of_nothing(spark):
         debruijn.without_repeats(none, width=5, anchor=5)
 
 
+def test_words_of_a_batch_are_not_held_together():
+    texts = [" ".join(f"w{i + j}" for j in range(300)).encode() for i in range(3000)] + [b""]
+    numbers = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, numbers, pa.array(texts, pa.binary())], names=["id", "h1", "h2", "body"])
+    tracemalloc.start()
+    try:
+        got = [(r["id"], r["n_words"], len(r["whole"])) for out in debruijn._words(iter([batch])) for r in out.select(["id", "n_words", "whole"]).slice(0, 1).to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[0] == (0, 300, len(texts[0]))
+    assert peak < 2 * sum(map(len, texts))
+    rows = [r for out in debruijn._words(iter([batch])) for r in out.to_pylist()]
+    assert [(r["h1"], r["n_words"], r["whole"]) for r in rows] == [(i, len(t.split()), t) for i, t in enumerate(texts)]
+
+
 def plain_runs(words, least=12):
     found = {}
     for p in range(1, len(words) // 2 + 1):
