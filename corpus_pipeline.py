@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm import decontam, langid, mixing, secret_scan, simhash
+from rastra.llm import decontam, langid, mixing, near, secret_scan
 from rastra.llm.common import new_path, remove, scratch, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,11 +21,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each near-duplicate group, that with the least doc_id; rows without an id come after all others.
 
-    Texts with a 5-word shingle similarity of 0.8 or more are linked. Repeated rows and rows that share an id are rows of their own.
+    Texts with a 5-word shingle similarity of 0.8 or more are linked: by SimHash fingerprints and their pivot distances, and by bands where those differ in too many bits. Repeated rows and rows that share an id are rows of their own.
     """
     rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "_row")
-    groups = simhash.near_copies(rows, "_row").join(rows.select("_row", order.alias("order")), "_row")
+    groups = near.components(rows, "_row").join(rows.select("_row", order.alias("order")), "_row")
     kept = groups.groupBy("component").agg(F.min("order").alias("order")).select("order._row")
     return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 

@@ -1,7 +1,8 @@
 """The wide mode of the SimHash operator: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-No radius of a 64-bit fingerprint does this: at 0.8 about 10 bits differ, which no equi-join on parts of it finds. So candidates share a band of MinHash values: 25 bands of 5, so that a pair at 0.8 is met with a probability of
-1 - (1 - 0.8 ** 5) ** 25 = 0.99995, and more above. Exact shingle sets verify every candidate, so no other pair is linked.
+Every text has a SimHash fingerprint of its different words (of equal sets, the same one), and the operator's table of pivot distances (`simhash.links`) finds all fingerprints within 3 bits; exact sets verify.
+Pairs at 0.8 may differ in more bits, which no equi-join on parts of a fingerprint finds. So what is in different components after that is searched once more, by bands of MinHash values: 25 bands of 5, so that a pair at 0.8 is met with a probability of
+1 - (1 - 0.8 ** 5) ** 25 = 0.99995, and more above. Exact shingle sets verify every candidate of either kind, so no other pair is linked.
 
 Texts with the same shingles are one class before anything is joined. Of the classes in a bucket, each is first compared with the
 one that meets most others, so that a hot group of copies is no square. Larger buckets that hold more than one component after that are searched by an exact prefix
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rastra.llm.common import checkpointed, stored
 from rastra.llm.components import connected_components
+from rastra.llm.simhash import links, majority
 
 WIDTH = 5
 BANDS, BAND_ROWS = 25, 5
@@ -43,19 +45,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted different hashes of a text's shingles: none without a word, one for fewer words than a shingle has."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < WIDTH:
-        return np.array([_hash(b" ".join(words))] if words else [], np.uint64)
-    each = np.array([_hash(w) for w in words], np.uint64)
-    n = len(words) - WIDTH + 1
+def word_hashes(text: str | None) -> np.ndarray:
+    """The hash of each word, in order."""
+    return np.array([_hash(w) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], np.uint64)
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The sorted different hashes of a text's shingles, from its words' hashes: none without a word, one for fewer words than a shingle has."""
+    if not len(words):
+        return words
+    n = max(1, len(words) - WIDTH + 1)
     total = np.zeros(n, np.uint64)
-    for i in range(WIDTH):
-        total += _mixed(each[i : i + n] + _PLACES[i]) * _PLACES[i]
+    for i in range(min(WIDTH, len(words))):
+        total += _mixed(words[i : i + n] + _PLACES[i]) * _PLACES[i]
     return np.unique(_mixed(total))
 
 
+def fingerprint(words: np.ndarray) -> int:
+    """The SimHash of the different words: an edit changes one of them, but five shingles, so near copies differ in fewer bits than by shingles."""
+    return majority(np.unique(words))
+
+
 def bands(grams: np.ndarray) -> np.ndarray:
     """A key for each band of the least permuted hashes."""
     least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
@@ -66,20 +76,24 @@ def bands(grams: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, set, n, bands) of (row, text)."""
+    """(row, set, n, fp, bands) of (row, text)."""
     for batch in batches:
-        grams = [shingles(t.as_py()) for t in batch.column(1)]
+        grams, fps = [], []
+        for text in batch.column(1):
+            words = word_hashes(text.as_py())
+            grams.append(shingles(words))
+            fps.append(fingerprint(words))
         # 125 bits as one number, so that sets that differ are not taken for one in any corpus.
         both = np.array([(_hash(g.tobytes()), _second(g.tobytes()) >> 3) if len(g) else (0, 0) for g in grams], np.uint64).reshape(-1, 2)
         sets = pa.Array.from_buffers(pa.decimal128(38, 0), len(grams), [None, pa.py_buffer(np.ascontiguousarray(both).tobytes())])
         keys = pa.array([bands(g).view(np.int64) if len(g) else [] for g in grams], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets, pa.array([len(g) for g in grams], pa.int64()), keys], names=["row", "set", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), sets, pa.array([len(g) for g in grams], pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), keys], names=["row", "set", "n", "fp", "bands"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(set, grams) of (set, text)."""
     for batch in batches:
-        grams = pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+        grams = pa.array([shingles(word_hashes(t.as_py())).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), grams], names=["set", "grams"])
 
 
@@ -112,11 +126,48 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
     return a.join(b, met & enough).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
 
 
+def _close_stars(sets: DataFrame, close: DataFrame) -> DataFrame:
+    """(a, b): sets to compare first, of (set, n, fp) and the links (a, b) of fingerprints: each with one that stands for its fingerprint, and that with one of the linked fingerprint that has most links."""
+    heads = checkpointed(sets.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("head"), F.count("*").alias("many")))
+    same = sets.join(heads.where("many > 1"), "fp").where((F.col("set") != F.col("head.set")) & _sizes_fit(F.col("n"), F.col("head.n"))).select(F.col("head.set").alias("a"), F.col("set").alias("b"))
+    both = close.union(close.select("b", "a"))
+    degrees = both.groupBy("a").agg(F.count("*").alias("degree")).withColumnRenamed("a", "b")
+    middle = both.join(degrees, "b").groupBy("a").agg(F.max(F.struct("degree", "b"))["b"].alias("b"))
+    side = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}"))
+    linked = middle.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(F.col("head_a.n"), F.col("head_b.n")))
+    linked = linked.select(F.least("head_a.set", "head_b.set").alias("a"), F.greatest("head_a.set", "head_b.set").alias("b")).distinct()
+    return checkpointed(same.union(linked))
+
+
+def _close_pairs(sets: DataFrame, close: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: all sets of (set, n, fp) whose fingerprints are equal or linked in ``close``, whose sizes fit and whose components differ."""
+    owned = checkpointed(_rooted(sets, roots).select("fp", "root", "set", "n"))
+    once = owned.select("fp", "root").distinct()
+    alone = once.groupBy("fp").agg(F.count("*").alias("roots")).where("roots > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    side = lambda x: once.select(F.col("fp").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = checkpointed(close.union(alone).join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b"))
+    side = lambda x: owned.select(F.col("fp").alias(x), F.col("root").alias(f"root_{x}"), F.col("set").alias(f"set_{x}"), F.col("n").alias(f"n_{x}"))
+    met = apart.join(side("a"), ["a", "root_a"]).join(side("b"), ["b", "root_b"]).where(_sizes_fit(F.col("n_a"), F.col("n_b")))
+    return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+
+
+def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sets`` with their component's root, which is the set itself where it has no link."""
+    return sets.join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set")).drop("node")
+
+
 def components(docs: DataFrame, row_col: str, text_col: str = "text") -> DataFrame:
-    """(row_col, component) for each row of ``docs``, whose row_col must be a unique long that stays the same when read again."""
+    """(row_col, component) of rows whose texts have a 5-word shingle similarity of 0.8 or more.
+
+    row_col must be a unique long that stays the same when read again. Texts without a word are one class; null counts as empty.
+    """
     rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    found = checkpointed(rows.mapInArrow(_sets, f"row long, set {SET}, n long, bands array<long>"))
-    classes = found.groupBy("set").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("row").alias("row"))
+    found = checkpointed(rows.mapInArrow(_sets, f"row long, set {SET}, n long, fp long, bands array<long>"))
+    classes = found.groupBy("set").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("row"))
+    # The fingerprints' own way first: all within 3 bits, by the table of pivot distances.
+    sets = checkpointed(classes.where("n > 0").select("set", "n", "fp", "row"))
+    close = checkpointed(links(sets.select("fp").distinct()))
+    near_stars = _close_stars(sets.drop("row"), close)
     keyed = classes.select("set", "n", F.explode("bands").alias("key"))
     # What is asked of a bucket is aggregated, partly before it moves, and joined back: Spark splits such joins where one bucket holds much.
     many = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
@@ -131,16 +182,26 @@ def components(docs: DataFrame, row_col: str, text_col: str = "text") -> DataFra
     by_size = Window.partitionBy("key").orderBy("n")
     sizes = met.groupBy("key", "n").agg(F.count("*").alias("equal")).withColumns({"more": F.lead("n").over(by_size), "less": F.lag("n").over(by_size)})
     sizes = checkpointed(sizes.where((F.col("equal") > 1) | _sizes_fit(F.col("n"), F.col("more")) | _sizes_fit(F.col("less"), F.col("n"))).select("key", "n"))
-    fitting = met.join(sizes, ["key", "n"], "left_semi").select("set").distinct()
-    needed = classes.select("set", "row").join(fitting, "set")
+    fitting = met.join(sizes, ["key", "n"], "left_semi").select("set")
+    shared = sets.groupBy("fp").agg(F.count("*").alias("many")).where("many > 1").select("fp")
+    meeting = close.select(F.explode(F.array("a", "b")).alias("fp")).union(shared).distinct()
+    fitting = fitting.union(sets.join(meeting, "fp", "left_semi").select("set")).distinct()
+    needed = sets.select("set", "row").join(fitting, "set")
     grams = stored(rows.join(needed, "row").select("set", "text").mapInArrow(_grams, f"set {SET}, grams array<long>"), "grams")
-    links = _alike(stars, grams)
-    roots = connected_components(links, "a", "b")
-    apart = checkpointed(met.where("many > 2").join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", F.coalesce("root", "set").alias("root")))
+    edges = _alike(near_stars, grams)
+    roots = connected_components(edges, "a", "b")
+    # What the fingerprints have linked needs no comparison; the bands look for the rest.
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    rooted = stars.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    stars = checkpointed(rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    edges = edges.union(_alike(stars, grams))
+    roots = connected_components(edges, "a", "b")
+    apart = checkpointed(_rooted(met.where("many > 2").select("key", "set", "n"), roots))
     mixed = checkpointed(apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
     apart = apart.join(mixed, "key", "left_semi").select("set", "n", "root").distinct()
-    rest = checkpointed(_prefix_pairs(grams.join(apart, "set")).join(stars, ["a", "b"], "left_anti"))
+    rest = _prefix_pairs(grams.join(apart, "set")).union(_close_pairs(sets.drop("row"), close, roots)).distinct()
+    rest = checkpointed(rest.join(stars, ["a", "b"], "left_anti").join(near_stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.union(_alike(rest, grams))
-        roots = connected_components(links, "a", "b")
+        edges = edges.union(_alike(rest, grams))
+        roots = connected_components(edges, "a", "b")
     return found.join(roots, found["set"] == roots["node"], "left").select(F.col("row").alias(row_col), F.coalesce("root", "set").alias("component"))

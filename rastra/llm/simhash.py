@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastra.llm import near
 from rastra.llm.common import checkpointed
 from rastra.llm.components import connected_components
 
@@ -52,6 +51,15 @@ def pivots(n: int = SPREAD_PIVOTS) -> list[int]:
     return [_hash(f"pivot {i}".encode()) for i in range(n)]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, unsigned; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def simhash(text: str | None, width: int = 3) -> int:
     """The fingerprint of one text, unsigned; 0 for no word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -64,11 +72,7 @@ def simhash(text: str | None, width: int = 3) -> int:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = np.array([_hash(joined[a:b]) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -162,14 +166,6 @@ def links(fps: DataFrame, radius: int = MAX_RADIUS, hot_pairs: int = HOT_PAIRS)
     return verified(few, few.where("own")).union(split).distinct()
 
 
-def near_copies(docs: DataFrame, row_col: str, text_col: str = "text") -> DataFrame:
-    """(row_col, component) of rows whose texts have a 5-word shingle similarity of 0.8 or more: see `near`.
-
-    row_col must be a unique long that stays the same when read again. Texts without a word are one class; null counts as empty.
-    """
-    return near.components(docs, row_col, text_col)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = MAX_RADIUS) -> DataFrame:
     """(id_col, fingerprint, component_id), one row for each row of ``docs``.
 

@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from rastra.llm import chat, decontam, mixing, secret_scan, warc
+from rastra.llm import chat, decontam, mixing, near, secret_scan, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -228,6 +228,33 @@ def test_near_duplicate_stage_links_edited_copies(spark):
     assert sorted(r["doc_id"] for r in cp.one_of_each(spark, docs, SF).collect()) == sorted(first.values())
 
 
+def test_near_duplicate_stage_links_by_pivot_distances(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(near, "bands", lambda grams: grams.sum(keepdims=True))  # no two sets meet in a band: only fingerprints are left
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(900)]) for _ in range(rng.choice([4, 60, 300, 600]))) for _ in range(12)]
+    for n in range(90):
+        words = rng.choice(texts).split()
+        for _ in range(max(1, len(words) // rng.choice([60, 200, 600]))):
+            words[rng.randrange(len(words))] = f"edit{n}"
+        texts.append(" ".join(words))
+    sets = [set(near.shingles(near.word_hashes(t)).tolist()) for t in texts]
+    fps = [simhash.majority(near.word_hashes(" ".join(set(t.split())))) for t in texts]
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    group, met, missed = list(range(len(texts))), 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(i, j) and (fps[i] ^ fps[j]).bit_count() <= 3:
+                met += sets[i] != sets[j]
+                group = [group[j] if g == group[i] else g for g in group]
+            elif alike(i, j):
+                missed += 1
+    assert met > 20 and missed > 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in cp.one_of_each(spark, docs, SF).collect()) == sorted(group.index(g) for g in set(group))
+
+
 def test_near_duplicate_stage_keeps_one_row_of_equal_ids(spark):
     import corpus_pipeline as cp
 
