@@ -8,7 +8,7 @@ from functools import partial
 import xxhash
 from pyspark.sql import functions as F
 
-from rastra.llm import components, simhash, suffixes
+from rastra.llm import components, near, simhash, suffixes
 
 SCHEMA = "doc_id long, text string, fp string, component_id long"
 _h = partial(xxhash.xxh64_intdigest, seed=42)
@@ -97,6 +97,39 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
 
 
+def test_a_family_of_near_copies_takes_few_stages(spark):
+    rng = random.Random(11)
+    base, texts = [f"w{rng.randrange(10**6)}" for _ in range(90)], []
+    for _ in range(60):
+        text = list(rng.choice([base, base, *texts[-5:]]))
+        for at in rng.sample(range(90), rng.randint(1, 5)):
+            text[at] = f"x{rng.randrange(10**6)}"
+        texts.append(text)
+    texts += [texts[3], texts[3], base[:2], base[:2], [], []]
+    sets = [set(near.shingles(near.word_hashes(" ".join(t))).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for i, j in pairs:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
+    coalesce, group = "spark.sql.adaptive.coalescePartitions.enabled", "near copies"
+    spark.conf.set(coalesce, "false")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = near.components(docs, "row").collect()
+    finally:
+        spark.conf.unset(coalesce)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    groups = lambda of: sorted(sorted(i for i in of if of[i] == c) for c in set(of.values()))
+    assert groups({r["row"]: r["component"] for r in got}) == groups(dict(enumerate(root)))
+    # Where partitions are many, each stage is as many tasks, files and events, however few the rows.
+    tracker = spark.sparkContext.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    ran = [info for i in stages if (info := tracker.getStageInfo(i)) and info.numCompletedTasks]
+    assert len(ran) <= 180
+
+
 def plain_removal(rows, length):
     bodies = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[p : p + length] for _, b in bodies for p in range(len(b) - length + 1))
