@@ -71,36 +71,74 @@ def cross_coloured(pixels: DataFrame, tiles: DataFrame, bits: int, inverse: bool
 CROSS_COLOUR_ROUNDS = 3
 
 
-def _nearest_multipliers(colours: DataFrame, rest: Column, by: str, name: str) -> DataFrame:
-    """(img, tx, ty, name): of the multipliers -128 to 127 that which leaves least of ``rest`` in a tile once its share of channel ``by`` is taken off.
+#: The multipliers in the order in which equally good ones are taken: the nearest to zero, then the lower.
+MULTIPLIERS = np.array(sorted(range(-128, 128), key=lambda m: (abs(m), m)))
 
-    Every colour of a tile meets every candidate, and costs are summed before anything moves. Of equally good ones the nearest to zero is
-    taken, then the lower.
+#: The share of each channel value that each multiplier takes, modulo 256.
+MULTIPLIER_SHARES = (np.arange(256, dtype=np.uint8).view(np.int8)[:, None] * MULTIPLIERS >> 5).astype(np.int8)
+
+# How many colours of a tile are added up at once, how many such blocks, and the side, as a power of two, of what is gathered in front of a shuffle.
+COLOUR_BLOCK, BLOCKS_AT_ONCE, GATHERED_BITS = 16, 128, 4
+
+
+def _nearest_multipliers(rest: np.ndarray, by: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    """For each tile the first of MULTIPLIERS that leaves least of ``rest`` once its share of channel ``by`` is taken off.
+
+    The tables have a row for each block of colours, and ``tile`` is the block's tile, ascending. Signed bytes overflow as they should: what is left counts
+    modulo 256, and 128 is read as such. Costs are summed over a few blocks at a time, whatever a tile's size.
     """
-    tile = ["img", "tx", "ty"]
-    met = colours.select(*tile, "n", rest.alias("rest"), argb.signed_byte(F.col(by)).alias("by"), F.explode(F.sequence(F.lit(-128), F.lit(127))).alias("m"))
-    left = F.pmod(F.col("rest") - F.shiftright(F.col("m") * F.col("by"), 5), F.lit(256))
-    costs = met.groupBy(*tile, "m").agg(F.sum(F.col("n") * F.least(left, 256 - left)).alias("cost"))
-    return costs.groupBy(*tile).agg(F.min(F.struct("cost", F.abs("m").alias("size"), "m"))["m"].alias(name))
+    cost = np.zeros((int(tile.max(initial=-1)) + 1, len(MULTIPLIERS)), np.int64)
+    for at in range(0, len(tile), BLOCKS_AT_ONCE):
+        part = slice(at, at + BLOCKS_AT_ONCE)
+        left = np.abs(rest[part, :, None].view(np.int8) - MULTIPLIER_SHARES[by[part]]).view(np.uint8).sum(axis=1, dtype=np.int32)
+        own = tile[part]
+        cost[own[0] : own[-1] + 1] += np.add.reduceat(left, np.flatnonzero(np.diff(own, prepend=-1)), axis=0)
+    return MULTIPLIERS[cost.argmin(axis=1)]
 
 
 def cross_colour_multipliers(pixels: DataFrame, bits: int) -> DataFrame:
     """(img, tx, ty, green_to_red, green_to_blue, red_to_blue): the multipliers, -128 to 127, that leave the smallest residuals in each tile of 2**bits.
 
     Residuals count by their distance from zero as signed bytes. Red has one multiplier. Blue has two, chosen in turn, each for what the other leaves, in
-    CROSS_COLOUR_ROUNDS rounds; what no longer changes stays. The pixels are shuffled once, by tile; a tile's equal colours are one row from then on.
+    CROSS_COLOUR_ROUNDS rounds; tiles where nothing changes any more are left out of the next. The colours of a tile are one array, gathered before
+    and after a shuffle by tile (larger tiles in parts first); a small Arrow helper tries the 256 candidates on the tiles of a batch.
     """
     tile = ["img", "tx", "ty"]
-    at = pixels.select("img", F.shiftright("x", bits).alias("tx"), F.shiftright("y", bits).alias("ty"), *[argb.channel(F.col("argb"), c).alias(c) for c in "rgb"])
-    colours = at.groupBy(*tile, "r", "g", "b").agg(F.count("*").alias("n")).repartition(*tile)
-    share = lambda m, c: F.shiftright(F.col(m) * argb.signed_byte(F.col(c)), 5)
-    chosen = _nearest_multipliers(colours, F.col("r"), "g", "green_to_red")
-    blue = _nearest_multipliers(colours, F.col("b"), "g", "green_to_blue")
-    for n in range(CROSS_COLOUR_ROUNDS):
-        red = _nearest_multipliers(colours.join(blue.select(*tile, "green_to_blue"), tile), F.col("b") - share("green_to_blue", "g"), "r", "red_to_blue")
-        if n < CROSS_COLOUR_ROUNDS - 1:
-            blue = _nearest_multipliers(colours.join(red, tile), F.col("b") - share("red_to_blue", "r"), "g", "green_to_blue")
-    return chosen.join(blue, tile).join(red, tile)
+    at = pixels.select("img", *[F.shiftright(c, k).alias(name) for c in "xy" for k, name in ((bits, f"t{c}"), (GATHERED_BITS, f"g{c}"))], F.col("argb").bitwiseAND(F.lit(0xFFFFFF)).alias("rgb"))
+    at = at.where(" AND ".join(f"{c} IS NOT NULL" for c in tile))
+    colours = at.groupBy(*tile, *(["gx", "gy"] if bits > GATHERED_BITS else [])).agg(F.collect_list("rgb").alias("colours"))
+    if bits > GATHERED_BITS:
+        colours = colours.groupBy(*tile).agg(F.flatten(F.collect_list("colours")).alias("colours"))
+
+    @arrow_udf("green_to_red int, green_to_blue int, red_to_blue int")
+    def best(colours: pa.Array) -> pa.Array:
+        size = np.diff(colours.offsets)
+        blocks = np.maximum(-(-size // COLOUR_BLOCK), 1)
+        tile = np.repeat(np.arange(len(size)), blocks)
+        # What a tile's last block has left is black, which no multiplier changes.
+        table = np.zeros(len(tile) * COLOUR_BLOCK, np.int64)
+        first = (np.cumsum(blocks) - blocks) * COLOUR_BLOCK - (np.cumsum(size) - size)
+        table[np.arange(size.sum()) + np.repeat(first, size)] = colours.flatten()
+        r, g, b = ((table >> s).astype(np.uint8).reshape(-1, COLOUR_BLOCK) for s in (16, 8, 0))
+
+        def blue(moved: np.ndarray, given: np.ndarray, other: np.ndarray, by: np.ndarray) -> np.ndarray:
+            """The multipliers of channel ``by`` in the tiles that moved, given those of the other channel."""
+            part = moved[tile]
+            share = (given[tile[part], None] * other[part].view(np.int8) >> 5).astype(np.uint8)
+            return _nearest_multipliers(b[part] - share, by[part], np.cumsum(moved)[tile[part]] - 1)
+
+        green_to_red = _nearest_multipliers(r, g, tile)
+        moved = np.ones(len(size), bool)
+        green_to_blue, red_to_blue = np.full(len(size), len(MULTIPLIERS)), np.zeros(len(size), np.int64)  # the first is no multiplier yet
+        for _ in range(CROSS_COLOUR_ROUNDS):
+            found = blue(moved, red_to_blue, r, g)
+            changed = found != green_to_blue[moved]
+            green_to_blue[moved] = found
+            moved[moved] = changed
+            red_to_blue[moved] = blue(moved, green_to_blue, g, r)
+        return pa.StructArray.from_arrays([pa.array(m, pa.int32()) for m in (green_to_red, green_to_blue, red_to_blue)], ["green_to_red", "green_to_blue", "red_to_blue"])
+
+    return colours.select(*tile, best("colours").alias("m")).select(*tile, "m.*")
 
 
 def predictor_modes(pixels: DataFrame, bits: int) -> DataFrame:

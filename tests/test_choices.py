@@ -55,6 +55,20 @@ def test_cross_colour_multipliers_and_their_way_back(spark):
     assert sorted(map(tuple, transforms.cross_coloured(there, found, 2, inverse=True).collect())) == sorted(map(tuple, px.collect()))
 
 
+def test_cross_colour_search_gathers_tiles_once(spark):
+    """One shuffle for small tiles, and no row for each pixel and candidate; large tiles, bytes at the ends of their range and repeated pixels count as before."""
+    ends = [a << 24 | r << 16 | g << 8 | b for a, r, g, b in ((255, 128, 127, 0), (0, 0, 128, 255), (9, 129, 128, 128), (255, 255, 1, 127), (255, 128, 128, 128))]
+    imgs = images(4, [(37, 18), (5, 33)]) | {2: images(5, [(20, 19)], ends)[0], 3: [[0xFF000000] * 3] * 2}
+    px = table(spark, imgs)
+    plan = transforms.cross_colour_multipliers(px, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan and "Join" not in plan
+    for bits in (2, 4, 5):
+        twice = px.union(px.where("img = 0")).union(spark.createDataFrame([(None, 0, 0, 5), (7, None, 0, 5)], px.schema))
+        got = {(r["img"], r["tx"], r["ty"]): (r["green_to_red"], r["green_to_blue"], r["red_to_blue"]) for r in transforms.cross_colour_multipliers(twice, bits).collect()}
+        assert set(got) == {(i, x >> bits, y >> bits) for i, rows in imgs.items() for y, row in enumerate(rows) for x in range(len(row))}
+        assert got == {k: plain_multipliers(imgs[k[0]], bits, k[1], k[2]) for k in got}
+
+
 def plain_log(n):
     """The logarithm of a whole number, times 65,536, by squaring."""
     if n < 2:
