@@ -72,7 +72,7 @@ CROSS_COLOUR_ROUNDS = 3
 
 
 #: The multipliers in the order in which equally good ones are taken: the nearest to zero, then the lower.
-MULTIPLIERS = np.array(sorted(range(-128, 128), key=lambda m: (abs(m), m)))
+MULTIPLIERS = np.array(sorted(range(-128, 128), key=lambda m: (abs(m), m)), np.int16)
 
 #: The share of each channel value that each multiplier takes, modulo 256.
 MULTIPLIER_SHARES = (np.arange(256, dtype=np.uint8).view(np.int8)[:, None] * MULTIPLIERS >> 5).astype(np.int8)
@@ -104,7 +104,7 @@ def cross_colour_multipliers(pixels: DataFrame, bits: int) -> DataFrame:
     and after a shuffle by tile (larger tiles in parts first); a small Arrow helper tries the 256 candidates on the tiles of a batch.
     """
     tile = ["img", "tx", "ty"]
-    at = pixels.select("img", *[F.shiftright(c, k).alias(name) for c in "xy" for k, name in ((bits, f"t{c}"), (GATHERED_BITS, f"g{c}"))], F.col("argb").bitwiseAND(F.lit(0xFFFFFF)).alias("rgb"))
+    at = pixels.select("img", *[F.shiftright(c, k).alias(name) for c in "xy" for k, name in ((bits, f"t{c}"), (GATHERED_BITS, f"g{c}"))], F.col("argb").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("rgb"))
     at = at.where(" AND ".join(f"{c} IS NOT NULL" for c in tile))
     colours = at.groupBy(*tile, *(["gx", "gy"] if bits > GATHERED_BITS else [])).agg(F.collect_list("rgb").alias("colours"))
     if bits > GATHERED_BITS:
@@ -116,10 +116,10 @@ def cross_colour_multipliers(pixels: DataFrame, bits: int) -> DataFrame:
         blocks = np.maximum(-(-size // COLOUR_BLOCK), 1)
         tile = np.repeat(np.arange(len(size)), blocks)
         # What a tile's last block has left is black, which no multiplier changes.
-        table = np.zeros(len(tile) * COLOUR_BLOCK, np.int64)
-        first = (np.cumsum(blocks) - blocks) * COLOUR_BLOCK - (np.cumsum(size) - size)
-        table[np.arange(size.sum()) + np.repeat(first, size)] = colours.flatten()
-        r, g, b = ((table >> s).astype(np.uint8).reshape(-1, COLOUR_BLOCK) for s in (16, 8, 0))
+        before = (np.arange(len(tile)) - (np.cumsum(blocks) - blocks)[tile]) * COLOUR_BLOCK
+        table = np.zeros((len(tile), COLOUR_BLOCK), np.int32)
+        table[np.arange(COLOUR_BLOCK) < (size[tile] - before)[:, None]] = colours.flatten()
+        r, g, b = ((table >> s).astype(np.uint8) for s in (16, 8, 0))
 
         def blue(moved: np.ndarray, given: np.ndarray, other: np.ndarray, by: np.ndarray) -> np.ndarray:
             """The multipliers of channel ``by`` in the tiles that moved, given those of the other channel."""
@@ -129,7 +129,7 @@ def cross_colour_multipliers(pixels: DataFrame, bits: int) -> DataFrame:
 
         green_to_red = _nearest_multipliers(r, g, tile)
         moved = np.ones(len(size), bool)
-        green_to_blue, red_to_blue = np.full(len(size), len(MULTIPLIERS)), np.zeros(len(size), np.int64)  # the first is no multiplier yet
+        green_to_blue, red_to_blue = np.full(len(size), len(MULTIPLIERS), np.int16), np.zeros(len(size), np.int16)  # the first is no multiplier yet
         for _ in range(CROSS_COLOUR_ROUNDS):
             found = blue(moved, red_to_blue, r, g)
             changed = found != green_to_blue[moved]
